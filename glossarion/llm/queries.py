@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, quality
 from .text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,37 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        *quality.MEASURES,
+        (~quality.passes(quality.BASE)).alias("base_failed"),
+        quality.passes(quality.STANDARD).alias("kept"),
+        "failure_bits",
+    )
+
+
+OP2_SQL = r"""
+with d as (select doc_id, coalesce(text, '') t from documents),
+w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws,
+             [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] ls from d),
+g as (select doc_id, unnest(range(1, len(ws) - 1)) i, ws from w where len(ws) >= 3),
+h as (select doc_id, i, count(*) over (partition by doc_id, ws[i], ws[i + 1], ws[i + 2]) c from g),
+r as (select doc_id, count(distinct j) n from (select doc_id, unnest([i, i + 1, i + 2]) j from h where c > 1) group by doc_id),
+m as (select w.doc_id, len(ws)::bigint n_words, length(array_to_string(ws, ''))::bigint word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols, len(ls)::bigint n_lines,
+             (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, coalesce(r.n, 0)::bigint n_repeat_words,
+             length(regexp_replace(t, '[^A-Z]', '', 'g'))::bigint n_upper
+      from w left join r on r.doc_id = w.doc_id),
+f as (select *, ((n_words < 50)::bigint + 2 * (100 * n_repeat_words > 50 * n_words)::bigint + 4 * (10 * n_symbols > n_words)::bigint
+                 + 8 * (2 * n_dup_lines > n_lines)::bigint + 16 * (word_chars < 2 * n_words or word_chars > 15 * n_words)::bigint
+                 + 32 * (10 * n_upper > 4 * word_chars)::bigint)::bigint failure_bits from m)
+select doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper,
+       failure_bits & 3 <> 0 base_failed, failure_bits = 0 kept, failure_bits from f
+"""
+
+
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op2_quality_rules": op2_quality_rules}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL}
