@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality
+from . import bpe, quality, simhash
 from .text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,14 @@ select doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_wo
 """
 
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op2_quality_rules": op2_quality_rules}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_bpe": op1_bpe,
+    "op2_quality_rules": op2_quality_rules,
+    "op8_simhash": op8_simhash,
+}
 
 ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL}
