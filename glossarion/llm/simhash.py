@@ -56,6 +56,11 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     return df.select(id_col, df[text].alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
 
 
+def _distance(a: np.ndarray, b: np.ndarray | np.int64) -> np.ndarray:
+    """Differing bits; counted on unsigned numbers, as numpy counts those of a signed one's absolute value."""
+    return np.bitwise_count(np.asarray(a ^ b).view(np.uint64))
+
+
 def forest(fp: np.ndarray) -> list[tuple[int, int]]:
     """Edges (i, j) of a spanning forest of the links among fp; memory grows with its length only."""
     edges, left = [], np.arange(len(fp))
@@ -63,7 +68,7 @@ def forest(fp: np.ndarray) -> list[tuple[int, int]]:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(fp[left] ^ fp[at]) <= MAX_BITS
+            near = _distance(fp[left], fp[at]) <= MAX_BITS
             if near.any():
                 found = left[near].tolist()
                 edges += [(at, x) for x in found]
@@ -94,7 +99,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size_of = np.repeat(sizes, sizes)
         us, vs = [], []
         for step in range(1, 8):  # small buckets, all at once: rows that lie `step` apart
-            near = np.flatnonzero((bucket[step:] == bucket[:-step]) & (size_of[step:] <= 8) & (np.bitwise_count(fp[step:] ^ fp[:-step]) <= MAX_BITS))
+            near = np.flatnonzero((bucket[step:] == bucket[:-step]) & (size_of[step:] <= 8) & (_distance(fp[step:], fp[:-step]) <= MAX_BITS))
             us.append(v[near])
             vs.append(v[near + step])
         for a, n in zip(starts[sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True):
