@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, simhash, toxicity
+from . import bpe, lattice, quality, simhash, toxicity
 from .text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lattice.score(docs, tokenizer_path("piece_bpe_32k.model"), train="crc32(string(doc_id)) % 10 != 0")
+    return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), train="crc32(string(doc_id)) % 3 != 1")
@@ -76,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op8_simhash": op8_simhash,
+    "op9_lattice_lm": op9_lattice_lm,
     "op10_toxicity": op10_toxicity,
 }
 
