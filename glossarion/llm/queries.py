@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lattice, quality, simhash, toxicity
+from . import bpe, lattice, pii, quality, simhash, toxicity
 from .text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,13 @@ select doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_wo
 """
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"bigint(size(filter(spans, x -> x.fixed and x.kind = '{k}')))").alias(f"n_{k}") for k in pii.KINDS]
+    joined = "array_join(transform({}, x -> concat_ws(':', x.kind, string(x.start), string(x.end))), ',')"
+    return found.select("doc_id", *counts, F.sha2(F.expr(joined.format("filter(spans, x -> x.fixed)")), 256).alias("base_sha256"), F.expr(joined.format("spans")).alias("spans"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -81,6 +88,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
+    "op4_pii": op4_pii,
     "op8_simhash": op8_simhash,
     "op9_lattice_lm": op9_lattice_lm,
     "op10_toxicity": op10_toxicity,
