@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lattice, pii, quality, simhash, toxicity
-from .text import table
+from . import bpe, lattice, pii, quality, simhash, toxicity, warc
+from .text import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,21 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.expr(joined.format("filter(spans, x -> x.fixed)")), 256).alias("base_sha256"), F.expr(joined.format("spans")).alias("spans"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc"
+    warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+with p as (select page_id, coalesce(html, '') h from pages),
+d as (select page_id, octet_length(encode(h))::bigint payload_bytes, sha256(h) payload_digest from p),
+f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end first from d)
+select page_id, payload_bytes, payload_digest, case when first = page_id then 'response' else 'revisit' end record_type,
+       case when first <> page_id then first end refers_to from f
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -89,9 +104,10 @@ QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op4_pii": op4_pii,
+    "op6_warc": op6_warc,
     "op8_simhash": op8_simhash,
     "op9_lattice_lm": op9_lattice_lm,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op6_warc": OP6_SQL}
