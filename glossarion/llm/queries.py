@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lattice, pii, quality, simhash, toxicity, warc
+from . import bpe, lattice, pii, quality, simhash, topk, toxicity, warc
 from .text import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,21 @@ select page_id, payload_bytes, payload_digest, case when first = page_id then 'r
 """
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+OP7_SQL = """
+with v as (select vec_id, [floor(x::double * 64)::bigint for x in embedding] v from embeddings
+           where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (select q.vec_id query_id, c.vec_id, list_dot_product(q.v::double[], c.v::double[])::bigint score
+      from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -105,9 +120,10 @@ QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_pii": op4_pii,
     "op6_warc": op6_warc,
+    "op7_exact_topk": op7_exact_topk,
     "op8_simhash": op8_simhash,
     "op9_lattice_lm": op9_lattice_lm,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op6_warc": OP6_SQL}
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op6_warc": OP6_SQL, "op7_exact_topk": OP7_SQL}
