@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lattice, pii, quality, simhash, topk, toxicity, warc
+from . import bpe, lattice, pii, quality, simhash, topk, toxicity, urls, warc
 from .text import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,19 @@ select doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_wo
 """
 
 
+URL_RULES = (
+    urls.Rule("allow", "org/"),
+    urls.Rule("block", "example.org/es/"),
+    urls.Rule("block", "example.org/en/1"),
+    urls.Rule("allow", "com/fr/"),
+    urls.Rule("block", "com/de/"),
+)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"bigint(size(filter(spans, x -> x.fixed and x.kind = '{k}')))").alias(f"n_{k}") for k in pii.KINDS]
@@ -118,6 +131,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
+    "op3_url_filter": op3_url_filter,
     "op4_pii": op4_pii,
     "op6_warc": op6_warc,
     "op7_exact_topk": op7_exact_topk,
