@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lattice, pii, quality, simhash, topk, toxicity, urls, warc
+from . import bpe, lattice, packing, pii, quality, simhash, topk, toxicity, urls, warc
 from .text import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.expr(joined.format("filter(spans, x -> x.fixed)")), 256).alias("base_sha256"), F.expr(joined.format("spans")).alias("spans"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", packing.word_length().alias("n"))
+    return packing.best_fit(docs, "n")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc"
     warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
@@ -133,6 +138,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_url_filter": op3_url_filter,
     "op4_pii": op4_pii,
+    "op5_packing": op5_packing,
     "op6_warc": op6_warc,
     "op7_exact_topk": op7_exact_topk,
     "op8_simhash": op8_simhash,
