@@ -55,7 +55,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     Columns of df with such names give way. Rows stay where they are: no shuffle, one row at a time, so
     that repeated rows and ties change nothing and an empty table gives an empty result.
     """
-    df = df.drop(*MEASURES, "_t", "_w", "_p", "_c", "_f")
+    df = df.drop(*MEASURES, "_t", "_w", "_p", "_c", "_f", "_l")
     df = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     strip = "trim(both ' \\t\\n\\u000b\\f\\r' from _t)"
     df = df.withColumn("_w", F.when(F.expr(f"{strip} = ''"), F.array().cast("array<string>")).otherwise(F.split(F.expr(strip), SPACE_SQL)))
@@ -89,7 +89,9 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 
 
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:
-    """measure(df) and failure_bits (long): bit b is set if the rule of bit b fails the document."""
+    """measure(df) and failure_bits (long): bit b is set if the rule of bit b fails the document.
+
+    To filter by it use keep(), or write the ledger first."""
     bits = F.lit(0).cast("bigint")
     for bit, _, fails in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(1 << bit)).otherwise(0).cast("bigint"))
@@ -101,6 +103,16 @@ def passes(policy: Policy, bits: str = "failure_bits") -> Column:
     return F.col(bits).bitwiseAND(policy.mask) == 0
 
 
+def keep(df: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
+    """The rows of df that the policy keeps, with df's columns.
+
+    The row number in the condition holds the filter above the ledger: pushed below it, the filter would
+    hold a copy of every measure's expression.
+    """
+    rows = ledger(df.select(F.struct("*").alias("_doc"), F.col(text).alias("_text")), "_text").withColumn("_row", F.monotonically_increasing_id())
+    return rows.filter(passes(policy) & (F.col("_row") >= 0)).select("_doc.*")
+
+
 def ablation(ledger: DataFrame, policy: Policy) -> DataFrame:
     """A row per rule of the policy: rule, n_failed, and n_sole, the documents that the policy would keep without it.
 
