@@ -104,22 +104,33 @@ class _Range:
 
         store, name = fs.FileSystem.from_uri(path)
         self.file, self.size = store.open_input_file(name), store.get_file_info(name).size
+        self.start, self.window = 0, b""
 
     def read(self, at: int, n: int) -> bytes:
-        return self.file.read_at(max(0, min(n, self.size - at)), at) if at < self.size else b""
+        """Up to n bytes at an offset, from a window of the file that is read once."""
+        at_end = min(at + n, self.size)
+        if at >= at_end:
+            return b""
+        if at < self.start or at_end > self.start + len(self.window):
+            self.start, self.window = at, self.file.read_at(min(max(n, _CHUNK), self.size - at), at)
+        return self.window[at - self.start : at_end - self.start]
 
 
 def member(source: _Range, at: int, head_only: bool = False) -> tuple[bytes, int] | None:
-    """The member at an offset, decoded, and where it ends; None if there is none. head_only: its first bytes will do."""
-    z, out, pos = zlib.decompressobj(31), [], at
+    """The member at an offset, decoded, and where it ends; None if there is none. head_only: its first bytes will do.
+
+    Compressed bytes are fed in small, then larger pieces, as what is fed beyond the end is copied back.
+    """
+    z, out, pos, piece = zlib.decompressobj(31), [], at, 4096
     try:
         while not z.eof:
-            chunk = source.read(pos, 4096 if head_only else _CHUNK)
+            chunk = source.read(pos, piece)
             if not chunk:
                 return None
             got = z.decompress(chunk, 64) if head_only else z.decompress(chunk)
             out.append(got)
             pos += len(chunk)
+            piece = min(2 * piece, _CHUNK)
             if head_only and (got or z.eof):
                 return b"".join(out), pos
     except zlib.error:
