@@ -141,6 +141,7 @@ def member(source: _Range, at: int, head_only: bool = False) -> tuple[bytes, int
 def records(path: str, start: int, end: int) -> Iterator[bytes]:
     """Decoded records that start in [start, end) of a file."""
     source, at, synced = _Range(path), start, start == 0
+    end = min(end, source.size)
     while at < end:
         if not synced:  # the next offset with gzip magic whose member decodes to a WARC header
             chunk = source.read(at, min(_CHUNK, end - at) + len(MAGIC) - 1)
