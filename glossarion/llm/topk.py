@@ -3,8 +3,9 @@
 Vectors x become points (x, sqrt(M - |x|^2)) of one norm and queries points (q, 0), so that a larger
 inner product is a smaller distance. Distances from every point to a set of pivots are computed once;
 by the triangle inequality the largest |d(q, p) - d(x, p)| over pivots p bounds d(q, x) from below, hence
-the product from above. Candidates are evaluated in the order of their bounds, until the bound of the
-next is worse than the k-th best product found: exact, whatever the bounds are worth.
+the product from above. Candidates are evaluated in the order of their bounds, in two rounds: the best
+bounds first, then those that still reach the k-th best product found; the search stops at the first
+bound below it. This is exact, whatever the bounds are worth.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from .text import shared_dir
 
 PIVOTS = 24
 #: Rows of a block of queries, and of a block of candidates.
-QUERY_BLOCK, BLOCK = 2048, 4096
+QUERY_BLOCK, BLOCK = 2048, 8192
+#: Queries whose bounds on a block are held at a time.
+_TOGETHER = 32
 
 
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
@@ -59,28 +62,39 @@ def best_of_block(queries: np.ndarray, q_ids: np.ndarray, block: np.ndarray, ids
 
     table, asked = distances(points).astype(np.float32), distances(askers).astype(np.float32)
     slack = 1e-5 * (1 + np.sqrt(most + q_norms.max(initial=0.0)))  # for rounding, in units of distance
-    evaluated = 0
-    for i in range(len(q)):
-        low = np.maximum(np.abs(table - asked[i]).max(1) - slack, 0)
-        bound = (q_norms[i] + most - low.astype(float) ** 2) / 2 * (1 + 1e-9) + 1e-3
-        order = np.argsort(-bound, kind="stable")
-        mine, at, size = best[i], 0, 4 * k
-        while at < len(order):
-            take = order[at : at + size]
-            if len(mine) >= k:
-                take = take[bound[take] >= float(mine[k - 1, 0])]
-                if not len(take):
-                    break
-            evaluated += len(take)
-            scores = (x[take] @ q[i]).astype(np.int64 if exact is np.float64 else object)
-            got = np.stack([scores, ids[take]], 1)[ids[take] != q_ids[i]]
-            mine = np.r_[mine, got] if len(mine) else got
-            mine = mine[np.lexsort((mine[:, 1], -mine[:, 0]))][:k]
-            at, size = at + size, size * 4
-        best[i] = mine
+    evaluated, first = 0, min(4 * k, len(x))
+    for a in range(0, len(q), _TOGETHER):
+        rows = slice(a, a + _TOGETHER)
+        low = np.zeros((len(q[rows]), len(x)), np.float32)
+        for p in range(table.shape[1]):  # the largest lower bound over pivots
+            np.maximum(low, np.abs(table[:, p] - asked[rows, p, None]), out=low)
+        low = np.maximum(low.astype(float) - slack, 0)
+        bound = (q_norms[rows, None] + most - low * low) / 2 * (1 + 1e-9) + 1e-3
+        # round 1: the candidates of the best bounds; round 2: those whose bound still reaches the k-th best
+        head = np.argpartition(-bound, first - 1, axis=1)[:, :first]
+        found = []
+        for i, take in enumerate(head):
+            found.append(_merge(best[a + i], x[take] @ q[a + i], ids[take], q_ids[a + i], k))
+        worst = np.array([float(f[k - 1, 0]) if len(f) >= k else -np.inf for f in found])
+        alive = bound >= worst[:, None]
+        np.put_along_axis(alive, head, False, axis=1)
+        evaluated += head.size + int(alive.sum())
+        some = np.flatnonzero(alive.any(0))
+        scores = q[rows] @ x[some].T
+        hits = alive[:, some] & (scores >= worst[:, None])
+        for i, f in enumerate(found):
+            at = np.flatnonzero(hits[i])
+            best[a + i] = _merge(f, scores[i, at], ids[some[at]], q_ids[a + i], k)
     return evaluated
 
 
+def _merge(best: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
+    """The k best (score, id) rows of best and the new ones but a query's own, ties to the smaller id."""
+    got = np.stack([scores if scores.dtype == object else scores.astype(np.int64), ids], 1)[ids != own]
+    rows = np.r_[best, got] if len(best) else got
+    return rows[np.lexsort((rows[:, 1], -rows[:, 0]))][:k]
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id") -> DataFrame:
     """(query_id, rank int, id, score bigint): for each row of queries the k rows of vectors of highest inner product.
 
