@@ -81,7 +81,8 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     same = beside.format("s", ".h", "_f")
     return df.withColumn(
         "n_repeat_words",
-        F.expr(f"bigint(size(array_distinct(flatten(transform(filter(_f, (s, j) -> {same}), s -> array(s.i, s.i + 1, s.i + 2))))))"),
+        # adding the row number's zero bits keeps filters above: pushed below, they would copy every measure's expression
+        F.expr(f"bigint(size(array_distinct(flatten(transform(filter(_f, (s, j) -> {same}), s -> array(s.i, s.i + 1, s.i + 2)))))) + (monotonically_increasing_id() & 0L)"),
     ).drop("_f")
 
 
@@ -89,10 +90,8 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 
 
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:
-    """measure(df) and failure_bits (long): bit b is set if the rule of bit b fails the document.
-
-    To filter by it use keep(), or write the ledger first."""
-    bits = F.lit(0).cast("bigint")
+    """measure(df) and failure_bits (long): bit b is set if the rule of bit b fails the document."""
+    bits = F.monotonically_increasing_id().bitwiseAND(0)  # see n_repeat_words
     for bit, _, fails in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(1 << bit)).otherwise(0).cast("bigint"))
     return measure(df, text).withColumn("failure_bits", bits)
@@ -104,13 +103,9 @@ def passes(policy: Policy, bits: str = "failure_bits") -> Column:
 
 
 def keep(df: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
-    """The rows of df that the policy keeps, with df's columns.
-
-    The row number in the condition holds the filter above the ledger: pushed below it, the filter would
-    hold a copy of every measure's expression.
-    """
-    rows = ledger(df.select(F.struct("*").alias("_doc"), F.col(text).alias("_text")), "_text").withColumn("_row", F.monotonically_increasing_id())
-    return rows.filter(passes(policy) & (F.col("_row") >= 0)).select("_doc.*")
+    """The rows of df that the policy keeps, with df's columns, whatever their names."""
+    rows = ledger(df.select(F.struct("*").alias("_doc"), F.col(text).alias("_text")), "_text")
+    return rows.filter(passes(policy)).select("_doc.*")
 
 
 def ablation(ledger: DataFrame, policy: Policy) -> DataFrame:
