@@ -69,19 +69,17 @@ def hash_index(key: Column, n: Column) -> Column:
 def char_ngrams(word: Column | str, low: int = 2, high: int = 4) -> Column:
     """Character n-grams inside word boundaries, lower-cased, each with its repeats.
 
-    Each whitespace-separated word is padded by a space on both sides; a padded word shorter than n is
-    one gram for the first such n and none for the larger.
+    Each whitespace-separated word is padded by a space on both sides; a padded word shorter than n has
+    no gram of size n, but every word has one of the least size.
     """
+    def cut(padded: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1)))
+        grams = F.transform(starts, lambda i: F.substr(padded, i, F.lit(n)))
+        return grams if n == low else F.when(F.length(padded) >= n, grams).otherwise(F.array().cast("array<string>"))
+
     def of_word(w: Column) -> Column:
         padded = F.concat(F.lit(" "), w, F.lit(" "))
-        grams = []
-        for n in range(low, high + 1):
-            starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1)))
-            cut = F.transform(starts, lambda i, n=n: F.substr(padded, i, F.lit(n)))
-            # the whole padded word is the only gram at the first n that reaches its length
-            use = F.length(padded) >= n if n > low else F.lit(True)
-            grams.append(F.when(use, cut).otherwise(F.array().cast("array<string>")))
-        return F.concat(*grams)
+        return F.concat(*[cut(padded, n) for n in range(low, high + 1)])
 
     words = F.filter(F.split(F.lower(_col(word)), r"\s+"), lambda w: w != "")
     return F.flatten(F.transform(words, of_word))
