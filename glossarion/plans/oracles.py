@@ -135,6 +135,10 @@ x0 as (select word, ngram, tf * (ln((1.0::double + (select count(distinct word)
 wn as (select word, ngram, x / sqrt(sum(x * x) over (partition by word)) w from x0)"""
 _DRAWS = "nb as (select metric, value x, row_number() over (partition by metric order by value) - 1 i, count(*) over (partition by metric) n from results), dr as (select metric, n, b, unnest(range(n)) d from (select distinct metric, n from nb), (select unnest(range(1000)) b)), di as (select metric, b, ('0x' || substr(md5(concat_ws('/', 42, b, d)), 1, 15))::bigint % n i from dr), ms as (select metric, b, avg(x) m from di join nb using (metric, i) group by all)"
 
+_USED = """bg as (select split_id, word from pool where part = 'test' and label = 0),
+used as (select split_id, word from (select *, row_number() over (partition by split_id order by md5(concat_ws('/', 42, 'train', split_id, word)), word) rn from bg) where rn <= 40
+ union select split_id, word from (select *, row_number() over (partition by split_id order by csim, word) rn from csims join bg using (split_id, word)) where rn <= 30)"""
+
 ORACLES: dict[str, str] = {
     "s13_knn": _q("select query, rank::int rank, nword, round(cossim, 6) cossim from nbr", _VECS, _NBR),
     "s1_explode_neighbours": _q(f"{_FLAT} flat where rank <= 10", _VECS, _NBR, _NESTED),
@@ -208,4 +212,13 @@ ORACLES: dict[str, str] = {
     "x7_centroid_evaluate": _q('select split_id, k, pos, neg, round(roc_auc, 6) roc_auc, round(average_precision, 6) average_precision, round("precision", 6) as "precision" from cres', _CENT_RES.format(pools=_POOLS.format(words="(from raw where label <> 5)"), extra="")),
     "x9_diagnose_best": _q("select weight_type, n, round(roc_auc, 6) roc_auc from (select *, row_number() over (partition by weight_type order by roc_auc desc, n) rn from summary where roc_auc is not null) where rn = 1", _VECS, _NBR, _VOTES, _VOTE_GROUPS, _curves("groups", "weight_type, n")),
     "x15_side_by_side": _q("""select metric as method, round(avg(value) filter ("key" % 2 = 0), 6) m0, round(avg(value) filter ("key" % 2 = 1), 6) m1 from results group by metric""", _RESULTS),
+    "s4_word_list": r"with n as (select distinct trim(array_to_string([upper(x[1]) || lower(x[2:]) for x in string_split(p_name, ' ')], ' ')) w from part) select w word, 'line' as mode from n union all select distinct regexp_split_to_array(w, '\s+')[1], 'token' from n union all select distinct lower(w), 'lower' from n",
+    "s7_log_metrics_csv": _q("from log_metrics where round <> 5", _LOG),
+    "s9_config_docs": "select 'u' || user_id run, 'batch_size' as \"key\", count(*)::varchar as value from events where user_id % 10 <> 0 group by user_id",
+    "s12_restrict_vocabulary": _q("select distinct nword word from nbr", _VECS, _NBR),
+    "p13_model_names": _q("select run, string_agg(distinct 's' || length(site), '+' order by 's' || length(site)) model from log_events where site is not null group by run", _LOG),
+    "t11_longest_run": _q("select run, count(distinct round) rounds from log_events where round is not null and (round <= 20 or run = 'run2') group by run order by rounds desc limit 1", _LOG),
+    "u4_used_negatives": _q("from used", _VECS, _SPLITS, _CENTROID, _POOLS.format(words="raw"), _USED),
+    "x8_split_counts": _q("select split_id, pos, neg, k::int k, round(pos / (pos + neg), 6) prevalence, round(k * pos / (pos + neg), 6) chance from (select split_id, sum(label)::bigint pos, count(*) filter (label = 0) neg from pool where part = 'test' and (split_id, word) not in (from used) group by split_id), (select unnest([5, 10, 20]) k)", _VECS, _SPLITS, _CENTROID, _POOLS.format(words="raw"), _USED),
+    "x9_diagnose_flags": _q("select count(*) n, 0::bigint n_nan, 0::bigint n_inf, '0,1' labels, case when least(avg(label), 1 - avg(label)) < 0.05 then 'imbalanced' else '' end flags from vs where n = 11", _VECS, _NBR, _VOTES, _VOTE_GROUPS),
 }

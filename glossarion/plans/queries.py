@@ -58,6 +58,14 @@ class Fixture:
         known = F.broadcast(self.glossary.withColumn("k", F.lit(1)))
         return self.raw.select("word").join(known, "word", "left").select("word", F.coalesce("k", F.lit(0)).alias("label"))
 
+    @cached_property
+    def features(self) -> DataFrame:
+        """Features per split and word, written once: samples, training and scores all read them."""
+        spark = self.vecs.sparkSession
+        folder = files.shared_folder(spark)
+        pipelines.features(self.vecs, self.nbr, self.splits).write.parquet(folder)
+        return spark.read.parquet(folder)
+
     @property
     def neighbourhoods(self) -> DataFrame:
         """Nested form, with neighbours of a cosine above 0.2 only, so that lengths differ; src is the file."""
@@ -317,10 +325,68 @@ for _mode in ("vote", "mindist", "avgdist"):
     on_fixture(f"x3_list_evaluate_{_mode}")(partial(lambda mode, x: pipelines.list_evaluate(x.nbr, x.splits, x.raw, x.stop, K, mode), _mode))
 on_fixture("x4_approach_evaluate")(lambda x: pipelines.approach_evaluate(x.labelled_nbr, x.labels, splits.make_splits(x.labels, N_SPLITS, strata=["label"]).drop("label")))
 on_fixture("x5_split_report")(lambda x: pipelines.split_report(pipelines.centroid_evaluate(x.vecs, x.splits, x.stop), ["roc_auc", "average_precision", "precision"], ["k"], 1000))
-on_fixture("x6_compare_methods")(lambda x: pipelines.compare_methods(pipelines.features(x.vecs, x.nbr, x.splits), x.splits, x.stop)[0])
-on_fixture("a24_learned_weights")(lambda x: pipelines.compare_methods(pipelines.features(x.vecs, x.nbr, x.splits), x.splits, x.stop)[1].select("clf", F.posexplode("weights").alias("feature", "w")).groupBy("clf", "feature").agg(F.avg("w").alias("mean"), F.stddev_pop("w").alias("std")))
+on_fixture("x6_compare_methods")(lambda x: pipelines.compare_methods(x.features, x.splits, x.stop)[0])
+on_fixture("a24_learned_weights")(lambda x: pipelines.compare_methods(x.features, x.splits, x.stop)[1].select("clf", F.posexplode("weights").alias("feature", "w")).groupBy("clf", "feature").agg(F.avg("w").alias("mean"), F.stddev_pop("w").alias("std")))
 on_fixture("x7_centroid_evaluate")(lambda x: pipelines.centroid_evaluate(x.vecs, x.splits, x.stop, x.raw.filter("label != 5")))
 on_fixture("x9_diagnose_best")(lambda x: pipelines.diagnose(neighbours.prefix_votes(x.labelled_nbr).withColumn("score", F.round("vote", 10)).join(x.labels.withColumnRenamed("word", "query"), "query"))[0])
 on_fixture("x10_score_words")(lambda x: pipelines.score_words(x.vecs, x.raw.select("word", (F.col("label") * 3).alias("cnt")), x.glossary))
 on_fixture("x10_evaluate_scores")(lambda x: pipelines.evaluate_scores(pipelines.score_words(x.vecs, x.raw.select("word", (F.col("label") * 3).alias("cnt")), x.glossary).unpivot("word", ["centroid", "log_count", "avgdist_all"], "method", "score"), x.null_glossary))
 query("x15_side_by_side")(lambda s, d: pipelines.side_by_side(_results(s, d).select(F.col("metric").alias("method"), F.concat(F.lit("m"), F.col("key") % 2).alias("model"), F.col("value").alias("roc_auc")), models_=["m0", "m1"]))
+
+
+# further sources, lists and counts
+@query("s4_word_list")
+def s4_word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as a text file, read in the three ways."""
+    folder = files.shared_folder(spark)
+    table(spark, sf_dir, "part").select(F.concat(F.lit(" "), F.initcap("p_name"), F.lit(" "))).write.text(folder)
+    out = [files.word_list(spark, folder, m).distinct().withColumn("mode", F.lit(m)) for m in ("line", "token", "lower")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("s7_log_metrics_csv")
+def s7_log_metrics_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = files.shared_folder(spark)
+    rows = x12_training_log(spark, sf_dir)
+    bad = F.when(F.col("round") == 5, "x").otherwise(F.col("validation_metric").cast("string"))
+    rows.withColumn("validation_metric", bad).write.csv(folder, header=True)
+    return files.log_metrics_csv(spark, folder)
+
+
+@query("s9_config_docs")
+def s9_config_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON file per user, in the user's folder; every tenth is broken."""
+    folder = files.shared_folder(spark)
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    doc = F.when(F.col("user_id") % 10 == 0, "{broken").otherwise(F.format_string('{"t": {"batch_size": %d}}', "n"))
+    paths = e.select(F.concat(F.lit("u"), "user_id").alias("run"), doc.alias("value"))
+    paths.repartition("run").write.partitionBy("run").text(folder)
+    whole = spark.read.option("wholetext", True).text(folder).withColumn("doc", F.try_parse_json(F.trim("value")))
+    return configs.run_configs(whole.filter("doc is not null").select("run", F.lit("").alias("path"), "doc"))
+
+
+on_fixture("s12_restrict_vocabulary")(lambda x: x.vecs.select("word").join(x.nbr.select(F.col("nword").alias("word")).distinct(), "word", "left_semi"))
+query("p13_model_names")(lambda s, d: configs.model_name(trainlog.log_events(log_lines(s, d)).filter("site is not null").select("run", F.concat(F.lit("s"), F.length("site")).alias("site"))))
+query("t11_longest_run")(lambda s, d: trainlog.longest_run(trainlog.log_events(log_lines(s, d)).filter("round <= 20 or run = 'run2'")))
+
+
+@on_fixture("x8_split_counts")
+def x8_split_counts(x: Fixture) -> DataFrame:
+    """Per split: pool sizes after the training negatives are left out, prevalence and chance."""
+    used = x8_used(x)
+    pool = pipelines.pools(x.splits, x.raw, x.stop).filter("part = 'test'").join(used, ["split_id", "word"], "left_anti")
+    counts = pool.groupBy("split_id").agg(F.sum("label").alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    return counts.join(summary.chance_levels(counts, KS, ["split_id"]), "split_id")
+
+
+def x8_used(x: Fixture) -> DataFrame:
+    """(split_id, word): the sampled and the reliable training negatives."""
+    background = pipelines.pools(x.splits, x.raw, x.stop).filter("part = 'test' and label = 0").select("split_id", "word")
+    random = splits.hashed_sample(background, ["split_id"], F.lit(40), "train")
+    centre = vectors.centroid_similarity(x.vecs, vectors.centroids(x.vecs, x.splits.filter("part = 'ref'"), ["split_id"]), ["split_id"])
+    reliable = models.reliable_negatives(centre.join(background, ["split_id", "word"], "left_semi"), ["split_id"], "csim", 30)
+    return random.union(reliable.select("split_id", "word")).distinct()
+
+
+on_fixture("u4_used_negatives")(x8_used)
+on_fixture("x9_diagnose_flags")(lambda x: pipelines.diagnose(neighbours.prefix_votes(x.labelled_nbr).withColumn("score", F.round("vote", 10)).join(x.labels.withColumnRenamed("word", "query"), "query"))[1].select("n", "n_nan", "n_inf", F.array_join("labels", ",").alias("labels"), F.array_join("flags", ",").alias("flags")))
