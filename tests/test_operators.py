@@ -17,7 +17,7 @@ def rows(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
 
 
-def test_unknown_weight_is_an_error():
+def test_unknown_weight_is_an_error(spark):
     with pytest.raises(ValueError):
         scalar.neighbour_weight("d", "cubic")
 
