@@ -188,6 +188,7 @@ ORACLES: dict[str, str] = {
     "w9_hybrid": _q('select "key", event_id, round((score - avg(score) over w) / stddev_pop(score) over w, 6) + 0.0 hybrid from scored window w as (partition by "key")', _SCORED),
     "f1_log_events": _q("from log_events", _LOG),
     "w6_pair_metrics": _q("from pairs_", _LOG),
+    "r1_pair_stream": _q("from pairs_", _LOG),
     "s8_log_files": _q("select run, kind, count(*) n, round(sum(value), 6) total from log_events group by all", _LOG),
     "x12_training_log": _q("from log_metrics", _LOG),
     "a17_round_average": _q("select log_label, round, round(avg(-m), 6) loss, count(*) sites from (select log_label, series, round, max(validation_metric) m from log_metrics where series like 'site:%' group by all) group by all", _LOG),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import configs, curves, lexical, models, neighbours, splits, summary, trainlog, vectors
 from ..sources import files
+from ..streaming import trainlog as streams
 from . import pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -390,3 +391,15 @@ def x8_used(x: Fixture) -> DataFrame:
 
 on_fixture("u4_used_negatives")(x8_used)
 on_fixture("x9_diagnose_flags")(lambda x: pipelines.diagnose(neighbours.prefix_votes(x.labelled_nbr).withColumn("score", F.round("vote", 10)).join(x.labels.withColumnRenamed("word", "query"), "query"))[1].select("n", "n_nan", "n_inf", F.array_join("labels", ",").alias("labels"), F.array_join("flags", ",").alias("flags")))
+
+
+@query("r1_pair_stream")
+def r1_pair_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a stream of files, paired with state kept per run and site, into a table."""
+    folder = files.shared_folder(spark)
+    lines = log_lines(spark, sf_dir)
+    lines.repartitionByRange(4, "line").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(lines.schema).parquet(f"{folder}/in")
+    run = streams.pair_stream(stream).writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(streams.PAIR).parquet(f"{folder}/out")

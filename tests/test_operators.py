@@ -211,3 +211,17 @@ def test_word_lists_and_splits_files(spark, tmp_path):
     assert [rows(files.word_list(spark, path, m), "word") for m in ("line", "token", "lower")] == [[("Foo bar",), ("b",)], [("Foo",), ("b",)], [("b",), ("foo bar",)]]
     (tmp_path / "s.json").write_text('[{"ref": ["a", "b"], "dev": [], "test": ["c"]}]')
     assert rows(files.splits_json(spark, str(tmp_path / "s.json")), "split_id", "part", "pos", "word") == [(0, "ref", 0, "a"), (0, "ref", 1, "b"), (0, "test", 0, "c")]
+
+
+def test_log_config_and_checkpoint_files(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "runA.log").write_text("Round 1 started\nvalidation metric -0.5 from client s1\nContribution from s1 ACCEPTED by the aggregator at round 1\n")
+    lines = files.log_lines(spark, str(tmp_path / "logs"))
+    assert rows(trainlog.pair_metrics(trainlog.log_events(lines)), "run", "site", "line", "round", "value") == [("runA", "s1", 2, 1, -0.5)]
+    for run, text in (("r1", '{"a": {"lr": 0.1}}'), ("r2", "{bad")):
+        (tmp_path / "conf" / run).mkdir(parents=True)
+        (tmp_path / "conf" / run / "c.json").write_text(text)
+    docs = files.config_docs(spark, str(tmp_path / "conf"))
+    assert rows(configs.run_configs(docs), "run", "key", "value") == [("r1", "learning_rate", "0.1")]
+    (tmp_path / "p.csv").write_text("model_checkpoint,dev_perplexity,test_perplexity\nFL_global_model_3.pt,1.5,2\nbest_FL_global_model.pt,1,1\nFL_global_model_4.pt,x,2\n")
+    assert rows(files.checkpoint_csv(spark, str(tmp_path / "p.csv")), "round", "dev_ppl", "test_ppl") == [(3, 1.5, 2.0)]
