@@ -135,6 +135,9 @@ x0 as (select word, ngram, tf * (ln((1.0::double + (select count(distinct word)
 wn as (select word, ngram, x / sqrt(sum(x * x) over (partition by word)) w from x0)"""
 _DRAWS = "nb as (select metric, value x, row_number() over (partition by metric order by value) - 1 i, count(*) over (partition by metric) n from results), dr as (select metric, n, b, unnest(range(n)) d from (select distinct metric, n from nb), (select unnest(range(1000)) b)), di as (select metric, b, ('0x' || substr(md5(concat_ws('/', 42, b, d)), 1, 15))::bigint % n i from dr), ms as (select metric, b, avg(x) m from di join nb using (metric, i) group by all)"
 
+_SW = f"""splits as (select 0 split_id, 'ref' part, word from glossary), {_CENTROID},
+gb as (select a.word, case when a.word = b.word then -1.0 else round(list_dot_product(a.v, b.v), 10) end::double cossim from vecs a, vecs b where b.word in (from glossary)),
+sw as (select word, max(cossim) mindist_all, avg(cossim) avgdist_all, list_sum((list(cossim order by cossim desc))[1:10]) votetopk_all, any_value(csim) centroid, ln(1 + 3.0::double * any_value(label)) log_count from gb join csims using (word) join raw using (word) group by word)"""
 _USED = """bg as (select split_id, word from pool where part = 'test' and label = 0),
 used as (select split_id, word from (select *, row_number() over (partition by split_id order by md5(concat_ws('/', 42, 'train', split_id, word)), word) rn from bg) where rn <= 40
  union select split_id, word from (select *, row_number() over (partition by split_id order by csim, word) rn from csims join bg using (split_id, word)) where rn <= 30)"""
@@ -222,4 +225,14 @@ ORACLES: dict[str, str] = {
     "u4_used_negatives": _q("from used", _VECS, _SPLITS, _CENTROID, _POOLS.format(words="raw"), _USED),
     "x8_split_counts": _q("select split_id, pos, neg, k::int k, round(pos / (pos + neg), 6) prevalence, round(k * pos / (pos + neg), 6) chance from (select split_id, sum(label)::bigint pos, count(*) filter (label = 0) neg from pool where part = 'test' and (split_id, word) not in (from used) group by split_id), (select unnest([5, 10, 20]) k)", _VECS, _SPLITS, _CENTROID, _POOLS.format(words="raw"), _USED),
     "x9_diagnose_flags": _q("select count(*) n, 0::bigint n_nan, 0::bigint n_inf, '0,1' labels, case when least(avg(label), 1 - avg(label)) < 0.05 then 'imbalanced' else '' end flags from vs where n = 11", _VECS, _NBR, _VOTES, _VOTE_GROUPS),
+    "x5_split_report": _q("select k, metric, n, round(mean, 6) mean, round(std, 6) std, round(median, 6) median, round(least, 6) least, round(most, 6) most, round(ci_low, 6) ci_low, round(ci_high, 6) ci_high from stats join (select k, metric, quantile_cont(m, 0.025) ci_low, quantile_cont(m, 0.975) ci_high from ms group by all) using (k, metric)", _CENT_RES.format(pools=_POOLS.format(words="raw"), extra=""), """res as (unpivot (select k, roc_auc::double roc_auc, average_precision::double average_precision, "precision"::double as "precision" from cres) on roc_auc, average_precision, "precision" into name metric value v),
+stats as (select k, metric, count(*) n, avg(v) mean, stddev_samp(v) std, quantile_cont(v, 0.5) median, min(v) least, max(v) most from res group by all),
+nb as (select k, metric, v, row_number() over (partition by k, metric order by v) - 1 i, count(*) over (partition by k, metric) n from res),
+dr as (select k, metric, n, b, unnest(range(n)) d from (select distinct k, metric, n from nb), (select unnest(range(1000)) b)),
+di as (select k, metric, b, ('0x' || substr(md5(concat_ws('/', 42, b, d)), 1, 15))::bigint % n i from dr),
+ms as (select k, metric, b, avg(v) m from di join nb using (k, metric, i) group by all)"""),
+    "x10_score_words": _q("select word, round(mindist_all, 6) mindist_all, round(avgdist_all, 6) avgdist_all, round(votetopk_all, 6) votetopk_all, round(centroid, 6) centroid, round(log_count, 6) log_count from sw", _VECS, _SW),
+    "x10_evaluate_scores": _q("""select method, k::int k, round(roc_auc, 6) roc_auc, round(average_precision, 6) average_precision, round(tp / k, 6) as "precision", round(tp / pos, 6) recall, round((neg - (least(k, pos + neg) - tp)) / neg, 6) specificity, round(case when tp > 0 then 2 * (tp / k) * (tp / pos) / (tp / k + tp / pos) else 0 end, 6) f1
+ from summary join (select method, k, sum(case when rn <= k then label else 0 end)::double tp from rk, (select unnest([5, 10, 20]) k) group by method, k) using (method)""", _VECS, _SW, """long as (select s.word, (r.label = 3)::int label, m.method, m.score from sw s join raw r using (word), lateral (select unnest(['centroid', 'log_count', 'avgdist_all']) method, unnest([centroid, log_count, avgdist_all]) score) m),
+groups as (select method, score, sum(label)::bigint np, sum(1 - label)::bigint nn from long group by all), rk as (select *, row_number() over (partition by method order by score desc, word) rn from long)""", _curves("groups", "method")),
 }
