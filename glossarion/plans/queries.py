@@ -27,6 +27,13 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table to the shared folder and read back, where several steps read it."""
+    folder = files.shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 class Fixture:
     """The word vectors, lists, splits and neighbours that the tables stand for."""
 
@@ -36,18 +43,18 @@ class Fixture:
         # the planted glossary: the 60 words nearest to w0
         first = F.broadcast(self.vecs.filter("word = 'w0'").select(F.col("v").alias("v0")))
         near = self.vecs.crossJoin(first).select("word", F.round(scalar.dot("v", "v0"), 10).alias("s"))
-        self.glossary = near.orderBy(F.desc("s"), "word").limit(60).select("word")
+        self.glossary = stored(near.orderBy(F.desc("s"), "word").limit(60).select("word"))
         self.stop = self.raw.filter("label = 0").select("word").join(self.glossary, "word", "left_anti")
         self.null_glossary = self.raw.filter("label = 3").select("word")
-        self.splits = splits.make_splits(self.glossary, N_SPLITS)
+
+    @cached_property
+    def splits(self) -> DataFrame:
+        return stored(splits.make_splits(self.glossary, N_SPLITS))
 
     @cached_property
     def nbr(self) -> DataFrame:
         """The neighbour store: written once, as every method reads it several times."""
-        spark = self.vecs.sparkSession
-        folder = files.shared_folder(spark)
-        vectors.knn(self.vecs, K).withColumn("distance", F.round(1 - F.col("cossim"), 10)).write.parquet(folder)
-        return spark.read.parquet(folder)
+        return stored(vectors.knn(self.vecs, K).withColumn("distance", F.round(1 - F.col("cossim"), 10)))
 
     @property
     def labelled_nbr(self) -> DataFrame:
@@ -62,10 +69,7 @@ class Fixture:
     @cached_property
     def features(self) -> DataFrame:
         """Features per split and word, written once: samples, training and scores all read them."""
-        spark = self.vecs.sparkSession
-        folder = files.shared_folder(spark)
-        pipelines.features(self.vecs, self.nbr, self.splits).write.parquet(folder)
-        return spark.read.parquet(folder)
+        return stored(pipelines.features(self.vecs, self.nbr, self.splits))
 
     @property
     def neighbourhoods(self) -> DataFrame:
@@ -326,8 +330,8 @@ for _mode in ("vote", "mindist", "avgdist"):
     on_fixture(f"x3_list_evaluate_{_mode}")(partial(lambda mode, x: pipelines.list_evaluate(x.nbr, x.splits, x.raw, x.stop, K, mode), _mode))
 on_fixture("x4_approach_evaluate")(lambda x: pipelines.approach_evaluate(x.labelled_nbr, x.labels, splits.make_splits(x.labels, N_SPLITS, strata=["label"]).drop("label")))
 on_fixture("x5_split_report")(lambda x: pipelines.split_report(pipelines.centroid_evaluate(x.vecs, x.splits, x.stop), ["roc_auc", "average_precision", "precision"], ["k"], 1000))
-on_fixture("x6_compare_methods")(lambda x: pipelines.compare_methods(x.features, x.splits, x.stop)[0])
-on_fixture("a24_learned_weights")(lambda x: pipelines.compare_methods(x.features, x.splits, x.stop)[1].select("clf", F.posexplode("weights").alias("feature", "w")).groupBy("clf", "feature").agg(F.avg("w").alias("mean"), F.stddev_pop("w").alias("std")))
+on_fixture("x6_compare_methods")(lambda x: pipelines.compare_methods(x.features, x.splits, x.stop, neg_ratio_train=2)[0])
+on_fixture("a24_learned_weights")(lambda x: pipelines.compare_methods(x.features, x.splits, x.stop, neg_ratio_train=2)[1].select("clf", F.posexplode("weights").alias("feature", "w")).groupBy("clf", "feature").agg(F.avg("w").alias("mean"), F.stddev_pop("w").alias("std")))
 on_fixture("x7_centroid_evaluate")(lambda x: pipelines.centroid_evaluate(x.vecs, x.splits, x.stop, x.raw.filter("label != 5")))
 on_fixture("x9_diagnose_best")(lambda x: pipelines.diagnose(neighbours.prefix_votes(x.labelled_nbr).withColumn("score", F.round("vote", 10)).join(x.labels.withColumnRenamed("word", "query"), "query"))[0])
 on_fixture("x10_score_words")(lambda x: pipelines.score_words(x.vecs, x.raw.select("word", (F.col("label") * 3).alias("cnt")), x.glossary))
