@@ -269,3 +269,42 @@ def test_pipeline_stages_keep_the_columns(spark):
     ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
     packed = corpus_pipeline.run(spark, folder)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} <= ids and packed.count() > 0
+
+
+def test_near_copies_of_the_stage_against_brute_force(spark):
+    """All pairs at a five-word Jaccard of 0.8 or more are linked, none below; one row a group is left, with ids that stand on several texts."""
+    import corpus_pipeline
+    from glossarion.llm import neardup
+
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(500)]
+    texts = []
+    for _ in range(40):
+        base = rng.choices(vocabulary, k=rng.randint(50, 300))
+        texts.append(" ".join(base))
+        for share in (0.005, 0.01, 0.02, 0.03, 0.05):
+            texts.append(" ".join(rng.choice(vocabulary) if rng.random() < share else w for w in base))
+    texts += [None, "", " ", "Two words", "two WORDS", "two words more"]
+    rows = list(enumerate(texts)) + [(0, texts[0]), (0, "another text of the same id"), (None, texts[0]), (None, None)]
+    rng.shuffle(rows)
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    ids = [r for r in sorted(set(rows), key=str) if r[0] is not None]
+    sets, group = [grams(t) for _, t in ids], list(range(len(ids)))
+    near = [(i, j) for i in range(len(ids)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert sum(sets[i] != sets[j] for i, j in near) > 50
+    for i, j in near:
+        a, b = group[i], group[j]
+        group = [min(a, b) if g in (a, b) else g for g in group]
+    want = sorted(min(ids[i][0] for i in range(len(ids)) if group[i] == g) for g in set(group))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = corpus_pipeline.drop_near_copies(spark, df, "").collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == want
+    assert "another text of the same id" in {r["text"] for r in got}
+    assert sum(r["doc_id"] is None for r in got) == 2
+    assert neardup.keep_one(df.limit(0)).count() == 0
+    exact = [neardup.shingles((t or "").encode()) for _, t in ids]
+    assert {(max(e), min(e)) for e in neardup.forest(exact[:30])} <= {(i, j) for i, j in near if i < 30}
