@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import dot, l2_normalise, scrub
+from ..sources.files import shared_folder
 
 #: Digits to which similarities are rounded before they are compared.
 DIGITS = 10
@@ -27,18 +28,8 @@ def keep_one(df: DataFrame, key: str, order: Sequence, last: bool = False) -> Da
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*by))).filter("_rn = 1").drop("_rn")
 
 
-def knn(vectors: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
-    """(query, rank, nword, cossim): the k nearest other words of each word by cosine, ties by word. Exact.
-
-    vectors, queries: (word, v) at unit length, one row per word, vectors of one length. Queries come in
-    groups of a bounded expected size; each group meets every block of words once, in a task that keeps
-    k rows per query. Work is the product of both sizes; rows passed on grow with their sum.
-    """
-    queries = vectors if queries is None else queries
-    groups = max(1, -(-queries.count() // _QUERY_BLOCK))
-    slots = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    q = queries.select(F.pmod(F.xxhash64("word"), F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), F.lit(True).alias("asks"), "word", "v")
-    x = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.pmod(F.xxhash64("word", F.lit(1)), F.lit(slots)).cast("int").alias("slot"), F.lit(False).alias("asks"), "word", "v")
+def _nearest(rows: DataFrame, k: int) -> DataFrame:
+    """(query, nword, cossim): for rows (g, slot, asks, word, v), the k best of each unit (g, slot) for each word that asks there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, asking, block, best = None, [], [], {}
@@ -75,24 +66,59 @@ def knn(vectors: DataFrame, k: int, queries: DataFrame | None = None) -> DataFra
         if unit is not None:
             yield result()
 
-    rows = q.unionByName(x).repartition("g", "slot").sortWithinPartitions("g", "slot", F.desc("asks"))
-    found = rows.mapInArrow(run, "query string, nword string, cossim double")
+    rows = rows.repartition("g", "slot").sortWithinPartitions("g", "slot", F.desc("asks"))
+    return rows.mapInArrow(run, "query string, nword string, cossim double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cossim"), "nword"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "nword", "cossim")
 
 
-def knn_lsh(vectors: DataFrame, k: int, bucket: float = 0.4, tables: int = 10, radius: float = 1.2, seed: int = 42) -> DataFrame:
-    """knn() by random projections: (query, rank, nword, cossim), approximate; pairs farther than radius are not found."""
+def knn(vectors: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """(query, rank, nword, cossim): the k nearest other words of each word by cosine, ties by word. Exact.
+
+    vectors, queries: (word, v) at unit length, one row per word, vectors of one length. Queries come in
+    groups of a bounded expected size; each group meets every block of words once, in a task that keeps
+    k rows per query. Work is the product of both sizes; rows passed on grow with their sum.
+    """
+    queries = vectors if queries is None else queries
+    groups = max(1, -(-queries.count() // _QUERY_BLOCK))
+    slots = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    q = queries.select(F.pmod(F.xxhash64("word"), F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), F.lit(True).alias("asks"), "word", "v")
+    x = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.pmod(F.xxhash64("word", F.lit(1)), F.lit(slots)).cast("int").alias("slot"), F.lit(False).alias("asks"), "word", "v")
+    return _ranked(_nearest(q.unionByName(x), k), k)
+
+
+def knn_lsh(vectors: DataFrame, k: int, bucket: float | None = None, tables: int = 10, seed: int = 42) -> DataFrame:
+    """knn() by random projections: (query, rank, nword, cossim), approximate; every list is as long as knn()'s.
+
+    A word meets the words of its bucket in each table, in units of a bounded expected size that keep k rows
+    per query. bucket: 0.8 of the projections' spread if None, so that ten tables find 0.9 of the neighbours
+    even where these are hardly nearer than other words. Lists that stay short are searched by knn().
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    if bucket is None:
+        spread = vectors.select(F.posexplode("v").alias("dim", "x")).groupBy("dim").agg(F.var_pop("x").alias("x")).agg(F.sqrt(F.avg("x"))).first()[0]
+        bucket = 0.8 * spread if spread else 1.0
     rows = vectors.select("word", array_to_vector("v").alias("features"), "v")
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)
-    pairs = model.approxSimilarityJoin(rows, rows, radius, distCol="d").filter("datasetA.word != datasetB.word")
-    cossim = F.round(dot("datasetA.v", "datasetB.v"), DIGITS)
-    pairs = pairs.select(F.col("datasetA.word").alias("query"), F.col("datasetB.word").alias("nword"), cossim.alias("cossim"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cossim"), "nword"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "nword", "cossim")
+    hashed = model.transform(rows).select("word", "v", F.posexplode("hashes").alias("t", "h")).withColumn("h", vector_to_array("h")[0])
+    parts = hashed.groupBy("t", "h").agg(F.ceil(F.count("*") / _QUERY_BLOCK).cast("int").alias("parts"))
+    hashed = hashed.join(parts, ["t", "h"]).withColumn("own", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    q = hashed.select(F.xxhash64("t", "h", "own").alias("g"), each.alias("slot"), F.lit(True).alias("asks"), "word", "v")
+    x = hashed.withColumn("p", each).select(F.xxhash64("t", "h", "p").alias("g"), F.col("own").alias("slot"), F.lit(False).alias("asks"), "word", "v")
+    folder = shared_folder(vectors.sparkSession)
+    _ranked(_nearest(q.unionByName(x), k).distinct(), k).write.parquet(folder)
+    found = vectors.sparkSession.read.parquet(folder)
+    whole = found.groupBy("query").count().filter(F.col("count") >= min(k, vectors.count() - 1)).select(F.col("query").alias("word"))
+    short = vectors.join(whole, "word", "left_anti")
+    if short.isEmpty():
+        return found
+    return found.join(whole.withColumnRenamed("word", "query"), "query", "left_semi").unionByName(knn(vectors, k, short)).select("query", "rank", "nword", "cossim")
 
 
 def centroids(vectors: DataFrame, members: DataFrame, keys: Sequence[str]) -> DataFrame:

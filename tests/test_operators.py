@@ -225,3 +225,18 @@ def test_log_config_and_checkpoint_files(spark, tmp_path):
     assert rows(configs.run_configs(docs), "run", "key", "value") == [("r1", "learning_rate", "0.1")]
     (tmp_path / "p.csv").write_text("model_checkpoint,dev_perplexity,test_perplexity\nFL_global_model_3.pt,1.5,2\nbest_FL_global_model.pt,1,1\nFL_global_model_4.pt,x,2\n")
     assert rows(files.checkpoint_csv(spark, str(tmp_path / "p.csv")), "round", "dev_ppl", "test_ppl") == [(3, 1.5, 2.0)]
+
+
+def test_knn_lsh_finds_most_neighbours_and_whole_lists(spark):
+    """Random directions, where true neighbours are far, and one vector far from all others."""
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(400, 64))
+    m[0] = -m[1:].sum(0)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    vecs = spark.createDataFrame([(f"w{i:03}", v.tolist()) for i, v in enumerate(m)], "word string, v array<double>")
+    exact = set(rows(vectors.knn(vecs, 20), "query", "nword"))
+    got = rows(vectors.knn_lsh(vecs, 20), "query", "nword")
+    assert len(got) == len(set(got)) == len(exact) == 400 * 20
+    assert len(exact & set(got)) >= 0.9 * len(exact)
+    few = vecs.limit(5)
+    assert rows(vectors.knn_lsh(few, 20), "query", "nword") == rows(vectors.knn(few, 20), "query", "nword")
