@@ -16,6 +16,8 @@ from . import pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
 K, N_SPLITS, KS = 20, 10, (5, 10, 20)
+#: Width of the event_id ranges in which a log's running minimum is taken.
+CHUNK = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,7 +87,12 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run, line, text): events as a training log, one run per user_id % 4."""
     e = table(spark, sf_dir, "events")
     run, day = F.concat(F.lit("run"), (F.col("user_id") % 4).cast("string")), F.dayofmonth("ts")
-    best = F.min("value").over(Window.partitionBy(F.col("user_id") % 4).orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
+    # the running minimum within ranges of event_id, and the one carried from the ranges before
+    e = e.withColumn("_run", F.coalesce(F.col("user_id") % 4, F.lit(-1))).withColumn("_chunk", F.coalesce(F.floor(F.col("event_id") / CHUNK), F.lit(-(1 << 62))))
+    before = Window.partitionBy("_run").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = e.groupBy("_run", "_chunk").agg(F.min("value").alias("_least")).select("_run", "_chunk", F.min("_least").over(before).alias("_carried"))
+    e = e.withColumn("_own", F.min("value").over(Window.partitionBy("_run", "_chunk").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))).join(carried, ["_run", "_chunk"])
+    best = F.least("_own", "_carried")
     e = e.withColumn("is_best", (F.col("event_type") == "view") & (best.isNull() | (F.col("value") < best)))
     client = F.concat(F.lit("c"), "user_id")
     num = F.format_string("%.4f", -F.col("value"))
@@ -261,12 +268,10 @@ query("w6_pair_metrics")(lambda s, d: trainlog.pair_metrics(trainlog.log_events(
 
 @query("s8_log_files")
 def s8_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log written as one text per run and read again, in line order."""
+    """The log written as text files, many per run, and read again with its line numbers."""
     folder = files.shared_folder(spark)
-    runs = log_lines(spark, sf_dir).groupBy("run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("value"))
-    runs.write.partitionBy("run").option("lineSep", "\n").text(folder)
-    whole = spark.read.option("wholetext", True).text(folder).select("run", F.posexplode(F.split(F.rtrim("value"), "\n")).alias("line", "text"))
-    return trainlog.log_events(whole.withColumn("line", F.col("line").cast("bigint"))).groupBy("run", "kind").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    files.write_log_lines(log_lines(spark, sf_dir), folder)
+    return trainlog.log_events(files.numbered_log_lines(spark, folder)).groupBy("run", "kind").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 @query("x12_training_log")

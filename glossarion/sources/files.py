@@ -68,6 +68,17 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("run", F.posexplode(F.split("value", "\n")).alias("line", "text")).select("run", F.col("line").cast("bigint").alias("line"), "text")
 
 
+def write_log_lines(lines: DataFrame, path: str) -> None:
+    """(run, line, text) as text files in a folder per run; a line is its number, a tab and its text, so that any file may hold any lines."""
+    lines.select("run", F.concat_ws("\t", F.col("line").cast("string"), "text").alias("value")).write.partitionBy("run").text(path)
+
+
+def numbered_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(run, line, text) of files that write_log_lines wrote; large ones are split."""
+    parts = F.split("value", "\t", 2)
+    return spark.read.text(path).select("run", parts[0].cast("bigint").alias("line"), parts[1].alias("text"))
+
+
 def config_docs(spark: SparkSession, path: str) -> DataFrame:
     """(run, path, doc variant) of all JSON files below a folder; a run is a file's folder; unreadable files are left out."""
     whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
@@ -93,8 +104,8 @@ def grid_cell(spark: SparkSession, path: str, approach: str, weight_type: str, n
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A small result as one CSV file with a header."""
-    df.coalesce(1).write.csv(path, header=True)
+    """CSV files with a header each, one per part of df."""
+    df.write.csv(path, header=True)
 
 
 def vocabulary_ids(words: DataFrame, columns: Sequence[str] = ("word",)) -> DataFrame:

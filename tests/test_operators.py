@@ -240,3 +240,25 @@ def test_knn_lsh_finds_most_neighbours_and_whole_lists(spark):
     assert len(exact & set(got)) >= 0.9 * len(exact)
     few = vecs.limit(5)
     assert rows(vectors.knn_lsh(few, 20), "query", "nword") == rows(vectors.knn(few, 20), "query", "nword")
+
+
+def test_logs_and_csv_are_not_gathered(spark, tmp_path, monkeypatch):
+    """Running minima by ranges equal those of one window; text and CSV files keep the parts of a table."""
+    from pyspark.sql import Window
+
+    from glossarion.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(queries, "CHUNK", 7)
+    lines = queries.log_lines(spark, sf)
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    least = F.min("value").over(Window.partitionBy(F.col("user_id") % 4).orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
+    best = e.withColumn("b", least).filter("event_type = 'view' and (b is null or value < b)")
+    assert lines.count() == e.count()
+    assert rows(lines.filter("text like 'new best%'"), "line") == rows(best, "event_id")
+    files.write_log_lines(lines.repartition(3), str(tmp_path / "log"))
+    assert len(list((tmp_path / "log/run=run0").glob("*.txt"))) == 3
+    assert rows(files.numbered_log_lines(spark, str(tmp_path / "log")), "run", "line", "text") == rows(lines, "run", "line", "text")
+    files.write_csv(spark.range(10).repartition(3), str(tmp_path / "csv"))
+    assert len(list((tmp_path / "csv").glob("*.csv"))) == 3
+    assert rows(spark.read.csv(str(tmp_path / "csv"), header=True, inferSchema=True), "id") == [(i,) for i in range(10)]
