@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACE_SQL
+from .text import SPACES, words
 
 #: Bit number, name and what fails a document; a rule's bit never changes its meaning.
 RULES: tuple[tuple[int, str, str], ...] = (
@@ -51,39 +51,40 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
 
     A null text counts as empty: all measures are 0. n_lines: \\n-split lines with a word; n_dup_lines:
     those equal to an earlier one; n_repeat_words: words in 3-word windows that occur twice or more in
-    the text (told apart by 64-bit hashes), the first occurrence included; n_upper: letters A-Z.
-    Columns of df with such names give way. Rows stay where they are: no shuffle, one row at a time, so
-    that repeated rows and ties change nothing and an empty table gives an empty result.
+    the text, the first occurrence included; n_upper: letters A-Z. Columns of df with such names give
+    way, all others stay, whatever their names. Rows stay where they are: no shuffle, one row at a
+    time, so that repeated rows and ties change nothing and an empty table gives an empty result.
     """
-    df = df.drop(*MEASURES, "_t", "_w", "_p", "_c", "_f", "_l")
-    df = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    strip = "trim(both ' \\t\\n\\u000b\\f\\r' from _t)"
-    df = df.withColumn("_w", F.when(F.expr(f"{strip} = ''"), F.array().cast("array<string>")).otherwise(F.split(F.expr(strip), SPACE_SQL)))
+    kept = [c for c in df.columns if c not in MEASURES]
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc") if kept else F.lit(None).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    df = df.withColumn("_w", words("_t"))
     df = df.withColumns(
         {
             "n_words": F.size("_w").cast("bigint"),
-            "word_chars": F.length(F.translate("_t", " \t\n\v\f\r", "")).cast("bigint"),
+            "word_chars": F.length(F.translate("_t", SPACES, "")).cast("bigint"),
             "n_symbols": (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("bigint"),
             "n_upper": (F.length("_t") - F.length(F.translate("_t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("bigint"),
             "_l": F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
         }
     )
     df = df.withColumns({"n_lines": F.size("_l").cast("bigint"), "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint")}).drop("_l", "_t")
-    gram = "xxhash64(get(_w, {0}), get(_w, {0} + 1), get(_w, {0} + 2))"
-    # the hash's upper 40 bits with the window's place below them: sorting brings equal windows together
+    window = "get(_w, {0}), get(_w, {0} + 1), get(_w, {0} + 2)"
+    high = f"~{_PACKED - 1}L"
+    # a hash's upper 40 bits with the window's place below them: sorting brings equal windows together
     df = df.withColumn("_p", F.expr(f"""if(n_words between 4 and {_PACKED - 1},
-        sort_array(transform(sequence(0, n_words - 3), i -> ({gram.format('int(i)')} & ~{_PACKED - 1}L) | i)), array())"""))
-    beside = "{0}{1} = get({2}, j - 1){1} or {0}{1} = get({2}, j + 1){1}"
+        sort_array(transform(sequence(0, n_words - 3), i -> (xxhash64({window.format('int(i)')}) & {high}) | i)), array())"""))
     df = df.withColumn("_c", F.expr(f"""if(n_words >= {_PACKED}, sequence(0, int(n_words - 3)),
-        transform(filter(_p, (p, j) -> (p & ~{_PACKED - 1}L) = (get(_p, j - 1) & ~{_PACKED - 1}L) or (p & ~{_PACKED - 1}L) = (get(_p, j + 1) & ~{_PACKED - 1}L)),
+        transform(filter(_p, (p, j) -> (p & {high}) = (get(_p, j - 1) & {high}) or (p & {high}) = (get(_p, j + 1) & {high})),
                   p -> int(p & {_PACKED - 1}L)))""")).drop("_p")
-    df = df.withColumn("_f", F.expr(f"sort_array(transform(_c, i -> struct({gram.format('i')} as h, i as i)))")).drop("_c", "_w")
-    same = beside.format("s", ".h", "_f")
-    return df.withColumn(
+    # of the windows with a like one, the words themselves decide
+    df = df.withColumn("_f", F.expr(f"sort_array(transform(_c, i -> struct(array({window.format('i')}) as g, i as i)))")).drop("_c", "_w")
+    df = df.withColumn(
         "n_repeat_words",
         # adding the row number's zero bits keeps filters above: pushed below, they would copy every measure's expression
-        F.expr(f"bigint(size(array_distinct(flatten(transform(filter(_f, (s, j) -> {same}), s -> array(s.i, s.i + 1, s.i + 2)))))) + (monotonically_increasing_id() & 0L)"),
-    ).drop("_f")
+        F.expr("""bigint(size(array_distinct(flatten(transform(filter(_f, (s, j) -> s.g = get(_f, j - 1).g or s.g = get(_f, j + 1).g),
+            s -> array(s.i, s.i + 1, s.i + 2)))))) + (monotonically_increasing_id() & 0L)"""),
+    )
+    return df.select(*[F.col("_doc").getField(c).alias(c) for c in kept], *MEASURES)
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper")
@@ -103,7 +104,7 @@ def passes(policy: Policy, bits: str = "failure_bits") -> Column:
 
 
 def keep(df: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
-    """The rows of df that the policy keeps, with df's columns, whatever their names."""
+    """The rows of df that the policy keeps, with df's columns, whatever their names; nulls and repeats as in measure."""
     rows = ledger(df.select(F.struct("*").alias("_doc"), F.col(text).alias("_text")), "_text")
     return rows.filter(passes(policy)).select("_doc.*")
 

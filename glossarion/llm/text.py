@@ -7,17 +7,26 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: The same class in Java's notation.
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 SPACE_SQL = r"[\x20\x09-\x0D]+"
+#: What stands between words, to be trimmed; as a value, since a SQL literal knows no \f.
+SPACES = " \t\n\v\f\r"
 #: A-Z only, unlike str.lower().
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+def words(text: str) -> Column:
+    """The words of a text column as an array; a null or blank text has none."""
+    inner = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACES))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE_SQL))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
