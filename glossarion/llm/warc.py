@@ -138,8 +138,23 @@ def member(source: _Range, at: int, head_only: bool = False) -> tuple[bytes, int
     return b"".join(out), pos - len(z.unused_data)
 
 
-def records(path: str, start: int, end: int) -> Iterator[bytes]:
-    """Decoded records that start in [start, end) of a file."""
+def _next(source: _Range, at: int) -> int:
+    """Where the next member with content starts, from the end of a member on: empty ones are passed over."""
+    while at < source.size:
+        head = member(source, at, head_only=True)
+        if head is None or head[0]:
+            break
+        at = member(source, at)[1]
+    return at
+
+
+def records(path: str, start: int, end: int) -> Iterator[tuple[int, bytes | None]]:
+    """(offset, decoded record) of the records that start in [start, end) of a file; None for a damaged one.
+
+    A range that starts inside a record looks for the next header. A header that is itself damaged can't
+    be found so; therefore a range whose last record ends in another one looks at what follows there, and
+    reports it if it is no header. The bytes after a damaged record are searched for the next header.
+    """
     source, at, synced = _Range(path), start, start == 0
     end = min(end, source.size)
     while at < end:
@@ -155,31 +170,52 @@ def records(path: str, start: int, end: int) -> Iterator[bytes]:
                 at += 1
                 continue
         found = member(source, at)
-        if found is None:  # a damaged member: look for the next one
+        if found is None or found[0] and not found[0].startswith(b"WARC/1."):
+            yield at, None
             at, synced = at + 1, False
             continue
-        data, at = found
-        synced = True
-        if data:
-            yield data
+        if found[0]:
+            yield at, found[0]
+        at, synced = found[1], True
+    if synced and end <= at < source.size:
+        at = _next(source, at)
+        head = member(source, at, head_only=True) if at < source.size else (b"WARC/1.", at)
+        if head is None or not head[0].startswith(b"WARC/1."):
+            yield at, None
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields (lower-case names) and the block of a decoded record."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
-    return fields, rest[: int(fields["content-length"])]
+    return fields, rest[: int(fields.get("content-length", len(rest)))]
+
+
+RECORD = "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, path string, offset bigint"
 
 
-RECORD = "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+def _row(path: str, offset: int, data: bytes) -> tuple:
+    """A decoded record as a row of RECORD."""
+    fields, block = parse(data)
+    kind, stated = fields.get("warc-type"), fields.get("warc-payload-digest", "")
+    body = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
+    digest = stated.removeprefix("sha256:") if stated.startswith("sha256:") else None
+    if body is not None and digest is not None and hashlib.sha256(body).hexdigest() != digest:
+        raise ValueError(f"{path}: payload of {fields.get('warc-record-id')} doesn't match its digest")
+    own, refers, size = fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("x-payload-length")
+    return (id_of(own) if own else None, fields.get("warc-target-uri"), body, int(size) if size else None if body is None else len(body), digest, kind, id_of(refers) if refers else None, path, offset)
 
 
-def read(spark: SparkSession, folder: str, range_bytes: int = 32 << 20) -> DataFrame:
+def read(spark: SparkSession, folder: str, range_bytes: int = 32 << 20, damaged: str = "raise") -> DataFrame:
     """The records of all archives in folder (see RECORD), by byte ranges of at most range_bytes.
 
     payload is what the record itself holds, null for a revisit; payload_bytes and payload_digest are of
-    the full payload. A response's digest is computed anew, and a mismatch raises an error.
+    the full payload. A response's digest is computed anew, and a mismatch raises an error. So does a
+    record that can't be decoded, with its file and offset; damaged="report" gives a row for it instead,
+    of record_type `damaged`, and its path and offset. Files without records give no rows.
     """
+    if damaged not in ("raise", "report"):
+        raise ValueError(f"damaged must be raise or report, not {damaged!r}")
     ranges = (
         spark.read.format("binaryFile")
         .load(folder)
@@ -191,15 +227,11 @@ def read(spark: SparkSession, folder: str, range_bytes: int = 32 << 20) -> DataF
         for batch in batches:
             for path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows, held = [], 0
-                for data in records(path, start, start + range_bytes):
-                    fields, block = parse(data)
-                    kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha256:")
-                    body = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
-                    if body is not None and hashlib.sha256(body).hexdigest() != digest:
-                        raise ValueError(f"{path}: payload of {fields['warc-record-id']} doesn't match its digest")
-                    refers = fields.get("warc-refers-to")
-                    rows.append((id_of(fields["warc-record-id"]), fields.get("warc-target-uri"), body, int(fields["x-payload-length"]), digest, kind, id_of(refers) if refers else None))
-                    held += len(body or b"")
+                for offset, data in records(path, start, start + range_bytes):
+                    if data is None and damaged == "raise":
+                        raise ValueError(f"{path}: damaged record at offset {offset}")
+                    rows.append(_row(path, offset, data) if data is not None else (None,) * 5 + ("damaged", None, path, offset))
+                    held += len(rows[-1][2] or b"")
                     if held > 4 << 20 or len(rows) >= 1000:
                         yield _rows(rows)
                         rows, held = [], 0
@@ -209,6 +241,6 @@ def read(spark: SparkSession, folder: str, range_bytes: int = 32 << 20) -> DataF
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
     names = [c.split()[0] for c in RECORD.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
