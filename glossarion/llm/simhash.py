@@ -14,8 +14,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import connected_components
 from .text import shared_dir, slices
@@ -44,16 +45,16 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp bigint) of each row's whole text; a null or blank text has fingerprint 0. No shuffle."""
-    kind = df.schema[id_col].dataType.simpleString()
+def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns `keep` and fp (bigint) of each row's whole text; a null or blank text has fingerprint 0. No shuffle."""
+    schema = StructType([*df.select(*keep).schema.fields, StructField("fp", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t or b"") for t in texts], pa.int64())], names=[id_col, "fp"])
+            texts = batch.column("_text").cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([fingerprint(t or b"") for t in texts], pa.int64())], names=[*keep, "fp"])
 
-    return df.select(id_col, df[text].alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return df.select(*keep, df[text].alias("_text")).mapInArrow(run, schema)
 
 
 def _distance(a: np.ndarray, b: np.ndarray | np.int64) -> np.ndarray:
@@ -140,20 +141,37 @@ def components(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 
     fingerprint: 16 lower-case hex digits over the lower-cased (A-Z) text's 3-word shingles. component_id:
     the smallest id reachable over links of 3 or fewer differing bits, itself included. Null and blank
-    texts have fingerprint 0 and link like any other. Repeated rows and ids each keep their row. Rows
-    whose id is null take the component of their fingerprint, but link no others. Other columns don't
-    matter. An empty table gives an empty result.
+    texts have fingerprint 0 and link like any other. Repeated rows and ids each keep their row; an id on
+    unlike texts stands in each one's component. Ids may be of any type that can be sorted. Rows whose id
+    is null take the component of their fingerprint (null if no other row has it), but link no others.
+    Other columns don't matter. An empty table gives an empty result.
     """
-    shared_dir(df.sparkSession)
-    fps = fingerprints(df, id_col, text).checkpoint()
-    classes = fps.groupBy("fp").agg(F.min(id_col).alias("v"))
-    edges = links(classes.filter("v is not null").select(F.col("v").cast("bigint"), "fp"))
-    found = connected_components(edges).withColumnRenamed("v", "w")
-    label = classes.join(found, classes["v"] == found["w"], "left").select(F.struct("fp").alias("k"), F.coalesce("component", "v").alias("component_id"))
-    return fps.withColumn("k", F.struct("fp")).join(label, "k").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = fingerprints(df, text, (id_col,)).withColumnRenamed(id_col, "_id")
+    return _labelled(fps).select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _labelled(fps: DataFrame) -> DataFrame:
+    """(_id, fp) with c, the least fingerprint of the row's component, and component_id, the least id."""
+    shared_dir(fps.sparkSession)
+    fps = fps.checkpoint()
+    classes = fps.groupBy("fp").agg(F.min("_id").alias("least"))
+    found = connected_components(links(classes.filter("least is not null").select(F.col("fp").alias("v"), "fp"))).withColumnRenamed("v", "fp")
+    label = classes.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("c"), "least")
+    least = label.groupBy("c").agg(F.min("least").alias("component_id"))
+    # keys are wrapped, so that Spark can split a component or a fingerprint of many rows
+    label = label.withColumn("k", F.struct("c")).join(least.select(F.struct("c").alias("k"), "component_id"), "k").select(F.struct("fp").alias("k"), "c", "component_id")
+    return fps.withColumn("k", F.struct("fp")).join(label, "k").drop("k")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """df's rows with one document left of each component: that of the smallest id, once. Rows whose id is null stay."""
-    kept = components(df, id_col, text).filter(F.col(id_col) == F.col("component_id")).select(id_col)
-    return df.join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(df.filter(F.col(id_col).isNull()))
+    """df's rows with one left of each component: of the rows of its smallest id that of the least fingerprint, then row hash.
+
+    An id that stands on unlike texts can so be left several times, once for each component whose smallest
+    it is. Rows whose id is null stay; an empty table gives none; all columns stay, whatever their names.
+    """
+    named = df.filter(F.col(id_col).isNotNull()).select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), F.col(text).alias("_t"))
+    found = _labelled(fingerprints(named, "_t", ("_id",)))
+    kept = found.filter("_id = component_id").groupBy("c").agg(F.min(F.struct("_id", "fp")).alias("r")).select("r._id", "r.fp")
+    rows = fingerprints(named, "_t", ("_doc", "_id")).join(kept, ["_id", "fp"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("_id", "fp").orderBy(F.xxhash64("_doc")))
+    return rows.withColumn("_n", place).filter("_n = 1").select("_doc.*").unionByName(df.filter(F.col(id_col).isNull()))
