@@ -148,21 +148,26 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url:
 
     verdict: that of the longest rule that fits; without one `block` if the naive Bayes score (log odds of
     block) is above 0, else `allow`. Null URLs have an empty host and path. Rows stay apart if ids
-    repeat. With no decided URLs all scores are 0, hence `allow`; an empty table gives no rows.
+    repeat. With no decided URLs all scores are 0, hence `allow`; an empty table gives no rows. Other
+    columns of pages are dropped, whatever their names. Hosts' words and the rows to score are written to
+    the shared folder.
     """
     folder = shared_dir(pages.sparkSession)
-    parsed = match(parse(pages.select(id_col, F.col(url).alias("url")), "url"), rules).drop("url")
+    parsed = match(parse(pages.select(F.col(id_col).alias("_id"), F.col(url).alias("_url")), "_url"), rules).drop("_url")
     segment(parsed, word_counts(pages, html)).write.parquet(f"{folder}/hosts")
     hosts = pages.sparkSession.read.parquet(f"{folder}/hosts")
-    rows = parsed.join(hosts, "host").withColumn("tokens", tokens())
+    # the join's key is wrapped, so that Spark can split a host of many pages; what follows reads its rows twice
+    keyed = parsed.withColumn("k", F.struct("host")).join(hosts.select(F.struct("host").alias("k"), "host_words"), "k")
+    keyed.select("_id", "host", "path", "rule", "rule_verdict", tokens().alias("tokens")).write.parquet(f"{folder}/rows")
+    rows = pages.sparkSession.read.parquet(f"{folder}/rows")
     model = learn(rows)
-    kind = pages.schema[id_col].dataType.simpleString()
+    kind = rows.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [model.score(t) for t in batch.column("tokens").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
-    scored = rows.select(id_col, "host", "path", "rule", "rule_verdict", "tokens").mapInArrow(run, f"`{id_col}` {kind}, host string, path string, rule string, rule_verdict string, score double")
+    scored = rows.select("_id", "host", "path", "rule", "rule_verdict", "tokens").mapInArrow(run, f"_id {kind}, host string, path string, rule string, rule_verdict string, score double")
     own = F.when(F.col("score") > 0, "block").otherwise("allow")
-    return scored.select(id_col, "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), "score")
+    return scored.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), "score")
