@@ -26,7 +26,8 @@ PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^{S}{L}{N}]+|[{S}]+(?![^
 SETTLED = [*range(0x530), *range(0x2010, 0x2060), *range(0x20A0, 0x20C0)]
 WIDEST_BATCH = 64
 WORDS_AT_ONCE = 4096
-CACHED_WORDS = 800_000
+#: The word cache is emptied beyond so many characters and words (the words of one batch come on top).
+CACHED_CHARS, CACHED_WORDS = 1 << 24, 800_000
 #: Of the hash table from pairs to ranks: slots, a multiplier that spreads keys, and what takes a product to a slot.
 SLOTS, SPREAD, SHIFT, MASK = 1 << 18, 0x9E3779B97F4A7C15, 64 - 18, (1 << 64) - 1
 
@@ -79,6 +80,7 @@ class Bpe:
         self.library_cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.settled, self.pretoken = settled_patterns()
         self.cache: dict[str, bytes] = {}
+        self.cached_chars = 0
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where it can't be merged; a negative id is no symbol."""
@@ -187,6 +189,7 @@ class Bpe:
         by_width: dict[int, list[str]] = {}
         for w in words:
             n = len(w.encode())
+            self.cached_chars += n
             by_width.setdefault(4 if n <= 4 else 1 << (n - 1).bit_length(), []).append(w)
         for width, group in by_width.items():
             if width > WIDEST_BATCH:
@@ -201,18 +204,21 @@ class Bpe:
             return self.pretoken.findall(text)
         return [text[a:b] for _, (a, b) in self.library_cut(text)]
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian uint32; special tokens' strings become their ids."""
+    def encode_batch(self, texts: list[str], count: bool = False) -> list[bytes] | list[int]:
+        """Ids of each text as little-endian uint32, or how many; special tokens' strings become their ids."""
         cut = []
         for text in texts:
             if self.split is not None and any(s in text for s in self.special):
                 cut.append([(x, None) if x in self.special else (None, self.cut(x)) for x in self.split.split(text) if x])
             else:
                 cut.append([(None, self.cut(text))])
-        if len(self.cache) > CACHED_WORDS:
+        if len(self.cache) > CACHED_WORDS or self.cached_chars > CACHED_CHARS:
             self.cache.clear()
+            self.cached_chars = 0
         self.learn({w for parts in cut for _, words in parts for w in words or ()} - self.cache.keys())
         get = self.cache.__getitem__
+        if count:
+            return [sum(1 if s else sum(map(len, map(get, words))) // 4 for s, words in parts) for parts in cut]
         return [b"".join(self.special[s].to_bytes(4, "little") if s else b"".join(map(get, words)) for s, words in parts) for parts in cut]
 
     def decode(self, ids: bytes) -> str:
@@ -244,3 +250,16 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
             yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], names=[*keep, "ids", "decoded"])
 
     return df.select(*keep, df[text].alias("_text")).mapInArrow(run, schema)
+
+
+def token_counts(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns `keep` and n_tokens (long), the number of ids of each row's whole text; all else as in encode_decode."""
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema] + ["n_tokens bigint"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = vocabulary(path)
+        for batch in slices(batches, "_text"):
+            counts = bpe.encode_batch([x or "" for x in batch.column("_text").to_pylist()], count=True)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(counts, pa.int64())], names=[*keep, "n_tokens"])
+
+    return df.select(*keep, df[text].alias("_text")).mapInArrow(run, schema)

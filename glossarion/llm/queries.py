@@ -82,8 +82,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", packing.word_length().alias("n"))
-    return packing.best_fit(docs, "n")
+    docs = bpe.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+    # each text is followed by a separator
+    return packing.best_fit(docs.withColumn("n_tokens", F.col("n_tokens") + 1), "n_tokens")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,16 +104,16 @@ select page_id, payload_bytes, payload_digest, case when first = page_id then 'r
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
-    return topk.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+    return topk.search(vectors, "vec_id % 20 = 0", k=20)
 
 
 OP7_SQL = """
-with v as (select vec_id, [floor(x::double * 64)::bigint for x in embedding] v from embeddings
-           where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
-s as (select q.vec_id query_id, c.vec_id, list_dot_product(q.v::double[], c.v::double[])::bigint score
-      from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 20 = 0),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from s)
-select query_id, rank, vec_id, score from r where rank <= 20
+with v as (select row_number() over (order by vec_id) r, vec_id, [floor(x::double * 64)::bigint for x in embedding] v from embeddings
+           where vec_id is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (select q.r, q.vec_id query_id, c.vec_id, list_dot_product(q.v::double[], c.v::double[])::bigint score
+      from v q join v c on c.r <> q.r where q.vec_id % 20 = 0),
+t as (select *, row_number() over (partition by r order by score desc, vec_id)::int rank from s)
+select query_id, rank, vec_id, score from t where rank <= 20
 """
 
 
