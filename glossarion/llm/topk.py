@@ -192,12 +192,14 @@ def search(vectors: DataFrame, asks: str, k: int = 20, id_col: str = "vec_id") -
             held.clear()
             return t.column("row").to_numpy(), t.column("id").to_numpy(), _rows(t.column("v")), _rows(t.column("d"))
 
-        def close() -> Iterator[pa.RecordBatch]:
-            """End what is held: the unit's queries, or its last block."""
+        def close() -> None:
+            """Take in what is held: the unit's queries, or a block."""
             nonlocal asking
-            if unit is not None and unit[2]:
+            if not held:
+                return
+            if unit[2]:
                 asking = Asking(*matrices(), k, most)
-            elif unit is not None and asking is not None:
+            elif asking is not None:
                 asking.meet(*matrices())
             else:
                 held.clear()
