@@ -1,46 +1,91 @@
-"""Run configurations from nested JSON documents."""
+"""Run configurations from nested JSON documents, and the names of models by their sites."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Names under which a setting may be found.
+#: The settings, and the names under which each may stand in a document.
 ALIASES: Mapping[str, Sequence[str]] = {
-    "learning_rate": ("lr", "learning_rate"),
-    "batch_size": ("batch_size", "train_batch_size"),
-    "rounds": ("rounds", "num_rounds"),
+    "num_rounds": ("num_rounds", "n_rounds", "rounds"),
+    "min_clients": ("min_clients", "min_num_clients"),
+    "aggregation_epochs": ("aggregation_epochs", "aggr_epochs"),
+    "weigh_by_local_iter": ("weigh_by_local_iter",),
+    "negate_key_metric": ("negate_key_metric",),
+    "lr": ("lr", "learning_rate"),
+    "batch_size": ("batch_size", "train_batch_size", "per_device_train_batch_size", "bs"),
+    "weight_decay": ("weight_decay",),
+    "mlm_probability": ("mlm_probability", "mlm_prob"),
+    "num_train": ("num_train", "num_train_samples", "max_train_samples", "train_size", "n_train"),
+    "num_eval": ("num_eval", "num_eval_samples", "max_eval_samples", "eval_size", "n_eval", "num_val"),
+    "r": ("r", "lora_r"),
+    "lora_alpha": ("lora_alpha", "alpha"),
+    "lora_dropout": ("lora_dropout", "dropout"),
+    "bias": ("bias",),
+    "task_type": ("task_type",),
 }
 
 
-def leaves(docs: DataFrame, depth: int = 16) -> DataFrame:
-    """(run, path, place array<int>, key, value string): scalars of docs (run, path, doc variant), to a depth.
+def leaves(docs: DataFrame) -> DataFrame:
+    """(run, path, place bigint, key, value string): the scalars with a key of docs (run, path, text), however deep.
 
-    place orders them depth first, an object's keys by name; items of an array have no key.
+    place counts them in the document's order, depth first; items of an array have no key and are looked
+    into. Strings stand as they are, other values as in JSON. Texts that are no JSON, and null ones, are
+    left out.
     """
-    view = "glossarion_config_docs"
-    docs.select("run", "path", "doc").createOrReplaceTempView(view)
-    return docs.sparkSession.sql(f"""
-        with recursive walk(run, path, place, key, value, level) max recursion level {depth + 1} as (
-          select run, path, cast(array() as array<int>), cast(null as string), doc, 0 from {view}
-          union all
-          select w.run, w.path, concat(w.place, array(e.pos)), e.key, e.value, w.level + 1
-          from walk w, lateral variant_explode(w.value) e where w.level < {depth}
-        )
-        select run, path, place, key, cast(value as string) value from walk
-        where key is not null and not startswith(schema_of_variant(value), 'OBJECT') and not startswith(schema_of_variant(value), 'ARRAY')""")
+
+    def walk(text: str) -> Iterator[tuple[str, str]]:
+        try:
+            rest = [(None, json.loads(text))]
+        except ValueError:
+            return
+        while rest:
+            key, x = rest.pop()
+            if isinstance(x, dict):
+                rest += reversed(x.items())
+            elif isinstance(x, list):
+                rest += [(None, y) for y in reversed(x)]
+            elif key is not None:
+                yield key, x if isinstance(x, str) else json.dumps(x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(run, path, i, k, v) for run, path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if text is not None for i, (k, v) in enumerate(walk(text))]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["run", "path", "place", "key", "value"])
+
+    return docs.select("run", "path", "text").mapInArrow(run, "run string, path string, place bigint, key string, value string")
 
 
 def run_configs(docs: DataFrame, aliases: Mapping[str, Sequence[str]] = ALIASES) -> DataFrame:
-    """(run, key, value): the first scalar of each canonical key, by path, then depth first."""
-    pairs = [F.struct(F.lit(a).alias("name"), F.lit(k).alias("canonical")) for k, names in aliases.items() for a in names]
-    names = docs.sparkSession.range(1).select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
-    found = leaves(docs).join(F.broadcast(names), F.lower("key") == F.col("name"))
-    return found.groupBy("run", F.col("canonical").alias("key")).agg(F.min_by("value", F.struct("path", "place")).alias("value"))
+    """(run, key, value): the first scalar of each canonical key, by path, then in the document's order."""
+    canonical = F.create_map(*[F.lit(x) for key, names in aliases.items() for name in names for x in (name, key)])
+    found = leaves(docs).withColumn("key", canonical[F.col("key")]).filter("key is not null")
+    return found.groupBy("run", "key").agg(F.min_by("value", F.struct("path", "place")).alias("value"))
 
 
 def model_name(sites: DataFrame) -> DataFrame:
     """(run, model): a run's distinct sites, sorted and joined by plus signs."""
     return sites.groupBy("run").agg(F.array_join(F.array_sort(F.collect_set("site")), "+").alias("model"))
+
+
+def model_sites(runs: DataFrame, folders: DataFrame, logged: DataFrame, letters: Mapping[str, str]) -> DataFrame:
+    """(run, sites, model) of each run (run): its known sites, those of its folders (run, site) or else of its log.
+
+    letters: the known sites, each with the letter that stands for it in the model's name, `Model ` and the
+    letters in the order of the sites' names. A run without known sites has `?` and `model_<run>`.
+    """
+    letter = F.create_map(*[F.lit(x) for pair in letters.items() for x in pair])
+
+    def of(df: DataFrame, name: str) -> DataFrame:
+        known = df.filter(F.col("site").isin(*letters))
+        return known.groupBy("run").agg(F.array_sort(F.collect_set("site")).alias(name))
+
+    both = runs.select("run").distinct().join(of(folders, "a"), "run", "left").join(of(logged, "b"), "run", "left")
+    sites = F.coalesce("a", "b")
+    name = F.concat(F.lit("Model "), F.array_join(F.transform(sites, lambda s: letter[s]), ""))
+    return both.select("run", F.coalesce(F.array_join(sites, ", "), F.lit("?")).alias("sites"), F.coalesce(name, F.concat(F.lit("model_"), "run")).alias("model"))

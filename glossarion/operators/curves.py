@@ -30,11 +30,26 @@ def with_default(groups: DataFrame, totals: DataFrame, keys: Sequence[str], defa
     return both.groupBy(*keys, "score").agg(F.sum("np").alias("np"), F.sum("nn").alias("nn"))
 
 
-def curve_points(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """score_groups with tp, fp (of scores >= this one), pos, neg, tpr, fpr, precision and recall; rates of empty classes are null."""
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    df = groups.withColumns({"tp": F.sum("np").over(down), "fp": F.sum("nn").over(down), "pos": F.sum("np").over(whole), "neg": F.sum("nn").over(whole)})
+def curve_points(groups: DataFrame, keys: Sequence[str], ranges: int = 1) -> DataFrame:
+    """score_groups with tp, fp (of scores >= this one), pos, neg, tpr, fpr, precision and recall; rates of empty classes are null.
+
+    ranges: into how many ranges of like many scores a curve is cut, so that several tasks share one of
+    many distinct scores: sums run within ranges and go on from the totals of those above.
+    """
+    keys = list(keys)
+    sums = {"pos": F.sum("np").over(Window.partitionBy(*keys)), "neg": F.sum("nn").over(Window.partitionBy(*keys))}
+    if ranges == 1:
+        down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+        df = groups.withColumns({"tp": F.sum("np").over(down), "fp": F.sum("nn").over(down), **sums})
+    else:
+        cuts = groups.groupBy(*keys).agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)]).alias("_cuts"))
+        cut = groups.join(cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c > F.col("score")))).drop("_cuts")
+        totals = cut.groupBy(*keys, "_range").agg(F.sum("np").alias("np"), F.sum("nn").alias("nn"))  # `ranges` rows a curve
+        above = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        carried = totals.withColumns({"_tp": F.coalesce(F.sum("np").over(above), F.lit(0)), "_fp": F.coalesce(F.sum("nn").over(above), F.lit(0)), **sums}).drop("np", "nn")
+        down = Window.partitionBy(*keys, "_range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+        df = cut.withColumns({"tp": F.sum("np").over(down), "fp": F.sum("nn").over(down)}).join(carried, [*keys, "_range"])
+        df = df.withColumns({"tp": F.col("tp") + F.col("_tp"), "fp": F.col("fp") + F.col("_fp")}).drop("_range", "_tp", "_fp")
     return df.withColumns(
         {
             "tpr": F.try_divide(F.col("tp").cast("double"), F.col("pos")),
@@ -45,14 +60,14 @@ def curve_points(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def curve_summary(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+def curve_summary(groups: DataFrame, keys: Sequence[str], ranges: int = 1) -> DataFrame:
     """One row per curve: pos, neg, roc_auc, average_precision, the Youden threshold ba_*, the F1 threshold f1_*.
 
     roc_auc counts ties half; average_precision is the step sum. Both are null for a single class. The
     Youden threshold is the highest of the best, infinite if no point beats the origin; the F1 threshold
-    the lowest of the best.
+    the lowest of the best. ranges: see curve_points.
     """
-    pts = curve_points(groups, keys)
+    pts = curve_points(groups, keys, ranges)
     f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + F.lit(1e-12))
     pts = pts.withColumn("f1", f1).withColumn("j", F.col("tpr") - F.col("fpr"))
     out = pts.groupBy(*keys).agg(

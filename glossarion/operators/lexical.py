@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import char_ngrams
 
+#: Expected members whose n-grams a task holds.
+TARGETS = 4096
+
 
 def gram_counts(words: DataFrame, low: int = 2, high: int = 4) -> DataFrame:
     """(word, ngram, tf) of the distinct words."""
@@ -22,7 +27,7 @@ def tfidf(grams: DataFrame, fitted: DataFrame) -> DataFrame:
     """
     n = fitted.select("word").distinct().agg(F.count("*").alias("n_words"))
     df = fitted.groupBy("ngram").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(n)).select("ngram", (F.log((1.0 + F.col("n_words")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    idf = df.crossJoin(n).select("ngram", (F.log((1.0 + F.col("n_words")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     rows = grams.join(idf, "ngram").select("word", "ngram", (F.col("tf") * F.col("idf")).alias("x"))
     norms = rows.groupBy("word").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
     return rows.join(norms, "word").select("word", "ngram", (F.col("x") / F.col("len")).alias("w"))
@@ -31,11 +36,38 @@ def tfidf(grams: DataFrame, fitted: DataFrame) -> DataFrame:
 def lexical_similarity(words: DataFrame, members: DataFrame, keys: Sequence[str] = (), low: int = 2, high: int = 4) -> DataFrame:
     """(keys, word, lexical): each word's largest n-gram cosine to the members of a key; words that share no n-gram are left out.
 
-    The vocabulary and idf come from `words` alone. Members' n-grams, few, are broadcast.
+    The vocabulary and idf come from `words` alone. The members are the stated query set: groups of at
+    most about TARGETS of them go to each task as lists of who holds an n-gram, and each word sums its own
+    n-grams' lists. So no n-gram, however common, is a key that rows meet under.
     """
     fitted = gram_counts(words, low, high)
-    own = tfidf(fitted, fitted)
-    ref = tfidf(gram_counts(members.select("word"), low, high), fitted).select(F.col("word").alias("ref"), "ngram", F.col("w").alias("rw"))
-    sims = own.join(F.broadcast(ref), "ngram").groupBy("word", "ref").agg(F.round(F.sum(F.col("w") * F.col("rw")), 10).alias("sim"))
-    tagged = sims.join(F.broadcast(members.select(*keys, F.col("word").alias("ref"))), "ref")
+    vector = F.array_sort(F.collect_list(F.struct("ngram", "w")))
+    own = tfidf(fitted, fitted).groupBy("word").agg(vector.alias("grams"))
+    ref = tfidf(gram_counts(members.select("word"), low, high), fitted).groupBy("word").agg(vector.alias("grams"))
+    groups, sims = max(1, -(-members.select("word").distinct().count() // TARGETS)), None
+    for g in range(groups):
+        part = ref.filter(F.pmod(F.xxhash64("word"), F.lit(groups)) == g).orderBy("word").toArrow()
+        names, lists = part.column("word").to_pylist(), {}
+        for i, grams in enumerate(part.column("grams").to_pylist()):
+            for x in grams:
+                lists.setdefault(x["ngram"], ([], []))[0].append(i)
+                lists[x["ngram"]][1].append(x["w"])
+        holders = {n: (np.array(i), np.array(w)) for n, (i, w) in lists.items()}
+
+        def run(batches: Iterator[pa.RecordBatch], names=names, holders=holders) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a in range(0, batch.num_rows, 1024):
+                    rows, out = batch.slice(a, 1024), []
+                    for word, grams in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                        total = np.zeros(len(names))
+                        for x in grams:
+                            if hit := holders.get(x["ngram"]):
+                                total[hit[0]] += x["w"] * hit[1]
+                        at = np.flatnonzero(total)
+                        out += [(word, names[i], float(s)) for i, s in zip(at.tolist(), np.round(total[at], 10), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.float64())], names=["word", "ref", "sim"])
+
+        found = own.mapInArrow(run, "word string, ref string, sim double")
+        sims = found if sims is None else sims.unionByName(found)
+    tagged = sims.join(members.select(*keys, F.col("word").alias("ref")).distinct(), "ref")
     return tagged.groupBy(*keys, "word").agg(F.max("sim").alias("lexical"))

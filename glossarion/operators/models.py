@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 def z_scores(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """df with z_<column>: (x - mean) / population deviation within the key, a deviation of 0 counting as 1.
 
-    Means and deviations are aggregated first and broadcast back, one row per key.
+    Means and deviations are aggregated first and joined back, one row per key.
     """
     stats = df.groupBy(*keys).agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("_m", F.avg), ("_s", F.stddev_pop))])
-    joined = df.join(F.broadcast(stats), list(keys))
+    joined = df.join(stats, list(keys))
     out = joined.withColumns({f"z_{c}": (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}")) for c in columns})
     return out.select(*df.columns, *[f"z_{c}" for c in columns])
 
@@ -50,29 +50,49 @@ def newton_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, balanced: bool
     return w
 
 
-def fit_per_key(training: DataFrame, keys: Sequence[str], features: Sequence[str], label: str = "label", c: float = 1.0) -> DataFrame:
+def fit_per_key(training: DataFrame, keys: Sequence[str], features: Sequence[str], label: str = "label", c: float = 1.0, balanced: bool = True) -> DataFrame:
     """(keys, weights array<double>, intercept, means, deviations): one classifier per key, trained in its own task.
 
-    Training sets are small (a few rows per known term), so that a key fits one task. Features are
-    standardised with the population deviation (0 counts as 1); NaN counts as 0.
+    Training sets are small (a few rows per known term), so that a key fits one task; for a set that grows
+    with the vocabulary see fit_large. Features are standardised with the mean and the population
+    deviation (0 counts as 1) of their values that are numbers; after that NaN and null count as 0.
     """
     types = {f.name: f.dataType.simpleString() for f in training.schema}
     names, keys = list(features), list(keys)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.nan_to_num(pdf[names].to_numpy(float))
-        mean, dev = x.mean(0), x.std(0)
+        x = pdf[names].to_numpy(float)
+        known = ~np.isnan(x).all(0)
+        mean, dev = np.zeros(len(names)), np.ones(len(names))
+        mean[known], dev[known] = np.nanmean(x[:, known], 0), np.nanstd(x[:, known], 0)
         dev[dev == 0] = 1
-        w = newton_logistic((x - mean) / dev, pdf[label].to_numpy(float), c)
+        w = newton_logistic(np.nan_to_num((x - mean) / dev, nan=0.0), pdf[label].to_numpy(float), c, balanced)
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "weights": [w[:-1].tolist()], "intercept": [w[-1]], "means": [mean.tolist()], "deviations": [dev.tolist()]})
 
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["weights array<double>, intercept double, means array<double>, deviations array<double>"])
     return training.select(*keys, label, *names).groupBy(*keys).applyInPandas(fit, schema)
 
 
+def fit_large(training: DataFrame, features: Sequence[str], label: str = "label", c: float = 1.0, balanced: bool = True, standardise: bool = True) -> DataFrame:
+    """One row (weights, intercept, means, deviations), as of fit_per_key, of one classifier fitted by all tasks together (MLlib)."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    stats = training.agg(F.count("*"), F.sum(F.col(label).cast("double")), *[f(F.when(~F.isnan(x), F.col(x))) for x in features for f in (F.avg, F.stddev_pop)]).first()
+    n, positive = stats[0], stats[1]
+    means, devs = ([x or 0.0 for x in stats[2::2]], [x or 1.0 for x in stats[3::2]]) if standardise else ([0.0] * len(features), [1.0] * len(features))
+    scaled = [F.nanvl(F.coalesce((F.col(x).cast("double") - m) / d, F.lit(0.0)), F.lit(0.0)) for x, m, d in zip(features, means, devs, strict=True)]
+    weight = F.when(F.col(label) == 1, n / (2 * max(1.0, positive))).otherwise(n / (2 * max(1.0, n - positive))) if balanced else F.lit(1.0)
+    rows = training.select(array_to_vector(F.array(*scaled)).alias("features"), F.col(label).cast("double").alias("label"), weight.alias("weight"))
+    # MLlib divides the loss by the sum of the weights, which is n
+    model = LogisticRegression(regParam=1.0 / (c * n), standardization=False, weightCol="weight", maxIter=200, tol=1e-10).fit(rows)
+    schema = "weights array<double>, intercept double, means array<double>, deviations array<double>"
+    return training.sparkSession.createDataFrame([(model.coefficients.toArray().tolist(), float(model.intercept), means, devs)], schema)
+
+
 def predict(df: DataFrame, models: DataFrame, keys: Sequence[str], features: Sequence[str], name: str = "score") -> DataFrame:
-    """df with the probability of class 1 by its key's classifier; models, one row per key, are broadcast."""
-    joined = df.join(F.broadcast(models), list(keys))
-    terms = [(F.nanvl(F.coalesce(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) - F.col("means")[i]) / F.col("deviations")[i] * F.col("weights")[i] for i, f in enumerate(features)]
+    """df with the probability of class 1 by its key's classifier; a feature that is NaN or null has no part in it."""
+    joined = df.join(models, list(keys)) if keys else df.crossJoin(models)  # without keys: one row
+    terms = [F.nanvl(F.coalesce((F.col(f).cast("double") - F.col("means")[i]) / F.col("deviations")[i], F.lit(0.0)), F.lit(0.0)) * F.col("weights")[i] for i, f in enumerate(features)]
     z = sum(terms, F.col("intercept"))
     return joined.withColumn(name, 1 / (1 + F.exp(-z))).select(*df.columns, name)

@@ -77,7 +77,7 @@ def prefix_distances(nbr: DataFrame, keys: Sequence[str] = ("query",), distance:
 
 def graph_features(nbr: DataFrame, members: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, query, vote, mindist, avgdist, cnt): sum, largest, mean and number of similarities to neighbours among the members."""
-    rows = nbr.join(F.broadcast(members.select(*keys, F.col("word").alias("nword"))), "nword")
+    rows = nbr.join(members.select(*keys, F.col("word").alias("nword")), "nword")
     return rows.groupBy(*keys, "query").agg(F.sum("cossim").alias("vote"), F.max("cossim").alias("mindist"), F.avg("cossim").alias("avgdist"), F.count("*").alias("cnt"))
 
 
@@ -88,7 +88,7 @@ def list_scores(nbr: DataFrame, members: DataFrame, keys: Sequence[str], limit:
     default score (default_score). vote sums weights; mindist and avgdist are minus a distance and know no
     weight type, which is then `constant`.
     """
-    rows = nbr.filter(F.col("rank") <= limit).join(F.broadcast(members.select(*keys, F.col("word").alias("nword"))), "nword")
+    rows = nbr.filter(F.col("rank") <= limit).join(members.select(*keys, F.col("word").alias("nword")), "nword")
     rows = weighted(rows, distance, weights if mode == "vote" else ("constant",))
     rows = rows.withColumn("n", F.explode(F.sequence(F.col("rank"), F.lit(limit))))
     score = {"vote": F.sum("w"), "mindist": -F.min(distance), "avgdist": -F.avg(distance)}[mode]

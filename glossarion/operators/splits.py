@@ -59,15 +59,41 @@ def hashed_sample(df: DataFrame, keys: Sequence[str], size: Column, salt: str, s
 
 
 def randomised(splits: DataFrame, pool: DataFrame, seed: int = 42) -> DataFrame:
-    """splits with every word replaced by one of the pool, one mapping for all splits: a control without signal."""
-    def ranked(df: DataFrame, salt: str, name: str) -> DataFrame:
-        words = df.select(F.col("word").alias(name)).distinct()
+    """splits with every word replaced by one of the pool, one mapping for all splits: a control without signal.
+
+    The splits' own words are no part of the pool, so that no false positive is a true one. A pool of
+    fewer words than there are to replace is an error.
+    """
+    terms = splits.select("word").distinct()
+    others = pool.select("word").distinct().join(terms, "word", "left_anti")
+    need, have = terms.count(), others.count()
+    if have < need:
+        raise ValueError(f"{need} words to replace, but only {have} others in the pool")
+
+    def ranked(words: DataFrame, salt: str, name: str) -> DataFrame:
         # numbered in ranges of the hash, so that no single task sorts all words
-        keyed = words.withColumn("h", hash_order(seed, F.lit(salt), name)).withColumn("b", F.substring("h", 1, 2))
-        sizes = keyed.groupBy("b").count()
-        before = sizes.alias("x").join(F.broadcast(sizes.alias("y")), F.col("y.b") < F.col("x.b"), "left").groupBy(F.col("x.b").alias("b")).agg(F.coalesce(F.sum("y.count"), F.lit(0)).alias("offset"))
+        keyed = words.select(F.col("word").alias(name)).withColumn("h", hash_order(seed, F.lit(salt), name)).withColumn("b", F.substring("h", 1, 2))
+        sizes = keyed.groupBy("b").count()  # 256 rows at most
+        before = sizes.select("b", F.coalesce(F.sum("count").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
         rn = F.row_number().over(Window.partitionBy("b").orderBy("h", name))
-        return keyed.join(F.broadcast(before), "b").select(name, (rn + F.col("offset")).alias("rn"))
+        return keyed.join(before, "b").select(name, (rn + F.col("offset")).alias("rn"))
 
-    mapping = ranked(splits, "terms", "word").join(ranked(pool, "pool", "new_word"), "rn").drop("rn")
+    mapping = ranked(terms, "terms", "word").join(ranked(others, "pool", "new_word"), "rn").drop("rn")
     return splits.join(mapping, "word").select("split_id", "part", F.col("new_word").alias("word"))
+
+
+def matched_list(master: DataFrame, stop: DataFrame, classes: DataFrame) -> DataFrame:
+    """(word, label) of the words of a master list that are not in the stop list; label by majority among classes
+    (word, label), null where a word has none."""
+    words = master.select("word").distinct().join(stop.select("word").distinct(), "word", "left_anti")
+    return words.join(majority_class(classes), "word", "left")
+
+
+def list_counts(matched: DataFrame) -> DataFrame:
+    """(words, matched, unmatched, positive): sizes of a matched_list."""
+    return matched.agg(F.count("*").alias("words"), F.count("label").alias("matched"), F.count_if(F.col("label").isNull()).alias("unmatched"), F.count_if(F.col("label") == 1).alias("positive"))
+
+
+def splits_of_list(matched: DataFrame, n_splits: int = 100, seed: int = 42, neg_ratio: float | None = None) -> DataFrame:
+    """(split_id, part, word, label): stratified splits of the words of a matched_list that have a label."""
+    return make_splits(matched.filter("label is not null"), n_splits, seed, strata=["label"], neg_ratio=neg_ratio)

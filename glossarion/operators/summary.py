@@ -44,7 +44,7 @@ def histogram(long: DataFrame, keys: Sequence[str], value: str = "value", bins:
     ends = rows.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean"))
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(0)
-    counts = rows.join(F.broadcast(ends), list(keys)).withColumn("bin", at.cast("int")).groupBy(*keys, "lo", "hi", "mean", "bin").agg(F.count("*").alias("n"))
+    counts = rows.join(ends, list(keys)).withColumn("bin", at.cast("int")).groupBy(*keys, "lo", "hi", "mean", "bin").agg(F.count("*").alias("n"))
     return counts.select(*keys, "bin", (F.col("lo") + F.col("bin") * width).alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), "n", "mean")
 
 
@@ -94,3 +94,19 @@ def chance_levels(counts: DataFrame, ks: Sequence[int], keys: Sequence[str]) ->
     """(keys, k, prevalence, chance): share of positives pos / (pos + neg), and the positives that k random words would hold."""
     p = F.try_divide(F.col("pos").cast("double"), F.col("pos") + F.col("neg"))
     return counts.select(*keys, F.explode(F.array(*map(F.lit, ks))).alias("k"), p.alias("prevalence")).withColumn("chance", F.col("k") * F.col("prevalence"))
+
+
+def enrichment(chance: DataFrame, observed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, k, chance, observed, enrichment): mean chance over splits, hits among the first k, and how many times chance they are.
+
+    chance: (keys, k, chance) of chance_levels; observed: (keys, k, precision). Without chance the ratio is null.
+    """
+    mean = chance.groupBy(*keys, "k").agg(F.avg("chance").alias("chance"))
+    hits = observed.groupBy(*keys, "k").agg((F.avg("precision") * F.col("k")).alias("observed"))
+    return mean.join(hits, [*keys, "k"]).withColumn("enrichment", F.try_divide("observed", "chance"))
+
+
+def metric_table(long: DataFrame, metrics: Sequence[str], method: str = "method") -> DataFrame:
+    """(method, <metric>_mean, <metric>_std, ...): each method's mean and population deviation over splits, from (method, metric, value)."""
+    is_ = {m: F.when(F.col("metric") == m, F.col("value")) for m in metrics}
+    return long.groupBy(method).agg(*[f(c).alias(f"{m}_{n}") for m, c in is_.items() for n, f in (("mean", F.avg), ("std", F.stddev_pop))])

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Formats of the log's lines (fixed values), in the order in which they are tried.
-METRIC = r"validation metric (-?[0-9.]+(?:[eE][-+]?[0-9]+)?) from client (\S+)"
-ACCEPT = r"Contribution from (\S+) ACCEPTED by the aggregator at round ([0-9]+)"
-BEST = r"new best validation metric at round ([0-9]+): (-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
-STARTED = r"Round ([0-9]+) started"
+METRIC = r"validation metric\s+(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)\s+from client\s+(\S+)"
+ACCEPT = r"Contribution from\s+(\S+)\s+ACCEPTED by the aggregator at round\s+([0-9]+)"
+BEST = r"new best validation metric at round\s+([0-9]+):\s+(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
+STARTED = r"Round\s+([0-9]+)\s+started"
 
 
 def log_events(lines: DataFrame) -> DataFrame:
@@ -87,4 +87,4 @@ def best_checkpoint(perf: DataFrame) -> DataFrame:
 def longest_run(events: DataFrame) -> DataFrame:
     """(run, rounds) of the run with the most rounds, ties by name."""
     rounds = events.filter("round is not null").groupBy("run").agg(F.countDistinct("round").alias("rounds"))
-    return rounds.agg(F.max_by(F.struct("run", "rounds"), F.struct("rounds", -F.crc32(F.col("run")))).alias("x")).select("x.*")
+    return rounds.agg(F.min_by(F.struct("run", "rounds"), F.struct(-F.col("rounds"), "run")).alias("x")).select("x.*")

@@ -6,14 +6,19 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions.scalar import dot, l2_normalise, scrub
 from ..sources.files import shared_folder
 
 #: Digits to which similarities are rounded before they are compared.
 DIGITS = 10
+#: Expected targets whose matrix a task holds.
+TARGETS = 4096
 _QUERY_BLOCK, _BLOCK = 4096, 8192
 
 
@@ -32,38 +37,64 @@ def _nearest(rows: DataFrame, k: int) -> DataFrame:
     """(query, nword, cossim): for rows (g, slot, asks, word, v), the k best of each unit (g, slot) for each word that asks there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, asking, block, best = None, [], [], {}
-
-        def evaluate() -> None:
-            if asking and block:
-                sims = np.round(np.array([v for _, v in asking]) @ np.array([v for _, v in block]).T, DIGITS)
-                names = np.array([w for w, _ in block], object)
-                for i, (word, _) in enumerate(asking):
-                    row = sims[i]
-                    if len(row) > k + 1:  # all that can be among the k best, ties included
-                        at = np.flatnonzero(row >= np.partition(row, len(row) - k - 1)[len(row) - k - 1])
-                    else:
-                        at = np.arange(len(row))
-                    found = best.get(word, []) + [(-row[j], names[j]) for j in at if names[j] != word]
-                    best[word] = sorted(found)[:k]
-            block.clear()
+        """Rows sorted by group and slot, words that ask first."""
+        unit, held = None, []
+        names = vecs = top = who = None
+
+        def matrix() -> tuple[np.ndarray, np.ndarray]:
+            words = np.concatenate([b.column(3).to_numpy(zero_copy_only=False) for b in held])
+            flat = np.concatenate([b.column(4).flatten().to_numpy() for b in held])
+            held.clear()
+            return words, flat.reshape(len(words), -1)
+
+        def close() -> None:
+            """Take in what is held: the unit's words that ask, or a block of others."""
+            nonlocal names, vecs, top, who
+            if not held:
+                return
+            if unit[2]:
+                names, vecs = matrix()
+                top, who = np.full((len(names), k), -np.inf), np.full((len(names), k), "", object)
+                return
+            words, block = matrix()
+            if names is None:
+                return
+            for a in range(0, len(names), 256):
+                sims = np.round(vecs[a : a + 256] @ block.T, DIGITS)
+                sims[names[a : a + 256, None] == words] = -np.inf
+                # what can be among the k best, ties included
+                least = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] > k else np.full(len(sims), -np.inf)
+                rows, at = np.nonzero((sims >= np.maximum(least, top[a : a + 256, -1])[:, None]) & (sims > -np.inf))
+                ends = np.cumsum(np.bincount(rows, minlength=len(sims)))
+                for i in np.unique(rows):
+                    some = at[ends[i - 1] if i else 0 : ends[i]]
+                    s, n = np.r_[top[a + i], sims[i, some]], np.r_[who[a + i], words[some]]
+                    best = sorted(range(len(s)), key=lambda j: (-s[j], n[j]))[:k]
+                    top[a + i], who[a + i] = s[best], n[best]
 
         def result() -> pa.RecordBatch:
-            evaluate()
-            rows = [(w, n, -s) for w, found in best.items() for s, n in found]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], names=["query", "nword", "cossim"])
+            found = top > -np.inf
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, found.sum(1)), pa.string()), pa.array(who[found], pa.string()), pa.array(top[found])], names=["query", "nword", "cossim"])
 
         for batch in batches:
-            for g, slot, asks, word, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (g, slot) != unit:
-                    if unit is not None:
-                        yield result()
-                    unit, best = (g, slot), {}
-                    asking.clear()
-                (asking if asks else block).append((word, v))
-                if len(block) >= _BLOCK:
-                    evaluate()
-        if unit is not None:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            starts = np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in keys])])
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                here = tuple(c[a].item() for c in keys)
+                if here != unit:
+                    close()
+                    if unit is not None and here[:2] != unit[:2]:
+                        if names is not None:
+                            yield result()
+                        names = None
+                    unit = here
+                held.append(batch.slice(a, b - a))
+                if not unit[2] and sum(h.num_rows for h in held) >= _BLOCK:
+                    close()
+        close()
+        if names is not None:
             yield result()
 
     rows = rows.repartition("g", "slot").sortWithinPartitions("g", "slot", F.desc("asks"))
@@ -84,7 +115,9 @@ def knn(vectors: DataFrame, k: int, queries: DataFrame | None = None) -> DataFra
     """
     queries = vectors if queries is None else queries
     groups = max(1, -(-queries.count() // _QUERY_BLOCK))
-    slots = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    count, cores = vectors.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    # runs of one block or less where few groups would leave cores idle, of eight blocks where there are many
+    slots = max(1, -(-count // (8 * _BLOCK)), min(-(-count // 256), -(-2 * cores // groups)))
     q = queries.select(F.pmod(F.xxhash64("word"), F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), F.lit(True).alias("asks"), "word", "v")
     x = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.pmod(F.xxhash64("word", F.lit(1)), F.lit(slots)).cast("int").alias("slot"), F.lit(False).alias("asks"), "word", "v")
     return _ranked(_nearest(q.unionByName(x), k), k)
@@ -98,7 +131,6 @@ def knn_lsh(vectors: DataFrame, k: int, bucket: float | None = None, tables: int
     even where these are hardly nearer than other words. Lists that stay short are searched by knn().
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     if bucket is None:
         spread = vectors.select(F.posexplode("v").alias("dim", "x")).groupBy("dim").agg(F.var_pop("x").alias("x")).agg(F.sqrt(F.avg("x"))).first()[0]
@@ -121,58 +153,75 @@ def knn_lsh(vectors: DataFrame, k: int, bucket: float | None = None, tables: int
     return found.join(whole.withColumnRenamed("word", "query"), "query", "left_semi").unionByName(knn(vectors, k, short)).select("query", "rank", "nword", "cossim")
 
 
+def _mean(vector: str) -> Column:
+    """Mean of arrays of one length, component by component; tasks sum whole vectors before the shuffle."""
+    return vector_to_array(Summarizer.mean(array_to_vector(F.transform(vector, lambda x: x.cast("double")))))
+
+
 def centroids(vectors: DataFrame, members: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, c): the mean of the members' vectors at unit length; keys without a vector or of mean zero are left out.
+    """(keys, c): the mean of the members' vectors at unit length; keys without a vector or of mean zero are left out."""
+    means = members.select(*keys, "word").join(vectors, "word").groupBy(*keys).agg(_mean("v").alias("c"))
+    return means.filter(dot("c", "c") > 0).withColumn("c", l2_normalise("c"))
+
 
-    Components are averaged before the shuffle, one row per key and dimension.
+def _products(vectors: DataFrame, targets: DataFrame, names: Sequence[str], blank: str | None = None) -> DataFrame:
+    """(names, word, cossim): rounded inner products of every word (word, v) with every target (names, c).
+
+    The targets are the stated query set. They are taken in groups of at most about TARGETS rows, whose
+    matrix goes to each task once and is multiplied block by block; more groups mean more passes over
+    vectors. blank: where a target's column of that name is the word, the product is -1.
     """
-    cells = members.select(*keys, "word").join(vectors, "word").select(*keys, F.posexplode("v").alias("dim", "x"))
-    means = cells.groupBy(*keys, "dim").agg(F.avg("x").alias("x"))
-    rows = means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("c"))
-    return rows.filter(dot("c", "c") > 0).withColumn("c", l2_normalise("c"))
+    schema = StructType([*targets.select(*names).schema.fields, StructField("word", StringType()), StructField("cossim", DoubleType())])
+    targets = targets.select(*names, "c")
+    groups, found = max(1, -(-targets.count() // TARGETS)), None
+    for g in range(groups):
+        part = targets.filter(F.pmod(F.xxhash64(*names), F.lit(groups)) == g).orderBy(*names).toArrow()
+        matrix, labels = np.array(part.column("c").to_pylist(), float), part.select(list(names))
+
+        def run(batches: Iterator[pa.RecordBatch], matrix=matrix, labels=labels) -> Iterator[pa.RecordBatch]:
+            own = np.array(labels.column(blank).to_pylist(), object) if blank else None
+            for batch in batches:
+                for a in range(0, batch.num_rows if len(matrix) else 0, 1024):
+                    rows = batch.slice(a, 1024)
+                    words = rows.column(0).to_pylist()
+                    sims = np.round(np.array(rows.column(1).to_pylist()) @ matrix.T, DIGITS)
+                    if blank:
+                        sims[np.array(words, object)[:, None] == own] = -1.0
+                    at = pa.array(np.tile(np.arange(len(matrix)), len(words)))
+                    columns = [labels.column(n).combine_chunks().take(at) for n in names]
+                    yield pa.RecordBatch.from_arrays([*columns, rows.column(0).take(pa.array(np.repeat(np.arange(len(words)), len(matrix)))), pa.array(sims.ravel())], names=[*names, "word", "cossim"])
+
+        sims = vectors.select("word", "v").mapInArrow(run, schema)
+        found = sims if found is None else found.unionByName(sims)
+    return found
 
 
 def centroid_similarity(vectors: DataFrame, centres: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, word, csim): every word's cosine with each key's centroid; centroids, one row per key, are broadcast."""
-    return vectors.crossJoin(F.broadcast(centres)).select(*keys, "word", F.round(dot("v", "c"), DIGITS).alias("csim"))
+    """(keys, word, csim): every word's cosine with each key's centroid."""
+    return _products(vectors, centres, keys).withColumnRenamed("cossim", "csim")
 
 
 def glossary_similarity(vectors: DataFrame, glossary: DataFrame, blank_self: bool = False) -> DataFrame:
-    """(word, gword, cossim) of every word with every glossary word that has a vector.
-
-    The glossary (hundreds to thousands of words) is the stated query set; its matrix goes to each task
-    once and is multiplied block by block. blank_self: a word's similarity to itself is -1.
-    """
-    rows = glossary.select("word").distinct().join(vectors, "word").orderBy("word").collect()
-    names, matrix = [r["word"] for r in rows], np.array([r["v"] for r in rows], float)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows if names else 0, 1024):
-                part = batch.slice(a, 1024)
-                words = part.column(0).to_pylist()
-                sims = np.round(np.array(part.column(1).to_pylist()) @ matrix.T, DIGITS)
-                if blank_self:
-                    sims[np.array(words, object)[:, None] == np.array(names, object)] = -1.0
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(words, object), len(names)), pa.string()), pa.array(names * len(words), pa.string()), pa.array(sims.ravel())], names=["word", "gword", "cossim"])
-
-    return vectors.select("word", "v").mapInArrow(run, "word string, gword string, cossim double")
+    """(word, gword, cossim) of every word with every glossary word that has a vector. blank_self: a word's similarity to itself is -1."""
+    targets = glossary.select("word").distinct().join(vectors, "word").select(F.col("word").alias("gword"), F.col("v").alias("c"))
+    return _products(vectors, targets, ["gword"], "gword" if blank_self else None).select("word", "gword", "cossim")
 
 
 def glossary_features(sims: DataFrame, members: DataFrame, keys: Sequence[str], k: int = 10) -> DataFrame:
     """(keys, word, mindist_all, avgdist_all, votetopk_all): largest, mean and summed k largest similarity to the members.
 
-    The pairs of word and glossary word are joined to the keys' members (broadcast: a few words a key).
+    The pairs of word and glossary word are joined to the keys' members.
     """
-    rows = sims.join(F.broadcast(members.select(*keys, F.col("word").alias("gword"))), "gword")
+    rows = sims.join(members.select(*keys, F.col("word").alias("gword")), "gword")
     best = F.slice(F.sort_array(F.collect_list("cossim"), asc=False), 1, k)
     return rows.groupBy(*keys, "word").agg(F.max("cossim").alias("mindist_all"), F.avg("cossim").alias("avgdist_all"), F.aggregate(best, F.lit(0.0), lambda s, x: s + x).alias("votetopk_all"))
 
 
 def pool_occurrences(tokens: DataFrame) -> DataFrame:
-    """(word, vector, cnt) from sub-token vectors (occurrence, word, vector): mean per occurrence, then per lower-cased word, at unit length."""
-    cells = tokens.select("occurrence", F.lower("word").alias("word"), F.posexplode("vector").alias("dim", "x"))
-    each = cells.groupBy("occurrence", "word", "dim").agg(F.avg("x").alias("x"))
-    means = each.groupBy("word", "dim").agg(F.avg("x").alias("x"), F.count("*").alias("cnt"))
-    rows = means.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("vector"), F.max("cnt").alias("cnt"))
-    return rows.withColumn("vector", l2_normalise("vector"))
+    """(word, vector, cnt) from sub-token vectors (occurrence, word, vector): mean per occurrence, then per lower-cased word, at unit length.
+
+    Whole vectors are summed before each shuffle: a row per occurrence, then a row per word and task.
+    """
+    each = tokens.groupBy("occurrence", F.lower("word").alias("word")).agg(_mean("vector").alias("v"))
+    means = each.groupBy("word").agg(_mean("v").alias("vector"), F.count("*").alias("cnt"))
+    return means.select("word", l2_normalise("vector").alias("vector"), "cnt")

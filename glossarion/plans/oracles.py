@@ -5,7 +5,7 @@ from __future__ import annotations
 # word vectors, lists, splits and neighbours, as in queries.Fixture
 _VECS = """raw as (select 'w' || vec_id word, [x::double for x in embedding] e, label::int label from embeddings),
 vecs as (select word, [x / n for x in e] v, label from (select *, sqrt(list_dot_product(e, e)) n from raw)),
-glossary as (select word from (select a.word, round(list_dot_product(a.v, b.v), 10) s from vecs a, vecs b where b.word = 'w0') order by s desc, word limit 60),
+glossary as (select a.word from vecs a, vecs b where b.word = 'w0' and round(list_dot_product(a.v, b.v), 10) >= 0.15),
 stop as (select word from raw where label = 0 and word not in (from glossary))"""
 _NBR = """pairs as (select a.word query, b.word nword, round(list_dot_product(a.v, b.v), 10) cossim from vecs a, vecs b where a.word <> b.word),
 nbr as (select *, round(1 - cossim, 10) distance from (select *, row_number() over (partition by query order by cossim desc, nword) rank from pairs) where rank <= 20),
@@ -127,13 +127,13 @@ rk as (select *, row_number() over (partition by split_id order by csim desc, wo
 cres as (select split_id, k::int k, pos, neg, roc_auc, average_precision, p as "precision" from summary join (select split_id, k, sum(case when rn <= k then label else 0 end)::double / least(k, max(size)) p from rk, (select unnest([5, 10, 20]) k) group by split_id, k) using (split_id) where pos > 0)"""
 _TOKENS = r"""docs_ as (select id, [x for x in regexp_split_to_array(lower(trim(text, ' ')), '\s+') if x <> ''] t from (select concat_ws('/', conv_id, turn) id, text from conversations)),
 toks as (select id, pos - 1 pos, t[pos] token from (select id, t, unnest(range(1, len(t) + 1)) pos from docs_))"""
-_GRAMS = r"""names as (select distinct p_name word from part), refs as (select distinct p_brand brand, p_name word from part where p_partkey % 97 = 0),
+_GRAMS = r"""names as (select distinct p_name word from part), refs as (select distinct p_brand brand, p_name word from part where p_size = 1),
 padded as (select word, ' ' || unnest([x for x in regexp_split_to_array(lower(word), '\s+') if x <> '']) || ' ' p from (select word from names union select word from refs)),
 gr as (select word, substr(p, i, n) ngram from (select word, p, n, unnest(range(1, greatest(length(p) - n + 1, 1) + 1)) i from padded, (select unnest([2, 3, 4]) n) where n = 2 or length(p) >= n)),
 tf as (select word, ngram, count(*) tf from gr group by all), df as (select ngram, count(*) df from tf where word in (from names) group by all),
 x0 as (select word, ngram, tf * (ln((1.0::double + (select count(distinct word) from tf where word in (from names))) / (1.0 + df)) + 1.0) x from tf join df using (ngram)),
 wn as (select word, ngram, x / sqrt(sum(x * x) over (partition by word)) w from x0)"""
-_DRAWS = "nb as (select metric, value x, row_number() over (partition by metric order by value) - 1 i, count(*) over (partition by metric) n from results), dr as (select metric, n, b, unnest(range(n)) d from (select distinct metric, n from nb), (select unnest(range(1000)) b)), di as (select metric, b, ('0x' || substr(md5(concat_ws('/', 42, b, d)), 1, 15))::bigint % n i from dr), ms as (select metric, b, avg(x) m from di join nb using (metric, i) group by all)"
+_DRAWS = "nb as (select metric, value x, row_number() over (partition by metric order by value) - 1 i, count(*) over (partition by metric) n from results), dr as (select metric, n, b, unnest(range(n)) d from (select distinct metric, n from nb), (select unnest(range(10000)) b)), di as (select metric, b, ('0x' || substr(md5(concat_ws('/', 42, b, d)), 1, 15))::bigint % n i from dr), ms as (select metric, b, avg(x) m from di join nb using (metric, i) group by all)"
 
 _SW = f"""splits as (select 0 split_id, 'ref' part, word from glossary), {_CENTROID},
 gb as (select a.word, case when a.word = b.word then -1.0 else round(list_dot_product(a.v, b.v), 10) end::double cossim from vecs a, vecs b where b.word in (from glossary)),
@@ -142,6 +142,11 @@ _USED = """bg as (select split_id, word from pool where part = 'test' and label
 used as (select split_id, word from (select *, row_number() over (partition by split_id order by md5(concat_ws('/', 42, 'train', split_id, word)), word) rn from bg) where rn <= 40
  union select split_id, word from (select *, row_number() over (partition by split_id order by csim, word) rn from csims join bg using (split_id, word)) where rn <= 30)"""
 
+_MASTER = """mw as (select word from raw where label in (1, 3) union select 'no-' || word from raw where label = 5),
+cls as (select word, label from labels_ union all select word, 1 - label from labels_ where word like '%3'),
+maj as (select word, case when sum(label) > count(label) / 2 then 1 else 0 end::int as label from cls group by word),
+master as (select word, label from mw left join maj using (word) where word not in (from stop))"""
+
 ORACLES: dict[str, str] = {
     "s13_knn": _q("select query, rank::int rank, nword, round(cossim, 6) cossim from nbr", _VECS, _NBR),
     "s1_explode_neighbours": _q(f"{_FLAT} flat where rank <= 10", _VECS, _NBR, _NESTED),
@@ -198,10 +203,10 @@ ORACLES: dict[str, str] = {
     "w7_best_so_far": _q("select run, r::int round, best from (select run, r, last_value(v ignore nulls) over (partition by run order by r) best from (select run, unnest(range(0, max(round) + 1)) r from log_events group by run) left join (select run, round r, (list(value order by line desc))[1] v from log_events where kind = 'best' group by all) using (run, r)) where best is not null", _LOG),
     "a19_run_overview": _q("select run, b.round last_best_round, b.value last_best, sites from (select run, (list({'round': round, 'value': value} order by line desc) filter (kind = 'best'))[1] b from log_events group by run) join (select run, string_agg(site, ',' order by line, site) sites from (select run, site, min(line) line from log_events where site is not null group by all) group by run) using (run)", _LOG),
     "x13_best_checkpoint": _q("select run, n, first_round, last_round, d best_dev_round, dv best_dev, t best_test_round, tv best_test, final_test, tv < worst * 0.5 converged, 'FL_global_model_' || t || '.pt' target from (select run, count(*) n, min(round) first_round, max(round) last_round, (list(round order by dev_ppl, round))[1] d, min(dev_ppl) dv, (list(round order by test_ppl, round))[1] t, min(test_ppl) tv, (list(test_ppl order by round desc))[1] final_test, max(test_ppl) worst from perf group by run)", _PERF),
-    "x14_run_configs": "with e as (select 'run' || (user_id % 4) run, event_id, value, user_id, dayofmonth(ts) d, row_number() over (partition by user_id % 4 order by lpad(event_id::varchar, 12, '0')) rn from events where event_id % 50 = 0 and event_id % 100 <> 0), f as (from e where rn = 1) select run, 'learning_rate' as \"key\", printf('%.3f', value)::decimal(20, 3)::double::varchar as value from f union all select run, 'batch_size', user_id::varchar from f union all select run, 'rounds', d::varchar from f",
+    "x14_run_configs": "with e as (select 'run' || (user_id % 4) run, event_id, value, user_id, dayofmonth(ts) d, row_number() over (partition by user_id % 4 order by lpad(event_id::varchar, 12, '0')) rn from events where event_id % 100 <> 0), f as (from e where rn = 1) select run, 'lr' as \"key\", printf('%.3f', value)::decimal(20, 3)::double::varchar as value from f union all select run, 'batch_size', user_id::varchar from f union all select run, 'num_rounds', d::varchar from f",
     "s3_splits_json": _q("select split_id, part, (row_number() over (partition by split_id, part order by word) - 1)::int pos, word from splits", _VECS, _SPLITS),
     "s5_scores_csv": "select 'p' || p_partkey word, 'price' as method, round(p_retailprice::double, 6) score from part union all select 'p' || p_partkey, 'size', p_size::double from part",
-    "s6_checkpoint_csv": _q("select round, dev_ppl, test_ppl from perf where run = 'run0' and round % 9 <> 0", _PERF),
+    "s6_checkpoint_csv": _q("select run, round, dev_ppl, test_ppl from perf where round % 9 <> 0", _PERF),
     "s10_grid_cell": _q("select query, label, round(vote, 6) score from votes join labels_ on word = query where weight_type = 'inverse' and n = 7", _VECS, _NBR, _VOTES),
     "x1_grid_evaluate": _q("""select weight_type, n, 'ba' threshold_on, round(roc_auc, 6) roc_auc, round(average_precision, 6) average_precision, round(ba_threshold, 6) threshold,
  round(coalesce(tp::double / nullif(tp + fp, 0), 0), 6) as "precision", round(coalesce(tp::double / nullif(tp + fn, 0), 0), 6) recall, round(coalesce(2.0 * tp::double / nullif(2 * tp + fp + fn, 0), 0), 6) f1
@@ -221,18 +226,33 @@ ORACLES: dict[str, str] = {
     "s9_config_docs": "select 'u' || user_id run, 'batch_size' as \"key\", count(*)::varchar as value from events where user_id % 10 <> 0 group by user_id",
     "s12_restrict_vocabulary": _q("select distinct nword word from nbr", _VECS, _NBR),
     "p13_model_names": _q("select run, string_agg(distinct 's' || length(site), '+' order by 's' || length(site)) model from log_events where site is not null group by run", _LOG),
-    "t11_longest_run": _q("select run, count(distinct round) rounds from log_events where round is not null and (round <= 20 or run = 'run2') group by run order by rounds desc limit 1", _LOG),
+    "t11_longest_run": _q("select run, count(distinct round) rounds from log_events where round is not null group by run order by rounds desc, run limit 1", _LOG),
     "u4_used_negatives": _q("from used", _VECS, _SPLITS, _CENTROID, _POOLS.format(words="raw"), _USED),
     "x8_split_counts": _q("select split_id, pos, neg, k::int k, round(pos / (pos + neg), 6) prevalence, round(k * pos / (pos + neg), 6) chance from (select split_id, sum(label)::bigint pos, count(*) filter (label = 0) neg from pool where part = 'test' and (split_id, word) not in (from used) group by split_id), (select unnest([5, 10, 20]) k)", _VECS, _SPLITS, _CENTROID, _POOLS.format(words="raw"), _USED),
     "x9_diagnose_flags": _q("select count(*) n, 0::bigint n_nan, 0::bigint n_inf, '0,1' labels, case when least(avg(label), 1 - avg(label)) < 0.05 then 'imbalanced' else '' end flags from vs where n = 11", _VECS, _NBR, _VOTES, _VOTE_GROUPS),
     "x5_split_report": _q("select k, metric, n, round(mean, 6) mean, round(std, 6) std, round(median, 6) median, round(least, 6) least, round(most, 6) most, round(ci_low, 6) ci_low, round(ci_high, 6) ci_high from stats join (select k, metric, quantile_cont(m, 0.025) ci_low, quantile_cont(m, 0.975) ci_high from ms group by all) using (k, metric)", _CENT_RES.format(pools=_POOLS.format(words="raw"), extra=""), """res as (unpivot (select k, roc_auc::double roc_auc, average_precision::double average_precision, "precision"::double as "precision" from cres) on roc_auc, average_precision, "precision" into name metric value v),
 stats as (select k, metric, count(*) n, avg(v) mean, stddev_samp(v) std, quantile_cont(v, 0.5) median, min(v) least, max(v) most from res group by all),
 nb as (select k, metric, v, row_number() over (partition by k, metric order by v) - 1 i, count(*) over (partition by k, metric) n from res),
-dr as (select k, metric, n, b, unnest(range(n)) d from (select distinct k, metric, n from nb), (select unnest(range(1000)) b)),
+dr as (select k, metric, n, b, unnest(range(n)) d from (select distinct k, metric, n from nb), (select unnest(range(10000)) b)),
 di as (select k, metric, b, ('0x' || substr(md5(concat_ws('/', 42, b, d)), 1, 15))::bigint % n i from dr),
 ms as (select k, metric, b, avg(v) m from di join nb using (k, metric, i) group by all)"""),
     "x10_score_words": _q("select word, round(mindist_all, 6) mindist_all, round(avgdist_all, 6) avgdist_all, round(votetopk_all, 6) votetopk_all, round(centroid, 6) centroid, round(log_count, 6) log_count from sw", _VECS, _SW),
     "x10_evaluate_scores": _q("""select method, k::int k, round(roc_auc, 6) roc_auc, round(average_precision, 6) average_precision, round(tp / k, 6) as "precision", round(tp / pos, 6) recall, round((neg - (least(k, pos + neg) - tp)) / neg, 6) specificity, round(case when tp > 0 then 2 * (tp / k) * (tp / pos) / (tp / k + tp / pos) else 0 end, 6) f1
  from summary join (select method, k, sum(case when rn <= k then label else 0 end)::double tp from rk, (select unnest([5, 10, 20]) k) group by method, k) using (method)""", _VECS, _SW, """long as (select s.word, (r.label = 3)::int label, m.method, m.score from sw s join raw r using (word), lateral (select unnest(['centroid', 'log_count', 'avgdist_all']) method, unnest([centroid, log_count, avgdist_all]) score) m),
 groups as (select method, score, sum(label)::bigint np, sum(1 - label)::bigint nn from long group by all), rk as (select *, row_number() over (partition by method order by score desc, word) rn from long)""", _curves("groups", "method")),
+    "a25_model_sites": _q("""select run, case when k is null then '?' else array_to_string(k, ', ') end sites, case when k is null then 'model_' || run else 'Model ' || array_to_string([chr(65 + x[2:]::int) for x in k], '') end model
+ from (select run, list_sort(list(distinct site) filter (site in ('c0', 'c1', 'c2', 'c3', 'c4', 'c5', 'c6', 'c7', 'c8', 'c9', 'c10', 'c11'))) k from (select run, site from log_events where site is not null union all select 'run9', null) group by run)""", _LOG),
+    "r2_best_stream": _q("select run, b.round round, b.value best from (select run, (list({'round': round, 'value': value} order by line desc) filter (kind = 'best'))[1] b from log_events group by run) where b is not null", _LOG),
+    "r2_round_average_stream": _q("select run, round, round(avg(-value), 6) loss, count(*) n from pairs_ group by all", _LOG),
+    "k2_neighbour_store": _q("select query, rank::int rank, nword, round(distance, 6) distance from nbr", _VECS, _NBR),
+    "k5_vectors": _q('select word, round(sqrt(list_dot_product(v, v)), 6) as "length", len(v)::int dims from vecs', _VECS),
+    "x17_list_to_splits": _q("from r", _VECS, _NBR, _MASTER, _splits("r", "select word, label from master where label is not null", "label", 4.0)),
+    "j11_list_counts": _q("select count(*) words, count(label) matched, count(*) - count(label) unmatched, count(*) filter (label = 1) positive from master", _VECS, _NBR, _MASTER),
+    "p8_keep_last": "select label::int as label, vec_id as at, 'w' || vec_id word from (select *, row_number() over (partition by label order by vec_id desc) rn from embeddings) where rn = 1",
+    "u5_ref_pools": _q("""select split_id, part, label, count(*) n, min(word) as "first" from (select split_id, part, word, 1 label from splits where part <> 'ref' union all
+ select c.split_id, c.part, w.word, 0 from (select distinct word from raw where word not in (from stop)) w, (select split_id, unnest(['dev', 'test']) part from (select distinct split_id from splits)) c
+ where not exists (select 1 from splits s where s.split_id = c.split_id and s.word = w.word and s.part in ('ref', c.part))) group by split_id, part, label""", _VECS, _SPLITS),
+    "a16_enrichment": _q('select k, round(chance, 6) chance, round(observed, 6) observed, round(observed / chance, 6) enrichment from (select k, avg(k * pos / (pos + neg)) chance, avg("precision") * k observed from cres group by k)', _CENT_RES.format(pools=_POOLS.format(words="raw"), extra="")),
+    "a23_metric_table": _q("""select 'm' || ("key" % 3) as method, round(avg(value) filter (metric = 'roc_auc'), 6) roc_auc_mean, round(stddev_pop(value) filter (metric = 'roc_auc'), 6) roc_auc_std, round(avg(value) filter (metric = 'average_precision'), 6) average_precision_mean, round(stddev_pop(value) filter (metric = 'average_precision'), 6) average_precision_std from results group by 1""", _RESULTS),
+    "m4_fixed_weights": _q('select "key", event_id, round(1 / (1 + exp(-(0.75 + 0.5 * (score - 40) / 12 + case when event_id % 7 = 0 then 0 else -1.25 * (event_id % 10 - 4.5) / 3 end))), 6) p from scored', _SCORED),
 }

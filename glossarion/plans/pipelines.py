@@ -7,48 +7,87 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalar
 from ..functions.scalar import WEIGHTS
 from ..operators import curves, lexical, models, neighbours, splits, summary, vectors
+from ..sources.files import shared_folder
 
 METHODS = ("vote", "mindist", "avgdist", "centroid", "mindist_all", "avgdist_all", "votetopk_all", "lexical", "hybrid", "pu_lr", "pu_rn")
 #: Decimals of scores before ties are told.
 DIGITS = 10
+#: Lengths of the reports.
+KS = (50, 100, 200)
 
 
-def pools(all_splits: DataFrame, words: DataFrame, stop: DataFrame, neg_ratio: float | None = None, seed: int = 42) -> DataFrame:
+def _written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, where several steps read it."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def background_of(all_splits: DataFrame, words: DataFrame, stop: DataFrame) -> DataFrame:
+    """(word): the words of neither the glossary (all splits' words) nor the stop list; one list for all splits and parts."""
+    outside = all_splits.select("word").union(stop.select("word")).distinct()
+    return words.select("word").distinct().join(outside, "word", "left_anti")
+
+
+def positives_of(all_splits: DataFrame, words: DataFrame) -> DataFrame:
+    """(split_id, part, word, label): the splits' dev and test words among `words`."""
+    known = words.select("word").distinct()
+    return all_splits.filter(F.col("part").isin("dev", "test")).join(known, "word", "left_semi").select("split_id", "part", "word", F.lit(1).alias("label"))
+
+
+def pools(all_splits: DataFrame, words: DataFrame, stop: DataFrame, neg_ratio: float | None = None, seed: int = 42, background: str = "glossary") -> DataFrame:
     """(split_id, part, word, label): dev and test words among `words` as positives, against background negatives.
 
-    Background: words of neither the glossary (all splits' words) nor the stop list. neg_ratio: a seeded
-    sample of it for each part and split, at most that many negatives per positive.
+    background: `glossary`, see background_of, or `ref`: all words but the split's reference and the part's
+    own words. neg_ratio: a seeded sample of it for each part and split, at most that many negatives per
+    positive. This lists every word for each split and part; evaluations over all of the background count
+    it instead (select_and_test).
     """
-    known = words.select("word").distinct()
-    positive = all_splits.filter(F.col("part").isin("dev", "test")).join(known, "word", "left_semi").select("split_id", "part", "word", F.lit(1).alias("label"))
-    outside = all_splits.select("word").union(stop.select("word")).distinct()
-    background = known.join(outside, "word", "left_anti")
-    cells = all_splits.select("split_id").distinct().withColumn("part", F.explode(F.array(F.lit("dev"), F.lit("test"))))
-    negative = background.crossJoin(F.broadcast(cells)).withColumn("label", F.lit(0))
+    positive = positives_of(all_splits, words)
+    parts = F.explode(F.array(F.lit("dev"), F.lit("test")))
+    cells = all_splits.select("split_id").distinct().withColumn("part", parts)
+    if background == "glossary":
+        negative = background_of(all_splits, words, stop).crossJoin(cells)
+    elif background == "ref":
+        ref = all_splits.filter("part = 'ref'").select("split_id", "word")
+        own = all_splits.select("split_id", "part", "word").unionByName(ref.withColumn("part", parts))
+        negative = words.select("word").distinct().join(stop.select("word").distinct(), "word", "left_anti").crossJoin(cells).join(own, ["split_id", "part", "word"], "left_anti")
+    else:
+        raise ValueError(f"unknown background {background!r}; known: glossary, ref")
+    negative = negative.withColumn("label", F.lit(0))
     if neg_ratio is not None:
         size = positive.groupBy("split_id", "part").agg(F.floor(F.count("*") * neg_ratio).alias("most"))
         order = splits.hash_order(F.lit(seed), "part", "split_id", "word")
         rn = F.row_number().over(curves.Window.partitionBy("split_id", "part").orderBy(order, "word"))
-        negative = negative.join(F.broadcast(size), ["split_id", "part"]).withColumn("rn", rn).filter("rn <= most")
+        negative = negative.join(size, ["split_id", "part"]).withColumn("rn", rn).filter("rn <= most")
     return positive.unionByName(negative.select("split_id", "part", "word", "label"))
 
 
-def select_and_test(scores: DataFrame, pool: DataFrame, configs: Sequence[str], prefer: Sequence[Column], default: float, within: Sequence[str] = (), ks: Sequence[int] = (5, 10, 20), on: str = "ba") -> DataFrame:
+def select_and_test(scores: DataFrame, pool: DataFrame, configs: Sequence[str], prefer: Sequence[Column], default: float, within: Sequence[str] = (), ks: Sequence[int] = KS, on: str = "ba", background: DataFrame | None = None) -> DataFrame:
     """A row per split (and `within`): the configuration of best dev ROC AUC, its dev threshold, and test metrics.
 
     scores: ([split_id,] configs, query, score), sparse: words of the pool without a row have the default
-    score; they are counted, not listed, for the curves. The threshold is applied strictly; if then all or
-    none of the test words are positive, precision, recall and F1 are those of the test's F1 threshold.
-    Splits without both classes in dev or test are left out.
+    score, which is below all scores; they are counted, not listed, for the curves. background: words that
+    are negatives in every split and part, beside those of the pool; of those without a score only as many
+    are ranked as a report at k can hold. The threshold is applied strictly; if then all or none of the
+    test words are positive, precision, recall and F1 are those of the test's F1 threshold. Splits without
+    both classes in dev or test are left out.
     """
     keys = ["split_id", "part", *configs]
-    on_words = ["split_id", "word"] if "split_id" in scores.columns else ["word"]
-    scored = scores.withColumnRenamed("query", "word").join(pool, on_words).select(*keys, "word", "label", "score")
+    named = scores.withColumnRenamed("query", "word")
+    own = "split_id" in scores.columns
+    scored = named.join(pool, ["split_id", "word"] if own else ["word"]).select(*keys, "word", "label", "score")
     totals = pool.groupBy("split_id", "part").agg(F.sum("label").alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    if background is not None:
+        cells = named if own else named.crossJoin(pool.select("split_id").distinct())
+        beside = cells.join(background, "word", "left_semi").withColumn("part", F.explode(F.array(F.lit("dev"), F.lit("test")))).withColumn("label", F.lit(0))
+        scored = scored.unionByName(beside.select(*keys, "word", "label", "score"))
+        totals = totals.crossJoin(background.agg(F.count("*").alias("_more"))).withColumn("neg", F.col("neg") + F.col("_more")).drop("_more")
     grid = scores.select(*configs).distinct()
-    groups = curves.with_default(curves.score_groups(scored, keys), totals.crossJoin(F.broadcast(grid)), keys, default)
+    groups = curves.with_default(curves.score_groups(scored, keys), totals.crossJoin(grid), keys, default)
     points = curves.curve_summary(groups, keys)
     dev = points.filter("part = 'dev'").select("split_id", *configs, F.col("roc_auc").alias("dev_roc_auc"), F.col(f"{on}_threshold").alias("threshold"))
     chosen = curves.best_by(dev, ["split_id", *within], "dev_roc_auc", prefer)
@@ -57,8 +96,13 @@ def select_and_test(scores: DataFrame, pool: DataFrame, configs: Sequence[str],
     cut = curves.at_threshold(groups.filter("part = 'test'").join(chosen, at), at)
     same = (F.col("tp") + F.col("fp") == 0) | (F.col("fn") + F.col("tn") == 0)
     out = test.join(cut.withColumn("same", same), at).select(*at, "dev_roc_auc", "threshold", "roc_auc", "average_precision", *[F.when(F.col("same"), F.col(f"f1_{a}")).otherwise(F.col(b)).alias(b) for a, b in (("precision", "precision"), ("recall", "recall"), ("best", "f1"))])
-    listed = chosen.select(*at).join(pool.filter("part = 'test'"), "split_id").join(scored.filter("part = 'test'").select(*at, "word", "score"), [*at, "word"], "left")
-    listed = listed.withColumn("score", F.coalesce("score", F.lit(default)))
+    found = scored.filter("part = 'test'").join(chosen.select(*at), at).select(*at, "word", "label", "score")
+    rest = pool.filter("part = 'test'").select("split_id", "word", "label").join(chosen.select(*at), "split_id")
+    if background is not None:
+        # fewer than k scored words leave room for the default's first; of the 2 k first words at least k have no score then
+        first = background.orderBy("word").limit(2 * max(ks)).withColumn("label", F.lit(0))
+        rest = rest.unionByName(first.crossJoin(chosen.select(*at)).select(*rest.columns))
+    listed = found.unionByName(rest.join(found, [*at, "word"], "left_anti").withColumn("score", F.lit(default)).select(*found.columns))
     ranks = curves.rank_metrics(listed, at, ks)
     wide = ranks.groupBy(*at).agg(*[F.max(F.when(F.col("k") == k, F.col("precision"))).alias(f"precision_at_{k}") for k in ks])
     return out.join(wide, at)
@@ -69,11 +113,12 @@ def weight_order(weight: str = "weight_type", order: Sequence[str] = WEIGHTS) ->
     return F.array_position(F.array(*map(F.lit, order)), F.col(weight))
 
 
-def list_evaluate(nbr: DataFrame, all_splits: DataFrame, words: DataFrame, stop: DataFrame, limit: int, mode: str = "vote", neg_ratio: float | None = None, ks: Sequence[int] = (5, 10, 20)) -> DataFrame:
+def list_evaluate(nbr: DataFrame, all_splits: DataFrame, words: DataFrame, stop: DataFrame, limit: int, mode: str = "vote", neg_ratio: float | None = None, ks: Sequence[int] = KS) -> DataFrame:
     """Scores by reference terms among the neighbours; per split the dev-selected configuration and test metrics."""
     ref = all_splits.filter("part = 'ref'").select("split_id", "word")
     scores = neighbours.list_scores(nbr, ref, ["split_id"], limit, mode)
-    return select_and_test(scores, pools(all_splits, words, stop, neg_ratio), ["weight_type", "n"], [weight_order(), F.col("n")], neighbours.default_score(mode), ks=ks)
+    pool, beside = (positives_of(all_splits, words), background_of(all_splits, words, stop)) if neg_ratio is None else (pools(all_splits, words, stop, neg_ratio), None)
+    return select_and_test(scores, pool, ["weight_type", "n"], [weight_order(), F.col("n")], neighbours.default_score(mode), ks=ks, background=beside)
 
 
 def grid_evaluate(votes: DataFrame, keys: Sequence[str] = ("weight_type", "n")) -> DataFrame:
@@ -86,7 +131,7 @@ def grid_evaluate(votes: DataFrame, keys: Sequence[str] = ("weight_type", "n"))
     return ba.join(cut, list(keys)).unionByName(f1)
 
 
-def split_evaluate(votes: DataFrame, all_splits: DataFrame, ks: Sequence[int] = (5, 10, 20)) -> DataFrame:
+def split_evaluate(votes: DataFrame, all_splits: DataFrame, ks: Sequence[int] = KS) -> DataFrame:
     """Stored votes (weight_type, n, query, label, score) under each split's own dev and test words; weight types by name."""
     pool = all_splits.filter(F.col("part") != "ref").join(votes.select(F.col("query").alias("word"), "label").distinct(), "word").select("split_id", "part", "word", "label")
     return select_and_test(votes.select("weight_type", "n", "query", "score"), pool, ["weight_type", "n"], [F.col("weight_type"), F.col("n")], 0.0, ks=ks)
@@ -100,7 +145,7 @@ def approach_scores(nbr: DataFrame) -> DataFrame:
     return votes.unionByName(far).withColumn("score", F.round("score", DIGITS))
 
 
-def approach_evaluate(nbr: DataFrame, labels: DataFrame, all_splits: DataFrame, ks: Sequence[int] = (5, 10, 20)) -> DataFrame:
+def approach_evaluate(nbr: DataFrame, labels: DataFrame, all_splits: DataFrame, ks: Sequence[int] = KS) -> DataFrame:
     """The best configuration of each approach, per split, with the F1 threshold of dev."""
     pool = all_splits.filter(F.col("part") != "ref").join(labels, "word").select("split_id", "part", "word", "label")
     return select_and_test(approach_scores(nbr), pool, ["approach", "weight_type", "n"], [F.col("weight_type"), F.col("n")], 0.0, within=["approach"], ks=ks, on="f1")
@@ -113,12 +158,14 @@ def split_report(results: DataFrame, metrics: Sequence[str], keys: Sequence[str]
     return summary.summarise(long, by).join(summary.bootstrap_ci(long, by, resamples=resamples), by)
 
 
-def centroid_evaluate(vecs: DataFrame, all_splits: DataFrame, stop: DataFrame, restrict: DataFrame | None = None, ks: Sequence[int] = (5, 10, 20)) -> DataFrame:
+def centroid_evaluate(vecs: DataFrame, all_splits: DataFrame, stop: DataFrame, restrict: DataFrame | None = None, ks: Sequence[int] = KS) -> DataFrame:
     """(split_id, k, pos, neg, roc_auc, average_precision, precision): test terms ranked by similarity to the reference centroid."""
-    ref = all_splits.filter("part = 'ref'").select("split_id", "word")
+    centres = _written(vectors.centroids(vecs, all_splits.filter("part = 'ref'").select("split_id", "word"), ["split_id"]))
     words = vecs if restrict is None else vecs.join(restrict.select("word").distinct(), "word", "left_semi")
-    pool = pools(all_splits, words, stop).filter("part = 'test'").drop("part")
-    scored = vectors.centroid_similarity(words, vectors.centroids(vecs, ref, ["split_id"]), ["split_id"]).join(pool, ["split_id", "word"])
+    tested = positives_of(all_splits, words).filter("part = 'test'").select("split_id", "word", "label")
+    known = vectors.centroid_similarity(words.join(tested, "word", "left_semi"), centres, ["split_id"]).join(tested, ["split_id", "word"])
+    beside = vectors.centroid_similarity(words.join(background_of(all_splits, words, stop), "word", "left_semi"), centres, ["split_id"])
+    scored = known.unionByName(beside.withColumn("label", F.lit(0)))
     points = curves.curve_summary(curves.score_groups(scored, ["split_id"], "csim"), ["split_id"]).filter("pos > 0")
     ranks = curves.rank_metrics(scored, ["split_id"], ks, "csim").select("split_id", "k", "precision")
     return points.select("split_id", "pos", "neg", "roc_auc", "average_precision").join(ranks, "split_id")
@@ -140,42 +187,52 @@ def features(vecs: DataFrame, nbr: DataFrame, all_splits: DataFrame, topk: int =
     return out.select("split_id", "word", *[v.alias(k) for k, v in zero.items()])
 
 
-def compare_methods(feats: DataFrame, all_splits: DataFrame, stop: DataFrame, ks: Sequence[int] = (5, 10, 20), neg_ratio_train: int = 10, seed: int = 42, eval_full_pool: bool = False) -> tuple[DataFrame, DataFrame]:
+def compare_methods(feats: DataFrame, all_splits: DataFrame, stop: DataFrame, ks: Sequence[int] = KS, neg_ratio_train: int | None = 10, seed: int = 42, eval_full_pool: bool = False, class_weight: bool = True, use_lexical: bool = True, use_full: bool = True) -> tuple[DataFrame, DataFrame]:
     """(split_id, method, k, roc_auc, average_precision, precision, recall, specificity, f1), and the classifiers.
 
     pu_lr learns reference terms against a hashed sample of background words, pu_rn against the background
-    words of lowest centroid similarity; both samples are left out of the evaluation unless eval_full_pool.
+    words of lowest centroid similarity, neg_ratio_train of either for each term (None: all, for both).
+    Both samples are left out of the evaluation unless eval_full_pool; if that leaves no negatives there
+    are no rows. class_weight: both classes weigh alike in training. use_lexical, use_full: with the
+    lexical column, with those over all glossary words. Ties at k go by a hashed order. For the control
+    without signal see splits.randomised.
     """
-    key = ["split_id"]
+    key, full = ["split_id"], ("mindist_all", "avgdist_all", "votetopk_all")
+    feats = feats.drop(*([] if use_lexical else ["lexical"]), *([] if use_full else full))
     columns = [c for c in feats.columns if c not in ("split_id", "word")]
-    feats = models.z_scores(feats, key, ["vote", "centroid", "lexical"])
-    feats = feats.withColumn("hybrid", F.round(F.col("z_vote") + F.col("z_centroid") + F.col("z_lexical"), DIGITS))
+    mixed = ["vote", "centroid", *(["lexical"] if use_lexical else [])]
+    feats = models.z_scores(feats, key, mixed)
+    feats = feats.withColumn("hybrid", F.round(sum((F.col(f"z_{c}") for c in mixed[1:]), F.col(f"z_{mixed[0]}")), DIGITS))
     ref = all_splits.filter("part = 'ref'").select("split_id", "word")
     outside = all_splits.select("word").union(stop.select("word")).distinct()
     background = feats.join(outside, "word", "left_anti")
-    size = F.broadcast(ref.groupBy("split_id").agg((F.count("*") * neg_ratio_train).alias("most")))
-    random = splits.hashed_sample(background.join(size, key), key, F.col("most"), "train", seed)
-    m = F.broadcast(ref.groupBy("split_id").agg(F.count("*").alias("most")))
-    order = curves.Window.partitionBy("split_id").orderBy("centroid", "word")
-    reliable = background.join(m, key).withColumn("_rn", F.row_number().over(order)).filter("_rn <= most").drop("_rn")
+    if neg_ratio_train is None:
+        random = reliable = background
+    else:
+        size = ref.groupBy("split_id").agg((F.count("*") * neg_ratio_train).alias("most"))
+        random = splits.hashed_sample(background.join(size, key), key, F.col("most"), "train", seed)
+        order = curves.Window.partitionBy("split_id").orderBy("centroid", "word")
+        reliable = background.join(size, key).withColumn("_rn", F.row_number().over(order)).filter("_rn <= most").drop("_rn")
     positive = feats.join(ref, ["split_id", "word"], "left_semi")
     both = None
     for clf, negative in (("pu_lr", random), ("pu_rn", reliable)):
         rows = positive.select(*feats.columns).withColumn("label", F.lit(1)).unionByName(negative.select(*feats.columns).withColumn("label", F.lit(0))).withColumn("clf", F.lit(clf))
         both = rows if both is None else both.unionByName(rows)
-    fitted = models.fit_per_key(both, ["split_id", "clf"], columns)
+    fitted = models.fit_per_key(both, ["split_id", "clf"], columns, balanced=class_weight)
     scored = feats
     for clf in ("pu_lr", "pu_rn"):
         scored = models.predict(scored, fitted.filter(F.col("clf") == clf).drop("clf"), key, columns, clf)
-    pool = pools(all_splits, feats.select("word"), stop).filter("part = 'test'").drop("part")
+    tested = all_splits.filter("part = 'test'").select("split_id", "word")
+    negative = scored.join(outside, "word", "left_anti")
     if not eval_full_pool:
         used = random.select("split_id", "word").union(reliable.select("split_id", "word")).distinct()
-        pool = pool.join(used, ["split_id", "word"], "left_anti")
-    scored = scored.withColumn("cnt", F.log1p("cnt"))
-    long = scored.join(pool, ["split_id", "word"]).unpivot(["split_id", "word", "label"], [m for m in METHODS if m in scored.columns], "method", "score")
+        negative = negative.join(used, ["split_id", "word"], "left_anti")
+    pool = scored.join(tested, ["split_id", "word"], "left_semi").withColumn("label", F.lit(1)).unionByName(negative.withColumn("label", F.lit(0)))
+    long = pool.withColumn("cnt", F.log1p("cnt")).unpivot(["split_id", "word", "label"], [m for m in METHODS if m in pool.columns], "method", "score")
     by = ["split_id", "method"]
     points = curves.curve_summary(curves.score_groups(long, by), by).select(*by, "roc_auc", "average_precision")
-    ranks = curves.rank_metrics(long, by, ks).select(*by, "k", "precision", "recall", "specificity", "f1")
+    ties = (splits.hash_order(F.lit(seed), F.lit("ties"), "split_id", "word"), "word")
+    ranks = curves.rank_metrics(long, by, ks, ties=ties).select(*by, "k", "precision", "recall", "specificity", "f1")
     return points.join(ranks, by), fitted
 
 
@@ -188,11 +245,40 @@ def score_words(vecs: DataFrame, counts: DataFrame, glossary: DataFrame, topk: i
     return out.select("word", "mindist_all", "avgdist_all", "votetopk_all", F.col("csim").alias("centroid"), F.log1p(F.coalesce(F.col("cnt"), F.lit(0)).cast("double")).alias("log_count"))
 
 
-def evaluate_scores(long: DataFrame, positives: DataFrame, ks: Sequence[int] = (5, 10, 20)) -> DataFrame:
-    """(method, k, roc_auc, average_precision, precision, recall, specificity, f1) of scores (word, method, score); precision divides by k."""
+def trained_scores(scores: DataFrame, glossary: DataFrame, columns: Sequence[str] = ("avgdist_all", "centroid", "log_count", "mindist_all", "votetopk_all"), reliable: int = 10) -> tuple[DataFrame, DataFrame]:
+    """score_words with pu_lr and pu_rn, and the classifiers (clf, weights, intercept, means, deviations).
+
+    pu_lr learns glossary words against all others, pu_rn against the `reliable` times as many others of
+    lowest centroid similarity; features that are no finite numbers count as 0, and are standardised over
+    all words. All tasks fit together, as the training set is the vocabulary.
+    """
+    known = glossary.select("word").distinct().withColumn("label", F.lit(1))
+    clean = [F.when(scalar.is_finite(F.col(c)), F.col(c)).otherwise(0.0).alias(c) for c in columns]
+    scores = _written(scores)
+    rows = scores.join(known, "word", "left").select("word", F.coalesce("label", F.lit(0)).alias("label"), *clean)
+    stats = rows.agg(*[f(c) for c in columns for f in (F.avg, F.stddev_pop)]).first()
+    scale = {c: (m or 0.0, d or 1.0) for c, m, d in zip(columns, stats[::2], stats[1::2], strict=True)}
+    scaled = rows.select("word", "label", "centroid", *[((F.col(c) - m) / d).alias(f"s_{c}") for c, (m, d) in scale.items()])
+    features = [f"s_{c}" for c in columns]
+    m = max(1, rows.agg(F.sum("label")).first()[0] or 0) * reliable
+    lowest = scaled.filter("label = 0").orderBy("centroid", "word").limit(m)
+    out, fitted = rows.select("word"), None
+    for clf, training in (("pu_lr", scaled), ("pu_rn", scaled.filter("label = 1").unionByName(lowest))):
+        model = models.fit_large(training, features, standardise=False)
+        out = out.join(models.predict(scaled, model, [], features, clf).select("word", clf), "word")
+        model = model.select(F.lit(clf).alias("clf"), "*")
+        fitted = model if fitted is None else fitted.unionByName(model)
+    return scores.join(out, "word"), fitted
+
+
+def evaluate_scores(long: DataFrame, positives: DataFrame, ks: Sequence[int] = KS, ranges: int = 64) -> DataFrame:
+    """(method, k, roc_auc, average_precision, precision, recall, specificity, f1) of scores (word, method, score); precision divides by k.
+
+    A method's curve goes over the whole vocabulary and is shared by tasks in ranges of its scores.
+    """
     known = positives.select("word").distinct().withColumn("label", F.lit(1))
     rows = long.join(known, "word", "left").withColumn("label", F.coalesce("label", F.lit(0)))
-    points = curves.curve_summary(curves.score_groups(rows, ["method"]), ["method"]).select("method", "roc_auc", "average_precision")
+    points = curves.curve_summary(curves.score_groups(rows, ["method"]), ["method"], ranges).select("method", "roc_auc", "average_precision")
     return points.join(curves.rank_metrics(rows, ["method"], ks, divide_by_k=True).select("method", "k", "precision", "recall", "specificity", "f1"), "method")
 
 
@@ -202,7 +288,7 @@ def diagnose(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
     points = curves.curve_summary(curves.score_groups(votes, keys), keys)
     best = curves.best_by(points.select(*keys, "roc_auc"), ["weight_type"], "roc_auc", [F.col("n")])
     ns = votes.agg(F.array_sort(F.collect_set("n")).alias("ns")).select(F.element_at("ns", (F.size("ns") / 2).cast("int") + 1).alias("n"))
-    return best, summary.health_flags(votes.join(F.broadcast(ns), "n"))
+    return best, summary.health_flags(votes.join(ns, "n"))
 
 
 def side_by_side(metrics: DataFrame, value: str = "roc_auc", models_: Sequence[str] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from ..streaming import trainlog as streams
 from . import pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
-K, N_SPLITS, KS = 20, 10, (5, 10, 20)
+K, N_SPLITS, KS, NEAR = 20, 10, (5, 10, 20), 0.15
 #: Width of the event_id ranges in which a log's running minimum is taken.
 CHUNK = 1 << 16
 
@@ -42,17 +42,32 @@ class Fixture:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.raw = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("w"), "vec_id").alias("word"), F.col("embedding").alias("vector"), F.col("label").cast("int").alias("label"))
         self.vecs = vectors.unit_vectors(self.raw)
-        # the planted glossary: the 60 words nearest to w0
-        first = F.broadcast(self.vecs.filter("word = 'w0'").select(F.col("v").alias("v0")))
+        # the planted glossary: the words near w0, about an eighth of all
+        first = self.vecs.filter("word = 'w0'").select(F.col("v").alias("v0"))  # one row
         near = self.vecs.crossJoin(first).select("word", F.round(scalar.dot("v", "v0"), 10).alias("s"))
-        self.glossary = stored(near.orderBy(F.desc("s"), "word").limit(60).select("word"))
+        self.glossary = stored(near.filter(F.col("s") >= NEAR).select("word"))
         self.stop = self.raw.filter("label = 0").select("word").join(self.glossary, "word", "left_anti")
         self.null_glossary = self.raw.filter("label = 3").select("word")
 
+    def lasts(self) -> bool:
+        """Whether the tables written so far can still be read."""
+        try:
+            for name in ("glossary", "splits", "nbr", "features"):
+                if name in self.__dict__:
+                    self.__dict__[name].limit(1).count()
+        except Exception:  # a folder that was cleared: whatever its file system says
+            return False
+        return True
+
     @cached_property
     def splits(self) -> DataFrame:
         return stored(splits.make_splits(self.glossary, N_SPLITS))
 
+    @cached_property
+    def control(self) -> DataFrame:
+        """The splits with their words replaced by others."""
+        return stored(splits.randomised(self.splits, self.raw.join(self.stop, "word", "left_anti")))
+
     @cached_property
     def nbr(self) -> DataFrame:
         """The neighbour store: written once, as every method reads it several times."""
@@ -60,12 +75,12 @@ class Fixture:
 
     @property
     def labelled_nbr(self) -> DataFrame:
-        known = F.broadcast(self.glossary.withColumn("k", F.lit(1)))
+        known = self.glossary.withColumn("k", F.lit(1))
         return self.nbr.join(known.withColumnRenamed("word", "nword"), "nword", "left").withColumn("nlabel", F.coalesce("k", F.lit(0))).drop("k")
 
     @property
     def labels(self) -> DataFrame:
-        known = F.broadcast(self.glossary.withColumn("k", F.lit(1)))
+        known = self.glossary.withColumn("k", F.lit(1))
         return self.raw.select("word").join(known, "word", "left").select("word", F.coalesce("k", F.lit(0)).alias("label"))
 
     @cached_property
@@ -118,6 +133,16 @@ def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {}
+_FIXTURES: dict[tuple[str, str], Fixture] = {}
+
+
+def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
+    """The session's fixture of a folder of tables, whose own tables are written once; built anew if these have gone."""
+    key = spark.sparkContext.applicationId, sf_dir
+    found = _FIXTURES.get(key)
+    if found is None or not found.lasts():
+        found = _FIXTURES[key] = Fixture(spark, sf_dir)
+    return found
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -130,7 +155,7 @@ def query(name: str) -> Callable[[Query], Query]:
 
 def on_fixture(name: str) -> Callable[[Callable[[Fixture], DataFrame]], Callable]:
     def add(f: Callable[[Fixture], DataFrame]) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: rounded(f(Fixture(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(fixture(spark, sf_dir)))
         return f
 
     return add
@@ -187,7 +212,7 @@ def c5_curve_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a8_at_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = curves.score_groups(scored_events(spark, sf_dir), ["key"])
     best = curves.curve_summary(groups, ["key"]).select("key", F.col("ba_threshold").alias("threshold"))
-    return curves.at_threshold(groups.join(F.broadcast(best), "key"), ["key"])
+    return curves.at_threshold(groups.join(best, "key"), ["key"])
 
 
 @query("c_lineitem_curves")
@@ -239,10 +264,10 @@ def a1_majority_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 # lexical
 @query("j6_lexical_similarity")
 def j6_lexical_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names against some of each brand."""
+    """Part names against those of each brand's parts of size 1."""
     parts = table(spark, sf_dir, "part")
     names = parts.select(F.col("p_name").alias("word"))
-    ref = parts.filter("p_partkey % 97 = 0").select(F.col("p_brand").alias("brand"), F.col("p_name").alias("word")).distinct()
+    ref = parts.filter("p_size = 1").select(F.col("p_brand").alias("brand"), F.col("p_name").alias("word")).distinct()
     return lexical.lexical_similarity(names, ref, ["brand"])
 
 
@@ -252,7 +277,7 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("a9_summary")(lambda s, d: summary.normal_ci(summary.summarise(_results(s, d), ["metric"], ddof=0)))
-query("a10_bootstrap")(lambda s, d: summary.bootstrap_ci(_results(s, d), ["metric"], resamples=1000))
+query("a10_bootstrap")(lambda s, d: summary.bootstrap_ci(_results(s, d), ["metric"], resamples=10_000))
 query("a12_histogram")(lambda s, d: summary.histogram(table(s, d, "events").select("event_type", "value"), ["event_type"]))
 query("a7_class_rates")(lambda s, d: summary.class_rates(scored_events(s, d)))
 query("a20_separation")(lambda s, d: summary.separation(scored_events(s, d), ["key"]))
@@ -288,19 +313,27 @@ query("x13_best_checkpoint")(lambda s, d: trainlog.best_checkpoint(perf(s, d)))
 
 @query("x14_run_configs")
 def x14_run_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings nested over the events' props, two documents a run; one of each hundred does not parse."""
-    e = table(spark, sf_dir, "events").filter("event_id % 50 = 0")
+    """Settings nested over the events' props, one document an event; one of each hundred does not parse."""
+    e = table(spark, sf_dir, "events")
     doc = F.format_string('{"a": {"lr": %.3f, "other": [1, {"batch_size": %d}]}, "b": {"learning_rate": 9, "train_batch_size": %d}, "rounds": %d}', F.col("value"), F.col("user_id"), F.col("event_id"), F.dayofmonth("ts"))
     text = F.when(F.col("event_id") % 100 == 0, F.lit("{broken")).otherwise(doc)
-    docs = e.select(F.concat(F.lit("run"), F.col("user_id") % 4).alias("run"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("path"), F.try_parse_json(text).alias("doc"))
-    return configs.run_configs(docs.filter("doc is not null"))
+    return configs.run_configs(e.select(F.concat(F.lit("run"), F.col("user_id") % 4).alias("run"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("path"), text.alias("text")))
+
+
+@query("a25_model_sites")
+def a25_model_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites of the runs: folders name those of even runs, the log those of the others; some have a letter."""
+    logged = trainlog.log_events(log_lines(spark, sf_dir)).filter("site is not null").select("run", "site").distinct()
+    folders = logged.filter("run in ('run0', 'run2')").select("run", "site")
+    runs = logged.select("run").union(spark.range(1).select(F.lit("run9")))
+    return configs.model_sites(runs, folders, logged, {f"c{i}": chr(65 + i) for i in range(12)})
 
 
 # sinks read back
 @query("s3_splits_json")
 def s3_splits_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = files.shared_folder(spark)
-    files.write_splits_json(Fixture(spark, sf_dir).splits, folder)
+    files.write_splits_json(fixture(spark, sf_dir).splits, folder)
     return files.splits_json(spark, folder)
 
 
@@ -314,14 +347,15 @@ def s5_scores_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s6_checkpoint_csv")
 def s6_checkpoint_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = files.shared_folder(spark)
-    rows = perf(spark, sf_dir).filter("run = 'run0'").select(F.concat(F.lit("FL_global_model_"), "round", F.lit(".pt")).alias("model_checkpoint"), F.col("dev_ppl").cast("string").alias("dev_perplexity"), F.when(F.col("round") % 9 == 0, "n/a").otherwise(F.col("test_ppl").cast("string")).alias("test_perplexity"))
-    files.write_csv(rows.unionByName(rows.limit(1).withColumn("model_checkpoint", F.lit("best_FL_global_model.pt"))), folder)
+    rows = perf(spark, sf_dir).select("run", F.concat(F.lit("FL_global_model_"), "round", F.lit(".pt")).alias("model_checkpoint"), F.col("dev_ppl").cast("string").alias("dev_perplexity"), F.when(F.col("round") % 9 == 0, "n/a").otherwise(F.col("test_ppl").cast("string")).alias("test_perplexity"))
+    best = rows.dropDuplicates(["run"]).withColumn("model_checkpoint", F.lit("best_FL_global_model.pt"))
+    rows.unionByName(best).write.partitionBy("run").csv(folder, header=True)
     return files.checkpoint_csv(spark, folder)
 
 
 @query("s10_grid_cell")
 def s10_grid_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, folder = Fixture(spark, sf_dir), files.shared_folder(spark)
+    x, folder = fixture(spark, sf_dir), files.shared_folder(spark)
     files.write_votes(pipelines.approach_scores(x.labelled_nbr).join(x.labels.withColumnRenamed("word", "query"), "query"), folder)
     return files.grid_cell(spark, folder, "votes", "inverse", 7)
 
@@ -330,17 +364,17 @@ query("s11_corpus_tokens")(lambda s, d: files.corpus_tokens(table(s, d, "convers
 
 # pipelines
 on_fixture("x1_grid_evaluate")(lambda x: pipelines.grid_evaluate(neighbours.prefix_votes(x.labelled_nbr).withColumn("score", F.round("vote", 10)).join(x.labels.withColumnRenamed("word", "query"), "query")))
-on_fixture("x2_split_evaluate")(lambda x: pipelines.split_evaluate(neighbours.prefix_votes(x.labelled_nbr).withColumn("score", F.round("vote", 10)).join(x.labels.withColumnRenamed("word", "query"), "query"), splits.make_splits(x.labels, N_SPLITS, strata=["label"]).drop("label")))
+on_fixture("x2_split_evaluate")(lambda x: pipelines.split_evaluate(neighbours.prefix_votes(x.labelled_nbr).withColumn("score", F.round("vote", 10)).join(x.labels.withColumnRenamed("word", "query"), "query"), splits.make_splits(x.labels, N_SPLITS, strata=["label"]).drop("label"), ks=KS))
 for _mode in ("vote", "mindist", "avgdist"):
-    on_fixture(f"x3_list_evaluate_{_mode}")(partial(lambda mode, x: pipelines.list_evaluate(x.nbr, x.splits, x.raw, x.stop, K, mode), _mode))
-on_fixture("x4_approach_evaluate")(lambda x: pipelines.approach_evaluate(x.labelled_nbr, x.labels, splits.make_splits(x.labels, N_SPLITS, strata=["label"]).drop("label")))
-on_fixture("x5_split_report")(lambda x: pipelines.split_report(pipelines.centroid_evaluate(x.vecs, x.splits, x.stop), ["roc_auc", "average_precision", "precision"], ["k"], 1000))
-on_fixture("x6_compare_methods")(lambda x: pipelines.compare_methods(x.features, x.splits, x.stop, neg_ratio_train=2)[0])
-on_fixture("a24_learned_weights")(lambda x: pipelines.compare_methods(x.features, x.splits, x.stop, neg_ratio_train=2)[1].select("clf", F.posexplode("weights").alias("feature", "w")).groupBy("clf", "feature").agg(F.avg("w").alias("mean"), F.stddev_pop("w").alias("std")))
-on_fixture("x7_centroid_evaluate")(lambda x: pipelines.centroid_evaluate(x.vecs, x.splits, x.stop, x.raw.filter("label != 5")))
+    on_fixture(f"x3_list_evaluate_{_mode}")(partial(lambda mode, x: pipelines.list_evaluate(x.nbr, x.splits, x.raw, x.stop, K, mode, ks=KS), _mode))
+on_fixture("x4_approach_evaluate")(lambda x: pipelines.approach_evaluate(x.labelled_nbr, x.labels, splits.make_splits(x.labels, N_SPLITS, strata=["label"]).drop("label"), ks=KS))
+on_fixture("x5_split_report")(lambda x: pipelines.split_report(pipelines.centroid_evaluate(x.vecs, x.splits, x.stop, ks=KS), ["roc_auc", "average_precision", "precision"], ["k"]))
+on_fixture("x6_compare_methods")(lambda x: pipelines.compare_methods(x.features, x.splits, x.stop, KS, eval_full_pool=True)[0])
+on_fixture("a24_learned_weights")(lambda x: pipelines.compare_methods(x.features, x.splits, x.stop, KS, eval_full_pool=True)[1].select("clf", F.posexplode("weights").alias("feature", "w")).groupBy("clf", "feature").agg(F.avg("w").alias("mean"), F.stddev_pop("w").alias("std")))
+on_fixture("x7_centroid_evaluate")(lambda x: pipelines.centroid_evaluate(x.vecs, x.splits, x.stop, x.raw.filter("label != 5"), ks=KS))
 on_fixture("x9_diagnose_best")(lambda x: pipelines.diagnose(neighbours.prefix_votes(x.labelled_nbr).withColumn("score", F.round("vote", 10)).join(x.labels.withColumnRenamed("word", "query"), "query"))[0])
 on_fixture("x10_score_words")(lambda x: pipelines.score_words(x.vecs, x.raw.select("word", (F.col("label") * 3).alias("cnt")), x.glossary))
-on_fixture("x10_evaluate_scores")(lambda x: pipelines.evaluate_scores(pipelines.score_words(x.vecs, x.raw.select("word", (F.col("label") * 3).alias("cnt")), x.glossary).unpivot("word", ["centroid", "log_count", "avgdist_all"], "method", "score"), x.null_glossary))
+on_fixture("x10_evaluate_scores")(lambda x: pipelines.evaluate_scores(pipelines.score_words(x.vecs, x.raw.select("word", (F.col("label") * 3).alias("cnt")), x.glossary).unpivot("word", ["centroid", "log_count", "avgdist_all"], "method", "score"), x.null_glossary, KS))
 query("x15_side_by_side")(lambda s, d: pipelines.side_by_side(_results(s, d).select(F.col("metric").alias("method"), F.concat(F.lit("m"), F.col("key") % 2).alias("model"), F.col("value").alias("roc_auc")), models_=["m0", "m1"]))
 
 
@@ -369,15 +403,14 @@ def s9_config_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = files.shared_folder(spark)
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
     doc = F.when(F.col("user_id") % 10 == 0, "{broken").otherwise(F.format_string('{"t": {"batch_size": %d}}', "n"))
-    paths = e.select(F.concat(F.lit("u"), "user_id").alias("run"), doc.alias("value"))
-    paths.repartition("run").write.partitionBy("run").text(folder)
-    whole = spark.read.option("wholetext", True).text(folder).withColumn("doc", F.try_parse_json(F.trim("value")))
-    return configs.run_configs(whole.filter("doc is not null").select("run", F.lit("").alias("path"), "doc"))
+    e.select(F.concat(F.lit("u"), "user_id").alias("run"), doc.alias("value")).repartition("run").write.partitionBy("run").text(folder)
+    docs = files.config_docs(spark, folder, "*.txt")
+    return configs.run_configs(docs.withColumn("run", F.substring("run", 5, 100)))
 
 
 on_fixture("s12_restrict_vocabulary")(lambda x: x.vecs.select("word").join(x.nbr.select(F.col("nword").alias("word")).distinct(), "word", "left_semi"))
 query("p13_model_names")(lambda s, d: configs.model_name(trainlog.log_events(log_lines(s, d)).filter("site is not null").select("run", F.concat(F.lit("s"), F.length("site")).alias("site"))))
-query("t11_longest_run")(lambda s, d: trainlog.longest_run(trainlog.log_events(log_lines(s, d)).filter("round <= 20 or run = 'run2'")))
+query("t11_longest_run")(lambda s, d: trainlog.longest_run(trainlog.log_events(log_lines(s, d))))
 
 
 @on_fixture("x8_split_counts")
@@ -402,13 +435,105 @@ on_fixture("u4_used_negatives")(x8_used)
 on_fixture("x9_diagnose_flags")(lambda x: pipelines.diagnose(neighbours.prefix_votes(x.labelled_nbr).withColumn("score", F.round("vote", 10)).join(x.labels.withColumnRenamed("word", "query"), "query"))[1].select("n", "n_nan", "n_inf", F.array_join("labels", ",").alias("labels"), F.array_join("flags", ",").alias("flags")))
 
 
+def _log_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The log as a stream of four batches, in the order of their lines."""
+    lines = log_lines(spark, sf_dir)
+    lines.write.parquet(f"{folder}/all")
+    lines = spark.read.parquet(f"{folder}/all")
+    low, high, n = lines.agg(F.min("line"), F.max("line"), F.count("*")).first()
+    cuts = [low + (high + 1 - low) * i // 4 for i in range(5)] if n else []
+    each = max(1, n // 4_000_000)  # files of a batch
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        lines.filter((F.col("line") >= a) & (F.col("line") < b)).repartition(each).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", each).parquet(f"{folder}/in" if n else f"{folder}/all")
+
+
+def _last_of_batches(df: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """An update stream run to its end; of each key the row of the last batch that changed it."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/out")
+
+    df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    rest = [c for c in df.columns if c not in keys]
+    last = df.sparkSession.read.parquet(f"{folder}/out").groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x"))
+    return last.select(*keys, "x.*")
+
+
 @query("r1_pair_stream")
 def r1_pair_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as a stream of files, paired with state kept per run and site, into a table."""
     folder = files.shared_folder(spark)
-    lines = log_lines(spark, sf_dir)
-    lines.repartitionByRange(4, "line").write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(lines.schema).parquet(f"{folder}/in")
-    run = streams.pair_stream(stream).writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    stream = streams.pair_stream(_log_stream(spark, sf_dir, folder))
+    run = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(streams.PAIR).parquet(f"{folder}/out")
+
+
+@query("r2_best_stream")
+def r2_best_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best so far of each run, as the stream leaves it."""
+    folder = files.shared_folder(spark)
+    return _last_of_batches(streams.best_stream(_log_stream(spark, sf_dir, folder)), folder, ["run"])
+
+
+@query("r2_round_average_stream")
+def r2_round_average_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running mean losses of the rounds over a stream of pairs, as the stream leaves them."""
+    folder = files.shared_folder(spark)
+    events = trainlog.log_events(log_lines(spark, sf_dir))
+    trainlog.pair_metrics(events).select("run", "site", "line", "round", "value").repartition(4).write.parquet(f"{folder}/in")
+    pairs = spark.readStream.schema(streams.PAIR).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    return _last_of_batches(streams.round_average_stream(pairs), folder, ["run", "round"])
+
+
+# stores, lists to splits, tables of results
+@on_fixture("k2_neighbour_store")
+def k2_neighbour_store(x: Fixture) -> DataFrame:
+    """Neighbours written as numbers and read back as words."""
+    folder = files.shared_folder(x.raw.sparkSession)
+    files.write_neighbours(x.nbr, folder)
+    return files.read_neighbours(x.raw.sparkSession, folder)
+
+
+@on_fixture("k5_vectors")
+def k5_vectors(x: Fixture) -> DataFrame:
+    """Unit vectors written and read back, at length one again."""
+    folder = files.shared_folder(x.raw.sparkSession)
+    files.write_vectors(x.vecs, folder)
+    return x.raw.sparkSession.read.parquet(folder).select("word", scalar.norm("v").alias("length"), F.size("v").alias("dims"))
+
+
+def _master(x: Fixture) -> DataFrame:
+    """A master list: words of two labels, and as many that no class is known for; classes of some stand several times."""
+    words = x.raw.filter("label in (1, 3)").select("word").union(x.raw.filter("label = 5").select(F.concat(F.lit("no-"), "word")))
+    return splits.matched_list(words, x.stop, x.labels.unionByName(x.labels.filter("word like '%3'").withColumn("label", 1 - F.col("label"))))
+
+
+on_fixture("x17_list_to_splits")(lambda x: splits.splits_of_list(_master(x), N_SPLITS, neg_ratio=4.0))
+on_fixture("j11_list_counts")(lambda x: splits.list_counts(_master(x)))
+on_fixture("p8_keep_last")(lambda x: vectors.keep_one(x.raw.select("label", F.substring("word", 2, 18).cast("bigint").alias("at"), "word"), "label", ["at"], last=True))
+on_fixture("u5_ref_pools")(lambda x: pipelines.pools(x.splits, x.raw, x.stop, background="ref").groupBy("split_id", "part", "label").agg(F.count("*").alias("n"), F.min("word").alias("first")))
+
+
+@on_fixture("a16_enrichment")
+def a16_enrichment(x: Fixture) -> DataFrame:
+    """Test terms among the first words by centroid similarity, against chance."""
+    found = pipelines.centroid_evaluate(x.vecs, x.splits, x.stop, ks=KS)
+    counts = found.select("split_id", "pos", "neg").distinct()
+    return summary.enrichment(summary.chance_levels(counts, KS, ["split_id"]), found.select("split_id", "k", "precision"))
+
+
+query("a23_metric_table")(lambda s, d: summary.metric_table(_results(s, d).withColumn("method", F.concat(F.lit("m"), F.col("key") % 3)), ["roc_auc", "average_precision"]))
+
+
+@query("m4_fixed_weights")
+def m4_fixed_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events scored by a classifier that is given; a feature that is no number has no part."""
+    e = scored_events(spark, sf_dir).select("key", "event_id", "score", F.when(F.col("event_id") % 7 == 0, float("nan")).otherwise(F.col("event_id") % 10).alias("digit"))
+    given = spark.createDataFrame([([0.5, -1.25], 0.75, [40.0, 4.5], [12.0, 3.0])], "weights array<double>, intercept double, means array<double>, deviations array<double>")
+    return models.predict(e, given, [], ["score", "digit"], "p").select("key", "event_id", "p")
+
+
+on_fixture("x10_trained_scores")(lambda x: pipelines.trained_scores(pipelines.score_words(x.vecs, x.raw.select("word", (F.col("label") * 3).alias("cnt")), x.glossary), x.glossary)[0].select("word", "pu_lr", "pu_rn"))
+on_fixture("x6_randomised")(lambda x: pipelines.compare_methods(pipelines.features(x.vecs, x.nbr, x.control), x.control, x.stop, KS, eval_full_pool=True)[0])

@@ -23,8 +23,12 @@ def word_list(spark: SparkSession, path: str, mode: str = "line") -> DataFrame:
 
 
 def splits_json(spark: SparkSession, path: str) -> DataFrame:
-    """(split_id, part, pos, word) of {"0": {"ref": [...], ...}, ...} or of a list of such objects."""
-    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("t"))
+    """(split_id, part, pos, word) of {"0": {"ref": [...], ...}, ...} or of a list of such objects.
+
+    A file is one such document, however it is broken into lines, or holds one object a line, as
+    write_splits_json writes them.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.trim("value"), r"(?<=\})\s*\n\s*(?=\{)")).alias("t"))
     parts = "struct<ref:array<string>,dev:array<string>,test:array<string>>"
     as_map = whole.filter("t like '{%'").select(F.explode(F.from_json("t", f"map<string,{parts}>")).alias("split_id", "p"))
     as_list = whole.filter("t like '[%'").select(F.posexplode(F.from_json("t", f"array<{parts}>")).alias("split_id", "p"))
@@ -34,25 +38,24 @@ def splits_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_splits_json(splits: DataFrame, path: str) -> None:
-    """Splits as one JSON object; words are in the order of their names."""
+    """Splits as JSON objects of one split each, a line of text each; words are in the order of their names."""
     words = splits.groupBy("split_id", "part").agg(F.array_sort(F.collect_list("word")).alias("words"))
     one = words.groupBy("split_id").agg(F.map_from_entries(F.collect_list(F.struct("part", "words"))).alias("m"))
-    all_ = one.agg(F.map_from_entries(F.collect_list(F.struct(F.col("split_id").cast("string").alias("k"), "m"))).alias("m"))
-    all_.select(F.to_json("m").alias("value")).coalesce(1).write.text(path)
+    one.select(F.to_json(F.create_map(F.col("split_id").cast("string"), "m")).alias("value")).write.text(path)
 
 
 def scores_csv(spark: SparkSession, path: str) -> DataFrame:
     """(word, method, score) of a CSV with a column per method."""
-    df = spark.read.csv(path, header=True, inferSchema=True)
+    df = spark.read.csv(path, header=True)
     methods = [c for c in df.columns if c != "word"]
     return df.select("word", *[F.col(c).cast("double").alias(c) for c in methods]).unpivot("word", methods, "method", "score")
 
 
 def checkpoint_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(round, dev_ppl, test_ppl); rows that name no round or hold no numbers are left out."""
+    """([run,] round, dev_ppl, test_ppl); rows that name no round or hold no numbers are left out. Folders run=<name> give the run."""
     df = spark.read.csv(path, header=True)
     at = F.regexp_extract("model_checkpoint", r"^FL_global_model_([0-9]+)\.pt$", 1).try_cast("int")
-    rows = df.select(at.alias("round"), F.col("dev_perplexity").try_cast("double").alias("dev_ppl"), F.col("test_perplexity").try_cast("double").alias("test_ppl"))
+    rows = df.select(*(["run"] if "run" in df.columns else []), at.alias("round"), F.col("dev_perplexity").try_cast("double").alias("dev_ppl"), F.col("test_perplexity").try_cast("double").alias("test_ppl"))
     return rows.dropna()
 
 
@@ -79,12 +82,11 @@ def numbered_log_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("run", parts[0].cast("bigint").alias("line"), parts[1].alias("text"))
 
 
-def config_docs(spark: SparkSession, path: str) -> DataFrame:
-    """(run, path, doc variant) of all JSON files below a folder; a run is a file's folder; unreadable files are left out."""
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
+def config_docs(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """(run, path, text) of all files of a pattern below a folder, a file being one document; a run is a file's folder."""
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     file = F.col("_metadata.file_path")
-    docs = whole.select(F.regexp_extract(file, r"([^/]+)/[^/]+$", 1).alias("run"), file.alias("path"), F.try_parse_json("value").alias("doc"))
-    return docs.filter("doc is not null")
+    return whole.select(F.regexp_extract(file, r"([^/]+)/[^/]+$", 1).alias("run"), file.alias("path"), F.col("value").alias("text"))
 
 
 def corpus_tokens(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -109,15 +111,42 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def vocabulary_ids(words: DataFrame, columns: Sequence[str] = ("word",)) -> DataFrame:
-    """(word, id): distinct words numbered by name from 0, without sorting all of them in one task.
+    """(word, id): distinct words numbered by name from 0, in ranges of words: no task sorts or numbers all of them.
 
-    Words are ranged by their first byte's hex, numbered in each range, and shifted by the ranges before.
+    The ranges are written to the shared folder, numbered within, and shifted by the sizes of those before.
     """
-    long = words.select(F.explode(F.array(*columns)).alias("word")).distinct().withColumn("b", F.hex(F.substring("word", 1, 1)))
     from pyspark.sql import Window
 
-    sizes = long.groupBy("b").count()
-    offset = F.coalesce(F.sum("count").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("b", offset.alias("start"))  # at most one row per first character
-    rn = F.row_number().over(Window.partitionBy("b").orderBy("word"))
-    return long.withColumn("rn", rn).join(F.broadcast(starts), "b").select("word", (F.col("rn") - 1 + F.col("start")).alias("id"))
+    spark, folder = words.sparkSession, shared_folder(words.sparkSession)
+    long = words.select(F.explode(F.array(*columns)).alias("word")).filter("word is not null").distinct()
+    long.repartitionByRange("word").sortWithinPartitions("word").withColumn("m", F.monotonically_increasing_id()).write.parquet(folder)
+    # the upper bits of m tell the range, the lower 33 the place in it
+    ranged = spark.read.parquet(folder).select("word", F.shiftright("m", 33).alias("range"), F.col("m").bitwiseAND((1 << 33) - 1).alias("at"))
+    sizes = ranged.groupBy("range").count()  # a row for each range
+    starts = sizes.select("range", F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    return ranged.join(starts, "range").select("word", (F.col("at") + F.col("start")).alias("id"))
+
+
+def write_vectors(vecs: DataFrame, path: str) -> None:
+    """Word vectors (word, v) as Parquet, sorted by word within each file, so that a word's row group is found by its name."""
+    vecs.repartitionByRange("word").sortWithinPartitions("word").write.parquet(path)
+
+
+def write_neighbours(nbr: DataFrame, path: str) -> None:
+    """A neighbour store of (query, rank, nword, distance): vocabulary (word, id), and lists (query_id, neighbour_ids, distances).
+
+    A list's neighbours are in the order of their ranks; words stand as numbers.
+    """
+    vocabulary_ids(nbr, ("query", "nword")).write.parquet(f"{path}/vocabulary")
+    ids = nbr.sparkSession.read.parquet(f"{path}/vocabulary")
+    coded = nbr.join(ids.withColumnsRenamed({"word": "query", "id": "query_id"}), "query").join(ids.withColumnsRenamed({"word": "nword", "id": "nid"}), "nword")
+    lists = coded.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "nid", "distance"))).alias("x"))
+    lists.select("query_id", F.transform("x", lambda s: s["nid"]).alias("neighbour_ids"), F.transform("x", lambda s: s["distance"]).alias("distances")).write.parquet(f"{path}/lists")
+
+
+def read_neighbours(spark: SparkSession, path: str) -> DataFrame:
+    """(query, rank, nword, distance) of a neighbour store, numbers turned into words again."""
+    ids = spark.read.parquet(f"{path}/vocabulary")
+    rows = spark.read.parquet(f"{path}/lists").select("query_id", F.posexplode(F.arrays_zip("neighbour_ids", "distances")).alias("at", "n"))
+    rows = rows.select("query_id", (F.col("at") + 1).alias("rank"), F.col("n.neighbour_ids").alias("nid"), F.col("n.distances").alias("distance"))
+    return rows.join(ids.withColumnsRenamed({"word": "query", "id": "query_id"}), "query_id").join(ids.withColumnsRenamed({"word": "nword", "id": "nid"}), "nid").select("query", "rank", "nword", "distance")

@@ -13,26 +13,37 @@ from ..operators.trainlog import log_events
 PAIR = "run string, site string, line bigint, round int, value double"
 
 
-def pair_stream(lines: DataFrame) -> DataFrame:
+def pair_stream(lines: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """(run, site, line, round, value) as they are accepted, from a stream of (run, line, text).
 
-    State per run and site: the stack of metrics that are not yet taken. Within a batch lines are put in
-    order; across batches a site's lines must arrive in order, as an appended log does. Write it in append mode.
+    State per run and site: the stack of metrics that are not yet taken, and the last line seen; it ends
+    when the site has sent nothing for idle_ms, if that is given (not for availableNow, whose query would
+    wait for the time to pass). Within a batch lines are put in order. Across batches a site's lines must
+    arrive in order, as an appended log does: a late one would pair wrongly and is an error. Write it in
+    append mode.
     """
     events = log_events(lines).filter(F.col("kind").isin("metric", "accept"))
 
     def pair(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        stack = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        stack, last = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
         out = []
         for e in pd.concat(list(batches)).sort_values("line").itertuples():
+            if last is not None and e.line <= last:
+                raise ValueError(f"line {e.line} of {key} came after line {last}")
+            last = int(e.line)
             if e.kind == "metric":
                 stack.append(float(e.value))
             elif stack:
                 out.append((*key, int(e.line), int(e.round), stack.pop()))
-        state.update((stack,))
+        state.update((stack, last))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["run", "site", "line", "round", "value"])
 
-    return events.groupBy("run", "site").applyInPandasWithState(pair, PAIR, "stack array<double>", "append", "NoTimeout")
+    return events.groupBy("run", "site").applyInPandasWithState(pair, PAIR, "stack array<double>, last bigint", "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout")
 
 
 def round_average_stream(pairs: DataFrame) -> DataFrame:

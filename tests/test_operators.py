@@ -1,5 +1,6 @@
 """Operators on small tables with results known by hand or by brute force."""
 
+import hashlib
 import math
 import random
 
@@ -94,10 +95,119 @@ def test_splits_partition_the_words(spark):
 
 def test_randomised_maps_each_word_once(spark):
     s = splits.make_splits(spark.createDataFrame([(f"w{i}",) for i in range(30)], "word string"), 2)
-    pool = spark.createDataFrame([(f"p{i}",) for i in range(40)], "word string")
+    pool = spark.createDataFrame([(f"p{i}",) for i in range(40)] + [(f"w{i}",) for i in range(30)], "word string")
     out = splits.randomised(s, pool)
     assert out.count() == 60 and out.select("word").distinct().count() == 30
+    assert out.filter("word like 'w%'").count() == 0  # no true term stands for another
     assert rows(splits.verify_splits(out), "repeated", "shared") == [(0, 0)] * 2
+    with pytest.raises(ValueError, match="30 words to replace, but only 5"):
+        splits.randomised(s, pool.filter("word like 'w%'").union(pool.filter("word in ('p1', 'p2', 'p3', 'p4', 'p5')")))
+
+
+def test_curves_by_ranges_equal_whole_curves(spark):
+    random.seed(4)
+    data = [(k, round(random.gauss(0, 1), 2), int(random.random() < 0.2)) for k in "ab" for _ in range(500)] + [("c", 1.0, 1)]
+    groups = curves.score_groups(spark.createDataFrame(data, "k string, score double, label int"), ["k"])
+    for f in (curves.curve_points, curves.curve_summary):
+        whole, cut = f(groups, ["k"]), f(groups, ["k"], 7)
+        near = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*whole.columns).fillna(-1).collect())
+        assert near(whole) == near(cut)
+
+
+def test_vocabulary_ids_over_several_ranges(spark, tmp_path):
+    words = sorted({f"a{random.randint(0, 10**6)}" for _ in range(500)})
+    df = spark.createDataFrame([(w,) for w in words * 2] + [(None,)], "word string")
+    assert rows(files.vocabulary_ids(df), "word", "id") == list(zip(words, range(len(words)), strict=True))
+    nbr = spark.createDataFrame([("x", 1, "y", 0.1), ("x", 2, "z", 0.2), ("y", 1, "x", 0.1)], "query string, rank int, nword string, distance double")
+    files.write_neighbours(nbr, str(tmp_path / "store"))
+    assert rows(files.read_neighbours(spark, str(tmp_path / "store")), *nbr.columns) == rows(nbr, *nbr.columns)
+
+
+def test_log_lines_may_hold_any_white_space(spark):
+    text = ["validation metric  -0.5 from client\ts1", "Contribution from  s1  ACCEPTED by the aggregator at round  3", "new best validation metric at round 4:  -1.5e-1", "Round  5 started", "Round started"]
+    got = rows(trainlog.log_events(spark.createDataFrame([("r", i, t) for i, t in enumerate(text)], "run string, line bigint, text string")), "line", "kind", "round", "value")
+    assert got == [(0, "metric", None, -0.5), (1, "accept", 3, None), (2, "best", 4, -0.15), (3, "round", 5, None)]
+
+
+def test_missing_features_are_left_out_of_means(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(0, 1, 2.0, nan), (0, 1, 4.0, nan), (0, 0, nan, nan), (0, 0, 0.0, nan)], "k int, label int, a double, b double")
+    m = models.fit_per_key(df, ["k"], ["a", "b"]).first()
+    assert m["means"] == [2.0, 0.0] and m["deviations"][0] == pytest.approx(math.sqrt(8 / 3)) and m["weights"][1] == 0.0
+    p = [r["score"] for r in models.predict(df, models.fit_per_key(df, ["k"], ["a", "b"]), ["k"], ["a", "b"]).collect() if math.isnan(r["a"])]
+    assert p[0] == pytest.approx(1 / (1 + math.exp(-m["intercept"])))
+
+
+def test_fit_over_all_tasks_equals_newton(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 2)) * [1, 5] + [0, 3]
+    y = (x[:, 0] + 0.5 * rng.normal(size=150) > 0.5).astype(int)
+    df = spark.createDataFrame([(0, int(b), *map(float, a)) for a, b in zip(x, y, strict=True)], "k int, label int, a double, b double")
+    for balanced in (True, False):
+        one, all_ = models.fit_per_key(df, ["k"], ["a", "b"], balanced=balanced).first(), models.fit_large(df, ["a", "b"], balanced=balanced).first()
+        assert all_["weights"] == pytest.approx(one["weights"], abs=1e-3) and all_["intercept"] == pytest.approx(one["intercept"], abs=1e-3)
+
+
+def test_compare_methods_against_plain_python(spark):
+    """Scores and metrics of one split; both classifiers by Newton's method on the same samples; the options."""
+    rng = np.random.default_rng(11)
+    names = [f"w{i:02}" for i in range(60)]
+    parts = {"ref": names[:8], "dev": names[8:10], "test": names[10:16]}
+    columns = ["vote", "centroid", "lexical", "cnt"]
+    table = {w: rng.normal(size=4).round(3) + (1.0 if i < 16 else 0.0) for i, w in enumerate(names)}
+    feats = spark.createDataFrame([(0, w, *map(float, np.abs(v) if c else v)) for c, (w, v) in ((0, x) for x in table.items())], "split_id int, word string, vote double, centroid double, lexical double, cnt double").withColumn("cnt", F.abs("cnt"))
+    table = {w: np.r_[v[:3], abs(v[3])] for w, v in table.items()}
+    sp = spark.createDataFrame([(0, p, w) for p, ws in parts.items() for w in ws], "split_id int, part string, word string")
+    stop = spark.createDataFrame([("w59",)], "word string")
+    out, fitted = pipelines.compare_methods(feats, sp, stop, ks=(5,), neg_ratio_train=2)
+    got = {r["method"]: r for r in out.collect()}
+    free = names[16:59]
+    key = lambda w: hashlib.md5(f"42/train/0/{w}".encode()).hexdigest()
+    samples = {"pu_lr": sorted(free, key=lambda w: (key(w), w))[:16], "pu_rn": sorted(free, key=lambda w: (table[w][1], w))[:16]}
+    used = set(samples["pu_lr"]) | set(samples["pu_rn"])
+    tested = [*parts["test"], *(w for w in free if w not in used)]
+    z = lambda c: (lambda a: (a - a.mean()) / a.std())(np.array([table[w][c] for w in names]))
+    mix = dict(zip(names, (z(0) + z(1) + z(2)).round(10), strict=True))
+    scores = {"vote": {w: table[w][0] for w in names}, "hybrid": mix}
+    for clf, negative in samples.items():
+        x = np.array([table[w] for w in [*parts["ref"], *negative]])
+        mean, dev = x.mean(0), x.std(0)
+        w_ = models.newton_logistic((x - mean) / dev, np.array([1.0] * 8 + [0.0] * 16))
+        scores[clf] = {w: 1 / (1 + math.exp(-((table[w] - mean) / dev @ w_[:4] + w_[4]))) for w in names}
+        assert [r for r in fitted.collect() if r["clf"] == clf][0]["weights"] == pytest.approx(w_[:4].tolist(), rel=1e-6)
+    for method, s in scores.items():
+        assert got[method]["roc_auc"] == pytest.approx(_auc([(s[w], w in parts["test"]) for w in tested]), abs=1e-9)
+        first = sorted(tested, key=lambda w: -s[w])[:5]
+        assert got[method]["precision"] == pytest.approx(sum(w in parts["test"] for w in first) / 5)
+    fewer, _ = pipelines.compare_methods(feats, sp, stop, ks=(5,), neg_ratio_train=None, eval_full_pool=True, class_weight=False, use_lexical=False)
+    by = {r["method"]: r["roc_auc"] for r in fewer.collect()}
+    assert "lexical" not in by and by["pu_lr"] == pytest.approx(by["pu_rn"])
+
+
+def test_list_evaluation_counts_the_background(spark):
+    """With and without listing the background the same rows come out, for reports longer than the scored words."""
+    nbr = spark.createDataFrame([(f"w{i:02}", r, f"w{(i * 7 + r * 3) % 40:02}", 0.1 * r) for i in range(40) for r in (1, 2, 3)], "query string, rank int, nword string, distance double")
+    words = spark.createDataFrame([(f"w{i:02}",) for i in range(40)], "word string")
+    sp = splits.make_splits(words.filter("word < 'w20'"), 3)
+    stop = words.filter("word = 'w39'")
+    sparse = pipelines.list_evaluate(nbr, sp, words, stop, 3, ks=(2, 15, 100))
+    scores = neighbours.list_scores(nbr, sp.filter("part = 'ref'").select("split_id", "word"), ["split_id"], 3)
+    listed = pipelines.select_and_test(scores, pipelines.pools(sp, words, stop), ["weight_type", "n"], [pipelines.weight_order(), F.col("n")], 0.0, ks=(2, 15, 100))
+    names = [c for c in sparse.columns if c != "precision_at_100"]
+    assert rows(sparse, *names) == rows(listed, *names) and sparse.count() == 3
+    # a report longer than the pool divides by the pool
+    assert all(0 < r["precision_at_100"] <= 1 for r in sparse.collect())
+
+
+def test_control_lists_and_sites(spark):
+    runs = spark.createDataFrame([("1",), ("2",), ("3",)], "run string")
+    pairs = lambda *x: spark.createDataFrame(x, "run string, site string")
+    got = rows(configs.model_sites(runs, pairs(("1", "b"), ("1", "x")), pairs(("1", "a"), ("2", "b"), ("2", "a")), {"a": "A", "b": "B"}), "run", "sites", "model")
+    assert got == [("1", "b", "Model B"), ("2", "a, b", "Model AB"), ("3", "?", "model_3")]
+    classes = spark.createDataFrame([("a", 1), ("a", 0), ("b", 1), ("s", 1)], "word string, label int")
+    matched = splits.matched_list(spark.createDataFrame([("a",), ("b",), ("b",), ("n",), ("s",)], "word string"), spark.createDataFrame([("s",)], "word string"), classes)
+    assert rows(matched.fillna(9), "word", "label") == [("a", 0), ("b", 1), ("n", 9)]
+    assert tuple(splits.list_counts(matched).first()) == (3, 2, 1, 1)
 
 
 def test_knn_equals_brute_force(spark):
@@ -200,9 +310,9 @@ def test_best_checkpoint_prefers_the_first(spark):
 
 
 def test_configs_take_the_first_alias(spark):
-    docs = spark.createDataFrame([("r", "b", '{"lr": 5}'), ("r", "a", '{"x": [{"learning_rate": 0.1}], "z": {"lr": 3}, "rounds": 7}'), ("r", "c", "{bad")], "run string, path string, t string")
-    docs = docs.select("run", "path", F.try_parse_json("t").alias("doc")).filter("doc is not null")
-    assert rows(configs.run_configs(docs), "key", "value") == [("learning_rate", "0.1"), ("rounds", "7")]
+    deep = '{"a": [' * 60 + '{"bs": 16, "bias": null}' + "]}" * 60
+    docs = spark.createDataFrame([("r", "b", '{"lr": 5}'), ("r", "a", '{"z": [{"learning_rate": 0.1}], "c": {"lr": 3}, "rounds": 7}'), ("r", "c", "{bad"), ("r", "d", deep), ("r", "e", None)], "run string, path string, text string")
+    assert rows(configs.run_configs(docs), "key", "value") == [("batch_size", "16"), ("bias", "null"), ("lr", "0.1"), ("num_rounds", "7")]
 
 
 def test_word_lists_and_splits_files(spark, tmp_path):
@@ -222,7 +332,7 @@ def test_log_config_and_checkpoint_files(spark, tmp_path):
         (tmp_path / "conf" / run).mkdir(parents=True)
         (tmp_path / "conf" / run / "c.json").write_text(text)
     docs = files.config_docs(spark, str(tmp_path / "conf"))
-    assert rows(configs.run_configs(docs), "run", "key", "value") == [("r1", "learning_rate", "0.1")]
+    assert rows(configs.run_configs(docs), "run", "key", "value") == [("r1", "lr", "0.1")]
     (tmp_path / "p.csv").write_text("model_checkpoint,dev_perplexity,test_perplexity\nFL_global_model_3.pt,1.5,2\nbest_FL_global_model.pt,1,1\nFL_global_model_4.pt,x,2\n")
     assert rows(files.checkpoint_csv(spark, str(tmp_path / "p.csv")), "round", "dev_ppl", "test_ppl") == [(3, 1.5, 2.0)]
 
