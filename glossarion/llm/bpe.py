@@ -215,7 +215,7 @@ class Bpe:
         if len(self.cache) > CACHED_WORDS or self.cached_chars > CACHED_CHARS:
             self.cache.clear()
             self.cached_chars = 0
-        self.learn({w for parts in cut for _, words in parts for w in words or ()} - self.cache.keys())
+        self.learn(set().union(*(words for parts in cut for _, words in parts if words)) - self.cache.keys())
         get = self.cache.__getitem__
         if count:
             return [sum(1 if s else sum(map(len, map(get, words))) // 4 for s, words in parts) for parts in cut]
