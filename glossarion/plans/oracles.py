@@ -178,7 +178,7 @@ ORACLES: dict[str, str] = {
     "p11_pools": _q("from pool", _VECS, _SPLITS, _POOLS.format(words="raw")),
     "g3_pools": _q("from positive union all select split_id, part, word, 0 from (select *, row_number() over (partition by split_id, part order by md5(concat_ws('/', 42, part, split_id, word)), word) rn from pool where label = 0) join (select split_id, part, count(*) c from positive group by all) using (split_id, part) where rn <= floor(c * 3.0)", _VECS, _SPLITS, _POOLS.format(words="raw")),
     "g4_training_sample": _q("select label, word from (select *, row_number() over (partition by label order by md5(concat_ws('/', 42, 'train', label, word)), word) rn from raw where word not in (from glossary)) where rn <= 5", _VECS),
-    "g5_randomised": _q("select split_id, part, b.word from splits s join a using (word) join b using (rn)", _VECS, _SPLITS, "a as (select word, row_number() over (order by md5(concat_ws('/', 42, 'terms', word)), word) rn from (select distinct word from splits)), b as (select word, row_number() over (order by md5(concat_ws('/', 42, 'pool', word)), word) rn from (select distinct word from raw where word not in (from stop)))"),
+    "g5_randomised": _q("select split_id, part, b.word from splits s join a using (word) join b using (rn)", _VECS, _SPLITS, "a as (select word, row_number() over (order by md5(concat_ws('/', 42, 'terms', word)), word) rn from (select distinct word from splits)), b as (select word, row_number() over (order by md5(concat_ws('/', 42, 'pool', word)), word) rn from (select distinct word from raw where word not in (from stop) and word not in (select word from splits)))"),
     "u1_master_list": _q("select distinct word from splits where word not in (from stop)", _VECS, _SPLITS),
     "u2_master_stop": _q("select distinct word from raw where label < 2 and word in (from glossary)", _VECS),
     "t6_reliable_negatives": _q("select split_id, word, round(csim, 6) csim from (select *, row_number() over (partition by split_id order by csim, word) rn from csims) where rn <= 15", _VECS, _SPLITS, _CENTROID),
