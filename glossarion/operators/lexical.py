@@ -25,9 +25,9 @@ def tfidf(grams: DataFrame, fitted: DataFrame) -> DataFrame:
 
     fitted: gram_counts of the words that idf is counted on.
     """
-    n = fitted.select("word").distinct().agg(F.count("*").alias("n_words"))
+    n = fitted.select("word").distinct().agg(F.count("*")).scalar()
     df = fitted.groupBy("ngram").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(n).select("ngram", (F.log((1.0 + F.col("n_words")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    idf = df.select("ngram", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     rows = grams.join(idf, "ngram").select("word", "ngram", (F.col("tf") * F.col("idf")).alias("x"))
     norms = rows.groupBy("word").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
     return rows.join(norms, "word").select("word", "ngram", (F.col("x") / F.col("len")).alias("w"))

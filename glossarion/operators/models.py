@@ -92,7 +92,10 @@ def fit_large(training: DataFrame, features: Sequence[str], label: str = "label"
 
 def predict(df: DataFrame, models: DataFrame, keys: Sequence[str], features: Sequence[str], name: str = "score") -> DataFrame:
     """df with the probability of class 1 by its key's classifier; a feature that is NaN or null has no part in it."""
-    joined = df.join(models, list(keys)) if keys else df.crossJoin(models)  # without keys: one row
+    if keys:
+        joined = df.join(models, list(keys))
+    else:  # one row
+        joined = df.withColumn("_model", models.select(F.struct(*models.columns)).scalar()).select(*df.columns, "_model.*")
     terms = [F.nanvl(F.coalesce((F.col(f).cast("double") - F.col("means")[i]) / F.col("deviations")[i], F.lit(0.0)), F.lit(0.0)) * F.col("weights")[i] for i, f in enumerate(features)]
     z = sum(terms, F.col("intercept"))
     return joined.withColumn(name, 1 / (1 + F.exp(-z))).select(*df.columns, name)

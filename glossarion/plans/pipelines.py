@@ -26,6 +26,12 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+def _each(df: DataFrame, few: DataFrame) -> DataFrame:
+    """df's rows with each of a few distinct rows (splits, parts, configurations), which reach the tasks as one value, not by a join."""
+    listed = df.withColumn("_few", few.agg(F.collect_set(F.struct(*few.columns))).scalar())
+    return listed.withColumn("_few", F.explode("_few")).select(*df.columns, "_few.*")
+
+
 def background_of(all_splits: DataFrame, words: DataFrame, stop: DataFrame) -> DataFrame:
     """(word): the words of neither the glossary (all splits' words) nor the stop list; one list for all splits and parts."""
     outside = all_splits.select("word").union(stop.select("word")).distinct()
@@ -50,11 +56,11 @@ def pools(all_splits: DataFrame, words: DataFrame, stop: DataFrame, neg_ratio: f
     parts = F.explode(F.array(F.lit("dev"), F.lit("test")))
     cells = all_splits.select("split_id").distinct().withColumn("part", parts)
     if background == "glossary":
-        negative = background_of(all_splits, words, stop).crossJoin(cells)
+        negative = _each(background_of(all_splits, words, stop), cells)
     elif background == "ref":
         ref = all_splits.filter("part = 'ref'").select("split_id", "word")
         own = all_splits.select("split_id", "part", "word").unionByName(ref.withColumn("part", parts))
-        negative = words.select("word").distinct().join(stop.select("word").distinct(), "word", "left_anti").crossJoin(cells).join(own, ["split_id", "part", "word"], "left_anti")
+        negative = _each(words.select("word").distinct().join(stop.select("word").distinct(), "word", "left_anti"), cells).join(own, ["split_id", "part", "word"], "left_anti")
     else:
         raise ValueError(f"unknown background {background!r}; known: glossary, ref")
     negative = negative.withColumn("label", F.lit(0))
@@ -82,12 +88,12 @@ def select_and_test(scores: DataFrame, pool: DataFrame, configs: Sequence[str],
     scored = named.join(pool, ["split_id", "word"] if own else ["word"]).select(*keys, "word", "label", "score")
     totals = pool.groupBy("split_id", "part").agg(F.sum("label").alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
     if background is not None:
-        cells = named if own else named.crossJoin(pool.select("split_id").distinct())
+        cells = named if own else _each(named, pool.select("split_id").distinct())
         beside = cells.join(background, "word", "left_semi").withColumn("part", F.explode(F.array(F.lit("dev"), F.lit("test")))).withColumn("label", F.lit(0))
         scored = scored.unionByName(beside.select(*keys, "word", "label", "score"))
-        totals = totals.crossJoin(background.agg(F.count("*").alias("_more"))).withColumn("neg", F.col("neg") + F.col("_more")).drop("_more")
+        totals = totals.withColumn("neg", F.col("neg") + background.agg(F.count("*")).scalar())
     grid = scores.select(*configs).distinct()
-    groups = curves.with_default(curves.score_groups(scored, keys), totals.crossJoin(grid), keys, default)
+    groups = curves.with_default(curves.score_groups(scored, keys), _each(totals, grid), keys, default)
     points = curves.curve_summary(groups, keys)
     dev = points.filter("part = 'dev'").select("split_id", *configs, F.col("roc_auc").alias("dev_roc_auc"), F.col(f"{on}_threshold").alias("threshold"))
     chosen = curves.best_by(dev, ["split_id", *within], "dev_roc_auc", prefer)
@@ -101,7 +107,7 @@ def select_and_test(scores: DataFrame, pool: DataFrame, configs: Sequence[str],
     if background is not None:
         # fewer than k scored words leave room for the default's first; of the 2 k first words at least k have no score then
         first = background.orderBy("word").limit(2 * max(ks)).withColumn("label", F.lit(0))
-        rest = rest.unionByName(first.crossJoin(chosen.select(*at)).select(*rest.columns))
+        rest = rest.unionByName(_each(first, chosen.select(*at)).select(*rest.columns))
     listed = found.unionByName(rest.join(found, [*at, "word"], "left_anti").withColumn("score", F.lit(default)).select(*found.columns))
     ranks = curves.rank_metrics(listed, at, ks)
     wide = ranks.groupBy(*at).agg(*[F.max(F.when(F.col("k") == k, F.col("precision"))).alias(f"precision_at_{k}") for k in ks])

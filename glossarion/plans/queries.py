@@ -43,8 +43,8 @@ class Fixture:
         self.raw = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("w"), "vec_id").alias("word"), F.col("embedding").alias("vector"), F.col("label").cast("int").alias("label"))
         self.vecs = vectors.unit_vectors(self.raw)
         # the planted glossary: the words near w0, about an eighth of all
-        first = self.vecs.filter("word = 'w0'").select(F.col("v").alias("v0"))  # one row
-        near = self.vecs.crossJoin(first).select("word", F.round(scalar.dot("v", "v0"), 10).alias("s"))
+        first = self.vecs.filter("word = 'w0'").agg(F.min("v")).scalar()
+        near = self.vecs.withColumn("v0", first).select("word", F.round(scalar.dot("v", "v0"), 10).alias("s"))
         self.glossary = stored(near.filter(F.col("s") >= NEAR).select("word"))
         self.stop = self.raw.filter("label = 0").select("word").join(self.glossary, "word", "left_anti")
         self.null_glossary = self.raw.filter("label = 3").select("word")
