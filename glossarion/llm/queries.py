@@ -78,7 +78,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"bigint(size(filter(spans, x -> x.fixed and x.kind = '{k}')))").alias(f"n_{k}") for k in pii.KINDS]
     joined = "array_join(transform({}, x -> concat_ws(':', x.kind, string(x.start), string(x.end))), ',')"
-    return found.select("doc_id", *counts, F.sha2(F.expr(joined.format("filter(spans, x -> x.fixed)")), 256).alias("base_sha256"), F.expr(joined.format("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.expr(joined.format("filter(spans, x -> x.fixed)")), 256).alias("base_sha256"), F.expr(joined.format("spans")).alias("spans"), F.size("spans").cast("bigint").alias("n_spans"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
