@@ -30,10 +30,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """The distinct hashes of a lower-cased (A-Z) UTF-8 text's five-word shingles, sorted; of all its words where it has fewer."""
+def shingles(text: bytes, most: int = WORDS) -> np.ndarray:
+    """The distinct hashes of a lower-cased (A-Z) UTF-8 text's shingles of `most` words, sorted; of all its words where it has fewer."""
     words = text.translate(_LOWER).split()
-    size = min(WORDS, len(words))
+    size = min(most, len(words))
     if not size:
         return np.empty(0, np.uint64)
     h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
@@ -43,13 +43,18 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(out)
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """One signed key per band of a shingle set's minima."""
+def minima(found: np.ndarray) -> np.ndarray:
+    """BANDS rows of ROWS minima of a shingle set, each under a hash function of its own."""
     least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(found), 4096):
         np.minimum(least, ((found[i : i + 4096, None] + _ODD[0]) * _ODD[1]).min(0), out=least)
+    return least.reshape(BANDS, ROWS)
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """One signed key per band of a shingle set's minima."""
     out = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
+    for column in minima(found).T:
         out = _mix(out + column)
     return out.view(np.int64)
 
@@ -122,12 +127,12 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     return df.select(id_col, _text_hash(text).alias("th"), F.col(text).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, th bigint, key bigint, n bigint, bands array<bigint>")
 
 
-def _members(texts: DataFrame) -> DataFrame:
+def _members(texts: DataFrame, most: int) -> DataFrame:
     """(key, members): each text's shingle set, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            sets = [shingles(t).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            sets = [shingles(t, most).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["key", "members"])
 
     return texts.select("key", "_text").mapInArrow(run, "key bigint, members binary")
@@ -135,9 +140,17 @@ def _members(texts: DataFrame) -> DataFrame:
 
 def links(df: DataFrame, rows: DataFrame, id_col: str, text: str) -> DataFrame:
     """(u, v) that link the classes of rows (sketches of df) into the components of all found pairs at 0.8 or more."""
-    spark, folder = df.sparkSession, shared_dir(df.sparkSession)
     own = rows.filter(F.col(id_col).isNotNull() & (F.col("n") > 0))
-    keys = own.dropDuplicates(["key"]).select("key", "n", F.explode("bands").alias("k"))
+    return bucket_links(df, own, own.dropDuplicates(["key"]).select("key", "n", F.explode("bands").alias("k")), id_col, text)
+
+
+def bucket_links(df: DataFrame, own: DataFrame, keys: DataFrame, id_col: str, text: str, most: int = WORDS) -> DataFrame:
+    """(u, v) that link classes into the components of all pairs at 0.8 or more that share a bucket.
+
+    keys: (key, n, k) of each class and bucket k. own: (id, th, key) of the rows of df that stand for classes.
+    most: words of a shingle.
+    """
+    spark, folder = df.sparkSession, shared_dir(df.sparkSession)
     # buckets of one class end here, and of those with the same members (told by hashes) one is left
     h = F.xxhash64("key")
     shared = keys.groupBy("k").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.min("key").alias("a"), F.max("key").alias("b"), F.bit_xor("key").alias("x"), F.bit_xor(h).alias("y"))
@@ -147,7 +160,7 @@ def links(df: DataFrame, rows: DataFrame, id_col: str, text: str) -> DataFrame:
     # one row that has the text stands for its class; classes are reduced before the join, so that no row of a large one moves
     first = own.groupBy("key").agg(F.min(F.struct(id_col, "th")).alias("r")).join(buckets.select("key").distinct(), "key", "left_semi").select("key", F.col(f"r.{id_col}").alias(id_col), "r.th")
     texts = df.select(id_col, _text_hash(text).alias("th"), F.col(text).alias("_text")).join(first, [id_col, "th"])
-    _members(texts).dropDuplicates(["key"]).write.parquet(f"{folder}/members")
+    _members(texts, most).dropDuplicates(["key"]).write.parquet(f"{folder}/members")
     piece = F.pmod(F.xxhash64("key"), F.col("pieces"))
     units = buckets.select("k", "pieces", "key", piece.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("other"))
     units = units.select(F.xxhash64("k", "pieces", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "key")
@@ -158,7 +171,9 @@ def links(df: DataFrame, rows: DataFrame, id_col: str, text: str) -> DataFrame:
 def components(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, th, component) of every row: th hashes the text, rows of linked texts have the same component.
 
-    Null and blank texts are one component. Rows whose id is null link no others.
+    Null and blank texts are one component. Rows whose id is null link no others. Repeated rows each keep
+    theirs; other columns don't matter; an empty table gives an empty result. df's id and text columns are
+    read by name and may have any but th, key, n and bands.
     """
     shared_dir(df.sparkSession)
     rows = sketches(df, id_col, text).checkpoint()
@@ -168,9 +183,14 @@ def components(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """df's rows with one left of each component: that of the smallest id (then text hash, then row hash). Rows whose id is null stay."""
-    found = components(df, id_col, text).filter(F.col(id_col).isNotNull())
-    kept = found.groupBy("component").agg(F.min(F.struct(id_col, "th")).alias("r")).select(F.col(f"r.{id_col}").alias(id_col), "r.th")
-    rows = df.withColumn("th", _text_hash(text)).join(kept, [id_col, "th"], "left_semi")
-    rn = F.row_number().over(Window.partitionBy(id_col, "th").orderBy(F.xxhash64(*df.columns)))
-    return rows.withColumn("_rn", rn).filter("_rn = 1").select(df.columns).unionByName(df.filter(F.col(id_col).isNull()))
+    """df's rows with one left of each component: that of the smallest id (then text hash, then row hash). Rows whose id is null stay.
+
+    Null and blank texts are copies of each other; of repeated rows one is left. All columns stay as they
+    are, whatever their names; an empty table gives none.
+    """
+    named = df.filter(F.col(id_col).isNotNull()).select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), F.col(text).alias("_t"))
+    found = components(named, "_id", "_t")
+    kept = found.groupBy("component").agg(F.min(F.struct("_id", "th")).alias("r")).select("r._id", "r.th")
+    rows = named.withColumn("th", _text_hash("_t")).join(kept, ["_id", "th"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("_id", "th").orderBy(F.xxhash64("_doc")))
+    return rows.withColumn("_n", place).filter("_n = 1").select("_doc.*").unionByName(df.filter(F.col(id_col).isNull()))
