@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lattice, packing, pii, quality, simhash, topk, toxicity, urls, warc
+from . import bpe, lattice, lshforest, packing, pii, quality, search, simhash, topk, toxicity, trie, urls, warc
 from .text import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,6 +134,51 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lshforest.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+#: crc32 by bytes, as DuckDB has no such function; t: its table.
+OP12_SQL = """
+with t as (select list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, _: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) t),
+o as (select conv_id c, coalesce(role, '') role, coalesce(text, '') text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, '')) n from conversations where conv_id is not null),
+k as (select c, c - c % 100 base, xor(list_reduce([4294967295::bigint] || [ascii(x)::bigint for x in string_split(c::varchar, '')], lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 6 h from (select distinct c from o), t),
+r as (select k.c, o.n, 0 z, o.role, o.text from k join o on o.c = k.base and o.n <= k.h union all select k.c, o.n, 1, o.role, o.text from k join o on o.c = k.c and o.n > k.h),
+s as (select c, row_number() over w d, list(md5(concat_ws('/', length(role), role, text))) over w p, length(text) size from r window w as (partition by c order by z, n)),
+m as (select c, d, array_to_string(p, ',') p, array_to_string(p[:-2], ',') q, size, d = count(*) over (partition by c) ends from s
+      union all select c, 0, '', null, 0, c not in (select c from s) from k),
+g as (select d, p, any_value(q) q, min(c) conv_id, count(*) n_convs, any_value(size) size, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '')) ends_sha256 from m group by d, p),
+x as (select g.*, (select count(*) from g b where b.d = g.d + 1 and b.q = g.p) n_children from g),
+y as (select a.d, a.p, count(*) filter (x.n_children = 0) n_leaves, sum((x.n_convs - 1) * x.size)::bigint saved_tokens
+      from x join x a on a.d <= x.d and (a.d = 0 or x.p = a.p or starts_with(x.p, a.p || ',')) group by a.d, a.p)
+select x.conv_id, x.d depth, u.conv_id parent_conv_id, x.n_convs, x.n_children, y.n_leaves, y.saved_tokens, x.ends_sha256
+from x join y on y.d = x.d and y.p = x.p left join x u on u.d = x.d - 1 and u.p = x.q
+"""
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP13_SQL = r"""
+with d as (select row_number() over () r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') ts from documents),
+i as (select row_number() over () q, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') ts from benchmark),
+stat as (select count(*) filter (len(ts) > 0)::bigint n_docs, sum(len(ts))::bigint n_all from d),
+tf as (select r, term, count(*) tf from (select r, unnest(ts) term from d) group by r, term),
+w as (select term, floor(1000 * ln((2.0::double * n_docs + 2) / (2 * count(*) + 1)))::bigint w from tf, stat group by term, n_docs),
+m as (select r, doc_id, 25 + (75 * len(ts) * n_docs) // n_all m from d, stat),
+hit as (select q, item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint score
+        from (select q, item_id, unnest(ts) term from i) join w using (term) join tf using (term) join m using (r) where doc_id is not null group by q, item_id, doc_id, r),
+top as (select *, row_number() over (partition by q order by score desc, doc_id)::int rank from hit where score > 0)
+select item_id, rank, doc_id, score from top where rank <= 10
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -145,6 +190,9 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_lattice_lm": op9_lattice_lm,
     "op10_toxicity": op10_toxicity,
+    "op11_lsh_forest": op11_lsh_forest,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_ranked_search": op13_ranked_search,
 }
 
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op6_warc": OP6_SQL, "op7_exact_topk": OP7_SQL}
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op6_warc": OP6_SQL, "op7_exact_topk": OP7_SQL, "op12_prefix_trie": OP12_SQL, "op13_ranked_search": OP13_SQL}
