@@ -21,10 +21,15 @@ def z_scores(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Data
     return out.select(*df.columns, *[f"z_{c}" for c in columns])
 
 
-def reliable_negatives(df: DataFrame, keys: Sequence[str], score: str, m: int) -> DataFrame:
-    """The m rows of the lowest score per key, ties by word."""
+def reliable_negatives(df: DataFrame, keys: Sequence[str], score: str, m: int | str) -> DataFrame:
+    """The m rows of the lowest score per key, ties by word. m: a number, or a column with each key's.
+
+    The largest m is a constant of the plan, so that tasks pass on no more than that of a key.
+    """
     order = Window.partitionBy(*keys).orderBy(score, "word")
-    return df.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= m).drop("_rn")
+    most = m if isinstance(m, int) else int(df.agg(F.max(m)).first()[0] or 0)
+    first = df.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= most)
+    return (first if isinstance(m, int) else first.filter(F.col("_rn") <= F.col(m))).drop("_rn")
 
 
 def newton_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, balanced: bool = True, rounds: int = 50) -> np.ndarray:

@@ -89,10 +89,18 @@ def list_scores(nbr: DataFrame, members: DataFrame, keys: Sequence[str], limit:
     weight type, which is then `constant`.
     """
     rows = nbr.filter(F.col("rank") <= limit).join(members.select(*keys, F.col("word").alias("nword")), "nword")
-    rows = weighted(rows, distance, weights if mode == "vote" else ("constant",))
-    rows = rows.withColumn("n", F.explode(F.sequence(F.col("rank"), F.lit(limit))))
-    score = {"vote": F.sum("w"), "mindist": -F.min(distance), "avgdist": -F.avg(distance)}[mode]
-    return rows.groupBy(*keys, "weight_type", "n", "query").agg(F.round(score, 10).alias("score"))
+    # sums up to each member, which hold until the next one: a row per prefix length comes only after the shuffle
+    rows = rows.groupBy(*keys, "query").agg(F.array_sort(F.collect_list(F.struct("rank", F.col(distance).alias("d")))).alias("hits"))  # `limit` at most
+    rows = rows.select(*keys, "query", F.posexplode("hits").alias("at", "hit"), "hits")
+    last = F.coalesce(F.try_element_at("hits", F.col("at") + 2)["rank"] - 1, F.lit(limit))
+    upto = F.transform(F.slice("hits", 1, F.col("at") + 1), lambda h: h["d"])
+    if mode == "vote":
+        kinds = F.array(*[F.struct(F.lit(w).alias("weight_type"), F.aggregate(F.transform(upto, lambda d: neighbour_weight(d, w)), F.lit(0.0), lambda a, x: a + x).alias("score")) for w in weights])
+    else:
+        score = -F.array_min(upto) if mode == "mindist" else -F.aggregate(upto, F.lit(0.0), lambda a, x: a + x) / F.size(upto)
+        kinds = F.array(F.struct(F.lit("constant").alias("weight_type"), score.alias("score")))
+    rows = rows.filter(F.col("hit.rank") <= last).select(*keys, "query", F.col("hit.rank").alias("low"), last.alias("high"), F.explode(kinds).alias("x"))
+    return rows.select(*keys, "x.weight_type", F.explode(F.sequence("low", "high")).alias("n"), "query", F.round("x.score", 10).alias("score"))
 
 
 def default_score(mode: str) -> float:

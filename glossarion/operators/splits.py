@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.scalar import hash_order
+from ..sources.files import written
 
 PARTS = ("ref", "dev", "test")
+#: Hex digits of a hash that tell its bucket.
+_DIGITS = 3
+#: Cells of a sample that are listed in each task.
+CELLS = 100_000
 
 
 def majority_class(df: DataFrame, word: str = "word", label: str = "label") -> DataFrame:
@@ -18,23 +25,49 @@ def majority_class(df: DataFrame, word: str = "word", label: str = "label") -> D
     return df.groupBy(F.col(word).alias("word")).agg(F.when(F.sum(y) > F.count(y) / 2, 1).otherwise(0).alias("label"))
 
 
+def _by_buckets(rows: DataFrame, keys: Sequence[str], h: Column) -> DataFrame:
+    """rows with their hash h, its bucket, and counts: n rows of the key, `before` in lower buckets, `upto` with this one.
+
+    The counts, BUCKETS rows a key at most, are summed by each task first. Where a place among the key's rows
+    in the order of h matters, only the rows of a bucket have to be put in order.
+    """
+    rows = rows.withColumn("h", h).withColumn("bucket", F.substring("h", 1, _DIGITS))
+    counts = rows.groupBy(*keys, "bucket").agg(F.count("*").alias("c"))
+    upto = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sums = counts.withColumns({"upto": F.sum("c").over(upto), "n": F.sum("c").over(Window.partitionBy(*keys))})
+    return rows.join(sums.withColumn("before", F.col("upto") - F.col("c")).drop("c"), [*keys, "bucket"])
+
+
+def _placed(rows: DataFrame, keys: Sequence[str], crossed: Column, word: str) -> DataFrame:
+    """_by_buckets with rn: the place among the key's rows in buckets that a cut crosses; in others the bucket's last, which no cut parts from its first."""
+    place = F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy("h", word)) + F.col("before")
+    return rows.filter(~crossed).withColumn("rn", F.col("upto")).unionByName(rows.filter(crossed).withColumn("rn", place))
+
+
 def make_splits(words: DataFrame, n_splits: int = 100, seed: int = 42, stop: DataFrame | None = None, strata: Sequence[str] = (), neg_ratio: float | None = None) -> DataFrame:
     """(split_id, part, word, strata): independent seeded shuffles, cut 80/10/10 within each stratum.
 
     words are taken once each, without those of stop. neg_ratio (with the stratum `label`): each split
-    keeps at most that many words of label 0 per word of label 1, the first of its shuffle.
+    keeps at most that many words of label 0 per word of label 1, the first of its shuffle. Words are counted
+    by ranges of their hashes, and only the ranges in which a part ends are sorted.
     """
     words = words.select("word", *strata).dropDuplicates(["word"])
     if stop is not None:
         words = words.join(stop.select("word").distinct(), "word", "left_anti")
+    if neg_ratio is not None:  # one row; the same in all splits
+        positives = words.agg(F.count_if(F.col("label") == 1)).scalar()
+        words = words.withColumn("most", F.when(F.col("label") != 1, F.floor(positives * neg_ratio)))
     rows = words.withColumn("split_id", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
-    within = Window.partitionBy("split_id", *strata)
-    rows = rows.withColumn("rn", F.row_number().over(within.orderBy(hash_order(seed, "split_id", "word"), "word")))
+    keys = ["split_id", *strata]
+    rows = _by_buckets(rows, keys, hash_order(seed, "split_id", "word"))
     if neg_ratio is not None:
-        positives = F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).over(Window.partitionBy("split_id"))
-        rows = rows.withColumn("most", F.floor(positives * neg_ratio)).filter((F.col("label") == 1) | (F.col("rn") <= F.col("most")))
-    rows = rows.withColumn("n", F.count("*").over(within))
+        rows = rows.withColumn("n", F.least("n", F.coalesce("most", "n")))
     ref, dev = F.floor(F.col("n") * 0.8), F.floor(F.col("n") * 0.1)
+    cuts = (ref, ref + dev, F.col("n"))
+    crossed = F.lit(False)
+    for cut in cuts:
+        crossed = crossed | ((F.col("before") < cut) & (cut < F.col("upto")))
+    rows = _placed(rows.filter(F.col("before") < F.col("n")), keys, crossed, "word").filter(F.col("rn") <= F.col("n"))
     part = F.when(F.col("rn") <= ref, "ref").when(F.col("rn") <= ref + dev, "dev").otherwise("test")
     return rows.select("split_id", part.alias("part"), "word", *strata)
 
@@ -53,9 +86,47 @@ def part_sizes(splits: DataFrame) -> DataFrame:
 
 
 def hashed_sample(df: DataFrame, keys: Sequence[str], size: Column, salt: str, seed: int = 42, word: str = "word") -> DataFrame:
-    """The first `size` rows of each key in a seeded hash order: a sample without replacement."""
-    order = Window.partitionBy(*keys).orderBy(hash_order(F.lit(seed), F.lit(salt), *keys, word), word)
-    return df.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= size).drop("_rn")
+    """The first `size` rows of each key in a seeded hash order: a sample without replacement.
+
+    size: a number for each key. Rows are counted by ranges of their hashes; only the range in which the
+    sample ends is sorted.
+    """
+    rows = _by_buckets(df.select(F.struct("*").alias("_row"), *keys, word, size.alias("_size")), keys, hash_order(F.lit(seed), F.lit(salt), *keys, word))
+    rows = rows.filter(F.col("before") < F.col("_size"))
+    return _placed(rows, keys, F.col("_size") < F.col("upto"), word).filter(F.col("rn") <= F.col("_size")).select("_row.*")
+
+
+def sample_each(words: DataFrame, cells: DataFrame, salt: Sequence[str], seed: int = 42) -> DataFrame:
+    """(cell's columns but `most`, word): of each cell a sample of `most` of the words (word), in a seeded hash order.
+
+    words are distinct. cells: few rows (split, part, ...), each with its `most`; more than CELLS are an
+    error. salt names the columns that go into the hash before the word. Words are never listed for each
+    cell: a word yields rows only for cells in which its hash is below a threshold that leaves, all but
+    surely, somewhat more than `most`; these are sorted. Where it leaves fewer it is doubled.
+    """
+    spark, names = words.sparkSession, [c for c in cells.columns if c != "most"]
+    todo = [(tuple(r), 1.0 * r["most"] + 6 * math.sqrt(r["most"]) + 20) for r in cells.select(*names, "most").limit(CELLS + 1).collect()]
+    if len(todo) > CELLS:
+        raise ValueError(f"more than {CELLS} cells to sample for")
+    kinds = cells.select(*names, "most").schema
+    n, out = words.count(), spark.createDataFrame([], StructType([*kinds.fields[:-1], words.schema["word"]]))
+    while todo:
+        # hashes are compared by their first 15 digits
+        tops = spark.createDataFrame([(*c, f"{min(16**15 - 1, int(16**15 * want / max(1, n))):015x}~") for c, want in todo], StructType([*kinds.fields, StructField("top", StringType())]))
+        listed = tops.agg(F.collect_list(F.struct("*"))).scalar()
+        hashed = F.transform("_cells", lambda x: F.struct(x.alias("x"), F.md5(F.concat_ws("/", F.lit(str(seed)), *[x[k].cast("string") for k in salt], F.col("word"))).alias("h")))
+        near = words.select("word", listed.alias("_cells")).select("word", F.explode(F.filter(hashed, lambda y: y["h"] < y["x"]["top"])).alias("y"))
+        found = written(near.select(*[F.col(f"y.x.{k}").alias(k) for k in [*names, "most"]], "word", F.col("y.h").alias("h")))
+        held = {tuple(r[k] for k in names): r["c"] for r in found.groupBy(*names).agg(F.count("*").alias("c")).collect()}
+        short = [(c, want) for c, want in todo if held.get(c[:-1], 0) < min(c[-1], n)]
+        rank = F.row_number().over(Window.partitionBy(*names).orderBy("h", "word"))
+        ready = found.withColumn("rn", rank).filter("rn <= most").select(*names, "word")
+        if short:
+            again = spark.createDataFrame([c for c, _ in short], kinds).select(*names)
+            ready = ready.join(again, names, "left_anti")
+        out = out.unionByName(ready)
+        todo = [(c, want * 2) for c, want in short]
+    return out
 
 
 def randomised(splits: DataFrame, pool: DataFrame, seed: int = 42) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
+
 #: Formats of the log's lines (fixed values), in the order in which they are tried.
 METRIC = r"validation metric\s+(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)\s+from client\s+(\S+)"
 ACCEPT = r"Contribution from\s+(\S+)\s+ACCEPTED by the aggregator at round\s+([0-9]+)"
@@ -23,23 +25,50 @@ def log_events(lines: DataFrame) -> DataFrame:
     return rows.select("run", "line", "kind", site.alias("site"), at.try_cast("int").alias("round"), value.try_cast("double").alias("value"))
 
 
+def _brackets(e: DataFrame, keys: list[str]) -> DataFrame:
+    """e (kind, line, value, ...) with lost (an acceptance without a partner within keys), depth, partner (a column of the others' values) and taken (a metric that has one)."""
+    order = Window.partitionBy(*keys).orderBy("line")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    e = e.withColumn("b", F.sum(F.when(F.col("kind") == "metric", 1).otherwise(-1)).over(upto))
+    e = e.withColumn("low", F.least(F.lit(0), F.min("b").over(upto)))
+    before = F.least(F.lit(0), F.coalesce(F.min("b").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    accept = F.col("kind") == "accept"
+    e = e.withColumn("lost", accept & (F.col("b") < before)).withColumn("depth", F.col("b") - F.col("low") + accept.cast("int"))
+    # a lost acceptance stands at depth 1 of nothing; it is kept apart
+    at = Window.partitionBy(*keys, "lost", "depth").orderBy("line")
+    return e.withColumns({"partner": F.when(accept & ~F.col("lost"), F.lag("value").over(at)), "taken": ~accept & F.coalesce(F.lead("kind").over(at) == "accept", F.lit(False))})
+
+
 def pair_metrics(events: DataFrame) -> DataFrame:
     """(run, site, line, round, value): each acceptance with the site's latest metric that is not yet taken.
 
     A metric opens and an acceptance closes, as brackets do: an acceptance's partner is the last metric
-    at its depth. Acceptances with nothing open are left out.
+    at its depth. Acceptances with nothing open are left out. Events are cut into ranges of lines, written
+    to the shared folder, so that tasks share a busy site: each range is matched by itself, and what it
+    leaves, acceptances and then metrics, is matched over the ranges at the depths that their numbers give.
     """
-    e = events.filter(F.col("kind").isin("metric", "accept"))
-    order = Window.partitionBy("run", "site").orderBy("line")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumn("b", F.sum(F.when(F.col("kind") == "metric", 1).otherwise(-1)).over(upto))
-    e = e.withColumn("low", F.least(F.lit(0), F.min("b").over(upto)))
-    before = F.least(F.lit(0), F.coalesce(F.min("b").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    e = e.withColumn("lost", (F.col("kind") == "accept") & (F.col("b") < before))
-    e = e.withColumn("depth", F.col("b") - F.col("low") + F.when(F.col("kind") == "accept", 1).otherwise(0)).filter(~F.col("lost"))
-    partner = F.lag("value").over(Window.partitionBy("run", "site", "depth").orderBy("line"))
-    e = e.withColumn("partner", partner)
-    return e.filter("kind = 'accept'").select("run", "site", "line", "round", F.col("partner").alias("value"))
+    spark, folder = events.sparkSession, shared_folder(events.sparkSession)
+    e = events.filter(F.col("kind").isin("metric", "accept")).select("run", "site", "line", "kind", "round", "value")
+    cut = e.repartitionByRange("run", "site", "line").sortWithinPartitions("run", "site", "line")
+    cut.withColumn("part", F.spark_partition_id()).write.parquet(f"{folder}/ranges")
+    here = _brackets(spark.read.parquet(f"{folder}/ranges"), ["run", "site", "part"])
+    here.select("run", "site", "part", "line", "kind", "round", "value", "lost", "taken", "partner").write.parquet(f"{folder}/matched")
+    here = spark.read.parquet(f"{folder}/matched")
+    found = here.filter("kind = 'accept' and not lost").select("run", "site", "line", "round", F.col("partner").alias("value"))
+    left = here.filter("lost or (kind = 'metric' and not taken)")
+    # a row for each site and range: closes, then opens; height: what is open before it
+    sums = left.groupBy("run", "site", "part").agg(F.count_if("lost").alias("closes"), F.count_if(~F.col("lost")).alias("opens"))
+    order = Window.partitionBy("run", "site").orderBy("part")
+    net = F.sum(F.col("opens") - F.col("closes")).over(order)
+    low = sums.withColumn("net", net).withColumn("dip", F.least(F.lit(0), F.min(F.col("net") - F.col("opens")).over(order)))
+    height = F.coalesce(F.lag(F.col("net") - F.col("dip")).over(order), F.lit(0))
+    sums = low.withColumn("height", height).select("run", "site", "part", "closes", "height")
+    place = F.row_number().over(Window.partitionBy("run", "site", "part", "lost").orderBy("line"))
+    left = left.withColumn("place", place).join(sums, ["run", "site", "part"])
+    depth = F.when(F.col("lost"), F.col("height") - F.col("place") + 1).otherwise(F.greatest(F.col("height") - F.col("closes"), F.lit(0)) + F.col("place"))
+    left = left.withColumn("depth", depth).filter("depth > 0")
+    across = left.withColumn("partner", F.lag("value").over(Window.partitionBy("run", "site", "depth").orderBy("line"))).filter("lost")
+    return found.unionByName(across.select("run", "site", "line", "round", F.col("partner").alias("value")))
 
 
 def log_metrics(pairs: DataFrame, events: DataFrame) -> DataFrame:

@@ -6,14 +6,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type as _arrow_type
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions.scalar import dot, l2_normalise, scrub
-from ..sources.files import shared_folder
+from ..sources.files import shared_folder, written
 
 #: Digits to which similarities are rounded before they are compared.
 DIGITS = 10
@@ -207,21 +209,189 @@ def glossary_similarity(vectors: DataFrame, glossary: DataFrame, blank_self: boo
     return _products(vectors, targets, ["gword"], "gword" if blank_self else None).select("word", "gword", "cossim")
 
 
-def glossary_features(sims: DataFrame, members: DataFrame, keys: Sequence[str], k: int = 10) -> DataFrame:
-    """(keys, word, mindist_all, avgdist_all, votetopk_all): largest, mean and summed k largest similarity to the members.
+def member_features(vectors: DataFrame, members: DataFrame, keys: Sequence[str], k: int = 10, blank_self: bool = False) -> DataFrame:
+    """(keys, word, mindist_all, avgdist_all, votetopk_all): largest, mean and summed k largest similarity of every word to a key's members.
 
-    The pairs of word and glossary word are joined to the keys' members.
+    vectors: (word, v); members: (keys, word), those without a vector have no part. A task holds the matrix
+    of all members' vectors, and which key has which of them; it multiplies a block of words with it and
+    reduces the products for each key at once, so that no pair of words is a row. Members are the stated set:
+    they are taken in groups of at most about TARGETS, whose reductions are merged. blank_self: a word's
+    similarity to itself is -1.
     """
-    rows = sims.join(members.select(*keys, F.col("word").alias("gword")), "gword")
-    best = F.slice(F.sort_array(F.collect_list("cossim"), asc=False), 1, k)
-    return rows.groupBy(*keys, "word").agg(F.max("cossim").alias("mindist_all"), F.avg("cossim").alias("avgdist_all"), F.aggregate(best, F.lit(0.0), lambda s, x: s + x).alias("votetopk_all"))
-
+    keys = list(keys)
+    members = written(members.select(*keys, "word").distinct())
+    names = members.select("word").distinct()
+    groups, found = max(1, -(-names.count() // TARGETS)), None
+    schema = StructType([*members.select(*keys).schema.fields, StructField("word", StringType()), *StructType.fromDDL("most double, total double, n bigint, top array<double>").fields])
+    for g in range(groups):
+        group = F.pmod(F.xxhash64("word"), F.lit(groups)) == g
+        targets = vectors.join(names.filter(group), "word", "left_semi").orderBy("word").toArrow()
+        own = np.array(targets.column("word").to_pylist(), object)
+        matrix = np.array(targets.column("v").to_pylist(), float).reshape(len(own), -1)
+        at = {w: i for i, w in enumerate(own)}
+        held: dict[tuple, list[int]] = {}
+        for r in members.filter(group).toLocalIterator():
+            if r["word"] in at:
+                held.setdefault(tuple(r[c] for c in keys), []).append(at[r["word"]])
+        cells = [(key, np.array(sorted(i))) for key, i in held.items()]
+
+        def run(batches: Iterator[pa.RecordBatch], own=own, matrix=matrix, cells=cells) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a in range(0, batch.num_rows if cells else 0, 1024):
+                    rows = batch.slice(a, 1024)
+                    sims = np.round(np.array(rows.column(1).to_pylist()) @ matrix.T, DIGITS)
+                    if blank_self:
+                        sims[np.array(rows.column(0).to_pylist(), object)[:, None] == own] = -1.0
+                    for key, i in cells:
+                        part = sims[:, i]
+                        m = min(k, len(i))
+                        top = -np.sort(-np.partition(part, len(i) - m, axis=1)[:, len(i) - m :], axis=1)
+                        fixed = [pa.array([x] * rows.num_rows, _arrow_type(schema[c].dataType)) for c, x in zip(keys, key, strict=True)]
+                        sums = [part.max(1), part.sum(1), np.full(rows.num_rows, len(i))]
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.num_rows * m + 1, m, dtype=np.int32)), pa.array(top.ravel()))
+                        yield pa.RecordBatch.from_arrays([*fixed, rows.column(0), *map(pa.array, sums), lists], names=schema.names)
+
+        some = vectors.select("word", "v").mapInArrow(run, schema)
+        found = some if found is None else found.unionByName(some)
+    if groups > 1:
+        best = F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, k)
+        found = found.groupBy(*keys, "word").agg(F.max("most").alias("most"), F.sum("total").alias("total"), F.sum("n").alias("n"), best.alias("top"))
+    return found.select(*keys, "word", F.col("most").alias("mindist_all"), (F.col("total") / F.col("n")).alias("avgdist_all"), F.aggregate("top", F.lit(0.0), lambda s, x: s + x).alias("votetopk_all"))
+
+
+def lowest(vectors: DataFrame, centres: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
+    """(keys, word, csim): for each key the words of lowest similarity to its centroid, as many as `size` says, ties by word.
+
+    centres: (keys, c, size), the stated set, which goes to each task. A task passes on that many words of
+    each key and no more.
+    """
+    keys = list(keys)
+    rows = centres.select(*keys, "c", F.col(size).alias("_size")).orderBy(*keys).toArrow()
+    names, sizes = rows.select(keys), [int(x) for x in rows.column("_size").to_pylist()]
+    matrix = np.array(rows.column("c").to_pylist(), float).reshape(len(sizes), -1)
+    schema = StructType([*centres.select(*keys).schema.fields, *StructType.fromDDL("word string, csim double").fields])
 
-def pool_occurrences(tokens: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.empty(0), np.empty(0, object)) for _ in sizes]
+        for batch in batches:
+            for a in range(0, batch.num_rows if len(sizes) else 0, 1024):
+                part = batch.slice(a, 1024)
+                words = np.array(part.column(0).to_pylist(), object)
+                sims = np.round(np.array(part.column(1).to_pylist()) @ matrix.T, DIGITS)
+                for i, m in enumerate(sizes):
+                    s, w = np.r_[best[i][0], sims[:, i]], np.r_[best[i][1], words]
+                    if len(s) > m:
+                        near = np.flatnonzero(s <= np.partition(s, m - 1)[m - 1]) if m else []
+                        order = sorted(near, key=lambda j: (s[j], w[j]))[:m]
+                        s, w = s[order], w[order]
+                    best[i] = s, w
+        counts = [len(s) for s, _ in best]
+        at = pa.array(np.repeat(np.arange(len(sizes)), counts))
+        fixed = [names.column(c).combine_chunks().take(at) if len(sizes) else pa.array([], _arrow_type(schema[c].dataType)) for c in keys]
+        columns = [pa.array(np.concatenate([w for _, w in best]) if best else [], pa.string()), pa.array(np.concatenate([s for s, _ in best]) if best else [], pa.float64())]
+        yield pa.RecordBatch.from_arrays([*fixed, *columns], names=schema.names)
+
+    found = vectors.select("word", "v").mapInArrow(run, schema).join(centres.select(*keys, F.col(size).alias("_size")), keys)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("csim", "word"))
+    return found.withColumn("_rn", rank).filter("_rn <= _size").select(*keys, "word", "csim")
+
+
+def _runs(*columns: pa.Array) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= pa.compute.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def _vectors(matrix: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, matrix.size + 1, max(1, matrix.shape[1]), dtype=np.int32)), pa.array(matrix.ravel()))
+
+
+def pool_occurrences(tokens: DataFrame, table: int = 1 << 15) -> DataFrame:
     """(word, vector, cnt) from sub-token vectors (occurrence, word, vector): mean per occurrence, then per lower-cased word, at unit length.
 
-    Whole vectors are summed before each shuffle: a row per occurrence, then a row per word and task.
+    Sums are taken in numpy. Neighbouring rows of an occurrence are summed before the first shuffle; after
+    it a task sums its occurrences' means by word, in a table of at most `table` words that is passed on when
+    it is full; the second shuffle moves these sums. Rows without an occurrence, word or vector are left out.
     """
-    each = tokens.groupBy("occurrence", F.lower("word").alias("word")).agg(_mean("vector").alias("v"))
-    means = each.groupBy("word").agg(_mean("v").alias("vector"), F.count("*").alias("cnt"))
-    return means.select("word", l2_normalise("vector").alias("vector"), "cnt")
+    rows = tokens.filter("occurrence is not null and word is not null and vector is not null")
+    rows = rows.select(F.col("occurrence").cast("string").alias("occurrence"), F.lower("word").alias("word"), F.col("vector").cast("array<double>").alias("vector"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(occurrence, word, total, n) of runs."""
+        for batch in batches:
+            if batch.num_rows:
+                at = _runs(batch.column(0), batch.column(1))
+                sums = np.add.reduceat(_matrix(batch.column(2)), at, axis=0)
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns[:2]), _vectors(sums), pa.array(np.diff(np.r_[at, batch.num_rows]))], names=["occurrence", "word", "total", "n"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """(words, means) of the occurrences of sorted rows; the last of a batch is held, as it may go on."""
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            if not batch.num_rows:
+                continue
+            at = _runs(batch.column(0), batch.column(1))
+            held, done = batch.slice(int(at[-1])), batch.slice(0, int(at[-1]))
+            if done.num_rows:
+                yield sums_of(done, at[:-1])
+        if held is not None:
+            yield sums_of(held, np.zeros(1, np.int64))
+
+    def sums_of(batch: pa.RecordBatch, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        n = np.add.reduceat(batch.column(3).to_numpy(), at)
+        return batch.column(1).take(pa.array(at)), np.add.reduceat(_matrix(batch.column(2)), at, axis=0) / n[:, None]
+
+    def by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(word, total, n) of occurrences."""
+        names: dict[str, int] = {}
+        total = counts = None
+
+        def result() -> pa.RecordBatch:
+            size = len(names)
+            out = pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()), _vectors(total[:size].copy()), pa.array(counts[:size].copy())], names=["word", "total", "n"])
+            names.clear()
+            total[:], counts[:] = 0.0, 0
+            return out
+
+        for words, means in whole(batches):
+            if total is None:
+                total, counts = np.zeros((table, means.shape[1])), np.zeros(table, np.int64)
+            for a in range(0, len(words), table):
+                some = words[a : a + table].to_pylist()
+                if len(names) + len(some) > table:
+                    yield result()
+                at = np.array([names.setdefault(w, len(names)) for w in some])
+                np.add.at(total, at, means[a : a + table])
+                np.add.at(counts, at, 1)
+        if names:
+            yield result()
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(word, total, n) of words of sorted sums."""
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            if not batch.num_rows:
+                continue
+            at = _runs(batch.column(0))
+            sums, n = np.add.reduceat(_matrix(batch.column(1)), at, axis=0), np.add.reduceat(batch.column(2).to_numpy(), at)
+            out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), _vectors(sums), pa.array(n)], names=["word", "total", "n"])
+            held = out.slice(len(at) - 1)
+            yield out.slice(0, len(at) - 1)
+        if held is not None:
+            yield held
+
+    sums = rows.mapInArrow(merge, "occurrence string, word string, total array<double>, n bigint")
+    each = sums.repartition("occurrence").sortWithinPartitions("occurrence", "word").mapInArrow(by_word, "word string, total array<double>, n bigint")
+    means = each.repartition("word").sortWithinPartitions("word").mapInArrow(last, "word string, total array<double>, n bigint")
+    return means.select("word", l2_normalise(F.transform("total", lambda x: x / F.col("n"))).alias("vector"), F.col("n").alias("cnt"))

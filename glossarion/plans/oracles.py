@@ -138,9 +138,10 @@ _DRAWS = "nb as (select metric, value x, row_number() over (partition by metric
 _SW = f"""splits as (select 0 split_id, 'ref' part, word from glossary), {_CENTROID},
 gb as (select a.word, case when a.word = b.word then -1.0 else round(list_dot_product(a.v, b.v), 10) end::double cossim from vecs a, vecs b where b.word in (from glossary)),
 sw as (select word, max(cossim) mindist_all, avg(cossim) avgdist_all, list_sum((list(cossim order by cossim desc))[1:10]) votetopk_all, any_value(csim) centroid, ln(1 + 3.0::double * any_value(label)) log_count from gb join csims using (word) join raw using (word) group by word)"""
-_USED = """bg as (select split_id, word from pool where part = 'test' and label = 0),
-used as (select split_id, word from (select *, row_number() over (partition by split_id order by md5(concat_ws('/', 42, 'train', split_id, word)), word) rn from bg) where rn <= 40
- union select split_id, word from (select *, row_number() over (partition by split_id order by csim, word) rn from csims join bg using (split_id, word)) where rn <= 30)"""
+_USED = """bg as (select distinct split_id, b.word from background b, splits),
+size as (select split_id, count(*) filter (part = 'ref') "ref", count(*) filter (part = 'dev') dev, count(*) filter (part = 'test') test from splits group by split_id),
+used as (select split_id, word from (select *, row_number() over (partition by split_id order by md5(concat_ws('/', 42, 'train', split_id, word)), word) rn from bg) join size using (split_id) where rn <= 2 * "ref"
+ union select split_id, word from (select *, row_number() over (partition by split_id order by csim, word) rn from csims join bg using (split_id, word)) join size using (split_id) where rn <= 2 * "ref")"""
 
 _MASTER = """mw as (select word from raw where label in (1, 3) union select 'no-' || word from raw where label = 5),
 cls as (select word, label from labels_ union all select word, 1 - label from labels_ where word like '%3'),
@@ -197,7 +198,7 @@ ORACLES: dict[str, str] = {
     "f1_log_events": _q("from log_events", _LOG),
     "w6_pair_metrics": _q("from pairs_", _LOG),
     "r1_pair_stream": _q("from pairs_", _LOG),
-    "s8_log_files": _q("select run, kind, count(*) n, round(sum(value), 6) total from log_events group by all", _LOG),
+    "s8_log_files": _q("select run, kind, count(*) n, round(sum(value), 6) total, min(n) as \"first\", max(n) as \"last\" from log_events join (select run, event_id line, row_number() over (partition by run order by event_id) - 1 n from ev) using (run, line) group by all", _LOG),
     "x12_training_log": _q("from log_metrics", _LOG),
     "a17_round_average": _q("select log_label, round, round(avg(-m), 6) loss, count(*) sites from (select log_label, series, round, max(validation_metric) m from log_metrics where series like 'site:%' group by all) group by all", _LOG),
     "w7_best_so_far": _q("select run, r::int round, best from (select run, r, last_value(v ignore nulls) over (partition by run order by r) best from (select run, unnest(range(0, max(round) + 1)) r from log_events group by run) left join (select run, round r, (list(value order by line desc))[1] v from log_events where kind = 'best' group by all) using (run, r)) where best is not null", _LOG),
@@ -228,7 +229,8 @@ ORACLES: dict[str, str] = {
     "p13_model_names": _q("select run, string_agg(distinct 's' || length(site), '+' order by 's' || length(site)) model from log_events where site is not null group by run", _LOG),
     "t11_longest_run": _q("select run, count(distinct round) rounds from log_events where round is not null group by run order by rounds desc, run limit 1", _LOG),
     "u4_used_negatives": _q("from used", _VECS, _SPLITS, _CENTROID, _POOLS.format(words="raw"), _USED),
-    "x8_split_counts": _q("select split_id, pos, neg, k::int k, round(pos / (pos + neg), 6) prevalence, round(k * pos / (pos + neg), 6) chance from (select split_id, sum(label)::bigint pos, count(*) filter (label = 0) neg from pool where part = 'test' and (split_id, word) not in (from used) group by split_id), (select unnest([5, 10, 20]) k)", _VECS, _SPLITS, _CENTROID, _POOLS.format(words="raw"), _USED),
+    "x8_split_counts": _q("""select split_id, "ref", dev, test, "ref" ref_usable, test test_pos, u train_neg_used, nb - u ranked_neg, test + nb - u ranked_total, round(p, 6) prevalence, round(5 * p, 6) chance_at_5, round(10 * p, 6) chance_at_10, round(20 * p, 6) chance_at_20
+ from (select *, test / (test + nb - u) p from size join (select split_id, count(*) u from used group by split_id) using (split_id), (select count(*) nb from background))""", _VECS, _SPLITS, _CENTROID, _POOLS.format(words="raw"), _USED),
     "x9_diagnose_flags": _q("select count(*) n, 0::bigint n_nan, 0::bigint n_inf, '0,1' labels, case when least(avg(label), 1 - avg(label)) < 0.05 then 'imbalanced' else '' end flags from vs where n = 11", _VECS, _NBR, _VOTES, _VOTE_GROUPS),
     "x5_split_report": _q("select k, metric, n, round(mean, 6) mean, round(std, 6) std, round(median, 6) median, round(least, 6) least, round(most, 6) most, round(ci_low, 6) ci_low, round(ci_high, 6) ci_high from stats join (select k, metric, quantile_cont(m, 0.025) ci_low, quantile_cont(m, 0.975) ci_high from ms group by all) using (k, metric)", _CENT_RES.format(pools=_POOLS.format(words="raw"), extra=""), """res as (unpivot (select k, roc_auc::double roc_auc, average_precision::double average_precision, "precision"::double as "precision" from cres) on roc_auc, average_precision, "precision" into name metric value v),
 stats as (select k, metric, count(*) n, avg(v) mean, stddev_samp(v) std, quantile_cont(v, 0.5) median, min(v) least, max(v) most from res group by all),

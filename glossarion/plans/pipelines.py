@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..functions.scalar import WEIGHTS
 from ..operators import curves, lexical, models, neighbours, splits, summary, vectors
-from ..sources.files import shared_folder
+from ..sources.files import written
 
 METHODS = ("vote", "mindist", "avgdist", "centroid", "mindist_all", "avgdist_all", "votetopk_all", "lexical", "hybrid", "pu_lr", "pu_rn")
 #: Decimals of scores before ties are told.
@@ -19,13 +19,6 @@ DIGITS = 10
 KS = (50, 100, 200)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, where several steps read it."""
-    folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
-
-
 def _each(df: DataFrame, few: DataFrame) -> DataFrame:
     """df's rows with each of a few distinct rows (splits, parts, configurations), which reach the tasks as one value, not by a join."""
     listed = df.withColumn("_few", few.agg(F.collect_set(F.struct(*few.columns))).scalar())
@@ -44,13 +37,12 @@ def positives_of(all_splits: DataFrame, words: DataFrame) -> DataFrame:
     return all_splits.filter(F.col("part").isin("dev", "test")).join(known, "word", "left_semi").select("split_id", "part", "word", F.lit(1).alias("label"))
 
 
-def pools(all_splits: DataFrame, words: DataFrame, stop: DataFrame, neg_ratio: float | None = None, seed: int = 42, background: str = "glossary") -> DataFrame:
+def pools(all_splits: DataFrame, words: DataFrame, stop: DataFrame, background: str = "glossary") -> DataFrame:
     """(split_id, part, word, label): dev and test words among `words` as positives, against background negatives.
 
     background: `glossary`, see background_of, or `ref`: all words but the split's reference and the part's
-    own words. neg_ratio: a seeded sample of it for each part and split, at most that many negatives per
-    positive. This lists every word for each split and part; evaluations over all of the background count
-    it instead (select_and_test).
+    own words. This lists every word for each split and part; sampled_pools and evaluations over all of the
+    background (select_and_test, pool_counts, split_counts) count it instead.
     """
     positive = positives_of(all_splits, words)
     parts = F.explode(F.array(F.lit("dev"), F.lit("test")))
@@ -64,14 +56,56 @@ def pools(all_splits: DataFrame, words: DataFrame, stop: DataFrame, neg_ratio: f
     else:
         raise ValueError(f"unknown background {background!r}; known: glossary, ref")
     negative = negative.withColumn("label", F.lit(0))
-    if neg_ratio is not None:
-        size = positive.groupBy("split_id", "part").agg(F.floor(F.count("*") * neg_ratio).alias("most"))
-        order = splits.hash_order(F.lit(seed), "part", "split_id", "word")
-        rn = F.row_number().over(curves.Window.partitionBy("split_id", "part").orderBy(order, "word"))
-        negative = negative.join(size, ["split_id", "part"]).withColumn("rn", rn).filter("rn <= most")
     return positive.unionByName(negative.select("split_id", "part", "word", "label"))
 
 
+def pool_counts(all_splits: DataFrame, words: DataFrame, stop: DataFrame) -> DataFrame:
+    """(split_id, part, pos, neg): the sizes of `pools`, whose background isn't listed for them."""
+    positive = positives_of(all_splits, words).groupBy("split_id", "part").agg(F.count("*").alias("pos"))
+    cells = all_splits.select("split_id").distinct().withColumn("part", F.explode(F.array(F.lit("dev"), F.lit("test"))))
+    size = background_of(all_splits, words, stop).agg(F.count("*")).scalar()
+    return cells.join(positive, ["split_id", "part"], "left").select("split_id", "part", F.coalesce("pos", F.lit(0)).alias("pos"), size.alias("neg"))
+
+
+def sampled_pools(all_splits: DataFrame, words: DataFrame, stop: DataFrame, neg_ratio: float, seed: int = 42) -> DataFrame:
+    """`pools` with a seeded sample of the background for each split and part, at most neg_ratio negatives per positive.
+
+    The background is counted and hashed, never listed for the splits (splits.sample_each).
+    """
+    positive = positives_of(all_splits, words)
+    cells = positive.groupBy("split_id", "part").agg(F.floor(F.count("*") * neg_ratio).alias("most"))
+    negative = splits.sample_each(written(background_of(all_splits, words, stop)), cells, ["part", "split_id"], seed)
+    return positive.unionByName(negative.select("split_id", "part", "word", F.lit(0).alias("label")))
+
+
+def split_counts(vecs: DataFrame, all_splits: DataFrame, stop: DataFrame, ks: Sequence[int] = KS, neg_ratio: float = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Sizes of each split's evaluation, and the training negatives (split_id, word) that are left out of it.
+
+    (split_id, ref, dev, test, ref_usable, test_pos, train_neg_used, ranked_neg, ranked_total, prevalence,
+    chance_at_<k>): the parts' words; reference and test words with a vector; background words that are used
+    as a seeded sample or as those of lowest centroid similarity, neg_ratio of either for each usable
+    reference word; and what is ranked, with the terms that k random words would hold. Splits without a
+    centroid or a test word with a vector are left out. The background is never listed for the splits.
+    """
+    part = lambda p: all_splits.filter(F.col("part") == p).select("split_id", "word")
+    known = vecs.select("word")
+    background = written(vecs.join(background_of(all_splits, vecs, stop), "word", "left_semi").select("word", "v"))
+    centres = vectors.centroids(vecs, part("ref"), ["split_id"])
+    usable = part("ref").join(known, "word", "left_semi").groupBy("split_id").agg(F.count("*").alias("ref_usable"))
+    positive = part("test").join(known, "word", "left_semi").groupBy("split_id").agg(F.count("*").alias("test_pos"))
+    n = background.agg(F.count("*")).scalar()
+    most = F.least(n, F.floor(F.col("ref_usable") * neg_ratio))
+    cells = written(centres.join(usable, "split_id").join(positive, "split_id").withColumn("most", most))
+    random = splits.sample_each(background.select("word"), cells.select(F.lit("train").alias("salt"), "split_id", "most"), ["salt", "split_id"], seed)
+    reliable = vectors.lowest(background, cells, ["split_id"], "most")
+    used = written(random.select("split_id", "word").union(reliable.select("split_id", "word")).distinct())
+    sizes = all_splits.groupBy("split_id").agg(*[F.count_if(F.col("part") == p).alias(p) for p in splits.PARTS])
+    out = cells.select("split_id", "ref_usable", "test_pos").join(sizes, "split_id").join(used.groupBy("split_id").agg(F.count("*").alias("train_neg_used")), "split_id")
+    out = out.withColumn("ranked_neg", n - F.col("train_neg_used")).withColumn("ranked_total", F.col("test_pos") + F.col("ranked_neg"))
+    p = F.col("test_pos").cast("double") / F.col("ranked_total")
+    return out.select("split_id", *splits.PARTS, "ref_usable", "test_pos", "train_neg_used", "ranked_neg", "ranked_total", p.alias("prevalence"), *[(k * p).alias(f"chance_at_{k}") for k in ks]), used
+
+
 def select_and_test(scores: DataFrame, pool: DataFrame, configs: Sequence[str], prefer: Sequence[Column], default: float, within: Sequence[str] = (), ks: Sequence[int] = KS, on: str = "ba", background: DataFrame | None = None) -> DataFrame:
     """A row per split (and `within`): the configuration of best dev ROC AUC, its dev threshold, and test metrics.
 
@@ -83,6 +117,7 @@ def select_and_test(scores: DataFrame, pool: DataFrame, configs: Sequence[str],
     both classes in dev or test are left out.
     """
     keys = ["split_id", "part", *configs]
+    scores, pool = written(scores), written(pool)
     named = scores.withColumnRenamed("query", "word")
     own = "split_id" in scores.columns
     scored = named.join(pool, ["split_id", "word"] if own else ["word"]).select(*keys, "word", "label", "score")
@@ -93,10 +128,10 @@ def select_and_test(scores: DataFrame, pool: DataFrame, configs: Sequence[str],
         scored = scored.unionByName(beside.select(*keys, "word", "label", "score"))
         totals = totals.withColumn("neg", F.col("neg") + background.agg(F.count("*")).scalar())
     grid = scores.select(*configs).distinct()
-    groups = curves.with_default(curves.score_groups(scored, keys), _each(totals, grid), keys, default)
-    points = curves.curve_summary(groups, keys)
+    groups = written(curves.with_default(curves.score_groups(scored, keys), _each(totals, grid), keys, default))
+    points = written(curves.curve_summary(groups, keys))
     dev = points.filter("part = 'dev'").select("split_id", *configs, F.col("roc_auc").alias("dev_roc_auc"), F.col(f"{on}_threshold").alias("threshold"))
-    chosen = curves.best_by(dev, ["split_id", *within], "dev_roc_auc", prefer)
+    chosen = written(curves.best_by(dev, ["split_id", *within], "dev_roc_auc", prefer))
     at = ["split_id", *configs]
     test = points.filter("part = 'test' and roc_auc is not null").join(chosen, at)
     cut = curves.at_threshold(groups.filter("part = 'test'").join(chosen, at), at)
@@ -123,7 +158,7 @@ def list_evaluate(nbr: DataFrame, all_splits: DataFrame, words: DataFrame, stop:
     """Scores by reference terms among the neighbours; per split the dev-selected configuration and test metrics."""
     ref = all_splits.filter("part = 'ref'").select("split_id", "word")
     scores = neighbours.list_scores(nbr, ref, ["split_id"], limit, mode)
-    pool, beside = (positives_of(all_splits, words), background_of(all_splits, words, stop)) if neg_ratio is None else (pools(all_splits, words, stop, neg_ratio), None)
+    pool, beside = (positives_of(all_splits, words), background_of(all_splits, words, stop)) if neg_ratio is None else (written(sampled_pools(all_splits, words, stop, neg_ratio)), None)
     return select_and_test(scores, pool, ["weight_type", "n"], [weight_order(), F.col("n")], neighbours.default_score(mode), ks=ks, background=beside)
 
 
@@ -166,7 +201,7 @@ def split_report(results: DataFrame, metrics: Sequence[str], keys: Sequence[str]
 
 def centroid_evaluate(vecs: DataFrame, all_splits: DataFrame, stop: DataFrame, restrict: DataFrame | None = None, ks: Sequence[int] = KS) -> DataFrame:
     """(split_id, k, pos, neg, roc_auc, average_precision, precision): test terms ranked by similarity to the reference centroid."""
-    centres = _written(vectors.centroids(vecs, all_splits.filter("part = 'ref'").select("split_id", "word"), ["split_id"]))
+    centres = written(vectors.centroids(vecs, all_splits.filter("part = 'ref'").select("split_id", "word"), ["split_id"]))
     words = vecs if restrict is None else vecs.join(restrict.select("word").distinct(), "word", "left_semi")
     tested = positives_of(all_splits, words).filter("part = 'test'").select("split_id", "word", "label")
     known = vectors.centroid_similarity(words.join(tested, "word", "left_semi"), centres, ["split_id"]).join(tested, ["split_id", "word"])
@@ -185,8 +220,7 @@ def features(vecs: DataFrame, nbr: DataFrame, all_splits: DataFrame, topk: int =
     keys, ref = ["split_id"], all_splits.filter("part = 'ref'").select("split_id", "word")
     base = vectors.centroid_similarity(vecs, vectors.centroids(vecs, ref, keys), keys).withColumnRenamed("csim", "centroid")
     graph = neighbours.graph_features(nbr, ref, keys).withColumnRenamed("query", "word")
-    sims = vectors.glossary_similarity(vecs, all_splits, blank_self)
-    full = vectors.glossary_features(sims, ref, keys, topk)
+    full = vectors.member_features(vecs, ref, keys, topk, blank_self)
     lex = lexical.lexical_similarity(vecs.select("word") if words is None else words, ref, keys)
     out = base.join(graph, [*keys, "word"], "left").join(full, [*keys, "word"], "left").join(lex, [*keys, "word"], "left")
     zero = {c: F.coalesce(F.round(F.col(c).cast("double"), DIGITS), F.lit(0.0)) for c in ("vote", "mindist", "avgdist", "cnt", "centroid", "mindist_all", "avgdist_all", "votetopk_all", "lexical")}
@@ -216,9 +250,9 @@ def compare_methods(feats: DataFrame, all_splits: DataFrame, stop: DataFrame, ks
         random = reliable = background
     else:
         size = ref.groupBy("split_id").agg((F.count("*") * neg_ratio_train).alias("most"))
-        random = splits.hashed_sample(background.join(size, key), key, F.col("most"), "train", seed)
-        order = curves.Window.partitionBy("split_id").orderBy("centroid", "word")
-        reliable = background.join(size, key).withColumn("_rn", F.row_number().over(order)).filter("_rn <= most").drop("_rn")
+        sized = written(background.join(size, key))
+        random = splits.hashed_sample(sized, key, F.col("most"), "train", seed)
+        reliable = models.reliable_negatives(sized, key, "centroid", "most")
     positive = feats.join(ref, ["split_id", "word"], "left_semi")
     both = None
     for clf, negative in (("pu_lr", random), ("pu_rn", reliable)):
@@ -245,7 +279,7 @@ def compare_methods(feats: DataFrame, all_splits: DataFrame, stop: DataFrame, ks
 def score_words(vecs: DataFrame, counts: DataFrame, glossary: DataFrame, topk: int = 10) -> DataFrame:
     """(word, mindist_all, avgdist_all, votetopk_all, centroid, log_count): scores against one glossary, self-similarity blanked."""
     members = glossary.select(F.lit(0).alias("split_id"), "word").distinct()
-    full = vectors.glossary_features(vectors.glossary_similarity(vecs, glossary, True), members, ["split_id"], topk)
+    full = vectors.member_features(vecs, members, ["split_id"], topk, True)
     centre = vectors.centroid_similarity(vecs, vectors.centroids(vecs, members, ["split_id"]), ["split_id"])
     out = centre.join(full, ["split_id", "word"]).join(counts.select("word", "cnt"), "word", "left")
     return out.select("word", "mindist_all", "avgdist_all", "votetopk_all", F.col("csim").alias("centroid"), F.log1p(F.coalesce(F.col("cnt"), F.lit(0)).cast("double")).alias("log_count"))
@@ -260,7 +294,7 @@ def trained_scores(scores: DataFrame, glossary: DataFrame, columns: Sequence[str
     """
     known = glossary.select("word").distinct().withColumn("label", F.lit(1))
     clean = [F.when(scalar.is_finite(F.col(c)), F.col(c)).otherwise(0.0).alias(c) for c in columns]
-    scores = _written(scores)
+    scores = written(scores)
     rows = scores.join(known, "word", "left").select("word", F.coalesce("label", F.lit(0)).alias("label"), *clean)
     stats = rows.agg(*[f(c) for c in columns for f in (F.avg, F.stddev_pop)]).first()
     scale = {c: (m or 0.0, d or 1.0) for c, m, d in zip(columns, stats[::2], stats[1::2], strict=True)}

@@ -29,13 +29,6 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as a table to the shared folder and read back, where several steps read it."""
-    folder = files.shared_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
-
-
 class Fixture:
     """The word vectors, lists, splits and neighbours that the tables stand for."""
 
@@ -45,7 +38,7 @@ class Fixture:
         # the planted glossary: the words near w0, about an eighth of all
         first = self.vecs.filter("word = 'w0'").agg(F.min("v")).scalar()
         near = self.vecs.withColumn("v0", first).select("word", F.round(scalar.dot("v", "v0"), 10).alias("s"))
-        self.glossary = stored(near.filter(F.col("s") >= NEAR).select("word"))
+        self.glossary = files.written(near.filter(F.col("s") >= NEAR).select("word"))
         self.stop = self.raw.filter("label = 0").select("word").join(self.glossary, "word", "left_anti")
         self.null_glossary = self.raw.filter("label = 3").select("word")
 
@@ -61,17 +54,17 @@ class Fixture:
 
     @cached_property
     def splits(self) -> DataFrame:
-        return stored(splits.make_splits(self.glossary, N_SPLITS))
+        return files.written(splits.make_splits(self.glossary, N_SPLITS))
 
     @cached_property
     def control(self) -> DataFrame:
         """The splits with their words replaced by others."""
-        return stored(splits.randomised(self.splits, self.raw.join(self.stop, "word", "left_anti")))
+        return files.written(splits.randomised(self.splits, self.raw.join(self.stop, "word", "left_anti")))
 
     @cached_property
     def nbr(self) -> DataFrame:
         """The neighbour store: written once, as every method reads it several times."""
-        return stored(vectors.knn(self.vecs, K).withColumn("distance", F.round(1 - F.col("cossim"), 10)))
+        return files.written(vectors.knn(self.vecs, K).withColumn("distance", F.round(1 - F.col("cossim"), 10)))
 
     @property
     def labelled_nbr(self) -> DataFrame:
@@ -86,7 +79,7 @@ class Fixture:
     @cached_property
     def features(self) -> DataFrame:
         """Features per split and word, written once: samples, training and scores all read them."""
-        return stored(pipelines.features(self.vecs, self.nbr, self.splits))
+        return files.written(pipelines.features(self.vecs, self.nbr, self.splits))
 
     @property
     def neighbourhoods(self) -> DataFrame:
@@ -185,7 +178,7 @@ def p2_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
 # vectors
 on_fixture("a5_centroid_similarity")(lambda x: vectors.centroid_similarity(x.vecs, vectors.centroids(x.vecs, x.splits.filter("part = 'ref'"), ["split_id"]), ["split_id"]))
 on_fixture("j5_glossary_similarity")(lambda x: vectors.glossary_similarity(x.vecs, x.glossary))
-on_fixture("a4_glossary_features")(lambda x: vectors.glossary_features(vectors.glossary_similarity(x.vecs, x.glossary), x.splits.filter("part = 'ref'"), ["split_id"]))
+on_fixture("a4_glossary_features")(lambda x: vectors.member_features(x.vecs, x.splits.filter("part = 'ref'"), ["split_id"]))
 
 
 @query("x11_aggregate_embeddings")
@@ -244,7 +237,7 @@ on_fixture("g2_stratified_splits")(lambda x: splits.make_splits(x.labels, N_SPLI
 on_fixture("u3_verify_splits")(lambda x: splits.verify_splits(splits.make_splits(x.raw, N_SPLITS).union(x.splits)))
 on_fixture("a13_part_sizes")(lambda x: splits.part_sizes(splits.make_splits(x.labels, N_SPLITS, strata=["label"], neg_ratio=2.0)))
 on_fixture("a14_split_info")(lambda x: summary.split_info(x.labels.filter("word not like '%7'"), splits.make_splits(x.raw, N_SPLITS)))
-on_fixture("g3_pools")(lambda x: pipelines.pools(x.splits, x.raw, x.stop, neg_ratio=3.0))
+on_fixture("g3_pools")(lambda x: pipelines.sampled_pools(x.splits, x.raw, x.stop, neg_ratio=3.0))
 on_fixture("p11_pools")(lambda x: pipelines.pools(x.splits, x.raw, x.stop))
 on_fixture("g4_training_sample")(lambda x: splits.hashed_sample(x.raw.join(x.glossary, "word", "left_anti").select("label", "word"), ["label"], F.lit(5), "train"))
 on_fixture("g5_randomised")(lambda x: splits.randomised(x.splits, x.raw.join(x.stop, "word", "left_anti")))
@@ -283,7 +276,7 @@ query("a7_class_rates")(lambda s, d: summary.class_rates(scored_events(s, d)))
 query("a20_separation")(lambda s, d: summary.separation(scored_events(s, d), ["key"]))
 query("p14_health_flags")(lambda s, d: summary.health_flags(table(s, d, "events").select(F.when(F.col("event_id") % 100 == 0, float("nan")).otherwise(F.col("value")).alias("score"), (F.col("user_id") < 5).cast("int").alias("label"))).withColumn("labels", F.array_join("labels", ",")).withColumn("flags", F.array_join("flags", ",")))
 on_fixture("a15_global_counts")(lambda x: summary.global_counts(x.raw, x.raw.filter("label != 9"), x.raw.filter("label != 8"), x.glossary))
-on_fixture("a16_chance_levels")(lambda x: summary.chance_levels(pipelines.pools(x.splits, x.raw, x.stop).groupBy("split_id", "part").agg(F.sum("label").alias("pos"), F.count_if(F.col("label") == 0).alias("neg")), KS, ["split_id", "part"]))
+on_fixture("a16_chance_levels")(lambda x: summary.chance_levels(pipelines.pool_counts(x.splits, x.raw, x.stop), KS, ["split_id", "part"]))
 query("w9_hybrid")(lambda s, d: models.z_scores(scored_events(s, d).withColumn("flat", F.lit(1.0)), ["key"], ["score", "flat"]).select("key", "event_id", (F.col("z_score") + F.col("z_flat")).alias("hybrid")))
 
 # logs and configurations
@@ -293,10 +286,11 @@ query("w6_pair_metrics")(lambda s, d: trainlog.pair_metrics(trainlog.log_events(
 
 @query("s8_log_files")
 def s8_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log written as text files, many per run, and read again with its line numbers."""
+    """The log written as plain text, in parts for each run, and read again with its line numbers."""
     folder = files.shared_folder(spark)
-    files.write_log_lines(log_lines(spark, sf_dir), folder)
-    return trainlog.log_events(files.numbered_log_lines(spark, folder)).groupBy("run", "kind").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    files.write_log(log_lines(spark, sf_dir), folder)
+    read = trainlog.log_events(files.log_lines(spark, folder, run="folder"))
+    return read.groupBy("run", "kind").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("line").alias("first"), F.max("line").alias("last"))
 
 
 @query("x12_training_log")
@@ -413,25 +407,8 @@ query("p13_model_names")(lambda s, d: configs.model_name(trainlog.log_events(log
 query("t11_longest_run")(lambda s, d: trainlog.longest_run(trainlog.log_events(log_lines(s, d))))
 
 
-@on_fixture("x8_split_counts")
-def x8_split_counts(x: Fixture) -> DataFrame:
-    """Per split: pool sizes after the training negatives are left out, prevalence and chance."""
-    used = x8_used(x)
-    pool = pipelines.pools(x.splits, x.raw, x.stop).filter("part = 'test'").join(used, ["split_id", "word"], "left_anti")
-    counts = pool.groupBy("split_id").agg(F.sum("label").alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    return counts.join(summary.chance_levels(counts, KS, ["split_id"]), "split_id")
-
-
-def x8_used(x: Fixture) -> DataFrame:
-    """(split_id, word): the sampled and the reliable training negatives."""
-    background = pipelines.pools(x.splits, x.raw, x.stop).filter("part = 'test' and label = 0").select("split_id", "word")
-    random = splits.hashed_sample(background, ["split_id"], F.lit(40), "train")
-    centre = vectors.centroid_similarity(x.vecs, vectors.centroids(x.vecs, x.splits.filter("part = 'ref'"), ["split_id"]), ["split_id"])
-    reliable = models.reliable_negatives(centre.join(background, ["split_id", "word"], "left_semi"), ["split_id"], "csim", 30)
-    return random.union(reliable.select("split_id", "word")).distinct()
-
-
-on_fixture("u4_used_negatives")(x8_used)
+on_fixture("x8_split_counts")(lambda x: pipelines.split_counts(x.vecs, x.splits, x.stop, KS, neg_ratio=2)[0])
+on_fixture("u4_used_negatives")(lambda x: pipelines.split_counts(x.vecs, x.splits, x.stop, KS, neg_ratio=2)[1])
 on_fixture("x9_diagnose_flags")(lambda x: pipelines.diagnose(neighbours.prefix_votes(x.labelled_nbr).withColumn("score", F.round("vote", 10)).join(x.labels.withColumnRenamed("word", "query"), "query"))[1].select("n", "n_nan", "n_inf", F.array_join("labels", ",").alias("labels"), F.array_join("flags", ",").alias("flags")))
 
 

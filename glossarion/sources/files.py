@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{(folder or spark.conf.get('spark.sql.warehouse.dir').rstrip('/') + '/_shared').rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, where several steps read it."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def word_list(spark: SparkSession, path: str, mode: str = "line") -> DataFrame:
     """(word) of each non-blank line: the stripped line, its first token, or the stripped line in lower case."""
     text = F.trim("value")
@@ -65,21 +72,31 @@ def log_metrics_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select("log_label", "series", F.col("round").try_cast("int").alias("round"), F.col("validation_metric").try_cast("double").alias("validation_metric")).dropna()
 
 
-def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(run, line, text) of each file's lines in order; a run is named by its file without extension."""
-    whole = spark.read.text(path, wholetext=True).select("value", F.regexp_extract("_metadata.file_path", r"([^/]+?)(\.[^./]*)?$", 1).alias("run"))
-    return whole.select("run", F.posexplode(F.split("value", "\n")).alias("line", "text")).select("run", F.col("line").cast("bigint").alias("line"), "text")
-
+def log_lines(spark: SparkSession, path: str, run: str = "file") -> DataFrame:
+    """(run, line, text) of the lines of text files, numbered from 0 in each run's order.
 
-def write_log_lines(lines: DataFrame, path: str) -> None:
-    """(run, line, text) as text files in a folder per run; a line is its number, a tab and its text, so that any file may hold any lines."""
-    lines.select("run", F.concat_ws("\t", F.col("line").cast("string"), "text").alias("value")).write.partitionBy("run").text(path)
+    run: `file`, a run is a file, named without extension; `folder`, a run is a folder's files one after the
+    other, by name, as of a log that was written in parts; the folder gives its name (of run=<name> the name). Large files are read by several
+    tasks: lines are written to the shared folder with the block that they stand in, numbered within it, and
+    shifted by the lines of the blocks before.
+    """
+    file = F.col("_metadata.file_path")
+    name = F.regexp_extract(file, r"([^/]+?)(\.[^./]*)?$", 1) if run == "file" else F.regexp_extract(file, r"(?:run=)?([^/]+)/[^/]+$", 1)
+    raw = spark.read.option("recursiveFileLookup", True).text(path)
+    rows = raw.select(name.alias("run"), file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"), F.col("value").alias("text"))
+    folder = shared_folder(spark)
+    rows.write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    blocks = rows.groupBy("run", "file", "block").agg(F.count("*").alias("n"), F.min("m").alias("first"))  # a row for each block
+    before = Window.partitionBy("run").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = blocks.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(shifts, ["file", "block"]).select("run", (F.col("m") + F.col("shift")).alias("line"), "text")
 
 
-def numbered_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(run, line, text) of files that write_log_lines wrote; large ones are split."""
-    parts = F.split("value", "\t", 2)
-    return spark.read.text(path).select("run", parts[0].cast("bigint").alias("line"), parts[1].alias("text"))
+def write_log(lines: DataFrame, path: str) -> None:
+    """(run, line, text) as plain text in a folder per run: its files, by name, hold the lines in order. Tasks share a long run."""
+    ordered = lines.repartitionByRange("run", "line").sortWithinPartitions("run", "line")
+    ordered.select("run", F.col("text").alias("value")).write.partitionBy("run").text(path)
 
 
 def config_docs(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
@@ -95,9 +112,11 @@ def corpus_tokens(documents: DataFrame, id_col: str = "doc_id", text: str = "tex
     return documents.select(id_col, F.posexplode(words).alias("pos", "token"))
 
 
-def write_votes(votes: DataFrame, path: str) -> None:
-    """Votes by approach and weight type, sorted by n within each file, so that a grid cell is a small read."""
-    votes.repartition("approach", "weight_type").sortWithinPartitions("n").write.partitionBy("approach", "weight_type").parquet(path)
+def write_votes(votes: DataFrame, path: str, rows_per_file: int = 1 << 22) -> None:
+    """Votes by approach and weight type, in ranges of n and query: tasks share a large one, and a grid cell is a run of rows in few files."""
+    order = ["approach", "weight_type", "n", "query"]
+    ranged = votes.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.write.option("maxRecordsPerFile", rows_per_file).partitionBy("approach", "weight_type").parquet(path)
 
 
 def grid_cell(spark: SparkSession, path: str, approach: str, weight_type: str, n: int) -> DataFrame:
@@ -115,8 +134,6 @@ def vocabulary_ids(words: DataFrame, columns: Sequence[str] = ("word",)) -> Data
 
     The ranges are written to the shared folder, numbered within, and shifted by the sizes of those before.
     """
-    from pyspark.sql import Window
-
     spark, folder = words.sparkSession, shared_folder(words.sparkSession)
     long = words.select(F.explode(F.array(*columns)).alias("word")).filter("word is not null").distinct()
     long.repartitionByRange("word").sortWithinPartitions("word").withColumn("m", F.monotonically_increasing_id()).write.parquet(folder)

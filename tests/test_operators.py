@@ -366,9 +366,159 @@ def test_logs_and_csv_are_not_gathered(spark, tmp_path, monkeypatch):
     best = e.withColumn("b", least).filter("event_type = 'view' and (b is null or value < b)")
     assert lines.count() == e.count()
     assert rows(lines.filter("text like 'new best%'"), "line") == rows(best, "event_id")
-    files.write_log_lines(lines.repartition(3), str(tmp_path / "log"))
-    assert len(list((tmp_path / "log/run=run0").glob("*.txt"))) == 3
-    assert rows(files.numbered_log_lines(spark, str(tmp_path / "log")), "run", "line", "text") == rows(lines, "run", "line", "text")
+    files.write_log(lines, str(tmp_path / "log"))
+    place = F.row_number().over(Window.partitionBy("run").orderBy("line")) - 1
+    want = lines.withColumn("line", place.cast("bigint"))
+    assert rows(files.log_lines(spark, str(tmp_path / "log"), run="folder"), "run", "line", "text") == rows(want, "run", "line", "text")
     files.write_csv(spark.range(10).repartition(3), str(tmp_path / "csv"))
     assert len(list((tmp_path / "csv").glob("*.csv"))) == 3
     assert rows(spark.read.csv(str(tmp_path / "csv"), header=True, inferSchema=True), "id") == [(i,) for i in range(10)]
+
+
+def test_large_logs_are_read_in_blocks_with_their_line_numbers(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    text = {"a": [f"line {i} " + "x" * (i % 37) for i in range(3000)], "b": ["", "one", ""], "c": ["é" * (i % 5) for i in range(900)]}
+    for name, lines in text.items():
+        (tmp_path / "logs" / f"{name}.log").write_text("\n".join(lines) + "\n")
+    want = sorted((n, i, x) for n, lines in text.items() for i, x in enumerate(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4001")
+    try:
+        assert spark.read.text(str(tmp_path / "logs")).select("_metadata.file_path", "_metadata.file_block_start").distinct().count() > 10
+        assert rows(files.log_lines(spark, str(tmp_path / "logs")), "run", "line", "text") == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_pairs_reach_over_ranges(spark):
+    """One busy site, cut into ranges: deep stacks, long runs of acceptances, and lost ones."""
+    rng = random.Random(9)
+    kinds = ["metric"] * 150 + ["accept"] * 200 + [k for _ in range(60) for k in (["metric"] * rng.randint(0, 9) + ["accept"] * rng.randint(0, 9))]
+    lines = [(k, rng.choice("a" * 30 + "b"), float(i)) for i, k in enumerate(kinds)]
+    events = spark.createDataFrame([("r", s, i, k, 3, v) for i, (k, s, v) in enumerate(lines)], "run string, site string, line bigint, kind string, round int, value double")
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        assert rows(trainlog.pair_metrics(events.repartition(5)), "site", "line", "value") == _stack(lines)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_settings_keep_the_documents_order_at_any_depth(spark):
+    deep = '{"a":' * 50_000 + "1" + "}" * 50_000
+    nested = '{"a": [' * 300 + '{"bs": 16, "dropout": 0.1, "bias": null}' + "]}" * 300
+    docs = [("r", "1", '{"z": {"lr": "{\\"lr\\": 7}", "x": []}, "a": {"lr": 2}, "e": {}, "n": null, "t": true}'), ("r", "2", deep), ("r", "3", "{bad"), ("r", "4", None), ("r", "5", nested), ("r", "6", '[1, {"lr": 1e-5}, ["s", {"alpha": "[x"}]]'), ("r", "7", "3")]
+    df = spark.createDataFrame(docs, "run string, path string, text string")
+    got = [(r["path"], r["key"], r["value"]) for r in sorted(configs.leaves(df).collect(), key=lambda r: (r["path"], r["place"]))]
+    assert got == [("1", "lr", '{"lr": 7}'), ("1", "lr", "2"), ("1", "n", "null"), ("1", "t", "true"), ("5", "bs", "16"), ("5", "dropout", "0.1"), ("5", "bias", "null"), ("6", "lr", "1.0E-5"), ("6", "alpha", "[x")]
+    assert rows(configs.unreadable(df), "path") == [("2",), ("3",), ("7",)]
+    assert dict(rows(configs.run_configs(df), "key", "value")) == {"lr": '{"lr": 7}', "batch_size": "16", "lora_dropout": "0.1", "bias": "null", "lora_alpha": "[x"}
+    assert configs.leaves(df.limit(0)).count() == 0
+
+
+def test_settings_are_read_by_pattern_and_put_in_a_table(spark):
+    docs = [("1", "/r/1/meta.json", '{"lr": 1, "bias": "m"}'), ("1", "/r/1/a_config.json", '{"lr": 2, "bs": 8}'), ("1", "/r/1/z/config_fed_server.json", '{"lr": 3}'), ("1", "/r/1/other.json", '{"r": 4}'), ("2", "/r/2/x.txt", '{"lr": 9}')]
+    df = spark.createDataFrame(docs, "run string, path string, text string")
+    found = configs.run_configs(df, patterns=configs.PATTERNS)
+    assert rows(found, "run", "key", "value") == [("1", "batch_size", "8"), ("1", "bias", "m"), ("1", "lr", "3")]
+    sites = spark.createDataFrame([("1", "a, b", "Model AB"), ("2", "?", "model_2")], "run string, sites string, model string")
+    table = configs.config_table(found, sites)
+    assert table.columns == ["model_name", "model_num", "sites", *configs.ALIASES]
+    assert rows(table, "model_name", "model_num", "sites", "lr", "batch_size", "r") == [("Model AB", 1, "a, b", "3", "8", ""), ("model_2", 2, "?", "", "", "")]
+
+
+def test_member_features_by_blocks_equal_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(70, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    names = [f"w{i:02}" for i in range(70)]
+    vecs = spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, x, strict=True)], "word string, v array<double>")
+    member = {k: sorted(rng.choice(70, n, replace=False).tolist()) for k, n in ((0, 30), (1, 3), (2, 1))}
+    members = spark.createDataFrame([(k, names[i]) for k, at in member.items() for i in at] + [(0, "absent"), (3, "absent"), (1, names[member[1][0]])], "split_id int, word string")
+    for targets in (4096, 11):
+        monkeypatch.setattr(vectors, "TARGETS", targets)
+        for blank in (False, True):
+            df = vectors.member_features(vecs, members, ["split_id"], 5, blank)
+            sims = np.round(x @ x.T, vectors.DIGITS)
+            if blank:
+                np.fill_diagonal(sims, -1.0)
+            got = {(r["split_id"], r["word"]): (r["mindist_all"], r["avgdist_all"], r["votetopk_all"]) for r in df.collect()}
+            assert len(got) == 3 * 70
+            for k, at in member.items():
+                for i, n in enumerate(names):
+                    s = sims[i, at]
+                    assert got[k, n] == pytest.approx((s.max(), s.mean(), np.sort(s)[::-1][:5].sum()))
+    monkeypatch.setattr(vectors, "TARGETS", 4096)
+    plan = vectors.member_features(vecs, members, ["split_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_lowest_passes_on_few_words(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(300, 4)).round(1)
+    vecs = spark.createDataFrame([(f"w{i:03}", v.tolist()) for i, v in enumerate(x)], "word string, v array<double>").repartition(3)
+    centres = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0], 7), (1, [0.0, 1.0, 0.0, 0.5], 400), (2, [0.0, 0.0, 1.0, 0.0], 0)], "split_id int, c array<double>, m int")
+    got = rows(vectors.lowest(vecs, centres, ["split_id"], "m"), "split_id", "csim", "word")
+    want = []
+    for k, c, m in ((0, [1, 0, 0, 0], 7), (1, [0, 1, 0, 0.5], 400)):
+        want += [(k, *t) for t in sorted((float(np.round(v @ np.array(c, float), 10)), f"w{i:03}") for i, v in enumerate(x))[:m]]
+    assert got == sorted(want)
+
+
+def test_samples_by_threshold_equal_sorting(spark, monkeypatch):
+    key = lambda *p: hashlib.md5("/".join(map(str, p)).encode()).hexdigest()
+    words = [f"w{i}" for i in range(900)]
+    df = spark.createDataFrame([(w, i % 3) for i, w in enumerate(words)], "word string, label int")
+    got = rows(splits.hashed_sample(df.withColumn("size", F.col("label") * 40), ["label"], F.col("size"), "s", 7), "label", "word")
+    want = [(k, w) for k in range(3) for w in sorted((w for i, w in enumerate(words) if i % 3 == k), key=lambda w: key(7, "s", k, w))[: k * 40]]
+    assert got == sorted(want)
+    cells = spark.createDataFrame([(0, "dev", 5), (1, "dev", 400), (2, "test", 5000), (3, "test", 0)], "split_id int, part string, most bigint")
+    for slack in (None, 1e-9):
+        if slack:  # thresholds far too low at first: they are doubled
+            monkeypatch.setattr(splits.math, "sqrt", lambda x: -x / 6.5)
+        sampled = splits.sample_each(df.select("word"), cells, ["part", "split_id"], 7)
+        want = [(k, p, w) for k, p, m in ((0, "dev", 5), (1, "dev", 400), (2, "test", 900)) for w in sorted(words, key=lambda w: key(7, p, k, w))[:m]]
+        assert rows(sampled, "split_id", "part", "word") == sorted(want)
+    monkeypatch.setattr(splits, "CELLS", 2)
+    with pytest.raises(ValueError, match="more than 2 cells"):
+        splits.sample_each(df.select("word"), cells, ["part", "split_id"])
+    cut = splits.make_splits(df, 2, seed=3, strata=["label"])
+    for k in range(2):
+        for y in range(3):
+            order = sorted((w for i, w in enumerate(words) if i % 3 == y), key=lambda w: (key(3, k, w), w))
+            want = {"ref": order[:240], "dev": order[240:270], "test": order[270:]}
+            for p, some in want.items():
+                assert rows(cut.filter(f"split_id = {k} and label = {y} and part = '{p}'"), "word") == sorted((w,) for w in some)
+
+
+def test_pooled_occurrences_equal_plain_means(spark):
+    rng = np.random.default_rng(14)
+    tokens = [(f"o{o}", f"W{o % 40}" if o % 2 else f"w{o % 40}", rng.normal(size=3).tolist()) for o in range(300) for _ in range(1 + o % 4)]
+    tokens = [tokens[i] for i in rng.permutation(len(tokens))] + [("o1", None, [1.0, 1.0, 1.0]), (None, "w1", [1.0, 1.0, 1.0]), ("o2", "w2", None)]
+    df = spark.createDataFrame(tokens, "occurrence string, word string, vector array<double>").repartition(5)
+    groups = {}
+    for o, w, v in tokens:
+        if None not in (o, w, v):
+            groups.setdefault(w.lower(), {}).setdefault(o, []).append(v)
+    for table in (1 << 15, 3):
+        got = {r["word"]: r for r in vectors.pool_occurrences(df, table).collect()}
+        assert set(got) == set(groups)
+        for w, occurrences in groups.items():
+            mean = np.mean([np.mean(v, axis=0) for v in occurrences.values()], axis=0)
+            assert got[w]["cnt"] == len(occurrences)
+            assert got[w]["vector"] == pytest.approx((mean / np.linalg.norm(mean)).tolist())
+    assert vectors.pool_occurrences(df.limit(0)).count() == 0
+
+
+def test_votes_lie_in_ranges(spark, tmp_path):
+    votes = spark.range(4000).select(F.lit("votes").alias("approach"), F.lit("inverse").alias("weight_type"), (F.col("id") % 40).cast("int").alias("n"), F.concat(F.lit("w"), "id").alias("query"), (F.col("id") % 2).cast("int").alias("label"), F.rand(1).alias("score"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.write_votes(votes, str(tmp_path / "v"), 500)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list((tmp_path / "v").rglob("*.parquet"))) >= 8
+    cell = files.grid_cell(spark, str(tmp_path / "v"), "votes", "inverse", 7)
+    assert cell.count() == 100 and spark.read.parquet(str(tmp_path / "v")).filter("n = 7").select("_metadata.file_path").distinct().count() <= 2
