@@ -85,10 +85,39 @@ def test_url_rules_and_segmentation(spark):
     got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(pages, rules).collect())
     assert [g[:4] for g in got] == [(1, "a.example.org", "/es/1", "example.org/es/"), (2, "b.org", "", None), (3, "", "", None), (4, "", "", None), (5, "goodnews.com", "/de/1", "com/de/"), (6, "x.com", "/fr/2", "com/fr/"), (6, "x.com", "/fr/2", "com/fr/"), (7, "goodnews.com", "/en/7", None)]
     assert dict((g[0], g[4]) for g in got)[5] == "block" and dict((g[0], g[4]) for g in got)[7] == "block"
-    assert urls.viterbi("goodnewsx", {(0, 4): 2, (4, 8): 2}, 6) == ["good", "news", "x"]
+    assert urls.viterbi("goodnewsx", lambda end: {4: [(0, 2)], 8: [(4, 2)]}.get(end, ()), 6) == ["good", "news", "x"]
     assert urls.judge(pages.limit(0), rules).count() == 0
 
 
+def test_url_hosts_of_any_length(spark):
+    """Long hosts cost in proportion to their length, and words of any length are known."""
+    import time
+
+    rng = random.Random(11)
+    long_word = "".join(rng.choice("abcdefgh") for _ in range(3000))
+    hosts = ["".join(rng.choice("abc") for _ in range(100_000)), long_word + "news", "good" * 20_000, "a" * 50_000 + ".1x--" + "news"]
+    pages = spark.createDataFrame([(i, f"http://{h}/p", f"good news good abc <b>{long_word}</b>") for i, h in enumerate(hosts)], "page_id bigint, url string, html string")
+    urls.judge(pages.limit(1), ()).count()
+    began = time.time()
+    counts = urls.word_counts(pages)
+    got = {r["host"]: r["host_words"] for r in urls.segment(urls.parse(pages), counts).collect()}
+    assert time.time() - began < 60
+    assert all("".join(w) == h for h, w in got.items() if "." not in h)
+    assert got[hosts[1]] == [long_word, "news"] and got[hosts[2]] == ["good"] * 20_000
+    assert got[hosts[3]] == ["a" * 50_000, "1", "x", "news"]
+    assert {r["host"] for r in urls.judge(pages, ()).collect()} == set(hosts)
+
+
+def test_name_hashes_tell_parts_apart():
+    rng = random.Random(12)
+    name = "".join(rng.choice("ab") for _ in range(300))
+    sums, powers = urls._prefixes(name)
+    for size in (1, 2, 7, 30, 300):
+        got = urls.parts_of(sums, powers, size).tolist()
+        assert got == [urls.name_hash(name[i : i + size]) for i in range(len(name) - size + 1)]
+        assert len(set(got)) == len({name[i : i + size] for i in range(len(name) - size + 1)})
+
+
 PATTERNS = (
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s, d: True),
     (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s, d: all(int(x) <= 255 for x in s.split("."))),
