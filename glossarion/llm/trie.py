@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 from .text import shared_dir
 
 #: Turns of a container that doesn't burst.
-LIMIT = 1 << 15
+LIMIT = 1 << 12
 NODE = "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string"
 
 

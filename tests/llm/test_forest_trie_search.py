@@ -135,7 +135,7 @@ def brute_trie(rows, limit=None):
     return out, len(nodes)
 
 
-@pytest.mark.parametrize("limit", [1, 6, 40, 1 << 15])
+@pytest.mark.parametrize("limit", [1, 6, 40, 1 << 12])
 def test_trie_equals_brute_force(spark, limit):
     rng = random.Random(limit)
     rows = []
