@@ -412,39 +412,46 @@ on_fixture("u4_used_negatives")(lambda x: pipelines.split_counts(x.vecs, x.split
 on_fixture("x9_diagnose_flags")(lambda x: pipelines.diagnose(neighbours.prefix_votes(x.labelled_nbr).withColumn("score", F.round("vote", 10)).join(x.labels.withColumnRenamed("word", "query"), "query"))[1].select("n", "n_nan", "n_inf", F.array_join("labels", ",").alias("labels"), F.array_join("flags", ",").alias("flags")))
 
 
-def _log_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """The log as a stream of four batches, in the order of their lines."""
+def _log_stream(spark: SparkSession, sf_dir: str, folder: str, order: tuple[int, ...] = (0, 1, 2, 3)) -> DataFrame:
+    """The log as a stream of four batches, ranges of lines in a given order."""
     lines = log_lines(spark, sf_dir)
     lines.write.parquet(f"{folder}/all")
     lines = spark.read.parquet(f"{folder}/all")
     low, high, n = lines.agg(F.min("line"), F.max("line"), F.count("*")).first()
     cuts = [low + (high + 1 - low) * i // 4 for i in range(5)] if n else []
     each = max(1, n // 4_000_000)  # files of a batch
-    for a, b in zip(cuts, cuts[1:], strict=False):
+    for a, b in [(cuts[i], cuts[i + 1]) for i in order] if n else []:
         lines.filter((F.col("line") >= a) & (F.col("line") < b)).repartition(each).write.mode("append").parquet(f"{folder}/in")
     return spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", each).parquet(f"{folder}/in" if n else f"{folder}/all")
 
 
-def _last_of_batches(df: DataFrame, folder: str, keys: list[str]) -> DataFrame:
-    """An update stream run to its end; of each key the row of the last batch that changed it."""
+def _batches(df: DataFrame, folder: str) -> DataFrame:
+    """The rows of an update stream, run to its end, with the number of their batch."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/out")
 
     df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema.add("batch", "int")).parquet(f"{folder}/out")
+
+
+def _last_of_batches(df: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """An update stream run to its end; of each key the row of the last batch that changed it."""
     rest = [c for c in df.columns if c not in keys]
-    last = df.sparkSession.read.parquet(f"{folder}/out").groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x"))
+    last = _batches(df, folder).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x"))
     return last.select(*keys, "x.*")
 
 
 @query("r1_pair_stream")
 def r1_pair_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log as a stream of files, paired with state kept per run and site, into a table."""
-    folder = files.shared_folder(spark)
-    stream = streams.pair_stream(_log_stream(spark, sf_dir, folder))
-    run = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(streams.PAIR).parquet(f"{folder}/out")
+    """The log as a stream of files whose batches come in the wrong order, paired with state kept per run and site."""
+    folder, key = files.shared_folder(spark), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, streams.PROVIDER)
+    try:
+        return streams.last_pairs(_batches(streams.pair_stream(_log_stream(spark, sf_dir, folder, (1, 0, 3, 2)), late=1 << 62), folder))
+    finally:
+        spark.conf.set(key, before)
 
 
 @query("r2_best_stream")
