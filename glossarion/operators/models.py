@@ -104,3 +104,30 @@ def predict(df: DataFrame, models: DataFrame, keys: Sequence[str], features: Seq
     terms = [F.nanvl(F.coalesce((F.col(f).cast("double") - F.col("means")[i]) / F.col("deviations")[i], F.lit(0.0)), F.lit(0.0)) * F.col("weights")[i] for i, f in enumerate(features)]
     z = sum(terms, F.col("intercept"))
     return joined.withColumn(name, 1 / (1 + F.exp(-z))).select(*df.columns, name)
+
+
+def fit_gaps(training: DataFrame, models: DataFrame, keys: Sequence[str], features: Sequence[str], label: str = "label", c: float = 1.0, balanced: bool = True) -> DataFrame:
+    """(keys, positives, negatives, gap): the largest component of the loss's gradient at each key's classifier, 0 at the optimum.
+
+    Features are standardised by the classifier's means and deviations, as in predict. All sums are over rows,
+    so that a classifier of fit_large can be judged as well as those of fit_per_key.
+    """
+    sizes = training.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(F.col(label).cast("double")).alias("_p"))
+    rows = training.select(*keys, label, *features).join(models, list(keys)).join(sizes, list(keys))
+    x = [F.nanvl(F.coalesce((F.col(f).cast("double") - F.col("means")[i]) / F.col("deviations")[i], F.lit(0.0)), F.lit(0.0)) for i, f in enumerate(features)]
+    rows = rows.select(*keys, label, "weights", "intercept", "_n", "_p", *[v.alias(f"_x{i}") for i, v in enumerate(x)])
+    z = sum((F.col(f"_x{i}") * F.col("weights")[i] for i in range(len(x))), F.col("intercept"))
+    y = F.col(label).cast("double")
+    weight = F.when(y > 0, F.col("_n") / (2 * F.greatest(F.lit(1.0), "_p"))).otherwise(F.col("_n") / (2 * F.greatest(F.lit(1.0), F.col("_n") - F.col("_p")))) if balanced else F.lit(1.0)
+    error = c * weight * (1 / (1 + F.exp(-z)) - y)
+    sums = rows.groupBy(*keys).agg(F.count_if(y > 0).alias("positives"), F.count_if(y <= 0).alias("negatives"), F.first("weights").alias("w"), F.abs(F.sum(error)).alias("_g"), *[F.sum(error * F.col(f"_x{i}")).alias(f"_g{i}") for i in range(len(x))])
+    return sums.select(*keys, "positives", "negatives", F.greatest("_g", *[F.abs(F.col(f"_g{i}") + F.col("w")[i]) for i in range(len(x))]).alias("gap"))
+
+
+def weight_table(models: DataFrame, features: Sequence[str], clf: str = "clf") -> DataFrame:
+    """(feature, <clf>_weight_mean, <clf>_weight_std, ...): each classifier's mean weights and their population deviations over keys."""
+    names = F.array(*map(F.lit, features))
+    long = models.select(clf, F.posexplode("weights").alias("at", "w")).select(clf, F.element_at(names, F.col("at") + 1).alias("feature"), "w")
+    kinds = [r[0] for r in models.select(clf).distinct().orderBy(clf).limit(100).collect()]
+    own = {k: F.when(F.col(clf) == k, F.col("w")) for k in kinds}
+    return long.groupBy("feature").agg(*[f(x).alias(f"{k}_weight_{n}") for k, x in own.items() for n, f in (("mean", F.avg), ("std", F.stddev_pop))])

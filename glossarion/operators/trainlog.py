@@ -113,6 +113,28 @@ def best_checkpoint(perf: DataFrame) -> DataFrame:
     return out.select("run", "n", "first_round", "last_round", F.col("d.round").alias("best_dev_round"), F.col("d.dev_ppl").alias("best_dev"), F.col("t.round").alias("best_test_round"), F.col("t.test_ppl").alias("best_test"), "final_test", (F.col("t.test_ppl") < F.col("worst") * 0.5).alias("converged"), F.concat(F.lit("FL_global_model_"), F.col("t.round").cast("string"), F.lit(".pt")).alias("target"))
 
 
+def checkpoint_report(overview: DataFrame, settings: DataFrame, perf: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """A row per run: what its log, its settings and its evaluated checkpoints say, and the checkpoint to use.
+
+    (run, sites, n_sites, num_rounds, min_clients, last_best_round, last_best, validation_loss, and the columns
+    of best_checkpoint, early, target[, n_found, on_disk]). overview: run_overview; settings: (run, key, value)
+    of run_configs; perf as in best_checkpoint; found: (run, file), the checkpoint files that are there.
+    validation_loss is minus the metric; early: the best round lies in the first half, as where sites drift
+    apart. target: the checkpoint of least test perplexity, else of the log's last best.
+    """
+    wide = settings.groupBy("run").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in ("num_rounds", "min_clients")])
+    best = best_checkpoint(perf).withColumnRenamed("target", "_target")
+    rows = overview.join(wide, "run", "full").join(best, "run", "full")
+    target = F.coalesce("_target", F.concat(F.lit("FL_global_model_"), F.col("last_best_round").cast("string"), F.lit(".pt")))
+    rows = rows.withColumns({"n_sites": F.coalesce(F.size(F.split("sites", ",")), F.lit(0)), "validation_loss": -F.col("last_best"), "early": F.col("best_test_round") < F.col("last_round") * 0.5, "target": target})
+    names = ["run", "sites", "n_sites", "num_rounds", "min_clients", "last_best_round", "last_best", "validation_loss", *[c for c in best.columns if c not in ("run", "_target")], "early", "target"]
+    if found is None:
+        return rows.select(names)
+    held = found.groupBy("run").agg(F.count_if(F.col("file").rlike(r"^FL_global_model_.*\.pt$")).alias("n_found"), F.collect_set("file").alias("_files"))
+    rows = rows.join(held, "run", "left")
+    return rows.select(*names, F.coalesce("n_found", F.lit(0)).alias("n_found"), F.coalesce(F.array_contains("_files", F.col("target")), F.lit(False)).alias("on_disk"))
+
+
 def longest_run(events: DataFrame) -> DataFrame:
     """(run, rounds) of the run with the most rounds, ties by name."""
     rounds = events.filter("round is not null").groupBy("run").agg(F.countDistinct("round").alias("rounds"))

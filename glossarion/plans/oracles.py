@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators.configs import ALIASES
+
 # word vectors, lists, splits and neighbours, as in queries.Fixture
 _VECS = """raw as (select 'w' || vec_id word, [x::double for x in embedding] e, label::int label from embeddings),
 vecs as (select word, [x / n for x in e] v, label from (select *, sqrt(list_dot_product(e, e)) n from raw)),
@@ -127,12 +129,12 @@ rk as (select *, row_number() over (partition by split_id order by csim desc, wo
 cres as (select split_id, k::int k, pos, neg, roc_auc, average_precision, p as "precision" from summary join (select split_id, k, sum(case when rn <= k then label else 0 end)::double / least(k, max(size)) p from rk, (select unnest([5, 10, 20]) k) group by split_id, k) using (split_id) where pos > 0)"""
 _TOKENS = r"""docs_ as (select id, [x for x in regexp_split_to_array(lower(trim(text, ' ')), '\s+') if x <> ''] t from (select concat_ws('/', conv_id, turn) id, text from conversations)),
 toks as (select id, pos - 1 pos, t[pos] token from (select id, t, unnest(range(1, len(t) + 1)) pos from docs_))"""
-_GRAMS = r"""names as (select distinct p_name word from part), refs as (select distinct p_brand brand, p_name word from part where p_size = 1),
-padded as (select word, ' ' || unnest([x for x in regexp_split_to_array(lower(word), '\s+') if x <> '']) || ' ' p from (select word from names union select word from refs)),
+_GRAM_WEIGHTS = r"""padded as (select word, ' ' || unnest([x for x in regexp_split_to_array(lower(word), '\s+') if x <> '']) || ' ' p from (select word from names union select word from refs)),
 gr as (select word, substr(p, i, n) ngram from (select word, p, n, unnest(range(1, greatest(length(p) - n + 1, 1) + 1)) i from padded, (select unnest([2, 3, 4]) n) where n = 2 or length(p) >= n)),
 tf as (select word, ngram, count(*) tf from gr group by all), df as (select ngram, count(*) df from tf where word in (from names) group by all),
 x0 as (select word, ngram, tf * (ln((1.0::double + (select count(distinct word) from tf where word in (from names))) / (1.0 + df)) + 1.0) x from tf join df using (ngram)),
 wn as (select word, ngram, x / sqrt(sum(x * x) over (partition by word)) w from x0)"""
+_GRAMS = f"names as (select distinct p_name word from part), refs as (select distinct p_brand brand, p_name word from part where p_size = 1), {_GRAM_WEIGHTS}"
 _DRAWS = "nb as (select metric, value x, row_number() over (partition by metric order by value) - 1 i, count(*) over (partition by metric) n from results), dr as (select metric, n, b, unnest(range(n)) d from (select distinct metric, n from nb), (select unnest(range(10000)) b)), di as (select metric, b, ('0x' || substr(md5(concat_ws('/', 42, b, d)), 1, 15))::bigint % n i from dr), ms as (select metric, b, avg(x) m from di join nb using (metric, i) group by all)"
 
 _SW = f"""splits as (select 0 split_id, 'ref' part, word from glossary), {_CENTROID},
@@ -143,6 +145,35 @@ size as (select split_id, count(*) filter (part = 'ref') "ref", count(*) filter
 used as (select split_id, word from (select *, row_number() over (partition by split_id order by md5(concat_ws('/', 42, 'train', split_id, word)), word) rn from bg) join size using (split_id) where rn <= 2 * "ref"
  union select split_id, word from (select *, row_number() over (partition by split_id order by csim, word) rn from csims join bg using (split_id, word)) join size using (split_id) where rn <= 2 * "ref")"""
 
+_FEATURES = ("vote", "mindist", "avgdist", "cnt", "centroid", "mindist_all", "avgdist_all", "votetopk_all", "lexical")
+_FEATS = f"""names as (select word from raw), refs as (select distinct word from splits where part = 'ref'), {_GRAM_WEIGHTS},
+graph as (select split_id, query word, sum(cossim) vote, max(cossim) mindist, avg(cossim) avgdist, count(*) cnt from nbr join splits on splits.word = nword where part = 'ref' group by all),
+fullf as (select s.split_id, gs.word, max(cossim) mindist_all, avg(cossim) avgdist_all, list_sum((list(cossim order by cossim desc))[1:10]) votetopk_all from gs join splits s on s.word = gword where part = 'ref' group by s.split_id, gs.word),
+lexs as (select a.word, b.word rword, round(sum(a.w * b.w), 10) sim from wn a join wn b using (ngram) where b.word in (select word from refs) group by all),
+lexf as (select split_id, lexs.word, max(sim) lexical from lexs join splits s on s.word = rword where part = 'ref' group by split_id, lexs.word),
+feat as (select split_id, word, {', '.join(f'round(coalesce({"csim" if c == "centroid" else c}, 0)::double, 10) {c}' for c in _FEATURES)} from csims left join graph using (split_id, word) left join fullf using (split_id, word) left join lexf using (split_id, word))"""
+_TRAIN = """bg as (select distinct split_id, b.word from background b, splits), size as (select split_id, count(*) n from splits where part = 'ref' group by split_id),
+rnd as (select split_id, word from (select *, row_number() over (partition by split_id order by md5(concat_ws('/', 42, 'train', split_id, word)), word) rn from bg) join size using (split_id) where rn <= 2 * n),
+rel as (select split_id, word from (select *, row_number() over (partition by split_id order by csim, word) rn from csims join bg using (split_id, word)) join size using (split_id) where rn <= 2 * n),
+tr as (select split_id, clf, word, 1 as "label" from splits, (select unnest(['pu_lr', 'pu_rn']) clf) where part = 'ref' union all select split_id, 'pu_lr', word, 0 from rnd union all select split_id, 'pu_rn', word, 0 from rel)"""
+
+
+def _z(c: str) -> str:
+    return f"({c} - avg({c}) over w) / (case when stddev_pop({c}) over w = 0 then 1 else stddev_pop({c}) over w end)"
+
+
+def _given(sign: float) -> str:
+    """The probability by the classifiers that queries._given gives."""
+    terms = " + ".join(f"({c} - {0.1 * (i % 3)}::double) / {0.5 + 0.25 * (i % 2)}::double * (0.5::double - {0.125 * i}::double + 0.0625::double * split_id) * ({sign}::double)" for i, c in enumerate(_FEATURES))
+    return f"1 / (1 + exp(-(-0.25::double + {terms})))"
+
+
+_GIVEN = f"""hyb as (select *, round({_z('vote')} + {_z('centroid')} + {_z('lexical')}, 10) hybrid, {_given(1.0)} pu_lr, {_given(-0.5)} pu_rn from feat window w as (partition by split_id)),
+evp as (select h.*, 1 y from hyb h join splits s using (split_id, word) where s.part = 'test' union all select h.*, 0 from hyb h join bg using (split_id, word) where (split_id, word) not in (select split_id, word from tr where "label" = 0)),
+long as (select split_id, word, y, method, score from (select *, unnest({[*_FEATURES, 'hybrid', 'pu_lr', 'pu_rn']}) method, unnest([{', '.join('ln(1 + cnt)' if c == 'cnt' else c for c in [*_FEATURES, 'hybrid', 'pu_lr', 'pu_rn'])}]) score from evp) where method <> 'cnt'),
+groups as (select split_id, method, score, sum(y)::bigint np, sum(1 - y)::bigint nn from long group by all),
+rk as (select *, row_number() over (partition by split_id, method order by score desc, md5(concat_ws('/', 42, 'ties', split_id, word)), word) rn from long)"""
+
 _MASTER = """mw as (select word from raw where label in (1, 3) union select 'no-' || word from raw where label = 5),
 cls as (select word, label from labels_ union all select word, 1 - label from labels_ where word like '%3'),
 maj as (select word, case when sum(label) > count(label) / 2 then 1 else 0 end::int as label from cls group by word),
@@ -257,4 +288,30 @@ groups as (select method, score, sum(label)::bigint np, sum(1 - label)::bigint n
     "a16_enrichment": _q('select k, round(chance, 6) chance, round(observed, 6) observed, round(observed / chance, 6) enrichment from (select k, avg(k * pos / (pos + neg)) chance, avg("precision") * k observed from cres group by k)', _CENT_RES.format(pools=_POOLS.format(words="raw"), extra="")),
     "a23_metric_table": _q("""select 'm' || ("key" % 3) as method, round(avg(value) filter (metric = 'roc_auc'), 6) roc_auc_mean, round(stddev_pop(value) filter (metric = 'roc_auc'), 6) roc_auc_std, round(avg(value) filter (metric = 'average_precision'), 6) average_precision_mean, round(stddev_pop(value) filter (metric = 'average_precision'), 6) average_precision_std from results group by 1""", _RESULTS),
     "m4_fixed_weights": _q('select "key", event_id, round(1 / (1 + exp(-(0.75 + 0.5 * (score - 40) / 12 + case when event_id % 7 = 0 then 0 else -1.25 * (event_id % 10 - 4.5) / 3 end))), 6) p from scored', _SCORED),
+    "x6_features": _q(f"select split_id, word, {', '.join(f'round({c}, 6) + 0.0 {c}' for c in _FEATURES)} from feat", _VECS, _NBR, _SPLITS, _CENTROID, _GSIMS, _FEATS),
+    "x6_training_rows": _q('select split_id, clf, word, "label" from tr', _VECS, _SPLITS, _CENTROID, _POOLS.format(words="raw"), _TRAIN),
+    "m1_fitted_optima": _q('select split_id, clf, count(*) filter ("label" = 1) positives, count(*) filter ("label" = 0) negatives, true optimal from tr group by split_id, clf', _VECS, _SPLITS, _CENTROID, _POOLS.format(words="raw"), _TRAIN),
+    "m6_fitted_by_all": _q('select clf, count(*) filter ("label" = 1) positives, count(*) filter ("label" = 0) negatives, true optimal from tr group by clf', _VECS, _SPLITS, _CENTROID, _POOLS.format(words="raw"), _TRAIN),
+    "a24_weight_table": _q("select feature, round(avg(x), 6) pu_lr_weight_mean, round(stddev_pop(x), 6) pu_lr_weight_std, round(avg(-0.5 * x), 6) + 0.0 pu_rn_weight_mean, round(stddev_pop(-0.5 * x), 6) pu_rn_weight_std from (select names[i + 1] feature, 0.5::double - 0.125::double * i + 0.0625::double * split_id x from (select distinct split_id from splits), (select unnest(range(9)) i), (select " + str(list(_FEATURES)) + " names)) group by feature", _VECS, _SPLITS),
+    "x6_given_classifiers": _q("""select split_id, method, k::int k, round(roc_auc, 6) roc_auc, round(average_precision, 6) average_precision, round(p, 6) as "precision", round(r, 6) recall, round(coalesce((n - pos - (least(k, n) - tp))::double / nullif(n - pos, 0), 0), 6) specificity, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) f1
+ from (select *, tp::double / least(k, n) p, coalesce(tp::double / nullif(pos_, 0), 0) r from summary join (select split_id, method, k, count(*) n, sum(y) pos_, sum(case when rn <= k then y else 0 end) tp from rk, (select unnest([5, 10, 20]) k) group by all) using (split_id, method))""", _VECS, _NBR, _SPLITS, _CENTROID, _GSIMS, _POOLS.format(words="raw"), _FEATS, _TRAIN, _GIVEN, _curves("groups", "split_id, method")),
+    "x13_checkpoint_report": _q("""select run, sites, case when sites is null then 0 else len(string_split(sites, ',')) end::int n_sites, num_rounds, min_clients, last_best_round, round(last_best, 6) last_best, round(-last_best, 6) validation_loss, n, first_round, last_round, d best_dev_round, dv best_dev, t best_test_round, tv best_test, final_test, tv < worst * 0.5 converged, t < last_round * 0.5 early,
+ 'FL_global_model_' || coalesce(t, last_best_round) || '.pt' target, coalesce(nf, 0) n_found, coalesce(list_contains(fs, coalesce(t, last_best_round)), false) on_disk from ov full join st using (run) full join pf using (run) left join fd using (run)""", _LOG, _PERF, """ov as (select run, b.round last_best_round, b.value last_best, sites from (select run, (list({'round': round, 'value': value} order by line desc) filter (kind = 'best'))[1] b from log_events group by run) full join (select run, string_agg(site, ',' order by line, site) sites from (select run, site, min(line) line from log_events where site is not null group by all) group by run) using (run)),
+st as (select 'run' || (user_id % 4) run, (list(event_id::varchar order by event_id % 3 = 0, event_id))[1] num_rounds, (list(user_id::varchar order by event_id % 3 = 0, event_id))[1] min_clients from events group by 1),
+pf as (select run, count(*) n, min(round) first_round, max(round) last_round, (list(round order by dev_ppl, round))[1] d, min(dev_ppl) dv, (list(round order by test_ppl, round))[1] t, min(test_ppl) tv, (list(test_ppl order by round desc))[1] final_test, max(test_ppl) worst from perf where run <> 'run2' group by run),
+fd as (select run, count(*) nf, list(round) fs from perf where run <> 'run1' and round % 2 = 0 group by run)"""),
+    "k4_config_table": _q(f"""select case when k is null then 'model_' || s.run else 'Model ' || array_to_string([chr(65 + x[2:]::int) for x in k], '') end model_name, (row_number() over (order by s.run))::int model_num, case when k is null then '?' else array_to_string(k, ', ') end sites,
+ {', '.join({'num_rounds': "coalesce(d::varchar, '') num_rounds", 'lr': "coalesce(printf('%.3f', value)::decimal(20, 3)::double::varchar, '') lr", 'batch_size': "coalesce(user_id::varchar, '') batch_size"}.get(k, f"'' {k}") for k in ALIASES)}
+ from (select run, list_sort(list(distinct site) filter (site in ('c0', 'c1', 'c2', 'c3', 'c4', 'c5', 'c6', 'c7', 'c8', 'c9', 'c10', 'c11'))) k from log_events where site is not null group by run) s
+ left join (from (select 'run' || (user_id % 4) run, value, user_id, dayofmonth(ts) d, row_number() over (partition by user_id % 4 order by lpad(event_id::varchar, 12, '0')) rn from events where event_id % 100 <> 0) where rn = 1) f using (run)""", _LOG),
+    "x5_report_tables": _q("""select 'aggregated' part, metric || '_' || s as "name", round(v, 6) + 0.0 as "value" from (select metric, unnest(['mean', 'std', 'median', 'min', 'max', 'ci95_lo', 'ci95_hi']) s, unnest([mean, std, median, least, most, ci_low, ci_high]) v from stats join (select metric, quantile_cont(m, 0.025) ci_low, quantile_cont(m, 0.975) ci_high from ms group by all) using (metric))
+ union all select 'distribution', metric || '/' || bin, count(*)::double from (select metric, case when hi > lo then least(19, floor((v - lo) / (hi - lo) * 20)) else 0 end::int bin from res join (select metric, min(v) lo, max(v) hi from res group by metric) using (metric)) group by metric, bin
+ union all select 'test', measure || '_' || s, round(v, 6) from (select measure, unnest(['least', 'most', 'mean', 'median']) s, unnest([min(x), max(x), avg(x), quantile_cont(x, 0.5)]) v from (select unnest(['test_matched', 'test_positive', 'test_negative', 'test_positive_rate']) measure, unnest([m, p, n, coalesce(p / nullif(m, 0), 0)])::double x from info) group by measure)
+ union all select 'per_split', 'rows', (select count(*) from cres where k = 5)::double union all select 'split_info', 'size', (select count(*) from r)::double""", _CENT_RES.format(pools=_POOLS.format(words="raw"), extra=""), _NBR, _splits("r", "select distinct word from raw"), """info as (select split_id, count(label) m, count(*) filter (label = 1) p, count(*) filter (label = 0) n from r left join (from labels_ where word not like '%7') using (word) where part = 'test' group by split_id),
+res as (unpivot (select roc_auc::double roc_auc, average_precision::double average_precision, "precision"::double as "precision" from cres where k = 5) on roc_auc, average_precision, "precision" into name metric value v),
+stats as (select metric, count(*) n, avg(v) mean, stddev_samp(v) std, quantile_cont(v, 0.5) median, min(v) least, max(v) most from res group by all),
+nb as (select metric, v, row_number() over (partition by metric order by v) - 1 i, count(*) over (partition by metric) n from res),
+dr as (select metric, n, b, unnest(range(n)) d from (select distinct metric, n from nb), (select unnest(range(10000)) b)),
+di as (select metric, b, ('0x' || substr(md5(concat_ws('/', 42, b, d)), 1, 15))::bigint % n i from dr),
+ms as (select metric, b, avg(v) m from di join nb using (metric, i) group by all)"""),
 }

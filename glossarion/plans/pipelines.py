@@ -199,6 +199,25 @@ def split_report(results: DataFrame, metrics: Sequence[str], keys: Sequence[str]
     return summary.summarise(long, by).join(summary.bootstrap_ci(long, by, resamples=resamples), by)
 
 
+def report_tables(results: DataFrame, info: DataFrame, metrics: Sequence[str], resamples: int = 10_000, bins: int = 20) -> dict[str, DataFrame]:
+    """The tables of a report over splits, by name.
+
+    results: a row per split (split_id, ..., metrics); info: (split_id, part, size, matched, positive,
+    negative) of summary.split_info. split_info and per_split_results are these; aggregated_split_results
+    is one row with <metric>_mean, _std, _median, _min, _max, _ci95_lo and _ci95_hi; split_distribution counts
+    each metric's values in `bins` equal bins; test_statistics has least, most, mean and median of the test
+    parts' matched, positive and negative words and positive rate.
+    """
+    report = written(split_report(results, metrics, resamples=resamples))
+    names = {"mean": "mean", "std": "std", "median": "median", "least": "min", "most": "max", "ci_low": "ci95_lo", "ci_high": "ci95_hi"}
+    wide = report.agg(*[F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{n}") for m in metrics for c, n in names.items()])
+    long = results.select(*[F.col(m).cast("double").alias(m) for m in metrics]).unpivot([], list(metrics), "metric", "value")
+    test = info.filter("part = 'test'").select(F.col("matched").cast("double").alias("test_matched"), F.col("positive").cast("double").alias("test_positive"), F.col("negative").cast("double").alias("test_negative"), F.coalesce(F.try_divide(F.col("positive").cast("double"), F.col("matched")), F.lit(0.0)).alias("test_positive_rate"))
+    measures = test.unpivot([], test.columns, "measure", "value")
+    statistics = measures.groupBy("measure").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"))
+    return {"split_info": info, "per_split_results": results, "aggregated_split_results": wide, "split_distribution": summary.histogram(long, ["metric"], bins=bins), "test_statistics": statistics}
+
+
 def centroid_evaluate(vecs: DataFrame, all_splits: DataFrame, stop: DataFrame, restrict: DataFrame | None = None, ks: Sequence[int] = KS) -> DataFrame:
     """(split_id, k, pos, neg, roc_auc, average_precision, precision): test terms ranked by similarity to the reference centroid."""
     centres = written(vectors.centroids(vecs, all_splits.filter("part = 'ref'").select("split_id", "word"), ["split_id"]))
@@ -227,25 +246,20 @@ def features(vecs: DataFrame, nbr: DataFrame, all_splits: DataFrame, topk: int =
     return out.select("split_id", "word", *[v.alias(k) for k, v in zero.items()])
 
 
-def compare_methods(feats: DataFrame, all_splits: DataFrame, stop: DataFrame, ks: Sequence[int] = KS, neg_ratio_train: int | None = 10, seed: int = 42, eval_full_pool: bool = False, class_weight: bool = True, use_lexical: bool = True, use_full: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(split_id, method, k, roc_auc, average_precision, precision, recall, specificity, f1), and the classifiers.
+def feature_columns(feats: DataFrame) -> list[str]:
+    """What the classifiers see of features."""
+    return [c for c in feats.columns if c not in ("split_id", "word")]
+
+
+def training_rows(feats: DataFrame, all_splits: DataFrame, stop: DataFrame, neg_ratio_train: int | None = 10, seed: int = 42) -> DataFrame:
+    """feats with clf and label: what pu_lr and pu_rn learn from.
 
-    pu_lr learns reference terms against a hashed sample of background words, pu_rn against the background
-    words of lowest centroid similarity, neg_ratio_train of either for each term (None: all, for both).
-    Both samples are left out of the evaluation unless eval_full_pool; if that leaves no negatives there
-    are no rows. class_weight: both classes weigh alike in training. use_lexical, use_full: with the
-    lexical column, with those over all glossary words. Ties at k go by a hashed order. For the control
-    without signal see splits.randomised.
+    Positives are the reference terms; negatives of pu_lr a hashed sample of background words, those of pu_rn
+    the background words of lowest centroid similarity, neg_ratio_train of either for each term (None: all).
     """
-    key, full = ["split_id"], ("mindist_all", "avgdist_all", "votetopk_all")
-    feats = feats.drop(*([] if use_lexical else ["lexical"]), *([] if use_full else full))
-    columns = [c for c in feats.columns if c not in ("split_id", "word")]
-    mixed = ["vote", "centroid", *(["lexical"] if use_lexical else [])]
-    feats = models.z_scores(feats, key, mixed)
-    feats = feats.withColumn("hybrid", F.round(sum((F.col(f"z_{c}") for c in mixed[1:]), F.col(f"z_{mixed[0]}")), DIGITS))
+    key = ["split_id"]
     ref = all_splits.filter("part = 'ref'").select("split_id", "word")
-    outside = all_splits.select("word").union(stop.select("word")).distinct()
-    background = feats.join(outside, "word", "left_anti")
+    background = feats.join(all_splits.select("word").union(stop.select("word")).distinct(), "word", "left_anti")
     if neg_ratio_train is None:
         random = reliable = background
     else:
@@ -253,23 +267,41 @@ def compare_methods(feats: DataFrame, all_splits: DataFrame, stop: DataFrame, ks
         sized = written(background.join(size, key))
         random = splits.hashed_sample(sized, key, F.col("most"), "train", seed)
         reliable = models.reliable_negatives(sized, key, "centroid", "most")
-    positive = feats.join(ref, ["split_id", "word"], "left_semi")
-    both = None
-    for clf, negative in (("pu_lr", random), ("pu_rn", reliable)):
-        rows = positive.select(*feats.columns).withColumn("label", F.lit(1)).unionByName(negative.select(*feats.columns).withColumn("label", F.lit(0))).withColumn("clf", F.lit(clf))
-        both = rows if both is None else both.unionByName(rows)
-    fitted = models.fit_per_key(both, ["split_id", "clf"], columns, balanced=class_weight)
+    positive = feats.join(ref, ["split_id", "word"], "left_semi").select(*feats.columns).withColumn("label", F.lit(1))
+    both = [positive.unionByName(negative.select(*feats.columns).withColumn("label", F.lit(0))).withColumn("clf", F.lit(clf)) for clf, negative in (("pu_lr", random), ("pu_rn", reliable))]
+    return both[0].unionByName(both[1])
+
+
+def compare_methods(feats: DataFrame, all_splits: DataFrame, stop: DataFrame, ks: Sequence[int] = KS, neg_ratio_train: int | None = 10, seed: int = 42, eval_full_pool: bool = False, class_weight: bool = True, use_lexical: bool = True, use_full: bool = True, classifiers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(split_id, method, k, roc_auc, average_precision, precision, recall, specificity, f1), and the classifiers.
+
+    pu_lr and pu_rn learn from training_rows, whose negatives are left out of the evaluation unless
+    eval_full_pool; if that leaves no negatives there are no rows. class_weight: both classes weigh alike in
+    training. use_lexical, use_full: with the lexical column, with those over all glossary words.
+    classifiers: (split_id, clf, weights, intercept, means, deviations), given ones instead of trained ones.
+    Ties at k go by a hashed order. For the control without signal see splits.randomised.
+    """
+    key, full = ["split_id"], ("mindist_all", "avgdist_all", "votetopk_all")
+    feats = feats.drop(*([] if use_lexical else ["lexical"]), *([] if use_full else full))
+    columns = feature_columns(feats)
+    mixed = ["vote", "centroid", *(["lexical"] if use_lexical else [])]
+    feats = models.z_scores(feats, key, mixed)
+    feats = feats.withColumn("hybrid", F.round(sum((F.col(f"z_{c}") for c in mixed[1:]), F.col(f"z_{mixed[0]}")), DIGITS))
+    outside = all_splits.select("word").union(stop.select("word")).distinct()
+    both = written(training_rows(feats.select("split_id", "word", *columns), all_splits, stop, neg_ratio_train, seed))
+    fitted = models.fit_per_key(both, ["split_id", "clf"], columns, balanced=class_weight) if classifiers is None else classifiers
+    fitted = written(fitted)  # a row for each split and classifier
     scored = feats
     for clf in ("pu_lr", "pu_rn"):
         scored = models.predict(scored, fitted.filter(F.col("clf") == clf).drop("clf"), key, columns, clf)
     tested = all_splits.filter("part = 'test'").select("split_id", "word")
     negative = scored.join(outside, "word", "left_anti")
     if not eval_full_pool:
-        used = random.select("split_id", "word").union(reliable.select("split_id", "word")).distinct()
+        used = both.filter("label = 0").select("split_id", "word").distinct()
         negative = negative.join(used, ["split_id", "word"], "left_anti")
     pool = scored.join(tested, ["split_id", "word"], "left_semi").withColumn("label", F.lit(1)).unionByName(negative.withColumn("label", F.lit(0)))
     long = pool.withColumn("cnt", F.log1p("cnt")).unpivot(["split_id", "word", "label"], [m for m in METHODS if m in pool.columns], "method", "score")
-    by = ["split_id", "method"]
+    long, by = written(long), ["split_id", "method"]
     points = curves.curve_summary(curves.score_groups(long, by), by).select(*by, "roc_auc", "average_precision")
     ties = (splits.hash_order(F.lit(seed), F.lit("ties"), "split_id", "word"), "word")
     ranks = curves.rank_metrics(long, by, ks, ties=ties).select(*by, "k", "precision", "recall", "specificity", "f1")

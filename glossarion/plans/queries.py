@@ -521,3 +521,83 @@ def m4_fixed_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 on_fixture("x10_trained_scores")(lambda x: pipelines.trained_scores(pipelines.score_words(x.vecs, x.raw.select("word", (F.col("label") * 3).alias("cnt")), x.glossary), x.glossary)[0].select("word", "pu_lr", "pu_rn"))
 on_fixture("x6_randomised")(lambda x: pipelines.compare_methods(pipelines.features(x.vecs, x.nbr, x.control), x.control, x.stop, KS, eval_full_pool=True)[0])
+
+
+def _given(x: Fixture) -> DataFrame:
+    """Classifiers that are given: a row for each split and kind, with weights of its own."""
+    at = F.col("split_id")
+    weights = F.array(*[F.round(F.lit(0.5) - F.lit(0.125) * i + F.lit(0.0625) * at, 6) for i in range(len(FEATURES))])
+    rows = x.splits.select("split_id").distinct().withColumn("clf", F.explode(F.array(F.lit("pu_lr"), F.lit("pu_rn"))))
+    sign = F.when(F.col("clf") == "pu_lr", 1.0).otherwise(-0.5)
+    return rows.select("split_id", "clf", F.transform(weights, lambda w: w * sign).alias("weights"), F.lit(-0.25).alias("intercept"), F.array(*[F.lit(0.1 * (i % 3)) for i in range(len(FEATURES))]).alias("means"), F.array(*[F.lit(0.5 + 0.25 * (i % 2)) for i in range(len(FEATURES))]).alias("deviations"))
+
+
+FEATURES = ("vote", "mindist", "avgdist", "cnt", "centroid", "mindist_all", "avgdist_all", "votetopk_all", "lexical")
+on_fixture("x6_features")(lambda x: x.features)
+on_fixture("x6_given_classifiers")(lambda x: pipelines.compare_methods(x.features, x.splits, x.stop, KS, neg_ratio_train=2, classifiers=_given(x))[0])
+on_fixture("x6_training_rows")(lambda x: pipelines.training_rows(x.features, x.splits, x.stop, 2).select("split_id", "clf", "word", "label"))
+on_fixture("a24_weight_table")(lambda x: models.weight_table(_given(x), FEATURES))
+
+
+@on_fixture("m1_fitted_optima")
+def m1_fitted_optima(x: Fixture) -> DataFrame:
+    """What each split's classifiers learnt from, and whether the loss's gradient vanishes where training ended."""
+    rows = files.written(pipelines.training_rows(x.features, x.splits, x.stop, 2))
+    fitted = models.fit_per_key(rows, ["split_id", "clf"], FEATURES)
+    return models.fit_gaps(rows, fitted, ["split_id", "clf"], FEATURES).select("split_id", "clf", "positives", "negatives", (F.col("gap") < 1e-6).alias("optimal"))
+
+
+@on_fixture("m6_fitted_by_all")
+def m6_fitted_by_all(x: Fixture) -> DataFrame:
+    """The same of classifiers that all tasks fit together, one of each kind over all splits' rows."""
+    rows = files.written(pipelines.training_rows(x.features, x.splits, x.stop, 2))
+    out = None
+    for clf in ("pu_lr", "pu_rn"):
+        own = rows.filter(F.col("clf") == clf)
+        gaps = models.fit_gaps(own, models.fit_large(own, FEATURES).withColumn("clf", F.lit(clf)), ["clf"], FEATURES)
+        out = gaps if out is None else out.unionByName(gaps)
+    return out.select("clf", "positives", "negatives", (F.col("gap") < 1e-3 * (F.col("positives") + F.col("negatives"))).alias("optimal"))
+
+
+@query("x13_checkpoint_report")
+def x13_checkpoint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log, settings and checkpoints of each run; one run has no evaluated checkpoints, one none of the files."""
+    e = table(spark, sf_dir, "events")
+    run = F.concat(F.lit("run"), (F.col("user_id") % 4).cast("string"))
+    doc = F.format_string('{"server": {"min_clients": %d, "n_rounds": %d}}', F.col("user_id"), F.col("event_id"))
+    docs = e.select(run.alias("run"), F.concat(F.lit("/w/"), F.lpad(F.col("event_id").cast("string"), 12, "0"), F.when(F.col("event_id") % 3 == 0, "/meta.json").otherwise("/fed_config.json")).alias("path"), doc.alias("text"))
+    found = perf(spark, sf_dir).filter("run != 'run1' and round % 2 = 0").select("run", F.concat(F.lit("FL_global_model_"), "round", F.lit(".pt")).alias("file"))
+    settings = configs.run_configs(docs, patterns=configs.PATTERNS)
+    return trainlog.checkpoint_report(trainlog.run_overview(trainlog.log_events(log_lines(spark, sf_dir))), settings, perf(spark, sf_dir).filter("run != 'run2'"), found)
+
+
+@query("k4_config_table")
+def k4_config_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of the runs with the sites of their logs, as a table written and read again."""
+    folder = files.shared_folder(spark)
+    logged = trainlog.log_events(log_lines(spark, sf_dir)).filter("site is not null").select("run", "site").distinct()
+    sites = configs.model_sites(logged.select("run"), logged.limit(0), logged, {f"c{i}": chr(65 + i) for i in range(12)})
+    files.write_tables({"config_all_models": configs.config_table(x14_run_configs(spark, sf_dir), sites)}, folder)
+    read = spark.read.csv(f"{folder}/config_all_models.csv", header=True)
+    return read.select("model_name", F.col("model_num").cast("int").alias("model_num"), "sites", *[F.coalesce(k, F.lit("")).alias(k) for k in configs.ALIASES])
+
+
+@on_fixture("x5_report_tables")
+def x5_report_tables(x: Fixture) -> DataFrame:
+    """The tables of a report over splits, written and read again, in one long table."""
+    spark, folder = x.raw.sparkSession, files.shared_folder(x.raw.sparkSession)
+    found = pipelines.centroid_evaluate(x.vecs, x.splits, x.stop, ks=KS[:1]).drop("k", "pos", "neg")
+    info = summary.split_info(x.labels.filter("word not like '%7'"), splits.make_splits(x.raw, N_SPLITS))
+    files.write_tables(pipelines.report_tables(found, info, ["roc_auc", "average_precision", "precision"]), folder)
+    read = lambda name: spark.read.csv(f"{folder}/{name}.csv", header=True, inferSchema=True)
+    wide = read("aggregated_split_results")
+    out = [wide.unpivot([], wide.columns, "name", "value").select(F.lit("aggregated").alias("part"), "name", "value")]
+    out.append(read("split_distribution").select(F.lit("distribution").alias("part"), F.concat_ws("/", "metric", "bin").alias("name"), F.col("n").cast("double").alias("value")))
+    stats = read("test_statistics")
+    out.append(stats.unpivot("measure", stats.columns[1:], "s", "value").select(F.lit("test").alias("part"), F.concat_ws("_", "measure", "s").alias("name"), "value"))
+    out.append(read("per_split_results").agg(F.count("*").cast("double").alias("value")).select(F.lit("per_split").alias("part"), F.lit("rows").alias("name"), "value"))
+    out.append(read("split_info").agg(F.sum("size").cast("double").alias("value")).select(F.lit("split_info").alias("part"), F.lit("size").alias("name"), "value"))
+    first, *rest = out
+    for df in rest:
+        first = first.unionByName(df)
+    return first

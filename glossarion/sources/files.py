@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -129,6 +129,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True)
 
 
+def write_tables(tables: Mapping[str, DataFrame], path: str) -> None:
+    """Report tables as CSV files with a header, in a folder for each name."""
+    for name, df in tables.items():
+        write_csv(df, f"{path}/{name}.csv")
+
+
 def vocabulary_ids(words: DataFrame, columns: Sequence[str] = ("word",)) -> DataFrame:
     """(word, id): distinct words numbered by name from 0, in ranges of words: no task sorts or numbers all of them.
 
