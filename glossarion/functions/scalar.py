@@ -61,11 +61,6 @@ def hash_order(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws("/", *[F.lit(str(p)) if isinstance(p, int) else _col(p).cast("string") for p in parts]))
 
 
-def hash_index(key: Column, n: Column) -> Column:
-    """A reproducible number from 0 to n - 1: the first 60 bits of an md5 key modulo n."""
-    return F.pmod(F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint"), n)
-
-
 def char_ngrams(word: Column | str, low: int = 2, high: int = 4) -> Column:
     """Character n-grams inside word boundaries, lower-cased, each with its repeats.
 

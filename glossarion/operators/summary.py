@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import hash_index, hash_order
+from ..functions.scalar import hash_order
 
 
 def summarise(long: DataFrame, keys: Sequence[str], value: str = "value", ddof: int = 1) -> DataFrame:
@@ -26,14 +26,20 @@ def normal_ci(summary: DataFrame, z: float = 1.96) -> DataFrame:
 def bootstrap_ci(long: DataFrame, keys: Sequence[str], value: str = "value", resamples: int = 10_000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """(keys, ci_low, ci_high): percentile interval of the mean over seeded resamples.
 
-    Values are one per split and key: a short list, numbered by their order; resampling is a join of
-    hashed numbers to it.
+    Values are one per split and key: short lists, numbered by their order, of few keys, that reach the tasks as
+    one value. A resample is a row with its hashed numbers, which all keys share; a row per key and resample
+    is all that moves.
     """
+    spark = long.sparkSession
     rows = long.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    numbered = rows.select(*keys, F.col(value).alias("x"), (F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1).alias("i"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
-    draws = numbered.groupBy(*keys).agg(F.max("n").alias("n")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("d", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    draws = draws.select(*keys, "b", hash_index(hash_order(seed, "b", "d"), F.col("n")).alias("i"))
-    means = draws.join(numbered.drop("n"), [*keys, "i"]).groupBy(*keys, "b").agg(F.avg("x").alias("m"))
+    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("xs"))
+    longest = F.sequence(F.lit(0), lists.agg(F.coalesce(F.max(F.size("xs")), F.lit(1)) - 1).scalar())
+    draws = spark.range(resamples).repartition(2 * spark.sparkContext.defaultParallelism, "id").withColumns({"_d": longest, "_lists": lists.agg(F.collect_list(F.struct("*"))).scalar()})
+    draws = draws.select("id", "_lists", F.transform("_d", lambda d: F.conv(F.substring(hash_order(seed, "id", d), 1, 15), 16, 10).cast("bigint")).alias("h"))
+    each = draws.select("id", "h", F.explode("_lists").alias("k")).select("id", "h", *[F.col(f"k.{k}").alias(k) for k in keys], "k.xs")
+    n = F.size("xs")
+    total = F.aggregate(F.transform(F.slice("h", 1, n), lambda x: F.get("xs", F.pmod(x, n).cast("int"))), F.lit(0.0), lambda s, x: s + x)
+    means = each.select(*keys, (total / n).alias("m"))
     low = (1 - confidence) / 2
     return means.groupBy(*keys).agg(F.percentile("m", low).alias("ci_low"), F.percentile("m", 1 - low).alias("ci_high"))
 

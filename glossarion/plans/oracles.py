@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from ..operators.configs import ALIASES
 
+#: Splits, and lengths of reports.
+N_SPLITS, KS = 100, (50, 100, 200)
+
 # word vectors, lists, splits and neighbours, as in queries.Fixture
 _VECS = """raw as (select 'w' || vec_id word, [x::double for x in embedding] e, label::int label from embeddings),
 vecs as (select word, [x / n for x in e] v, label from (select *, sqrt(list_dot_product(e, e)) n from raw)),
@@ -20,7 +23,7 @@ def _splits(name: str, words: str, strata: str = "", ratio: float | None = None)
     s = f", {strata}" if strata else ""
     kept = f"(select * from (select *, sum({strata or '0'}) over (partition by split_id) npos from {name}_r) where label = 1 or rn <= floor(npos * {ratio}))" if ratio else f"{name}_r"
     return f"""{name}_w as ({words}),
-{name}_r as (select split_id, word{s}, row_number() over (partition by split_id{s} order by md5(concat_ws('/', 42, split_id, word)), word) rn from {name}_w, (select unnest(range(10))::int split_id)),
+{name}_r as (select split_id, word{s}, row_number() over (partition by split_id{s} order by md5(concat_ws('/', 42, split_id, word)), word) rn from {name}_w, (select unnest(range({N_SPLITS}))::int split_id)),
 {name} as (select split_id, case when rn <= floor(n * 0.8) then 'ref' when rn <= floor(n * 0.8) + floor(n * 0.1) then 'dev' else 'test' end part, word{s}
   from (select *, count(*) over (partition by split_id{s}) n from {kept}))"""
 
@@ -99,10 +102,10 @@ cut as (select {at}, sum(case when score > threshold then np else 0 end) tp, sum
 ranked as (select {at}, label, row_number() over (partition by {at} order by coalesce(score, {default}) desc, word) rn, count(*) over (partition by {at}) size from
   (select c.split_id, {', '.join('c.' + k.strip() for k in keys.split(','))}, p.word, p.label, s.score from chosen c join pool p on p.split_id = c.split_id and p.part = 'test'
    left join scores s on s.split_id = c.split_id and s.query = p.word and {' and '.join(f's.{k.strip()} = c.{k.strip()}' for k in keys.split(','))})),
-tops as (select {at}, sum(label) filter (rn <= 5) / least(5, max(size)) p5, sum(label) filter (rn <= 10) / least(10, max(size)) p10, sum(label) filter (rn <= 20) / least(20, max(size)) p20 from ranked group by {at}),
+tops as (select {at}, {', '.join(f'sum(label) filter (rn <= {k}) / least({k}, max(size)) p{k}' for k in KS)} from ranked group by {at}),
 result as (select {at}, round(dev_roc_auc, 6) dev_roc_auc, round(threshold, 6) threshold, round(roc_auc, 6) roc_auc, round(average_precision, 6) average_precision,
   round(case when same then f1_precision else coalesce(tp::double / nullif(tp + fp, 0), 0) end, 6) as "precision", round(case when same then f1_recall else coalesce(tp::double / nullif(tp + fn, 0), 0) end, 6) recall,
-  round(case when same then f1_best else coalesce(2.0 * tp::double / nullif(2 * tp + fp + fn, 0), 0) end, 6) f1, round(p5, 6)::double precision_at_5, round(p10, 6)::double precision_at_10, round(p20, 6)::double precision_at_20
+  round(case when same then f1_best else coalesce(2.0 * tp::double / nullif(2 * tp + fp + fn, 0), 0) end, 6) f1, {', '.join(f'round(p{k}, 6)::double precision_at_{k}' for k in KS)}
   from summary join chosen using ({at}) join (select *, tp + fp = 0 or fn + tn = 0 same from cut) using ({at}) join tops using ({at}) where part = 'test' and roc_auc is not null)"""
 
 
@@ -126,7 +129,7 @@ results as (select "key", 'roc_auc' metric, roc_auc value from summary union all
 _CENT_RES = f"""{_VECS}, {_SPLITS}, {_CENTROID}, {{pools}}, tp0 as (select split_id, word, label, csim from pool join csims using (split_id, word) where part = 'test' {{extra}}),
 groups as (select split_id, csim score, sum(label)::bigint np, sum(1 - label)::bigint nn from tp0 group by all), {_curves('groups', 'split_id')},
 rk as (select *, row_number() over (partition by split_id order by csim desc, word) rn, count(*) over (partition by split_id) size from tp0),
-cres as (select split_id, k::int k, pos, neg, roc_auc, average_precision, p as "precision" from summary join (select split_id, k, sum(case when rn <= k then label else 0 end)::double / least(k, max(size)) p from rk, (select unnest([5, 10, 20]) k) group by split_id, k) using (split_id) where pos > 0)"""
+cres as (select split_id, k::int k, pos, neg, roc_auc, average_precision, p as "precision" from summary join (select split_id, k, sum(case when rn <= k then label else 0 end)::double / least(k, max(size)) p from rk, (select unnest([50, 100, 200]) k) group by split_id, k) using (split_id) where pos > 0)"""
 _TOKENS = r"""docs_ as (select id, [x for x in regexp_split_to_array(lower(trim(text, ' ')), '\s+') if x <> ''] t from (select concat_ws('/', conv_id, turn) id, text from conversations)),
 toks as (select id, pos - 1 pos, t[pos] token from (select id, t, unnest(range(1, len(t) + 1)) pos from docs_))"""
 _GRAM_WEIGHTS = r"""padded as (select word, ' ' || unnest([x for x in regexp_split_to_array(lower(word), '\s+') if x <> '']) || ' ' p from (select word from names union select word from refs)),
@@ -134,7 +137,7 @@ gr as (select word, substr(p, i, n) ngram from (select word, p, n, unnest(range(
 tf as (select word, ngram, count(*) tf from gr group by all), df as (select ngram, count(*) df from tf where word in (from names) group by all),
 x0 as (select word, ngram, tf * (ln((1.0::double + (select count(distinct word) from tf where word in (from names))) / (1.0 + df)) + 1.0) x from tf join df using (ngram)),
 wn as (select word, ngram, x / sqrt(sum(x * x) over (partition by word)) w from x0)"""
-_GRAMS = f"names as (select distinct p_name word from part), refs as (select distinct p_brand brand, p_name word from part where p_size = 1), {_GRAM_WEIGHTS}"
+_GRAMS = f"names as (select distinct p_name word from part), refs as (select distinct p_brand brand, p_name word from part), {_GRAM_WEIGHTS}"
 _DRAWS = "nb as (select metric, value x, row_number() over (partition by metric order by value) - 1 i, count(*) over (partition by metric) n from results), dr as (select metric, n, b, unnest(range(n)) d from (select distinct metric, n from nb), (select unnest(range(10000)) b)), di as (select metric, b, ('0x' || substr(md5(concat_ws('/', 42, b, d)), 1, 15))::bigint % n i from dr), ms as (select metric, b, avg(x) m from di join nb using (metric, i) group by all)"
 
 _SW = f"""splits as (select 0 split_id, 'ref' part, word from glossary), {_CENTROID},
@@ -224,7 +227,7 @@ ORACLES: dict[str, str] = {
     "a20_separation": _q('select "key", round(a, 6) mean_pos, round(b, 6) std_pos, round(c, 6) mean_neg, round(d, 6) std_neg, round(a - c, 6) separation from (select "key", avg(score) filter (label = 1) a, stddev_pop(score) filter (label = 1) b, avg(score) filter (label <> 1) c, stddev_pop(score) filter (label <> 1) d from scored group by 1)', _SCORED),
     "p14_health_flags": "select count(*) n, count(*) filter (event_id % 100 = 0) n_nan, 0::bigint n_inf, string_agg(distinct (user_id < 5)::int::varchar, ',' order by (user_id < 5)::int::varchar) labels, 'nan' || case when least(avg((user_id < 5)::int), 1 - avg((user_id < 5)::int)) < 0.05 then ',imbalanced' else '' end flags from events",
     "a15_global_counts": _q("select vocabulary, queries, queries_with_vector, glossary, glossary_in_queries, glossary_usable, round(glossary_usable / glossary, 6) usable_share from (select count(*) vocabulary, count(*) filter (label <> 9) queries, count(*) filter (label not in (8, 9)) queries_with_vector, count(*) filter (g) glossary, count(*) filter (g and label <> 9) glossary_in_queries, count(*) filter (g and label not in (8, 9)) glossary_usable from (select label, word in (from glossary) g from raw))", _VECS),
-    "a16_chance_levels": _q("select split_id, part, k::int k, round(p, 6) prevalence, round(k * p, 6) chance from (select split_id, part, avg(label) p from pool group by all), (select unnest([5, 10, 20]) k)", _VECS, _SPLITS, _POOLS.format(words="raw")),
+    "a16_chance_levels": _q("select split_id, part, k::int k, round(p, 6) prevalence, round(k * p, 6) chance from (select split_id, part, avg(label) p from pool group by all), (select unnest([50, 100, 200]) k)", _VECS, _SPLITS, _POOLS.format(words="raw")),
     "w9_hybrid": _q('select "key", event_id, round((score - avg(score) over w) / stddev_pop(score) over w, 6) + 0.0 hybrid from scored window w as (partition by "key")', _SCORED),
     "f1_log_events": _q("from log_events", _LOG),
     "w6_pair_metrics": _q("from pairs_", _LOG),
@@ -260,7 +263,7 @@ ORACLES: dict[str, str] = {
     "p13_model_names": _q("select run, string_agg(distinct 's' || length(site), '+' order by 's' || length(site)) model from log_events where site is not null group by run", _LOG),
     "t11_longest_run": _q("select run, count(distinct round) rounds from log_events where round is not null group by run order by rounds desc, run limit 1", _LOG),
     "u4_used_negatives": _q("from used", _VECS, _SPLITS, _CENTROID, _POOLS.format(words="raw"), _USED),
-    "x8_split_counts": _q("""select split_id, "ref", dev, test, "ref" ref_usable, test test_pos, u train_neg_used, nb - u ranked_neg, test + nb - u ranked_total, round(p, 6) prevalence, round(5 * p, 6) chance_at_5, round(10 * p, 6) chance_at_10, round(20 * p, 6) chance_at_20
+    "x8_split_counts": _q("""select split_id, "ref", dev, test, "ref" ref_usable, test test_pos, u train_neg_used, nb - u ranked_neg, test + nb - u ranked_total, round(p, 6) prevalence, round(50 * p, 6) chance_at_50, round(100 * p, 6) chance_at_100, round(200 * p, 6) chance_at_200
  from (select *, test / (test + nb - u) p from size join (select split_id, count(*) u from used group by split_id) using (split_id), (select count(*) nb from background))""", _VECS, _SPLITS, _CENTROID, _POOLS.format(words="raw"), _USED),
     "x9_diagnose_flags": _q("select count(*) n, 0::bigint n_nan, 0::bigint n_inf, '0,1' labels, case when least(avg(label), 1 - avg(label)) < 0.05 then 'imbalanced' else '' end flags from vs where n = 11", _VECS, _NBR, _VOTES, _VOTE_GROUPS),
     "x5_split_report": _q("select k, metric, n, round(mean, 6) mean, round(std, 6) std, round(median, 6) median, round(least, 6) least, round(most, 6) most, round(ci_low, 6) ci_low, round(ci_high, 6) ci_high from stats join (select k, metric, quantile_cont(m, 0.025) ci_low, quantile_cont(m, 0.975) ci_high from ms group by all) using (k, metric)", _CENT_RES.format(pools=_POOLS.format(words="raw"), extra=""), """res as (unpivot (select k, roc_auc::double roc_auc, average_precision::double average_precision, "precision"::double as "precision" from cres) on roc_auc, average_precision, "precision" into name metric value v),
@@ -271,7 +274,7 @@ di as (select k, metric, b, ('0x' || substr(md5(concat_ws('/', 42, b, d)), 1, 15
 ms as (select k, metric, b, avg(v) m from di join nb using (k, metric, i) group by all)"""),
     "x10_score_words": _q("select word, round(mindist_all, 6) mindist_all, round(avgdist_all, 6) avgdist_all, round(votetopk_all, 6) votetopk_all, round(centroid, 6) centroid, round(log_count, 6) log_count from sw", _VECS, _SW),
     "x10_evaluate_scores": _q("""select method, k::int k, round(roc_auc, 6) roc_auc, round(average_precision, 6) average_precision, round(tp / k, 6) as "precision", round(tp / pos, 6) recall, round((neg - (least(k, pos + neg) - tp)) / neg, 6) specificity, round(case when tp > 0 then 2 * (tp / k) * (tp / pos) / (tp / k + tp / pos) else 0 end, 6) f1
- from summary join (select method, k, sum(case when rn <= k then label else 0 end)::double tp from rk, (select unnest([5, 10, 20]) k) group by method, k) using (method)""", _VECS, _SW, """long as (select s.word, (r.label = 3)::int label, m.method, m.score from sw s join raw r using (word), lateral (select unnest(['centroid', 'log_count', 'avgdist_all']) method, unnest([centroid, log_count, avgdist_all]) score) m),
+ from summary join (select method, k, sum(case when rn <= k then label else 0 end)::double tp from rk, (select unnest([50, 100, 200]) k) group by method, k) using (method)""", _VECS, _SW, """long as (select s.word, (r.label = 3)::int label, m.method, m.score from sw s join raw r using (word), lateral (select unnest(['centroid', 'log_count', 'avgdist_all']) method, unnest([centroid, log_count, avgdist_all]) score) m),
 groups as (select method, score, sum(label)::bigint np, sum(1 - label)::bigint nn from long group by all), rk as (select *, row_number() over (partition by method order by score desc, word) rn from long)""", _curves("groups", "method")),
     "a25_model_sites": _q("""select run, case when k is null then '?' else array_to_string(k, ', ') end sites, case when k is null then 'model_' || run else 'Model ' || array_to_string([chr(65 + x[2:]::int) for x in k], '') end model
  from (select run, list_sort(list(distinct site) filter (site in ('c0', 'c1', 'c2', 'c3', 'c4', 'c5', 'c6', 'c7', 'c8', 'c9', 'c10', 'c11'))) k from (select run, site from log_events where site is not null union all select 'run9', null) group by run)""", _LOG),
@@ -294,7 +297,7 @@ groups as (select method, score, sum(label)::bigint np, sum(1 - label)::bigint n
     "m6_fitted_by_all": _q('select clf, count(*) filter ("label" = 1) positives, count(*) filter ("label" = 0) negatives, true optimal from tr group by clf', _VECS, _SPLITS, _CENTROID, _POOLS.format(words="raw"), _TRAIN),
     "a24_weight_table": _q("select feature, round(avg(x), 6) pu_lr_weight_mean, round(stddev_pop(x), 6) pu_lr_weight_std, round(avg(-0.5 * x), 6) + 0.0 pu_rn_weight_mean, round(stddev_pop(-0.5 * x), 6) pu_rn_weight_std from (select names[i + 1] feature, 0.5::double - 0.125::double * i + 0.0625::double * split_id x from (select distinct split_id from splits), (select unnest(range(9)) i), (select " + str(list(_FEATURES)) + " names)) group by feature", _VECS, _SPLITS),
     "x6_given_classifiers": _q("""select split_id, method, k::int k, round(roc_auc, 6) roc_auc, round(average_precision, 6) average_precision, round(p, 6) as "precision", round(r, 6) recall, round(coalesce((n - pos - (least(k, n) - tp))::double / nullif(n - pos, 0), 0), 6) specificity, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) f1
- from (select *, tp::double / least(k, n) p, coalesce(tp::double / nullif(pos_, 0), 0) r from summary join (select split_id, method, k, count(*) n, sum(y) pos_, sum(case when rn <= k then y else 0 end) tp from rk, (select unnest([5, 10, 20]) k) group by all) using (split_id, method))""", _VECS, _NBR, _SPLITS, _CENTROID, _GSIMS, _POOLS.format(words="raw"), _FEATS, _TRAIN, _GIVEN, _curves("groups", "split_id, method")),
+ from (select *, tp::double / least(k, n) p, coalesce(tp::double / nullif(pos_, 0), 0) r from summary join (select split_id, method, k, count(*) n, sum(y) pos_, sum(case when rn <= k then y else 0 end) tp from rk, (select unnest([50, 100, 200]) k) group by all) using (split_id, method))""", _VECS, _NBR, _SPLITS, _CENTROID, _GSIMS, _POOLS.format(words="raw"), _FEATS, _TRAIN, _GIVEN, _curves("groups", "split_id, method")),
     "x13_checkpoint_report": _q("""select run, sites, case when sites is null then 0 else len(string_split(sites, ',')) end::int n_sites, num_rounds, min_clients, last_best_round, round(last_best, 6) last_best, round(-last_best, 6) validation_loss, n, first_round, last_round, d best_dev_round, dv best_dev, t best_test_round, tv best_test, final_test, tv < worst * 0.5 converged, t < last_round * 0.5 early,
  'FL_global_model_' || coalesce(t, last_best_round) || '.pt' target, coalesce(nf, 0) n_found, coalesce(list_contains(fs, coalesce(t, last_best_round)), false) on_disk from ov full join st using (run) full join pf using (run) left join fd using (run)""", _LOG, _PERF, """ov as (select run, b.round last_best_round, b.value last_best, sites from (select run, (list({'round': round, 'value': value} order by line desc) filter (kind = 'best'))[1] b from log_events group by run) full join (select run, string_agg(site, ',' order by line, site) sites from (select run, site, min(line) line from log_events where site is not null group by all) group by run) using (run)),
 st as (select 'run' || (user_id % 4) run, (list(event_id::varchar order by event_id % 3 = 0, event_id))[1] num_rounds, (list(user_id::varchar order by event_id % 3 = 0, event_id))[1] min_clients from events group by 1),
@@ -307,8 +310,8 @@ fd as (select run, count(*) nf, list(round) fs from perf where run <> 'run1' and
     "x5_report_tables": _q("""select 'aggregated' part, metric || '_' || s as "name", round(v, 6) + 0.0 as "value" from (select metric, unnest(['mean', 'std', 'median', 'min', 'max', 'ci95_lo', 'ci95_hi']) s, unnest([mean, std, median, least, most, ci_low, ci_high]) v from stats join (select metric, quantile_cont(m, 0.025) ci_low, quantile_cont(m, 0.975) ci_high from ms group by all) using (metric))
  union all select 'distribution', metric || '/' || bin, count(*)::double from (select metric, case when hi > lo then least(19, floor((v - lo) / (hi - lo) * 20)) else 0 end::int bin from res join (select metric, min(v) lo, max(v) hi from res group by metric) using (metric)) group by metric, bin
  union all select 'test', measure || '_' || s, round(v, 6) from (select measure, unnest(['least', 'most', 'mean', 'median']) s, unnest([min(x), max(x), avg(x), quantile_cont(x, 0.5)]) v from (select unnest(['test_matched', 'test_positive', 'test_negative', 'test_positive_rate']) measure, unnest([m, p, n, coalesce(p / nullif(m, 0), 0)])::double x from info) group by measure)
- union all select 'per_split', 'rows', (select count(*) from cres where k = 5)::double union all select 'split_info', 'size', (select count(*) from r)::double""", _CENT_RES.format(pools=_POOLS.format(words="raw"), extra=""), _NBR, _splits("r", "select distinct word from raw"), """info as (select split_id, count(label) m, count(*) filter (label = 1) p, count(*) filter (label = 0) n from r left join (from labels_ where word not like '%7') using (word) where part = 'test' group by split_id),
-res as (unpivot (select roc_auc::double roc_auc, average_precision::double average_precision, "precision"::double as "precision" from cres where k = 5) on roc_auc, average_precision, "precision" into name metric value v),
+ union all select 'per_split', 'rows', (select count(*) from cres where k = 50)::double union all select 'split_info', 'size', (select count(*) from r)::double""", _CENT_RES.format(pools=_POOLS.format(words="raw"), extra=""), _NBR, _splits("r", "select distinct word from raw"), """info as (select split_id, count(label) m, count(*) filter (label = 1) p, count(*) filter (label = 0) n from r left join (from labels_ where word not like '%7') using (word) where part = 'test' group by split_id),
+res as (unpivot (select roc_auc::double roc_auc, average_precision::double average_precision, "precision"::double as "precision" from cres where k = 50) on roc_auc, average_precision, "precision" into name metric value v),
 stats as (select metric, count(*) n, avg(v) mean, stddev_samp(v) std, quantile_cont(v, 0.5) median, min(v) least, max(v) most from res group by all),
 nb as (select metric, v, row_number() over (partition by metric order by v) - 1 i, count(*) over (partition by metric) n from res),
 dr as (select metric, n, b, unnest(range(n)) d from (select distinct metric, n from nb), (select unnest(range(10000)) b)),

@@ -116,35 +116,45 @@ def select_and_test(scores: DataFrame, pool: DataFrame, configs: Sequence[str],
     test words are positive, precision, recall and F1 are those of the test's F1 threshold. Splits without
     both classes in dev or test are left out.
     """
-    keys = ["split_id", "part", *configs]
     scores, pool = written(scores), written(pool)
     named = scores.withColumnRenamed("query", "word")
     own = "split_id" in scores.columns
-    scored = named.join(pool, ["split_id", "word"] if own else ["word"]).select(*keys, "word", "label", "score")
+    at = ["split_id", *configs]
     totals = pool.groupBy("split_id", "part").agg(F.sum("label").alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
     if background is not None:
-        cells = named if own else _each(named, pool.select("split_id").distinct())
-        beside = cells.join(background, "word", "left_semi").withColumn("part", F.explode(F.array(F.lit("dev"), F.lit("test")))).withColumn("label", F.lit(0))
-        scored = scored.unionByName(beside.select(*keys, "word", "label", "score"))
+        background = written(background)
         totals = totals.withColumn("neg", F.col("neg") + background.agg(F.count("*")).scalar())
-    grid = scores.select(*configs).distinct()
-    groups = written(curves.with_default(curves.score_groups(scored, keys), _each(totals, grid), keys, default))
-    points = written(curves.curve_summary(groups, keys))
-    dev = points.filter("part = 'dev'").select("split_id", *configs, F.col("roc_auc").alias("dev_roc_auc"), F.col(f"{on}_threshold").alias("threshold"))
+
+    def listed(part: str, rows: DataFrame) -> DataFrame:
+        """(split_id, configs, word, label, score) of a part's scored words, and of those of the background."""
+        words = rows.join(pool.filter(F.col("part") == part).select("split_id", "word", "label"), ["split_id", "word"] if "split_id" in rows.columns else ["word"]).select(*at, "word", "label", "score")
+        if background is None:
+            return words
+        beside = (rows if "split_id" in rows.columns else _each(rows, pool.select("split_id").distinct())).join(background, "word", "left_semi")
+        return words.unionByName(beside.select(*at, "word", F.lit(0).alias("label"), "score"))
+
+    def groups_of(part: str, rows: DataFrame, grid: DataFrame) -> DataFrame:
+        whole = totals.filter(F.col("part") == part).drop("part")
+        whole = whole.join(grid, "split_id") if "split_id" in grid.columns else _each(whole, grid)
+        return curves.with_default(curves.score_groups(rows, at), whole, at, default)
+
+    dev = curves.curve_summary(groups_of("dev", listed("dev", named), scores.select(*configs).distinct()), at)
+    dev = dev.select(*at, F.col("roc_auc").alias("dev_roc_auc"), F.col(f"{on}_threshold").alias("threshold"))
     chosen = written(curves.best_by(dev, ["split_id", *within], "dev_roc_auc", prefer))
-    at = ["split_id", *configs]
-    test = points.filter("part = 'test' and roc_auc is not null").join(chosen, at)
-    cut = curves.at_threshold(groups.filter("part = 'test'").join(chosen, at), at)
+    # the test part is looked at for the chosen configurations only
+    found = written(listed("test", named.join(chosen.select(*at), at if own else list(configs)).select(*at, "word", "score")))
+    groups = written(groups_of("test", found, chosen.select(*at)))
+    test = curves.curve_summary(groups, at).filter("roc_auc is not null").join(chosen, at)
+    cut = curves.at_threshold(groups.join(chosen, at), at)
     same = (F.col("tp") + F.col("fp") == 0) | (F.col("fn") + F.col("tn") == 0)
     out = test.join(cut.withColumn("same", same), at).select(*at, "dev_roc_auc", "threshold", "roc_auc", "average_precision", *[F.when(F.col("same"), F.col(f"f1_{a}")).otherwise(F.col(b)).alias(b) for a, b in (("precision", "precision"), ("recall", "recall"), ("best", "f1"))])
-    found = scored.filter("part = 'test'").join(chosen.select(*at), at).select(*at, "word", "label", "score")
     rest = pool.filter("part = 'test'").select("split_id", "word", "label").join(chosen.select(*at), "split_id")
     if background is not None:
         # fewer than k scored words leave room for the default's first; of the 2 k first words at least k have no score then
         first = background.orderBy("word").limit(2 * max(ks)).withColumn("label", F.lit(0))
         rest = rest.unionByName(_each(first, chosen.select(*at)).select(*rest.columns))
-    listed = found.unionByName(rest.join(found, [*at, "word"], "left_anti").withColumn("score", F.lit(default)).select(*found.columns))
-    ranks = curves.rank_metrics(listed, at, ks)
+    ranked = found.unionByName(rest.join(found, [*at, "word"], "left_anti").withColumn("score", F.lit(default)).select(*found.columns))
+    ranks = curves.rank_metrics(ranked, at, ks)
     wide = ranks.groupBy(*at).agg(*[F.max(F.when(F.col("k") == k, F.col("precision"))).alias(f"precision_at_{k}") for k in ks])
     return out.join(wide, at)
 
@@ -194,7 +204,7 @@ def approach_evaluate(nbr: DataFrame, labels: DataFrame, all_splits: DataFrame,
 
 def split_report(results: DataFrame, metrics: Sequence[str], keys: Sequence[str] = (), resamples: int = 10_000) -> DataFrame:
     """(keys, metric, n, mean, std, median, least, most, ci_low, ci_high) of per-split results."""
-    long = results.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(list(keys), list(metrics), "metric", "value")
+    long = written(results.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(list(keys), list(metrics), "metric", "value"))
     by = [*keys, "metric"]
     return summary.summarise(long, by).join(summary.bootstrap_ci(long, by, resamples=resamples), by)
 
@@ -208,6 +218,7 @@ def report_tables(results: DataFrame, info: DataFrame, metrics: Sequence[str], r
     each metric's values in `bins` equal bins; test_statistics has least, most, mean and median of the test
     parts' matched, positive and negative words and positive rate.
     """
+    results, info = written(results), written(info)
     report = written(split_report(results, metrics, resamples=resamples))
     names = {"mean": "mean", "std": "std", "median": "median", "least": "min", "most": "max", "ci_low": "ci95_lo", "ci_high": "ci95_hi"}
     wide = report.agg(*[F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{n}") for m in metrics for c, n in names.items()])

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property, partial
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import scalar
 from ..operators import configs, curves, lexical, models, neighbours, splits, summary, trainlog, vectors
@@ -15,7 +17,7 @@ from ..streaming import trainlog as streams
 from . import pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
-K, N_SPLITS, KS, NEAR = 20, 10, (5, 10, 20), 0.15
+K, N_SPLITS, KS, NEAR = 20, 100, (50, 100, 200), 0.15
 #: Width of the event_id ranges in which a log's running minimum is taken.
 CHUNK = 1 << 16
 
@@ -43,12 +45,13 @@ class Fixture:
         self.null_glossary = self.raw.filter("label = 3").select("word")
 
     def lasts(self) -> bool:
-        """Whether the tables written so far can still be read."""
+        """Whether the tables written so far are still there."""
+        spark = self.raw.sparkSession
         try:
-            for name in ("glossary", "splits", "nbr", "features"):
-                if name in self.__dict__:
-                    self.__dict__[name].limit(1).count()
-        except Exception:  # a folder that was cleared: whatever its file system says
+            for name in ("glossary", "splits", "control", "nbr", "features"):
+                if name in self.__dict__ and (held := self.__dict__[name].inputFiles()):
+                    spark.read.parquet(held[0])
+        except AnalysisException:  # no such path
             return False
         return True
 
@@ -126,12 +129,14 @@ def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {}
-_FIXTURES: dict[tuple[str, str], Fixture] = {}
+_FIXTURES: dict[tuple, Fixture] = {}
 
 
 def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
-    """The session's fixture of a folder of tables, whose own tables are written once; built anew if these have gone."""
-    key = spark.sparkContext.applicationId, sf_dir
+    """The session's fixture of a folder of tables, whose own tables are written once; built anew if these have gone or the folder's files changed."""
+    m = F.col("_metadata")
+    state = table(spark, sf_dir, "embeddings").select(m["file_path"], m["file_size"], m["file_modification_time"].cast("string")).distinct()
+    key = spark.sparkContext.applicationId, sf_dir, tuple(sorted(map(tuple, state.collect())))
     found = _FIXTURES.get(key)
     if found is None or not found.lasts():
         found = _FIXTURES[key] = Fixture(spark, sf_dir)
@@ -257,10 +262,10 @@ def a1_majority_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 # lexical
 @query("j6_lexical_similarity")
 def j6_lexical_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names against those of each brand's parts of size 1."""
+    """Part names against those of each brand's parts."""
     parts = table(spark, sf_dir, "part")
     names = parts.select(F.col("p_name").alias("word"))
-    ref = parts.filter("p_size = 1").select(F.col("p_brand").alias("brand"), F.col("p_name").alias("word")).distinct()
+    ref = parts.select(F.col("p_brand").alias("brand"), F.col("p_name").alias("word")).distinct()
     return lexical.lexical_similarity(names, ref, ["brand"])
 
 
@@ -432,7 +437,7 @@ def _batches(df: DataFrame, folder: str) -> DataFrame:
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/out")
 
     df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.read.schema(df.schema.add("batch", "int")).parquet(f"{folder}/out")
+    return df.sparkSession.read.schema(StructType([*df.schema.fields, StructField("batch", IntegerType())])).parquet(f"{folder}/out")
 
 
 def _last_of_batches(df: DataFrame, folder: str, keys: list[str]) -> DataFrame:
