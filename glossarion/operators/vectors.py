@@ -155,6 +155,79 @@ def knn_lsh(vectors: DataFrame, k: int, bucket: float | None = None, tables: int
     return found.join(whole.withColumnRenamed("word", "query"), "query", "left_semi").unionByName(knn(vectors, k, short)).select("query", "rank", "nword", "cossim")
 
 
+def _centres(x: np.ndarray, cells: int, seed: int, rounds: int = 8) -> np.ndarray:
+    """Unit vectors in whose cells the rows of x lie: k-means by cosine from seeded rows."""
+    centres = x[np.random.default_rng(seed).choice(len(x), cells, replace=False)]
+    for _ in range(rounds):
+        own = np.argmax(x @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, sums / np.where(length > 0, length, 1), centres)
+    return centres
+
+
+def knn_cells(vectors: DataFrame, k: int, cells: int | None = None, recall: float = 0.95, seed: int = 42, sample: int = 1 << 16, asked: int = 256) -> tuple[DataFrame, DataFrame]:
+    """knn() over cells: (query, rank, nword, cossim), approximate, and (cell, words, queries), what was compared.
+
+    Cells lie around centres, root of the number of words by default and 4,096 at most, that are found on the
+    first `sample` words of a hashed order; every word belongs to the nearest centre's. A cell's radius bounds
+    how near its words can be to a query, and a query is compared with the cells of the highest bounds. In how
+    many is measured: for `asked` words, searched exactly, it is the least number that holds `recall` of
+    their true neighbours. Where neighbours are hardly nearer than other words that is most of the cells.
+    """
+    spark = vectors.sparkSession
+    vectors = written(vectors.select("word", "v"))
+    n, order = vectors.count(), F.xxhash64(F.lit(seed), "word")
+    first = vectors.orderBy(order, "word").limit(sample).toArrow()
+    if n < 2:
+        return knn(vectors, k), spark.createDataFrame([], "cell int, words bigint, queries bigint")
+    x = np.array(first.column("v").to_pylist(), float)
+    centres = _centres(x, min(cells or min(4096, int(n**0.5)), len(x)), seed)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sims = _matrix(batch.column(1)) @ centres.T
+                own = sims.argmax(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(sims[np.arange(len(own)), own])], names=["word", "v", "cell", "near"])
+
+    held = written(vectors.mapInArrow(assign, "word string, v array<double>, cell int, near double"))
+    sizes = {r["cell"]: (r["c"], r["near"]) for r in held.groupBy("cell").agg(F.count("*").alias("c"), F.min("near").alias("near")).collect()}
+    reach = np.array([np.arccos(np.clip(sizes[i][1], -1, 1)) if i in sizes else -np.inf for i in range(len(centres))])
+
+    def ranked(v: np.ndarray) -> np.ndarray:
+        """Cells in the order of the least angle that a word of them can have; empty ones last."""
+        return np.argsort(np.maximum(0, np.arccos(np.clip(v @ centres.T, -1, 1)) - reach), axis=1, kind="stable")
+
+    some = vectors.orderBy(order, "word").limit(asked)
+    names = [r["word"] for r in some.select("word").collect()]
+    true = knn(vectors, k, some).join(held.select(F.col("word").alias("nword"), "cell"), "nword").select("query", "cell").collect()
+    at = np.argsort(ranked(x[: len(names)]), axis=1)  # each cell's place
+    row = {w: i for i, w in enumerate(first.column("word").to_pylist()[: len(names)])}
+    places = np.sort([at[row[r["query"]], r["cell"]] for r in true])
+    probes = int(places[min(len(places) - 1, int(np.ceil(recall * len(places))) - 1)]) + 1
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                near = ranked(_matrix(part.column(1)))[:, :probes].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)), pa.array(near.ravel()))], names=["word", "v", "cells"])
+
+    asks = vectors.mapInArrow(ask, "word string, v array<double>, cells array<int>")
+    count = asks.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("queries"))
+    compared = written(held.groupBy("cell").agg(F.count("*").alias("words")).join(count, "cell"))
+    # units of a bounded expected size: parts of a cell's queries by parts of its words
+    parts = compared.select("cell", F.ceil(F.col("queries") / _QUERY_BLOCK).cast("int").alias("qs"), F.ceil(F.col("words") / (8 * _BLOCK)).cast("int").alias("xs"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    q = asks.select("word", "v", F.explode("cells").alias("cell")).join(parts, "cell")
+    q = q.withColumn("g", F.pmod(F.xxhash64("word"), F.col("qs")).cast("int")).select(F.xxhash64("cell", "g").alias("g"), each("xs").alias("slot"), F.lit(True).alias("asks"), "word", "v")
+    w = held.join(parts, "cell").withColumn("slot", F.pmod(F.xxhash64("word", F.lit(1)), F.col("xs")).cast("int"))
+    w = w.withColumn("g", each("qs")).select(F.xxhash64("cell", "g").alias("g"), "slot", F.lit(False).alias("asks"), "word", "v")
+    return _ranked(_nearest(q.unionByName(w), k), k), compared
+
+
 def _mean(vector: str) -> Column:
     """Mean of arrays of one length, component by component; tasks sum whole vectors before the shuffle."""
     return vector_to_array(Summarizer.mean(array_to_vector(F.transform(vector, lambda x: x.cast("double")))))

@@ -184,6 +184,7 @@ master as (select word, label from mw left join maj using (word) where word not
 
 ORACLES: dict[str, str] = {
     "s13_knn": _q("select query, rank::int rank, nword, round(cossim, 6) cossim from nbr", _VECS, _NBR),
+    "s13_knn_cells": "select count(*) * 20 listed, count(*) queries, true enough, true fewer from embeddings",
     "s1_explode_neighbours": _q(f"{_FLAT} flat where rank <= 10", _VECS, _NBR, _NESTED),
     "p4_skip_labels": _q(f"{_FLAT} flat where rank <= 5 and label <> 1", _VECS, _NBR, _NESTED),
     "a2_neighbour_limit": _q("select min(len(neighbours))::int neighbour_limit from hoods where len(neighbours) > 0", _VECS, _NBR, _NESTED),

@@ -162,6 +162,18 @@ def on_fixture(name: str) -> Callable[[Callable[[Fixture], DataFrame]], Callable
 # sources, projections, neighbours
 on_fixture("s13_knn")(lambda x: x.nbr.select("query", "rank", "nword", "cossim"))
 on_fixture("s13_knn_lsh")(lambda x: vectors.knn_lsh(x.vecs, K))
+
+
+@on_fixture("s13_knn_cells")
+def s13_knn_cells(x: Fixture) -> DataFrame:
+    """Of the search over cells: its lists' rows, whether it found 0.9 of all true neighbours, and whether it compared fewer than all pairs."""
+    found, compared = vectors.knn_cells(x.vecs, K)
+    found, n = files.written(found), x.vecs.agg(F.count("*")).scalar()
+    hits = found.join(x.nbr, ["query", "nword"], "left_semi").agg(F.count("*")).scalar()
+    pairs = compared.agg(F.sum(F.col("words") * F.col("queries"))).scalar()
+    return found.agg(F.count("*").alias("listed"), F.countDistinct("query").alias("queries")).select("listed", "queries", (hits >= 0.9 * n * K).alias("enough"), (pairs < n * n).alias("fewer"))
+
+
 on_fixture("s1_explode_neighbours")(lambda x: neighbours.explode_neighbours(x.neighbourhoods, 10))
 on_fixture("p4_skip_labels")(lambda x: neighbours.explode_neighbours(x.neighbourhoods, 5, skip=(1,)))
 on_fixture("a2_neighbour_limit")(lambda x: neighbours.neighbour_limit(x.neighbourhoods))

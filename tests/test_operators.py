@@ -522,3 +522,21 @@ def test_votes_lie_in_ranges(spark, tmp_path):
     assert len(list((tmp_path / "v").rglob("*.parquet"))) >= 8
     cell = files.grid_cell(spark, str(tmp_path / "v"), "votes", "inverse", 7)
     assert cell.count() == 100 and spark.read.parquet(str(tmp_path / "v")).filter("n = 7").select("_metadata.file_path").distinct().count() <= 2
+
+
+def test_knn_cells_finds_most_neighbours_of_few_cells(spark):
+    """Where words lie in groups few cells are compared; alone and equal words have their lists too."""
+    rng = np.random.default_rng(15)
+    m = rng.normal(size=(30, 12))[rng.integers(0, 30, 600)] + 0.3 * rng.normal(size=(600, 12))
+    m[5] = m[6]
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    vecs = spark.createDataFrame([(f"w{i:03}", v.tolist()) for i, v in enumerate(m)], "word string, v array<double>")
+    exact = set(rows(vectors.knn(vecs, 10), "query", "nword"))
+    found, compared = vectors.knn_cells(vecs, 10, asked=60)
+    got = rows(found, "query", "nword")
+    assert len(got) == len(set(got)) and len(exact & set(got)) >= 0.9 * len(exact)
+    pairs = sum(r["words"] * r["queries"] for r in compared.collect())
+    assert pairs < 0.5 * 600 * 600
+    whole, _ = vectors.knn_cells(vecs, 10, recall=1.0, asked=600)
+    assert rows(whole, "query", "rank", "nword") == rows(vectors.knn(vecs, 10), "query", "rank", "nword")
+    assert vectors.knn_cells(vecs.limit(1), 10)[0].count() == 0
