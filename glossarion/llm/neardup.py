@@ -20,7 +20,7 @@ from .simhash import _LOWER, SEED
 from .text import shared_dir, slices
 
 WORDS, ROWS, BANDS = 5, 5, 32
-#: Buckets of more shingles than this are cut into pieces, and each pair of pieces is one unit of work.
+#: Buckets of more shingles than this are cut into pieces.
 PIECE = 1 << 19
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, ROWS * BANDS), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -148,24 +148,49 @@ def bucket_links(df: DataFrame, own: DataFrame, keys: DataFrame, id_col: str, te
     """(u, v) that link classes into the components of all pairs at 0.8 or more that share a bucket.
 
     keys: (key, n, k) of each class and bucket k. own: (id, th, key) of the rows of df that stand for classes.
-    most: words of a shingle.
+    most: words of a shingle. A bucket of over PIECE shingles is cut into pieces: each is searched by itself
+    and with the bucket's first class, and only classes that this doesn't tie to it meet all pieces.
     """
     spark, folder = df.sparkSession, shared_dir(df.sparkSession)
     # buckets of one class end here, and of those with the same members (told by hashes) one is left
     h = F.xxhash64("key")
     shared = keys.groupBy("k").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.min("key").alias("a"), F.max("key").alias("b"), F.bit_xor("key").alias("x"), F.bit_xor(h).alias("y"))
-    shared = shared.filter("c > 1").groupBy("c", "total", "a", "b", "x", "y").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("total") / PIECE).alias("pieces"))
-    keys.join(shared, "k").select("k", "pieces", "key").write.parquet(f"{folder}/buckets")
+    shared = shared.filter("c > 1").groupBy("c", "total", "a", "b", "x", "y").agg(F.min("k").alias("k")).select("k", "a", F.ceil(F.col("total") / PIECE).alias("pieces"))
+    keys.join(shared, "k").select("k", "a", "pieces", "key").write.parquet(f"{folder}/buckets")
     buckets = spark.read.parquet(f"{folder}/buckets")
     # one row that has the text stands for its class; classes are reduced before the join, so that no row of a large one moves
     first = own.groupBy("key").agg(F.min(F.struct(id_col, "th")).alias("r")).join(buckets.select("key").distinct(), "key", "left_semi").select("key", F.col(f"r.{id_col}").alias(id_col), "r.th")
     texts = df.select(id_col, _text_hash(text).alias("th"), F.col(text).alias("_text")).join(first, [id_col, "th"])
     _members(texts, most).dropDuplicates(["key"]).write.parquet(f"{folder}/members")
+    sets = spark.read.parquet(f"{folder}/members")
+
+    def linked(units: DataFrame) -> DataFrame:
+        rows = units.join(sets, "key").select("unit", "key", "members")
+        return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(_links, "u bigint, v bigint")
+
+    # each piece by itself, with the bucket's first class, which ties the pieces of a group together
     piece = F.pmod(F.xxhash64("key"), F.col("pieces"))
-    units = buckets.select("k", "pieces", "key", piece.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("other"))
-    units = units.select(F.xxhash64("k", "pieces", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "key")
-    units = units.join(spark.read.parquet(f"{folder}/members"), "key").select("unit", "key", "members")
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_links, "u bigint, v bigint")
+    everywhere = F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)
+    own_piece = buckets.select("k", "key", piece.alias("p"))
+    leaders = buckets.filter("key = a and pieces > 1").select("k", "key", F.explode(everywhere).alias("p"))
+    found = linked(own_piece.unionByName(leaders).distinct().select(F.xxhash64("k", "p").alias("unit"), "key"))
+    large = buckets.filter("pieces > 1")
+    if large.isEmpty():
+        return found
+    found.write.parquet(f"{folder}/within")
+    found = spark.read.parquet(f"{folder}/within")
+    # what is not yet tied to its bucket's first class meets every piece; such rows are few where a group is tight
+    label = connected_components(found).withColumnRenamed("v", "key")
+    first = large.filter("key = a").join(label, "key", "left").select("k", F.coalesce("component", "key").alias("main"))
+    apart = large.join(label, "key", "left").join(first, "k").filter(F.coalesce("component", "key") != F.col("main")).join(keys.select("key", "n").distinct(), "key")
+    apart = apart.select("k", "key", "pieces", "n")
+    apart.write.parquet(f"{folder}/apart")
+    apart = spark.read.parquet(f"{folder}/apart")
+    parts = apart.groupBy("k").agg(F.ceil(F.sum("n") / PIECE).alias("parts"))
+    part = F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts"))
+    alone = apart.join(parts, "k").select("k", part.alias("q"), F.explode(everywhere).alias("p"), "key")
+    others = large.join(parts, "k").select("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("q"), piece.alias("p"), "key")
+    return found.unionByName(linked(alone.unionByName(others).distinct().select(F.xxhash64("k", "q", "p").alias("unit"), "key")))
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -58,8 +58,9 @@ def near_copies(rng, n):
     return out
 
 
-@pytest.mark.parametrize("region, run, partitions", [(1 << 16, 1 << 20, 4), (200, 1 << 20, 7), (1, 3, 5)])
-def test_forest_equals_all_pairs(spark, monkeypatch, region, run, partitions):
+@pytest.mark.parametrize("region, run, partitions, piece", [(1 << 16, 1 << 20, 4, 1 << 19), (200, 1 << 20, 7, 120), (1, 3, 5, 1 << 19)])
+def test_forest_equals_all_pairs(spark, monkeypatch, region, run, partitions, piece):
+    monkeypatch.setattr(neardup, "PIECE", piece)
     monkeypatch.setattr(lshforest, "REGION", region)
     monkeypatch.setattr(lshforest, "RUN", run)
     rng = random.Random(region)
@@ -72,6 +73,26 @@ def test_forest_equals_all_pairs(spark, monkeypatch, region, run, partitions):
     assert len({c for _, c in want.values()}) < len(rows)
 
 
+def test_large_buckets_in_pieces_equal_all_pairs(spark, monkeypatch):
+    """One bucket of all classes, cut small: tight groups, chains and classes that nothing links."""
+    rng = random.Random(21)
+    rows = list(enumerate(t for t in near_copies(rng, 50)))
+    df = spark.createDataFrame(rows, "_id bigint, _t string").repartition(3)
+    own = lshforest.sketches(df, "_id", "_t").filter("n > 0").cache()
+    want = dict(zip([i for i, _ in rows], brute_components(rows), strict=True))
+    for piece in (100, 700, 1 << 19):
+        monkeypatch.setattr(neardup, "PIECE", piece)
+        keys = own.dropDuplicates(["key"]).select("key", "n", F.lit(7).cast("bigint").alias("k"))
+        found = {r["v"]: r["component"] for r in neardup.connected_components(neardup.bucket_links(df, own, keys, "_id", "_t", 4)).collect()}
+        groups = {}
+        for r in own.collect():
+            groups.setdefault(found.get(r["key"], r["key"]), set()).add(r["_id"])
+        expected = {}
+        for i, (_, c) in want.items():
+            expected.setdefault(c, set()).add(i)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
 def test_forest_on_odd_tables(spark):
     texts = [None, "", " \n\t", "One two three", "one TWO three", "one two three four", "naïve café — 日本語 ԱԲ", "naïve CAFÉ — 日本語 ԱԲ", "x y z " * 4000, "x y z " * 3000]
     rows = [(i, t, i * 1.5, "q") for i, t in enumerate(texts)] + [(3, texts[3], 4.5, "q"), (None, "one two three", 0.0, "q"), (None, "no id here at all", 0.0, "q"), (None, None, 0.0, None)]
