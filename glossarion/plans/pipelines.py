@@ -15,14 +15,21 @@ from ..sources.files import written
 METHODS = ("vote", "mindist", "avgdist", "centroid", "mindist_all", "avgdist_all", "votetopk_all", "lexical", "hybrid", "pu_lr", "pu_rn")
 #: Decimals of scores before ties are told.
 DIGITS = 10
+#: Rows that are given to each task as one value.
+FEW = 100_000
 #: Lengths of the reports.
 KS = (50, 100, 200)
 
 
 def _each(df: DataFrame, few: DataFrame) -> DataFrame:
-    """df's rows with each of a few distinct rows (splits, parts, configurations), which reach the tasks as one value, not by a join."""
-    listed = df.withColumn("_few", few.agg(F.collect_set(F.struct(*few.columns))).scalar())
-    return listed.withColumn("_few", F.explode("_few")).select(*df.columns, "_few.*")
+    """df's rows with each of a few distinct rows (splits, parts, configurations), which reach the tasks as one value, not by a join.
+
+    More than FEW of them are an error, so that what a task is given has a bound.
+    """
+    found = few.distinct().limit(FEW + 1).agg(F.collect_list(F.struct(*few.columns))).scalar()
+    listed = df.withColumn("_few", found)
+    checked = F.when(F.size("_few") <= FEW, F.col("_few")).otherwise(F.raise_error(F.lit(f"more than {FEW} rows for each row")))
+    return listed.withColumn("_few", F.explode(checked)).select(*df.columns, "_few.*")
 
 
 def background_of(all_splits: DataFrame, words: DataFrame, stop: DataFrame) -> DataFrame:

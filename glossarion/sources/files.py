@@ -9,10 +9,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Folders that are deleted at the end.
+_OWN: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path below spark.checkpoint.dir, which all machines share; below the warehouse where that is unset."""
+    """A fresh path below spark.checkpoint.dir, which all machines share; below the warehouse where that is unset.
+
+    The paths of an application lie in one folder, which is deleted when the driver ends.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(folder or spark.conf.get('spark.sql.warehouse.dir').rstrip('/') + '/_shared').rstrip('/')}/tables-{uuid.uuid4().hex}"
+    own = f"{(folder or spark.conf.get('spark.sql.warehouse.dir').rstrip('/') + '/_shared').rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _OWN.add(own)
+    return f"{own}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
