@@ -73,6 +73,15 @@ def test_forest_equals_all_pairs(spark, monkeypatch, region, run, partitions, pi
     assert len({c for _, c in want.values()}) < len(rows)
 
 
+def test_forest_query_equals_all_pairs_of_the_table(spark):
+    from glossarion.llm.queries import op11_lsh_forest
+
+    folder = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    want = {d: (n, c, c == d) for (d, _), (n, c) in zip(rows, brute_components(rows), strict=True)}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in op11_lsh_forest(spark, folder).collect()} == want
+
+
 def test_large_buckets_in_pieces_equal_all_pairs(spark, monkeypatch):
     """One bucket of all classes, cut small: tight groups, chains and classes that nothing links."""
     rng = random.Random(21)
