@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,12 +24,19 @@ def norm(v: Column | str) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def bound(c: Column | str, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(_col(c)), f)[0]
+
+
 def l2_normalise(v: Column | str) -> Column:
-    """The vector over its length; a zero vector stays as it is."""
-    v = _col(v)
-    length = norm(v)
-    by = F.when(length == 0, F.lit(1.0)).otherwise(length)
-    return F.transform(v, lambda x: x.cast("double") / by)
+    """The vector over its length; a zero vector stays as it is. The length is computed once a vector, not once a cell."""
+
+    def over(v: Column) -> Column:
+        lengths = F.array_repeat(norm(v), F.size(v))
+        return F.zip_with(v, lengths, lambda x, n: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
+
+    return bound(_col(v).cast("array<double>"), over)
 
 
 def is_finite(x: Column) -> Column:

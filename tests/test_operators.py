@@ -28,6 +28,15 @@ def test_scrub_and_unit_vectors(spark):
     assert dict(rows(vectors.unit_vectors(df), "word", "v")) == {"a": [0.6, 0.8], "z": [0.0, 0.0], "n": [0.0, 0.0]}
 
 
+def test_lengths_are_computed_once_a_vector(spark):
+    df = spark.createDataFrame([("a", [3.0, None, 4.0]), ("b", []), ("c", None)], "word string, v array<float>")
+    assert dict(df.select("word", scalar.l2_normalise("v")).collect()) == {"a": [None, None, None], "b": [], "c": None}
+    # once a cell would be 10^10 products here
+    wide = spark.range(1).select(F.lit("w").alias("word"), F.array_repeat(F.lit(2.0), 100_000).alias("vector"))
+    length = vectors.unit_vectors(wide).select(scalar.norm("v").alias("n"), F.size("v").alias("dims")).first()
+    assert length["dims"] == 100_000 and abs(length["n"] - 1) < 1e-9
+
+
 def test_char_ngrams(spark):
     df = spark.createDataFrame([("ab  C",), ("",)], "w string").select(scalar.char_ngrams("w").alias("g"))
     got = [sorted(r["g"]) for r in df.collect()]
