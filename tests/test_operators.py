@@ -549,3 +549,43 @@ def test_knn_cells_finds_most_neighbours_of_few_cells(spark):
     whole, _ = vectors.knn_cells(vecs, 10, recall=1.0, asked=600)
     assert rows(whole, "query", "rank", "nword") == rows(vectors.knn(vecs, 10), "query", "rank", "nword")
     assert vectors.knn_cells(vecs.limit(1), 10)[0].count() == 0
+
+
+def most_broadcast(spark, df):
+    """The largest number of rows that a run of df broadcasts."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    df.write.format("noop").mode("overwrite").save()
+    most = 0
+    for e in range(before, store.executionsCount()):
+        run = store.executionsList().apply(e).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            if node.name() == "BroadcastExchange":
+                for m in map(node.metrics().apply, range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        most = max(most, int(values.get(m.accumulatorId()).get().replace(",", "")))
+    return most
+
+
+def test_splits_broadcast_keys_and_no_rows(spark):
+    words = spark.range(2000).selectExpr("concat('w', id) word", "cast(id % 4 = 0 as int) label")
+    sp = splits.make_splits(words, 20, strata=["label"], neg_ratio=2.0)
+    assert most_broadcast(spark, sp) <= 40  # a row for each split and label
+    got = {}
+    for r in sp.collect():
+        got.setdefault((r["split_id"], r["label"], r["part"]), set()).add(r["word"])
+    key = lambda s, w: (hashlib.md5(f"42/{s}/{w}".encode()).hexdigest(), w)
+    for s in range(20):
+        for label, n in ((1, 500), (0, 1000)):
+            order = sorted((f"w{i}" for i in range(2000) if (i % 4 == 0) == bool(label)), key=lambda w: key(s, w))[:n]
+            a, b = int(n * 0.8), int(n * 0.8) + int(n * 0.1)
+            assert [got[s, label, p] for p in ("ref", "dev", "test")] == [set(order[:a]), set(order[a:b]), set(order[b:])]
+
+
+def test_hashed_sample_of_small_none_and_large_sizes(spark):
+    df = spark.range(300).selectExpr("id % 3 g", "concat('w', id) word", "case id % 3 when 0 then 0 when 1 then 7 else 1000 end size")
+    got = splits.hashed_sample(df, ["g"], F.col("size"), "s")
+    assert most_broadcast(spark, got) <= 3
+    first = sorted((f"w{i}" for i in range(1, 300, 3)), key=lambda w: (hashlib.md5(f"42/s/1/{w}".encode()).hexdigest(), w))[:7]
+    assert sorted(r["word"] for r in got.collect()) == sorted([*first, *(f"w{i}" for i in range(2, 300, 3))])
