@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -589,3 +590,19 @@ def test_hashed_sample_of_small_none_and_large_sizes(spark):
     assert most_broadcast(spark, got) <= 3
     first = sorted((f"w{i}" for i in range(1, 300, 3)), key=lambda w: (hashlib.md5(f"42/s/1/{w}".encode()).hexdigest(), w))[:7]
     assert sorted(r["word"] for r in got.collect()) == sorted([*first, *(f"w{i}" for i in range(2, 300, 3))])
+
+
+@pytest.mark.parametrize("targets", [2, 4096])
+def test_lexical_similarity_reduces_pairs_in_tasks(spark, monkeypatch, targets):
+    monkeypatch.setattr(lexical, "TARGETS", targets)
+    names = ["river", "rivers", "deliver", "stone", "stones", "zq", "tone", "live wire"]
+    members = {"a": ["river", "stone"], "b": ["tone", "rivers", "absent"], "c": ["zq"], None: ["zq"]}
+    words = spark.createDataFrame([(n,) for n in names], "word string")
+    got = lexical.lexical_similarity(words, spark.createDataFrame([(k, w) for k, ws in members.items() for w in ws], "key string, word string"), ["key"])
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    grams = {w: Counter(f" {p} "[i : i + n] for p in w.split() for n in (2, 3, 4) for i in range(len(p) + 3 - n)) for w in {*names, "absent"}}
+    df = Counter(g for n in names for g in grams[n])
+    weight = {w: {g: c * (math.log((1 + len(names)) / (1 + df[g])) + 1) for g, c in gs.items() if g in df} for w, gs in grams.items()}
+    unit = {w: {g: x / math.sqrt(sum(y * y for y in gs.values())) for g, x in gs.items()} for w, gs in weight.items()}
+    want = {(k, n): max(sum(x * unit[m].get(g, 0) for g, x in unit[n].items()) for m in ms) for k, ms in members.items() for n in names}
+    assert {(r["key"], r["word"]): r["lexical"] for r in got.collect()} == {k: pytest.approx(v, abs=1e-9) for k, v in want.items() if v > 0}
