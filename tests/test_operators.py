@@ -606,3 +606,12 @@ def test_lexical_similarity_reduces_pairs_in_tasks(spark, monkeypatch, targets):
     unit = {w: {g: x / math.sqrt(sum(y * y for y in gs.values())) for g, x in gs.items()} for w, gs in weight.items()}
     want = {(k, n): max(sum(x * unit[m].get(g, 0) for g, x in unit[n].items()) for m in ms) for k, ms in members.items() for n in names}
     assert {(r["key"], r["word"]): r["lexical"] for r in got.collect()} == {k: pytest.approx(v, abs=1e-9) for k, v in want.items() if v > 0}
+
+
+def test_many_small_files_are_written_by_several_tasks(spark, tmp_path):
+    docs = spark.range(60).selectExpr("concat('u', id) as run", "concat('{\"lr\": ', id, '}') as value")
+    files.write_config_docs(docs, f"{tmp_path}/docs")
+    names = [p.name for p in (tmp_path / "docs").glob("run=*/part-*.txt")]
+    assert len(names) == 60 and len({n.split("-")[1] for n in names}) > 4  # one file a document; one task wrote them all before
+    found = configs.run_configs(files.config_docs(spark, f"{tmp_path}/docs", "*.txt"))
+    assert {(r["run"], r["key"], r["value"]) for r in found.collect()} == {(f"run=u{i}", "lr", str(i)) for i in range(60)}
