@@ -615,3 +615,20 @@ def test_many_small_files_are_written_by_several_tasks(spark, tmp_path):
     assert len(names) == 60 and len({n.split("-")[1] for n in names}) > 4  # one file a document; one task wrote them all before
     found = configs.run_configs(files.config_docs(spark, f"{tmp_path}/docs", "*.txt"))
     assert {(r["run"], r["key"], r["value"]) for r in found.collect()} == {(f"run=u{i}", "lr", str(i)) for i in range(60)}
+
+
+def test_units_are_few_and_ties_are_told_by_word(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 8))
+    x[350:] = x[:350]  # every word has a twin at the same place
+    df = vectors.unit_vectors(spark.createDataFrame([(f"w{i}", v.tolist()) for i, v in enumerate(x)], "word string, vector array<double>"))
+    v = {r["word"]: np.array(r["v"]) for r in df.collect()}
+    names = sorted(v)
+    sims = np.round(np.array([v[w] for w in names]) @ np.array([v[w] for w in names]).T, vectors.DIGITS)
+    want = sorted((w, r + 1, names[j]) for i, w in enumerate(names) for r, j in enumerate(sorted((j for j in range(700) if j != i), key=lambda j: (-sims[i, j], names[j]))[:7]))
+    assert rows(vectors.knn(df, 7), "query", "rank", "nword") == want
+    found, compared = vectors.knn_cells(df, 7, recall=1.0, asked=700)
+    assert rows(found, "query", "rank", "nword") == want
+    # a unit was a cell before, so that a word was copied to as many units as it asked for cells
+    moved = found._jdf.queryExecution().optimizedPlan().toString()
+    assert moved.count("cells") and "xs" not in moved and compared.count() > 1
