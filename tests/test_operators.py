@@ -632,3 +632,16 @@ def test_units_are_few_and_ties_are_told_by_word(spark):
     # a unit was a cell before, so that a word was copied to as many units as it asked for cells
     moved = found._jdf.queryExecution().optimizedPlan().toString()
     assert moved.count("cells") and "xs" not in moved and compared.count() > 1
+
+
+def test_ref_pools_join_no_rows_of_words_and_cells(spark):
+    words = [f"w{i}" for i in range(30)]
+    parts = {(s, w): p for s in range(3) for i, w in enumerate(words[:20]) for p in [("ref", "dev", "test")[(i + s) % 3]] if (i + s) % 7}
+    df = spark.createDataFrame([(s, p, w) for (s, w), p in parts.items()], "split_id int, part string, word string")
+    stop, vocabulary = spark.createDataFrame([("w3",), ("w25",)], "word string"), spark.createDataFrame([(w,) for w in words], "word string")
+    got = pipelines.pools(df, vocabulary, stop, background="ref")
+    want = [(s, p, w, 1) for (s, w), p in parts.items() if p != "ref"]
+    want += [(s, p, w, 0) for s in range(3) for p in ("dev", "test") for w in words if w not in ("w3", "w25") and parts.get((s, w)) not in ("ref", p)]
+    assert rows(got, "split_id", "part", "word", "label") == sorted(want)
+    # the anti join of every word in each cell sorted as many rows as that
+    assert not any("LeftAnti" in x and "part" in x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines())
