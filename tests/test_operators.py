@@ -645,3 +645,20 @@ def test_ref_pools_join_no_rows_of_words_and_cells(spark):
     assert rows(got, "split_id", "part", "word", "label") == sorted(want)
     # the anti join of every word in each cell sorted as many rows as that
     assert not any("LeftAnti" in x and "part" in x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+@pytest.mark.parametrize("first", [1, 12, 64])
+def test_member_features_of_large_and_small_keys(spark, monkeypatch, first):
+    monkeypatch.setattr(vectors, "FIRST", first, raising=True)
+    rng = np.random.default_rng(5)
+    x = {f"w{i:03}": v / np.linalg.norm(v) for i, v in enumerate(rng.normal(size=(220, 6)))}
+    x["w001"] = x["w000"]  # equal similarities
+    names = sorted(x)
+    members = {0: names[:200], 1: names[:180], 2: names[100:104], 3: names[:2], 4: names[20:200]}
+    vecs = spark.createDataFrame([(w, v.tolist()) for w, v in x.items()], "word string, v array<double>")
+    df = spark.createDataFrame([(s, w) for s, ws in members.items() for w in ws], "split_id int, word string")
+    got = {(r["split_id"], r["word"]): r for r in vectors.member_features(vecs, df, ["split_id"], 5).collect()}
+    assert len(got) == 5 * 220
+    for (s, w), r in got.items():
+        sims = sorted((round(float(x[w] @ x[m]), 10) for m in members[s]), reverse=True)
+        assert (r["mindist_all"], r["avgdist_all"], r["votetopk_all"]) == pytest.approx((sims[0], sum(sims) / len(sims), sum(sims[:5])), abs=1e-9)
