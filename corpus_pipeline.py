@@ -32,7 +32,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (0.8 or more of their five-word shingles shared): that of the smallest id.
 
-    Null and blank texts are copies of each other. Of repeated rows one is left. Documents without an id
+    Texts whose SimHash fingerprints lie within three bits, or that share a MinHash band, are compared whole. Null and blank texts are copies of each other. Of repeated rows one is left. Documents without an id
     stay. No documents give none.
     """
     return neardup.keep_one(docs).select(docs.columns)

@@ -1,8 +1,10 @@
 """Near-duplicates by the Jaccard similarity of five-word shingle sets, at 0.8 or more.
 
-MinHash bands only find candidates; whether two texts are linked is decided on their whole shingle sets.
-Two sets of similarity s share a band with a chance of 1 - (1 - s^5)^32: 0.999997 at 0.8. Equal sets are
-one class throughout, and a bucket passes on a spanning forest of its links, never all pairs.
+SimHash fingerprints and MinHash bands only find candidates; whether two texts are linked is decided on
+their whole shingle sets. Texts whose fingerprints lie within three bits, in one step or several, are one
+bucket. Three bits are too few for most pairs near 0.8, which the bands find: two sets of similarity s share
+one with a chance of 1 - (1 - s^5)^32: 0.999997 at 0.8. Equal sets are one class throughout, and a bucket
+passes on a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import connected_components
 from .simhash import _LOWER, SEED
 from .text import shared_dir, slices
@@ -114,17 +117,18 @@ def _text_hash(text: str) -> Column:
 
 
 def sketches(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, th, key, n, bands) of each row: the text's hash, its shingle set's hash and size, and the bands. No shuffle."""
+    """(id, th, key, n, bands, fp) of each row: the text's hash, its shingle set's hash and size, the bands, and the fingerprint. No shuffle."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            sets = [shingles(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            sets, fps = [shingles(t or b"") for t in texts], [simhash.fingerprint(t or b"") for t in texts]
             keys = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
             key = pa.array(np.array(keys, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), key, pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))], names=[id_col, "th", "key", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), key, pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64())), pa.array(fps, pa.int64())], names=[id_col, "th", "key", "n", "bands", "fp"])
 
-    return df.select(id_col, _text_hash(text).alias("th"), F.col(text).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, th bigint, key bigint, n bigint, bands array<bigint>")
+    return df.select(id_col, _text_hash(text).alias("th"), F.col(text).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, th bigint, key bigint, n bigint, bands array<bigint>, fp bigint")
 
 
 def _members(texts: DataFrame, most: int) -> DataFrame:
@@ -141,7 +145,15 @@ def _members(texts: DataFrame, most: int) -> DataFrame:
 def links(df: DataFrame, rows: DataFrame, id_col: str, text: str) -> DataFrame:
     """(u, v) that link the classes of rows (sketches of df) into the components of all found pairs at 0.8 or more."""
     own = rows.filter(F.col(id_col).isNotNull() & (F.col("n") > 0))
-    return bucket_links(df, own, own.dropDuplicates(["key"]).select("key", "n", F.explode("bands").alias("k")), id_col, text)
+    banded = own.dropDuplicates(["key"]).select("key", "n", F.explode("bands").alias("k"))
+    return bucket_links(df, own, banded.unionByName(fingerprint_buckets(own)), id_col, text)
+
+
+def fingerprint_buckets(own: DataFrame) -> DataFrame:
+    """(key, n, k): of each class the bucket k of the component of its fingerprint, by links of simhash.MAX_BITS or fewer bits."""
+    found = connected_components(simhash.links(own.select(F.col("fp").alias("v"), "fp").distinct())).withColumnRenamed("v", "fp")
+    label = own.select("key", "n", "fp").distinct().join(found, "fp", "left")
+    return label.select("key", "n", F.xxhash64(F.lit("fingerprints"), F.coalesce("component", "fp")).alias("k")).distinct()
 
 
 def bucket_links(df: DataFrame, own: DataFrame, keys: DataFrame, id_col: str, text: str, most: int = WORDS) -> DataFrame:
@@ -198,7 +210,7 @@ def components(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 
     Null and blank texts are one component. Rows whose id is null link no others. Repeated rows each keep
     theirs; other columns don't matter; an empty table gives an empty result. df's id and text columns are
-    read by name and may have any but th, key, n and bands.
+    read by name and may have any but th, key, n, bands and fp.
     """
     shared_dir(df.sparkSession)
     rows = sketches(df, id_col, text).checkpoint()

@@ -449,3 +449,25 @@ def test_near_copies_of_the_stage_against_brute_force(spark):
     assert neardup.keep_one(df.limit(0)).count() == 0
     exact = [neardup.shingles((t or "").encode()) for _, t in ids]
     assert {(max(e), min(e)) for e in neardup.forest(exact[:30])} <= {(i, j) for i, j in near if i < 30}
+
+
+def test_near_copies_are_found_by_fingerprints_alone_and_decided_on_whole_sets(spark):
+    """Without a shared band: pairs within three bits are linked at a Jaccard of 0.8 or more, and not below."""
+    from glossarion.llm import neardup
+
+    rng = random.Random(8)
+    texts = []
+    for _ in range(30):
+        base = [f"w{rng.randint(0, 500)}" for _ in range(120)]
+        texts += [" ".join(base), " ".join([*base, "end"]), " ".join([*base[:-1], "last"])]
+    twice = ["a b c " * 50 + " ".join(f"{x}{i}" for i in range(9)) for x in "pq"]  # the repeated words make the fingerprints, the others the sets
+    df = spark.createDataFrame(list(enumerate([*texts, *twice])), "doc_id bigint, text string")
+    rows = neardup.sketches(df).withColumn("bands", F.array().cast("array<bigint>")).checkpoint()
+    got = {tuple(sorted(r)) for r in neardup.links(df, rows, "doc_id", "text").collect()}
+    fps = {r["key"]: r["fp"] & (1 << 64) - 1 for r in rows.collect()}
+    sets = {r["key"]: neardup.shingles(t.encode()) for r, t in zip(rows.orderBy("doc_id").collect(), [*texts, *twice], strict=True)}
+    alike = lambda a, b: bool(neardup.forest([sets[a], sets[b]]))
+    near = {tuple(sorted((a, b))) for a in sets for b in sets if a < b and (fps[a] ^ fps[b]).bit_count() <= 3}
+    assert all(alike(a, b) for a, b in got) and len({p for p in near if alike(*p)}) > 20 and not all(alike(*p) for p in near)
+    group = {r["v"]: r["component"] for r in components.connected_components(spark.createDataFrame(sorted(got), "u bigint, v bigint")).collect()}
+    assert all(group.get(a, a) == group.get(b, b) for a, b in near if alike(a, b))
