@@ -662,3 +662,15 @@ def test_member_features_of_large_and_small_keys(spark, monkeypatch, first):
     for (s, w), r in got.items():
         sims = sorted((round(float(x[w] @ x[m]), 10) for m in members[s]), reverse=True)
         assert (r["mindist_all"], r["avgdist_all"], r["votetopk_all"]) == pytest.approx((sims[0], sum(sims) / len(sims), sum(sims[:5])), abs=1e-9)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_centroids_do_not_broadcast_members(spark):
+    vecs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 0.0])], "word string, v array<double>")
+    members = spark.createDataFrame([(0, "a"), (0, "c"), (1, "b"), (1, "x"), (2, "x")], "split_id int, word string")
+    found = vectors.centroids(files.written(vecs), files.written(members), ["split_id"])
+    assert "Broadcast" not in plan_of(found)
+    assert rows(found, "split_id", "c") == [(0, [1.0, 0.0]), (1, [0.0, 1.0])]
