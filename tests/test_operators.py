@@ -674,3 +674,20 @@ def test_centroids_do_not_broadcast_members(spark):
     found = vectors.centroids(files.written(vecs), files.written(members), ["split_id"])
     assert "Broadcast" not in plan_of(found)
     assert rows(found, "split_id", "c") == [(0, [1.0, 0.0]), (1, [0.0, 1.0])]
+
+
+def small_splits(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    vecs = spark.createDataFrame([(w, [rng.gauss(0, 1) for _ in range(4)]) for w in words], "word string, v array<double>")
+    parts = [(s, p, w) for s in range(3) for p, some in (("ref", words[:8]), ("dev", words[8:9]), ("test", words[9:10])) for w in some] + [(2, "test", "unknown"), (3, "ref", "w0"), (3, "test", "unknown")]
+    return vecs, spark.createDataFrame(parts, "split_id int, part string, word string"), spark.createDataFrame([("w59",)], "word string")
+
+
+def test_split_counts_meet_the_words_once(spark, monkeypatch):
+    vecs, parts, stop = small_splits(spark)
+    plans = []
+    monkeypatch.setattr(pipelines, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or files.written(df))
+    out, _ = pipelines.split_counts(vecs, parts, stop, (5,), neg_ratio=2)
+    assert max(p.count("LeftSemi") for p in plans) == 1
+    assert rows(out, "split_id", "ref_usable", "test_pos", "test") == [(0, 8, 1, 1), (1, 8, 1, 1), (2, 8, 1, 2)]
