@@ -691,3 +691,12 @@ def test_split_counts_meet_the_words_once(spark, monkeypatch):
     out, _ = pipelines.split_counts(vecs, parts, stop, (5,), neg_ratio=2)
     assert max(p.count("LeftSemi") for p in plans) == 1
     assert rows(out, "split_id", "ref_usable", "test_pos", "test") == [(0, 8, 1, 1), (1, 8, 1, 1), (2, 8, 1, 2)]
+
+
+def test_scores_of_splits_are_not_broadcast(spark):
+    import re
+
+    vecs, parts, stop = small_splits(spark)
+    found = pipelines.centroid_evaluate(files.written(vecs), files.written(parts), stop, ks=(5,))
+    assert not re.search(r"BroadcastHashJoin \[split_id#\d+, word#\d+\]", plan_of(found))
+    assert rows(found, "split_id", "pos", "neg") == [(0, 1, 49), (1, 1, 49), (2, 1, 49)]
