@@ -700,3 +700,17 @@ def test_scores_of_splits_are_not_broadcast(spark):
     found = pipelines.centroid_evaluate(files.written(vecs), files.written(parts), stop, ks=(5,))
     assert not re.search(r"BroadcastHashJoin \[split_id#\d+, word#\d+\]", plan_of(found))
     assert rows(found, "split_id", "pos", "neg") == [(0, 1, 49), (1, 1, 49), (2, 1, 49)]
+
+
+def test_knn_tells_what_single_precision_cannot(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 16))
+    x[150:] = x[:150] + 1e-8 * rng.normal(size=(150, 16))  # products that are equal in single precision and not in double
+    df = vectors.unit_vectors(spark.createDataFrame([(f"w{i}", v.tolist()) for i, v in enumerate(x)], "word string, vector array<double>"))
+    v = {r["word"]: np.array(r["v"]) for r in df.collect()}
+    names = sorted(v)
+    sims = np.round(np.array([v[w] for w in names]) @ np.array([v[w] for w in names]).T, vectors.DIGITS)
+    want = sorted((w, r + 1, names[j]) for i, w in enumerate(names) for r, j in enumerate(sorted((j for j in range(300) if j != i), key=lambda j: (-sims[i, j], names[j]))[:9]))
+    assert rows(vectors.knn(df, 9), "query", "rank", "nword") == want
+    mask = rng.random((7, 13)) < 0.1
+    assert vectors._set(mask).tolist() == np.flatnonzero(mask).tolist()
