@@ -714,3 +714,19 @@ def test_knn_tells_what_single_precision_cannot(spark):
     assert rows(vectors.knn(df, 9), "query", "rank", "nword") == want
     mask = rng.random((7, 13)) < 0.1
     assert vectors._set(mask).tolist() == np.flatnonzero(mask).tolist()
+
+
+def test_spans_have_the_curves_of_their_rows(spark):
+    rng = np.random.default_rng(9)
+    data = [(k, "a" if k % 2 else "b", lo, lo + int(rng.integers(0, 4)), float(rng.integers(-3, 6)) / 2, int(rng.random() < 0.3)) for k in range(4) for lo in rng.integers(1, 8, 40).tolist()]
+    spans = spark.createDataFrame(data, "k int, w string, low int, high int, score double, label int")
+    totals = spark.createDataFrame([(k, "a" if k % 2 else "b", 40, 60 if k else 0) for k in range(5)], "k int, w string, pos bigint, neg bigint")
+    each = spans.select("k", "w", F.explode(F.sequence("low", "high")).alias("n"), "score", "label")
+    grid = totals.crossJoin(spark.range(1, 12).select(F.col("id").cast("int").alias("n")))
+    want = curves.curve_summary(curves.with_default(curves.score_groups(each, ["k", "w", "n"]), grid, ["k", "w", "n"], -2.0), ["k", "w", "n"]).filter("k > 0")
+    got = curves.span_summary(spans.repartition(3), totals, ["k", "w"], range(1, 12), -2.0)
+    columns = ("k", "w", "n", "roc_auc", "ba_threshold", "f1_threshold")
+    assert rows(got.filter("k > 0"), *columns) == [tuple(pytest.approx(x) if isinstance(x, float) else x for x in r) for r in rows(want, *columns)]
+    assert got.count() == 55 and got.filter("k = 0 and roc_auc is not null").isEmpty()
+    # a row for each n was moved and sorted before
+    assert "sequence" not in got._jdf.queryExecution().optimizedPlan().toString()
