@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels say so. Repeated rows are judged alike; no documents give none.
     """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.select(F.struct("*").alias("_doc"), "text"), model, keep=("_doc",))
+    scored = toxicity.score(docs.select(F.struct("*").alias("_doc")), model, "_doc.text", keep=("_doc",))
     return scored.filter(F.col("score") < TOXIC).select("_doc.*")
 
 

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -41,7 +42,7 @@ IDENTITY_TERMS = (
     ("disabled", "deaf", "blind"),
     ("old", "young"),
 )
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 60_000
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -190,15 +191,20 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
 
     A null or empty text has the score of no words. The text is the only input of a score. Rows stay
     where they are, repeated ones included; other columns are dropped; an empty table gives no rows.
+    text may be a field of a struct in keep (`struct.field`), and then goes to the tasks once.
     """
+    struct, _, field = text.rpartition(".")
+    inside = struct in keep
     schema = StructType([*df.select(*keep).schema.fields, StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
+        if inside:
+            batches = (pa.RecordBatch.from_arrays([*b.columns, pa.compute.struct_field(b.column(struct), field)], names=[*keep, "_text"]) for b in batches)
         for batch in slices(batches, "_text"):
             if len(cache) > _CACHED_WORDS:
                 cache.clear()
             scores = [model.score(words_of(t or ""), cache) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*keep, "score"])
 
-    return df.select(*keep, df[text].alias("_text")).mapInArrow(run, schema)
+    return df.select(*keep, *([] if inside else [df[text].alias("_text")])).mapInArrow(run, schema)

@@ -471,3 +471,12 @@ def test_near_copies_are_found_by_fingerprints_alone_and_decided_on_whole_sets(s
     assert all(alike(a, b) for a, b in got) and len({p for p in near if alike(*p)}) > 20 and not all(alike(*p) for p in near)
     group = {r["v"]: r["component"] for r in components.connected_components(spark.createDataFrame(sorted(got), "u bigint, v bigint")).collect()}
     assert all(group.get(a, a) == group.get(b, b) for a, b in near if alike(a, b))
+
+
+def test_toxicity_reads_a_text_inside_of_what_it_keeps(spark):
+    docs = spark.createDataFrame([(1, "vile scum here"), (2, None), (3, "a calm note"), (1, "")], "doc_id bigint, text string")
+    model = toxicity.Model({f: 1.5 for f in toxicity.word_features("scum")}, -1.0)
+    want = sorted(map(tuple, toxicity.score(docs, model).collect()))
+    scored = toxicity.score(docs.select(F.struct("*").alias("_doc")), model, "_doc.text", keep=("_doc",))
+    assert sorted(map(tuple, scored.select("_doc.doc_id", "score").collect())) == want
+    assert "_text" not in scored._jdf.queryExecution().optimizedPlan().toString()  # the text went to the tasks twice before
