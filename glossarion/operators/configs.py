@@ -40,12 +40,11 @@ ALIASES: Mapping[str, Sequence[str]] = {
 
 def _entries(level: DataFrame) -> DataFrame:
     """(run, path, place, key, value, nested) of the members of each text's object or the items of its array, in order."""
-    def zipped(keys: Column, values: Column, raw: Column) -> Column:
-        return F.arrays_zip(keys.alias("k"), values.alias("v"), raw.alias("raw"))
-
     named, items = F.from_json("text", "map<string,variant>"), F.from_json("text", "array<variant>")
-    of_object = zipped(F.map_keys(named), F.map_values(named), F.map_values(F.from_json("text", "map<string,string>")))
-    of_array = zipped(F.transform(items, lambda _: F.lit(None).cast("string")), items, F.from_json("text", "array<string>"))
+    # each reading of the text is named once: Spark would read it anew for every mention within a branch
+    raw_named, raw_items = F.map_values(F.from_json("text", "map<string,string>")), F.from_json("text", "array<string>")
+    of_object = F.zip_with(F.map_entries(named), raw_named, lambda e, raw: F.struct(e["key"].alias("k"), e["value"].alias("v"), raw.alias("raw")))
+    of_array = F.zip_with(items, raw_items, lambda v, raw: F.struct(F.lit(None).cast("string").alias("k"), v.alias("v"), raw.alias("raw")))
     array = F.btrim("text", F.lit(" \t\r\n")).startswith("[")
     rows = level.select("run", "path", "place", F.posexplode(F.when(array, of_array).otherwise(of_object)).alias("i", "e"))
     kind = F.schema_of_variant("e.v")

@@ -730,3 +730,12 @@ def test_spans_have_the_curves_of_their_rows(spark):
     assert got.count() == 55 and got.filter("k = 0 and roc_auc is not null").isEmpty()
     # a row for each n was moved and sorted before
     assert "sequence" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_settings_are_read_once_a_text(spark):
+    docs = spark.createDataFrame([("r", "a", '{"lr": 1, "x": [2, {"bs": "3"}], "n": null}'), ("r", "b", "{broken"), ("s", "c", '[{"lr": 0.50}, 7]')], "run string, path string, text string")
+    level = configs._entries(docs.withColumn("place", F.array().cast("array<int>")))
+    got = rows(level.withColumn("at", F.element_at("place", -1)), "run", "at", "key", "value", "nested")
+    assert sorted(got, key=str) == sorted([("r", 0, "lr", "1", False), ("r", 1, "x", '[2,{"bs":"3"}]', True), ("r", 2, "n", "null", False), ("s", 0, None, '{"lr":0.5}', True), ("s", 1, None, "7", False)], key=str)
+    # six times before
+    assert level._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 4
