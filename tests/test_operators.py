@@ -664,6 +664,29 @@ def test_member_features_of_large_and_small_keys(spark, monkeypatch, first):
         assert (r["mindist_all"], r["avgdist_all"], r["votetopk_all"]) == pytest.approx((sims[0], sum(sims) / len(sims), sum(sims[:5])), abs=1e-9)
 
 
+def test_large_members_are_reduced_in_units(spark, monkeypatch):
+    """More members than go to every task: units of words meet them in blocks, and no row of a key and word is merged after that."""
+    from glossarion.operators import units
+
+    rng = np.random.default_rng(8)
+    x = {f"w{i:03}": v / np.linalg.norm(v) for i, v in enumerate(rng.normal(size=(600, 5)))}
+    names = sorted(x)
+    members = {s: sorted(rng.choice(names, n, replace=False).tolist()) for s, n in ((0, 480), (1, 400), (2, 3), (3, 30))}
+    vecs = files.written(spark.createDataFrame([(w, v.tolist()) for w, v in x.items()], "word string, v array<double>"))
+    df = spark.createDataFrame([(s, w) for s, ws in members.items() for w in ws], "split_id int, word string")
+    monkeypatch.setattr(vectors, "TARGETS", 40)
+    monkeypatch.setattr(units, "BLOCK", 64)
+    monkeypatch.setattr(units, "HELD", 256 * 24)
+    for blank in (False, True):
+        found = vectors.member_features(vecs, df, ["split_id"], 5, blank)
+        assert "Aggregate" not in plan_of(found) and plan_of(found).count("Exchange") <= 3  # the members' vectors, and the units
+        got = {(r["split_id"], r["word"]): r for r in found.collect()}
+        assert len(got) == 4 * 600
+        for (s, w), r in got.items():
+            sims = sorted((-1.0 if blank and m == w else round(float(x[w] @ x[m]), 10) for m in members[s]), reverse=True)
+            assert (r["mindist_all"], r["avgdist_all"], r["votetopk_all"]) == pytest.approx((sims[0], sum(sims) / len(sims), sum(sims[:5])), abs=1e-9)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
