@@ -691,6 +691,34 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_features_join_no_rows_of_splits_and_words(spark, monkeypatch):
+    """What the operators have for each split and word comes out in one row, for few and for many members; splits without a centroid have none."""
+    import re
+
+    rng = np.random.default_rng(21)
+    names = [f"w{i:03}" for i in range(90)]
+    vecs = files.written(vectors.unit_vectors(spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, rng.normal(size=(90, 5)), strict=True)], "word string, vector array<double>")))
+    parts = [(s, "ref", n) for s in range(3) for n in rng.choice(names, 30, replace=False).tolist()] + [(0, "ref", "w0x"), (4, "ref", "w1x"), (0, "test", "w001")]
+    sp = files.written(spark.createDataFrame(parts, "split_id int, part string, word string"))
+    nbr, ref, key = files.written(vectors.knn(vecs, 6)), sp.filter("part = 'ref'").select("split_id", "word"), ["split_id"]
+    pairs = [
+        vectors.centroid_similarity(vecs, vectors.centroids(vecs, ref, key), key).withColumnRenamed("csim", "centroid"),
+        neighbours.graph_features(nbr, ref, key).withColumnRenamed("query", "word"),
+        vectors.member_features(vecs, ref, key),
+        lexical.lexical_similarity(vecs.select("word"), ref, key),
+    ]
+    want = pairs[0]
+    for df in pairs[1:]:
+        want = want.join(df, ["split_id", "word"], "left")
+    want = {(r["split_id"], r["word"]): [r[c] or 0.0 for c in pipelines.FEATURES] for r in want.collect()}
+    assert len(want) == 3 * 90
+    for targets in (4096, 20):
+        monkeypatch.setattr(vectors, "TARGETS", targets)
+        found = pipelines.features(vecs, nbr, sp)
+        assert not re.search(r"Join \[split_id#\d+, word#\d+\]", plan_of(found))
+        assert {(r["split_id"], r["word"]): [r[c] for c in pipelines.FEATURES] for r in found.collect()} == {k: pytest.approx(v, abs=2e-10) for k, v in want.items()}
+
+
 def test_centroids_do_not_broadcast_members(spark):
     vecs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 0.0])], "word string, v array<double>")
     members = spark.createDataFrame([(0, "a"), (0, "c"), (1, "b"), (1, "x"), (2, "x")], "split_id int, word string")
