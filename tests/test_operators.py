@@ -719,6 +719,34 @@ def test_features_join_no_rows_of_splits_and_words(spark, monkeypatch):
         assert {(r["split_id"], r["word"]): [r[c] for c in pipelines.FEATURES] for r in found.collect()} == {k: pytest.approx(v, abs=2e-10) for k, v in want.items()}
 
 
+def test_samples_are_told_by_their_last_rows(spark):
+    """What is among the first of a key is what sorting finds, with ties, infinite values and NaN, and for sizes of none and of all."""
+    rng = np.random.default_rng(4)
+    values = [*rng.normal(size=150).round(1).tolist(), float("inf"), float("-inf"), float("nan"), float("nan"), 0.0, -0.0]
+    data = [(k, f"w{i:03}", float(v)) for k in range(5) for i, v in enumerate(values)] + [(5, f"w{i}", 1.5) for i in range(9)] + [(6, "w0", float("nan"))]
+    df = spark.createDataFrame(data, "split_id int, word string, score double")
+    most = {0: 0, 1: 1, 2: 70, 3: len(values) - 2, 4: 1000, 5: 4, 6: 1}
+    sizes = spark.createDataFrame(list(most.items()), "split_id int, most int")
+    ranged, bucket = splits.value_buckets(df, ["split_id"], "score")
+    ends = splits.lasts(ranged, ["split_id"], sizes, "score", bucket)
+    got = df.join(ends, "split_id", "left").filter(splits.among_first(F.col("score"), F.col("word")))
+    order = lambda r: (math.isnan(r[2]), 0.0 if math.isnan(r[2]) else r[2], r[1])
+    want = [r[:2] for k, n in most.items() for r in sorted((r for r in data if r[0] == k), key=order)[:n]]
+    assert rows(got, "split_id", "word") == sorted(want)
+
+
+def test_training_rows_move_no_background(spark, monkeypatch):
+    feats = files.written(spark.range(600).selectExpr("cast(id % 3 as int) split_id", "concat('w', id div 3) word", "cast(id * 37 % 101 as double) centroid", "cast(id as double) vote"))
+    parts = [(s, p, f"w{i}") for s in range(3) for p, some in (("ref", range(8)), ("test", range(8, 12))) for i in some]
+    sp, stop = spark.createDataFrame(parts, "split_id int, part string, word string"), spark.createDataFrame([("w199",)], "word string")
+    kept = []
+    monkeypatch.setattr(pipelines, "written", lambda df: kept.append(df.count()) or files.written(df))
+    found = pipelines.training_rows(feats, sp, stop, 2)
+    assert max(kept) <= 13  # words that are no background, and a row for each split; the 561 rows of the background were written before
+    assert "Window" not in plan_of(found)
+    assert rows(found.groupBy("split_id", "clf", "label").count(), "split_id", "clf", "label", "count") == [(s, c, y, n) for s in range(3) for c in ("pu_lr", "pu_rn") for y, n in ((0, 16), (1, 8))]
+
+
 def test_centroids_do_not_broadcast_members(spark):
     vecs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 0.0])], "word string, v array<double>")
     members = spark.createDataFrame([(0, "a"), (0, "c"), (1, "b"), (1, "x"), (2, "x")], "split_id int, word string")
