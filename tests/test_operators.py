@@ -747,6 +747,14 @@ def test_training_rows_move_no_background(spark, monkeypatch):
     assert rows(found.groupBy("split_id", "clf", "label").count(), "split_id", "clf", "label", "count") == [(s, c, y, n) for s in range(3) for c in ("pu_lr", "pu_rn") for y, n in ((0, 16), (1, 8))]
 
 
+def test_gaps_move_no_training_rows(spark):
+    training = spark.range(3_000_000).selectExpr("cast(id % 2 as int) k", "cast(id % 3 = 0 as int) label", "cast(id % 7 as double) a")
+    given = spark.createDataFrame([(k, [0.0], 0.0, [0.0], [1.0]) for k in (0, 1)], "k int, weights array<double>, intercept double, means array<double>, deviations array<double>")
+    found = models.fit_gaps(training, given, ["k"], ["a"])
+    assert "SortMergeJoin" not in plan_of(found)
+    assert rows(found, "k", "positives", "negatives") == [(0, 500_000, 1_000_000), (1, 500_000, 1_000_000)]
+
+
 def test_centroids_do_not_broadcast_members(spark):
     vecs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 0.0])], "word string, v array<double>")
     members = spark.createDataFrame([(0, "a"), (0, "c"), (1, "b"), (1, "x"), (2, "x")], "split_id int, word string")
