@@ -755,6 +755,31 @@ def test_gaps_move_no_training_rows(spark):
     assert rows(found, "k", "positives", "negatives") == [(0, 500_000, 1_000_000), (1, 500_000, 1_000_000)]
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_wide_metrics_equal_long_ones(spark, parts):
+    """Ties in scores and at k, NaN, infinite and null scores, keys without one of the classes; each row is moved once."""
+    rng = np.random.default_rng(6)
+    names = ("flat", "few", "many")
+    data = []
+    for key in (0, 1, None):
+        for i in range(400):
+            odd = {7: None, 8: float("nan"), 9: float("inf"), 10: float("-inf"), 11: -0.0}.get(i % 40, float(rng.normal()))
+            data.append((key, f"w{i:03}", int(rng.random() < 0.2), 0.5, float(rng.integers(4)), odd))
+    data += [(2, f"w{i:03}", 0, float(i), 1.0, 2.0) for i in range(30)] + [(3, "w000", 1, 1.0, 1.0, 1.0)]
+    df = files.written(spark.createDataFrame(data, "split_id int, word string, label int, flat double, few double, many double"))
+    md5 = splits.hash_order(F.lit("ties"), "split_id", "word")
+    long, by = df.unpivot(["split_id", "word", "label"], list(names), "method", "score"), ["split_id", "method"]
+    points = curves.curve_summary(curves.score_groups(long, by), by).select(*by, "roc_auc", "average_precision")
+    ranks = curves.rank_metrics(long, by, (5, 60), ties=(md5, "word")).select(*by, "k", "precision", "recall", "specificity", "f1")
+    found = curves.wide_metrics(df, ["split_id"], names, (5, 60), F.unhex(md5), parts)
+    order = lambda rs: {(r["split_id"], r["method"], r["k"]): tuple(r)[2:] for r in rs}
+    want = order(points.join(ranks, by).select(*by, "k", "roc_auc", "average_precision", "precision", "recall", "specificity", "f1").collect())
+    got = order(found.select("split_id", "method", "k", "roc_auc", "average_precision", "precision", "recall", "specificity", "f1").collect())
+    assert set(got) == set(want) and len(want) == 4 * 3 * 2
+    for k, v in want.items():
+        assert got[k] == (k[2], *(x if x is None else pytest.approx(x, abs=1e-12) for x in v[1:])), k
+
+
 def test_centroids_do_not_broadcast_members(spark):
     vecs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 0.0])], "word string, v array<double>")
     members = spark.createDataFrame([(0, "a"), (0, "c"), (1, "b"), (1, "x"), (2, "x")], "split_id int, word string")
