@@ -691,6 +691,18 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_units_of_few_keys_are_bounded(spark, monkeypatch):
+    """One key holds few numbers for each word, and yet a unit takes no more than its share of the words."""
+    from glossarion.operators import units
+
+    monkeypatch.setattr(vectors, "TARGETS", 4)
+    monkeypatch.setattr(units, "WORDS", 256)
+    vecs = files.written(spark.range(6000).selectExpr("concat('w', id) word", "array(cast(cos(id) as double), cast(sin(id) as double)) v"))
+    found = vectors.member_features(vecs, vecs.filter("word like 'w1%5'").selectExpr("0 split_id", "word"), ["split_id"], 3)
+    assert found.rdd.getNumPartitions() >= 6000 // 256
+    assert found.count() == 6000
+
+
 def test_features_join_no_rows_of_splits_and_words(spark, monkeypatch):
     """What the operators have for each split and word comes out in one row, for few and for many members; splits without a centroid have none."""
     import re
